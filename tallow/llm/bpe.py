@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,11 +54,26 @@ def model_json(ranks: dict[bytes, int]) -> str:
     return json.dumps({"version": "1.0", "added_tokens": [], "model": model})
 
 
+class Memo(dict):
+    """Remembers a function's results; of two generations of ``size`` the older one goes."""
+
+    def __init__(self, function, size: int) -> None:
+        self.function, self.size, self.old = function, size, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key) or self.function(key)
+        if len(key) <= 64:
+            self[key] = value
+        return value
+
+
 class Codec:
     """Encodes and decodes texts in one Python worker."""
 
     def __init__(self, model: str, pattern: str, remembered: int = 200_000) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
@@ -70,45 +84,37 @@ class Codec:
         self.show = {b: c for b, c in enumerate(show)}
         byte = {c: b for b, c in enumerate(show)}
         self.tokens = {i: bytes(byte[c] for c in t) for t, i in self.tokenizer.get_vocab().items()}
-        self.ids: dict[str, str] = {}
-        self.raw: dict[str, bytes] = {}
-        self.remembered = remembered
+        self.known = Memo(self.piece, remembered)
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        shown = [p.encode("utf-8").decode("latin-1").translate(self.show) for p in pieces]
-        return [e.ids for e in self.tokenizer.encode_batch_fast(shown, add_special_tokens=False)]
+    def encode_piece(self, piece: str) -> list[int]:
+        shown = piece.encode("utf-8").decode("latin-1").translate(self.show)
+        return [t.id for t in self.tokenizer.model.tokenize(shown)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.ids]
-        for piece, ids in zip(new, self.encode_pieces(new), strict=True):
-            self.ids[piece] = "".join([f" {i}" for i in ids])
-            self.raw[piece] = self.decode(ids)
-
-    def forget(self) -> None:
-        """Keep the memory bounded: by entries, and without long pieces."""
-        if len(self.ids) > self.remembered:
-            self.ids.clear()
-            self.raw.clear()
+    def piece(self, piece: str) -> tuple[str, bytes]:
+        ids = self.encode_piece(piece)
+        return "".join([f" {i}" for i in ids]), self.decode(ids)
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded bytes."""
+        ids, raw, n = hashlib.sha256(), hashlib.sha256(), 0
         pieces = self.split(text)
-        self.learn(set(pieces))
-        ids = "".join(map(self.ids.__getitem__, pieces))
-        raw = hashlib.sha256()
         for k in range(0, len(pieces), 1 << 16):
-            raw.update(b"".join(map(self.raw.__getitem__, pieces[k : k + (1 << 16)])))
-        self.forget()
-        return ids.count(" "), hashlib.sha256(ids[1:].encode()).hexdigest(), raw.hexdigest()
+            got = list(map(self.known.__getitem__, pieces[k : k + (1 << 16)]))
+            shown = "".join([g[0] for g in got])
+            n += shown.count(" ")
+            ids.update((shown if k else shown[1:]).encode())
+            raw.update(b"".join([g[1] for g in got]))
+        return n, ids.hexdigest(), raw.hexdigest()
 
     def encode(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Ids with the first and one past the last character of each; tokens within a character share it."""
         ids, starts, ends, at = [], [], [], 0
         pieces = self.split(text)
-        for piece, got in zip(pieces, self.encode_pieces(pieces), strict=True):
+        for piece in pieces:
+            got = self.encode_piece(piece)
             inside = [k for k, c in enumerate(piece) for _ in range(len(c.encode("utf-8")))]
             low = 0
             for i in got:
