@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, mixing, near_dedup, toxicity
+from . import bpe, fingerprints, knn, licenses, mixing, near_dedup, pii, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +23,32 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document in a mix of the sources by weight."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every 20th vector."""
+    return knn.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents."""
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
@@ -45,13 +65,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_license_scan": op3_license_scan,
+    "op4_url_filter": op4_url_filter,
     "op5_source_mix": op5_source_mix,
+    "op6_top_k": op6_top_k,
+    "op7_pii": op7_pii,
     "op8_fingerprints": op8_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op5_source_mix": mixing.SQL,
+    "op6_top_k": knn.SQL,
     "op1_near_dedup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
