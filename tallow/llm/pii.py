@@ -150,40 +150,66 @@ def _is(kind: str):
     return lambda s: s["kind"] == kind
 
 
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: ``id``, ``hash`` of the text, ``base`` spans and ``contexts``."""
+    one = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return one.select("id", F.xxhash64("text").alias("hash"), base_spans(F.col("text")).alias("base"), _contexts(F.col("text")).alias("contexts"))
+
+
+def base_spans(text: Column) -> Column:
+    """Base spans (kind, start, end) of a non-null text, by kind and start."""
+    return F.concat(*[F.transform(matches(text, k), _tag(k)) for k in KINDS])
+
+
+def _kind_at(c: Column) -> Column:
+    """The kind of the first base span that overlaps a token; null for none."""
+    return F.get(F.filter(F.col("base"), lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"])), 0)["kind"]
+
+
+def _instance(c: Column) -> Column:
+    return F.struct(*[c[n].alias(n) for n in ("start", "end", "token", "left", "right")], shape(c["token"]).alias("shape"), _kind_at(c).alias("kind"))
+
+
+def _added(read: DataFrame, rounds: int, support: int, bar: float) -> DataFrame:
+    """Spans that the bootstrap adds: one row for an id and text hash, with ``added``."""
+    instances = read.filter(F.size("contexts") > 0).select("id", "hash", F.explode(F.transform("contexts", _instance)).alias("c")).select("id", "hash", "c.*")
+    patterns = bootstrap(instances, rounds, support, bar)
+    shapes = instances.filter("kind is not null").select("kind", "shape").distinct()
+    hits = instances.filter("kind is null").drop("kind").join(patterns, ["left", "right"]).join(shapes, ["kind", "shape"])
+    best = hits.groupBy("id", "hash", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best"))
+    spans = best.groupBy("id", "hash").agg(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "start", "end")).alias("added"))
+    return materialise(spans, "added")
+
+
+def _with_added(rows: DataFrame, added: DataFrame, most: int = 20_000) -> DataFrame:
+    """``rows`` with ``added`` (null for none) by id and text hash; broadcast only if it is counted to be small."""
+    right = added.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "added")
+    if added.count() <= most:
+        right = F.broadcast(right)
+    return rows.join(right, rows["hash"].eqNullSafe(right["_hash"]) & rows["id"].eqNullSafe(right["_id"]), "left").drop("_id", "_hash")
+
+
+def _merged(base: Column, added: Column) -> Column:
+    """All spans in the order of kinds, then starts."""
+    order = F.array(*[F.lit(k) for k in KINDS])
+    both = F.concat(base, F.coalesce(added, F.array().cast("array<struct<kind:string,start:int,end:int>>")))
+    ranked = F.array_sort(F.transform(both, lambda s: F.struct(F.array_position(order, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 5, bar: float = 0.9) -> DataFrame:
     """Per row: ``id_col``, ``base`` and ``spans``, arrays of (kind, start, end) in the order of kinds, then starts.
 
     ``base`` has the spans of the base patterns; ``spans`` has them and those
     that the bootstrap adds: tokens that overlap no base span, in a confident
     pattern, of a shape that the kind's seeds have.  Null and empty texts have
-    no spans.  A row in gives a row out; rows that share an id get the spans
-    of their own text.  Other columns are not read.  No rows give no rows.
+    no spans.  A row in gives a row out; rows that share an id, or have none,
+    get the spans of their own text.  Other columns are not read.  No rows
+    give no rows.
     """
-    kind_of = F.array(*[F.lit(k) for k in KINDS])
-    one = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    one = one.select("id", *[matches(F.col("text"), k).alias(k) for k in KINDS], _contexts(F.col("text")).alias("contexts"))
-    base = F.concat(*[F.transform(F.col(k), _tag(k)) for k in KINDS])
-    one = one.select("id", base.alias("base"), "contexts").withColumn("row", F.monotonically_increasing_id())
-    one = materialise(one, "pii")
-
-    def of(c: Column) -> Column:
-        """The kind of the first base span that overlaps a token; null for none."""
-        hit = F.filter(F.col("base"), lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"]))
-        return F.get(hit, 0)["kind"]
-
-    lit = F.transform("contexts", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["token"].alias("token"), shape(c["token"]).alias("shape"), c["left"].alias("left"), c["right"].alias("right"), of(c).alias("kind")))
-    instances = one.filter(F.size("contexts") > 0).select("row", F.explode(lit).alias("c")).select("row", "c.*")
-    patterns = bootstrap(instances, rounds, support, bar)
-    shapes = instances.filter("kind is not null").select("kind", "shape").distinct()
-    added = (
-        instances.filter("kind is null").drop("kind").join(patterns, ["left", "right"]).join(shapes, ["kind", "shape"])
-        .groupBy("row", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best"))
-        .groupBy("row").agg(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "start", "end")).alias("added"))
-    )
-    merged = F.concat("base", F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
-    ranked = F.array_sort(F.transform(merged, lambda s: F.struct(F.array_position(kind_of, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    spans = F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return one.join(added, "row", "left").select(F.col("id").alias(id_col), "base", spans.alias("spans"))
+    read = materialise(_read(docs, id_col, text_col), "pii")
+    rows = _with_added(read, _added(read, rounds, support, bar))
+    return rows.select(F.col("id").alias(id_col), "base", _merged(F.col("base"), F.col("added")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -196,24 +222,27 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 5, bar: float = 0.9) -> DataFrame:
     """``docs`` with every span of find() replaced by its kind in brackets, as in ``[EMAIL]``.
 
-    Overlapping spans are replaced together, under the first one's kind.  All
-    columns stay.  Ids must be unique and not null for spans to be joined back.
+    Overlapping spans are replaced together, under the kind of the one that
+    starts first.  All rows and columns stay, whatever their names; null texts
+    stay null.
     """
-    spans = find(docs, id_col, text_col, **options).filter(F.size("spans") > 0).select(F.col(id_col).alias("_pii_id"), F.col("spans").alias("_pii_spans"))
-    text = F.col(text_col)
+    added = _added(materialise(_read(docs, id_col, text_col), "pii"), rounds, support, bar)
+    text = F.col(f"row.{text_col}")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = rows.withColumns({"id": F.col(f"row.{id_col}"), "hash": F.xxhash64(F.coalesce(text, F.lit("")))})
+    rows = _with_added(rows, added).withColumn("spans", _merged(base_spans(F.coalesce(text, F.lit(""))), F.col("added")))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    ordered = F.array_sort(F.transform("_pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def cut(state: Column, s: Column) -> Column:
-        free = s["start"] >= state["at"]
-        kept = F.substring(text, state["at"] + 1, s["start"] - state["at"])
+        kept = F.substr(text, state["at"] + 1, s["start"] - state["at"])
         mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(free, F.concat(state["out"], kept, mark)).otherwise(state["out"]).alias("out"))
+        out = F.when(s["start"] >= state["at"], F.concat(state["out"], kept, mark)).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
     changed = F.aggregate(ordered, first, cut, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
-    whole = F.when(F.col("_pii_spans").isNull(), text).otherwise(changed)
-    joined_ = docs.join(spans, docs[id_col] == F.col("_pii_id"), "left")
-    return joined_.select(*[whole.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    whole = F.when(F.size("spans") > 0, changed).otherwise(text)
+    return rows.select(*[(whole if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, knn, licenses, mixing, near_dedup, pii, toxicity, urls
+from . import bpe, fingerprints, knn, licenses, mixing, near_dedup, pii, toxicity, urls, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Ids of every document and the bytes they decode to, as digests."""
     import public_tokenizers
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_top_k": op6_top_k,
     "op7_pii": op7_pii,
     "op8_fingerprints": op8_fingerprints,
+    "op9_main_text": op9_main_text,
     "op10_byte_bpe": op10_byte_bpe,
 }
 

@@ -12,6 +12,7 @@ scoring reads every whole text.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -173,24 +174,32 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, groups=IDENT
     return fit(parts, y, terms, groups)
 
 
+class Scorer:
+    """Scores whole texts; remembers a bounded number of words."""
+
+    def __init__(self, weights: dict[int, float], bias: float, remembered: int = 500_000) -> None:
+        self.weights, self.bias, self.remembered, self.known = weights, bias, remembered, {}
+
+    def __call__(self, text: str | None) -> float:
+        known, weights = self.known, self.weights
+        hits: list[int] = []
+        for word in set(_WORD.findall((text or "").lower())):
+            at = known.get(word)
+            if at is None:
+                if len(known) > self.remembered:
+                    known.clear()
+                at = known[word] = tuple(f for f in features(word) if f in weights or any(often(f, k) in weights for k in (2, 3, 5)))
+            if at:
+                hits += at
+        z = self.bias + sum([weights[f] for f in sorted(expanded(Counter(hits)) & weights.keys())])
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
+
+
 def _scored(weights: dict[int, float], bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
-        useful = weights.keys()
+        scorer = Scorer(weights, bias)
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                hits: list[int] = []
-                for word in set(_WORD.findall((text.as_py() or "").lower())):
-                    at = known.get(word)
-                    if at is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        at = known[word] = tuple(f for f in features(word) if f in weights or any(often(f, k) in weights for k in (2, 3, 5)))
-                    if at:
-                        hits += at
-                z = bias + sum([weights[f] for f in sorted(expanded(Counter(hits)) & useful)])
-                out.append(float(1 / (1 + np.exp(-min(30.0, max(-30.0, z))))))
+            out = [scorer(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["id", "score"])
 
     return run
@@ -211,3 +220,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_row
     scored = score(docs, train(docs, labels, max_rows))
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 6000, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    model = train(docs, labels, max_rows)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*model)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer(text.as_py()) < threshold for text in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
