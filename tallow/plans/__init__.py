@@ -1,0 +1,6 @@
+"""Registered queries of the engine's own operators."""
+
+from . import text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
