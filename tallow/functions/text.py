@@ -17,6 +17,7 @@ WEB_STOP = (
     " all between"
 ).split()
 CONTROLLER_STOP = "the a an of in on for to and or is was are were who what which when where how did does do with from by".split()
+RATIONALE_WORD = "[A-Za-z][A-Za-z0-9'-]{2,}|[0-9]{3,4}"
 ORDINALS = {
     "1st": "first", "2nd": "second", "3rd": "third", "4th": "fourth", "5th": "fifth", "6th": "sixth",
     "7th": "seventh", "8th": "eighth", "9th": "ninth", "10th": "tenth", "11th": "eleventh", "12th": "twelfth",
@@ -86,12 +87,12 @@ def bm25_terms(c) -> Column:
 
 
 def content_tokens(c, glue: list[str]) -> Column:
-    return without(F.transform(all_matches(c, "[A-Za-z][A-Za-z'-]*"), F.lower), glue)
+    return without(F.transform(all_matches(c, RATIONALE_WORD), F.lower), glue)
 
 
 def vocabulary(texts: Column) -> Column:
     """Words of an array of texts with the parts of hyphenated ones of three letters and more."""
-    found = F.flatten(F.transform(texts, lambda t: F.transform(all_matches(t, "[A-Za-z][A-Za-z'-]*"), F.lower)))
+    found = F.flatten(F.transform(texts, lambda t: F.transform(all_matches(t, RATIONALE_WORD), F.lower)))
     parts = F.flatten(F.transform(found, lambda w: F.filter(F.split(w, "-"), lambda p: F.length(p) >= 3)))
     return F.array_distinct(F.concat(found, parts))
 

@@ -366,7 +366,7 @@ def _(t):
     return t.documents.select("doc_id", F.coalesce(F.nullif("lang", F.lit("en")), F.lit("Untitled")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-@query("m06_vocabulary", "WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(replace(prediction, ' th', '-th'), '[A-Za-z][A-Za-z''-]*'), lambda x: lower(x)) AS w FROM qa) SELECT doc_id, list_sort(list_distinct(list_concat(w, list_filter(flatten(list_transform(w, lambda x: string_split(x, '-'))), lambda y: length(y) >= 3)))) AS vocab FROM w")
+@query("m06_vocabulary", "WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(replace(prediction, ' th', '-th'), '[A-Za-z][A-Za-z0-9''-]{2,}|[0-9]{3,4}'), lambda x: lower(x)) AS w FROM qa) SELECT doc_id, list_sort(list_distinct(list_concat(w, list_filter(flatten(list_transform(w, lambda x: string_split(x, '-'))), lambda y: length(y) >= 3)))) AS vocab FROM w")
 def _(t):
     own = F.array(F.replace("prediction", F.lit(" th"), F.lit("-th")))
     return t.qa.select("doc_id", F.array_sort(text.vocabulary(own)).alias("vocab"))
@@ -572,3 +572,49 @@ def evaluation_summary(t):
     rows = rows.select("em", "s.f1", tags.reward_format("chunk").alias("fmt"), tags.first_action("chunk").alias("route"), F.size(tags.bodies("chunk", "search")).alias("n"))
     rows = rows.withColumn("reward", scores.reward(F.col("em"), F.col("f1"), F.col("fmt"), F.col("n"), F.lit(0)))
     return rows.groupBy("route").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in ("em", "f1", "fmt", "reward")])
+
+
+@query("j17_cited_evidence", "WITH s AS (SELECT doc_id, list_transform(golds, lambda g, i: {'id': 'S' || i, 'score': length(g), 'i': i}) AS e FROM qa), c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['S2'] ELSE list_transform(list_sort(list_transform(e, lambda x: (-x.score, x.id)))[1:2], lambda x: x[2]) END AS ids FROM s) SELECT * FROM c")
+def _(t):
+    from ..operators.replay import cited_or_best
+
+    evidence = F.transform("golds", lambda g, i: F.struct(F.concat(F.lit("S"), (i + 1).cast("string")).alias("source_id"), F.length(g).alias("score")))
+    cited = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("S2"))).otherwise(F.array(F.lit("S9")))
+    return t.qa.select("doc_id", F.transform(cited_or_best(evidence, cited), lambda e: e["source_id"]).alias("ids"))
+
+
+@query("b08_graph_replay", f"WITH s AS (SELECT doc_id, doc_id % 2 + 1 AS d, question, concat_ws(' ', string_split(prediction, ' ')[1], array_to_string(list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda w: w NOT IN {q.words(text.WEB_STOP)})[-5:], ' ')) AS second FROM qa) SELECT doc_id || '__graph_d' || d AS sample_id, 0 AS turn, question AS query FROM s UNION ALL SELECT doc_id || '__graph_d' || d, 1, second FROM s WHERE d = 2")
+def _(t):
+    from ..operators.replay import curriculum
+
+    rows = t.qa.select("doc_id", "question", F.get(F.split("prediction", " "), 0).alias("bridge"), (F.col("doc_id") % 2 + 1).alias("depth"))
+    return curriculum(rows, "doc_id", "question", "bridge", "depth")
+
+
+_REASONS = "CASE WHEN doc_id % 7 = 0 THEN 'web_error' WHEN length(prediction) < 40 THEN 'short_answer' WHEN prediction = golds[2] THEN 'answer_leak' WHEN doc_id % 5 = 0 THEN 'duplicate_query' END"
+
+
+@query("b12_b13_reject_reasons", f"SELECT doc_id, {_REASONS} AS reason FROM qa")
+def _(t):
+    from ..operators.replay import reject_reason
+
+    rules = ((F.col("doc_id") % 7 == 0, "web_error"), (F.length("prediction") < 40, "short_answer"), (F.col("prediction") == F.get("golds", 1), "answer_leak"), (F.col("doc_id") % 5 == 0, "duplicate_query"))
+    return t.qa.select("doc_id", reject_reason(*rules).alias("reason"))
+
+
+@query("m09_rescored_gate")
+def _(t):
+    from .registry import QUERIES
+
+    rows = QUERIES["x28_x30_x31_rationale_quality"](t.spark, t.sf_dir)
+    return rows.groupBy("score").agg(F.count("*").alias("n"), F.avg(F.col("accepted").cast("int")).alias("accepted"))
+
+
+@query("st06_phase_replay", "SELECT conv_id, CAST(least(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END), 2) AS INT) AS searches, false AS finished FROM conversations GROUP BY 1")
+def _(t):
+    from ..operators.replay import phases
+
+    chunk = F.when(F.col("role") == "user", F.concat(F.lit("<search>"), F.col("turn").cast("string"), F.lit("</search>"))).otherwise("<think>x</think>")
+    rows = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", chunk.alias("c")))).alias("d"))
+    state = phases(F.transform("d", lambda x: x["c"]), 2)
+    return rows.select("conv_id", state.alias("s")).select("conv_id", "s.searches", "s.finished")

@@ -268,7 +268,7 @@ def _(t):
 
 
 _GLUE = "the and of to in is was for on with that this by as at from it be are".split()
-_CT = lambda x: f"list_filter(list_distinct(list_transform(regexp_extract_all({x}, '[A-Za-z][A-Za-z''-]*'), lambda w: lower(w))), lambda w: w NOT IN {q.words(_GLUE)})"
+_CT = lambda x: f"list_filter(list_distinct(list_transform(regexp_extract_all({x}, '[A-Za-z][A-Za-z0-9''-]{{2,}}|[0-9]{{3,4}}'), lambda w: lower(w))), lambda w: w NOT IN {q.words(_GLUE)})"
 
 
 @query(
@@ -450,3 +450,46 @@ def _(t):
 def _(t):
     table = F.create_map(*map(F.lit, ("user", "human", "assistant", "gpt")))
     return t.conversations.select("conv_id", "turn", F.coalesce(F.element_at(table, F.col("role")), F.lit("observation")).alias("role"))
+
+
+_EVIDENCE = lambda: F.array(F.get("golds", 1), F.get("golds", 0))
+
+
+@query("x24_gold_coercion", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN golds WHEN 1 THEN [prediction] WHEN 2 THEN [golds[1]] ELSE [] END AS golds FROM qa")
+def _(t):
+    from ..operators.replay import coerce_golds
+
+    k = F.col("doc_id") % 4
+    return t.qa.select("doc_id", coerce_golds(F.when(k == 0, F.col("golds")), F.when(k == 1, F.array("prediction")), F.when(k == 2, F.get("golds", 0))).alias("golds"))
+
+
+@query("x26_x27_folded_names")
+def _(t):
+    from ..operators.rationale import fold_names
+
+    rows = t.qa.select("doc_id", F.get(F.split("prediction", " "), 0).alias("name"), "body")
+    return fold_names(rows, "doc_id", "name", "body")
+
+
+@query("x28_x30_x31_rationale_quality")
+def _(t):
+    from ..operators.rationale import score_rationales
+
+    raw = F.when(F.col("doc_id") % 5 == 0, "no json").otherwise(F.to_json(F.struct(F.concat("prediction", F.lit(". Therefore "), F.get("golds", 1)).alias("reasoning"))))
+    rows = t.qa.select("doc_id", raw.alias("raw"), F.get("golds", 1).alias("answer"), "question", _EVIDENCE().alias("evidence"))
+    return score_rationales(rows, "doc_id", "raw", "answer", "question", "evidence")
+
+
+@query("x39_token_truncation", "WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(x * 20) AS INT)) AS ids FROM embeddings), e AS (SELECT vec_id, ids, (SELECT min(i) FROM range(1, 64) r(i) WHERE ids[i] = 1 AND ids[i + 1] = 1) AS pos FROM s) SELECT vec_id, ids[1:least(40, coalesce(pos + 1, 64))] AS ids FROM e")
+def _(t):
+    from ..operators.replay import truncate_tokens
+
+    ids = F.transform("embedding", lambda x: F.floor(x.cast("float") * 20).cast("int"))
+    return t.embeddings.select("vec_id", ids.alias("ids")).select("vec_id", truncate_tokens(F.col("ids"), [[1, 1]], 40).alias("ids"))
+
+
+@query("x43_document_digest", """SELECT doc_id, sha256('[{"id":' || doc_id || ',"lang":"' || lang || '"}]') AS digest FROM documents""")
+def _(t):
+    from ..operators.replay import canonical_digest
+
+    return t.documents.select("doc_id", canonical_digest(F.array(F.struct(F.col("doc_id").alias("id"), "lang"))).alias("digest"))
