@@ -16,10 +16,36 @@ def ratio(a: Column, b: Column) -> Column:
     return F.sum(a) / F.greatest(F.lit(1), F.sum(b))
 
 
-def nearest_rank(c: str, q: float) -> Column:
-    """Percentile by sorted[round((n - 1) * q)], rounding half to even."""
-    values = F.sort_array(F.collect_list(c))
-    return F.get(values, F.bround((F.size(values) - 1) * F.lit(q)).cast("int"))
+def nearest_ranks(df: DataFrame, group: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Percentiles by sorted[round((n - 1) * q)], rounding half to even: ``group`` and a column for each name.
+
+    Counts by value are summed in order, so that no task holds a group's rows.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(group)
+    counts = counts.withColumn("upto", F.sum("n").over(w.orderBy(value))).withColumn("total", F.sum("n").over(w))
+    at = {k: F.min(F.when(F.col("upto") > F.bround((F.col("total") - 1) * F.lit(q)), F.col(value))).alias(k) for k, q in quantiles.items()}
+    return counts.groupBy(group).agg(*at.values())
+
+
+def placed(df: DataFrame, score: str, order: list, descending: bool = False) -> DataFrame:
+    """``place`` (from 0) of each row by score, then by ``order``.
+
+    Counts by score are summed and joined back; only rows of one score are
+    sorted together, never all rows in one task.
+    """
+    counts = df.groupBy(score).agg(F.count("*").alias("n"))
+    w = Window.orderBy(F.desc(score) if descending else F.asc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(score, F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy(score).orderBy(*order)) - 1
+    return df.join(offsets, score).withColumn("place", F.col("offset") + inside).drop("offset")
+
+
+def cumulative_precision(df: DataFrame, label: str, score: str, id_col: str) -> DataFrame:
+    """``id_col`` and ``precision`` at each row of label 1, by descending score, label 0 first among ties."""
+    rows = placed(df, score, [label, id_col], descending=True)
+    hits = placed(df.filter(F.col(label) == 1), score, [id_col], descending=True).select(id_col, F.col("place").alias("hit"))
+    return rows.filter(F.col(label) == 1).join(hits, id_col).select(id_col, ((F.col("hit") + 1) / (F.col("place") + 1)).alias("precision"))
 
 
 def midranks(df: DataFrame, score: str) -> DataFrame:

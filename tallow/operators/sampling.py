@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .audits import placed
+
 
 def hash_key(id_: Column, prefix: str = "42:") -> Column:
     return F.sha2(F.concat(F.lit(prefix), id_.cast("string")), 256)
@@ -61,9 +63,8 @@ def balanced(df: DataFrame, label: str, id_col: str, prefix: str = "42:") -> Dat
 
 def tertiles(df: DataFrame, score: str, id_col: str) -> DataFrame:
     """Bands cut at n // 3 and 2n // 3 by ascending score and id."""
-    at = F.row_number().over(Window.orderBy(score, id_col)) - 1
     total = df.agg(F.count("*").alias("total"))
-    rows = df.withColumn("at", at).crossJoin(F.broadcast(total))  # total is one row
+    rows = placed(df, score, [id_col]).withColumnRenamed("place", "at").crossJoin(F.broadcast(total))  # total is one row
     band = F.when(F.col("at") < F.floor(F.col("total") / 3), "genuine_hard").when(F.col("at") < F.floor(2 * F.col("total") / 3), "medium").otherwise("near_solved")
     return rows.withColumn("band", band).drop("at", "total")
 

@@ -191,14 +191,12 @@ def _(t):
 
 @query("a09_auprc", "WITH r AS (SELECT label, row_number() OVER w AS rn, sum(label) OVER w AS hits FROM scores WINDOW w AS (ORDER BY score DESC, label, doc_id ROWS UNBOUNDED PRECEDING)) SELECT round(avg(hits / rn::DOUBLE), 9) AS auprc FROM r WHERE label = 1")
 def _(t):
-    w = Window.orderBy(F.desc("score"), "label", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = t.scores.withColumn("p", F.sum("label").over(w) / F.count("*").over(w)).filter("label = 1")
-    return rows.agg(F.round(F.avg("p"), 9).alias("auprc"))
+    return audits.cumulative_precision(t.scores, "label", "score", "doc_id").agg(F.round(F.avg("precision"), 9).alias("auprc"))
 
 
 @query("a10_nearest_rank", "SELECT event_type, list_sort(list(value))[CAST(round_even((count(*) - 1) * 0.5::DOUBLE, 0) AS INT) + 1] AS p50, list_sort(list(value))[CAST(round_even((count(*) - 1) * 0.95::DOUBLE, 0) AS INT) + 1] AS p95 FROM events GROUP BY 1")
 def _(t):
-    return t.events.groupBy("event_type").agg(audits.nearest_rank("value", 0.5).alias("p50"), audits.nearest_rank("value", 0.95).alias("p95"))
+    return audits.nearest_ranks(t.events, "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("a11_linear_quantile", "SELECT event_type, round(quantile_cont(value, 0.25), 9) AS q25, round(quantile_cont(value, 0.9), 9) AS q90 FROM events GROUP BY 1")
@@ -314,7 +312,8 @@ def _(t):
 
 @query("a26_latency_summary", "SELECT event_type, round(avg(value), 6) AS mean, list_sort(list(value))[CAST(round_even((count(*) - 1) * 0.5::DOUBLE, 0) AS INT) + 1] AS p50, list_sort(list(value))[CAST(round_even((count(*) - 1) * 0.95::DOUBLE, 0) AS INT) + 1] AS p95, avg(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) AS ok FROM events GROUP BY 1")
 def _(t):
-    return t.events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), audits.nearest_rank("value", 0.5).alias("p50"), audits.nearest_rank("value", 0.95).alias("p95"), audits.share(F.col("event_id") % 3 == 0).alias("ok"))
+    means = t.events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), audits.share(F.col("event_id") % 3 == 0).alias("ok"))
+    return means.join(audits.nearest_ranks(t.events, "event_type", "value", {"p50": 0.5, "p95": 0.95}), "event_type")
 
 
 @query("a27_band_statistics", "SELECT source, count(*) AS n, min(n_chars) AS low, max(n_chars) AS high FROM documents GROUP BY 1")

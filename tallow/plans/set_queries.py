@@ -303,8 +303,9 @@ def _(t):
 
 @query("w06_cumulative_precision", "WITH r AS (SELECT doc_id, label, row_number() OVER w AS rn, sum(label) OVER w AS hits FROM scores WINDOW w AS (ORDER BY score DESC, label, doc_id ROWS UNBOUNDED PRECEDING)) SELECT doc_id, hits / rn::DOUBLE AS precision FROM r WHERE label = 1")
 def _(t):
-    w = Window.orderBy(F.desc("score"), "label", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.scores.withColumn("p", F.sum("label").over(w) / F.count("*").over(w)).filter("label = 1").select("doc_id", F.col("p").alias("precision"))
+    from ..operators.audits import cumulative_precision
+
+    return cumulative_precision(t.scores, "label", "score", "doc_id")
 
 
 @query("w07_capped_top_k", "WITH r AS (SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) <= 2) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 8")
