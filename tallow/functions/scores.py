@@ -79,3 +79,9 @@ def evidence_reward(p: Column, g: Column) -> Column:
     """Set F1, but 0 where either side is empty."""
     empty = (F.size(p) == 0) | (F.size(g) == 0)
     return F.when(empty, 0.0).otherwise(prf(F.size(F.array_intersect(p, g)), F.size(p), F.size(g))["f1"])
+
+
+def weights_of(spark, prefix: str = "tallow.reward.", defaults=(1.0, 0.5, 0.1, 0.0, 0.0)) -> tuple[float, ...]:
+    """Reward weights from the session's settings (answer, evidence, format, search, duplicate), else the defaults."""
+    names = ("answer", "evidence", "format", "search", "duplicate")
+    return tuple(float(spark.conf.get(prefix + n, str(d))) for n, d in zip(names, defaults, strict=True))

@@ -75,3 +75,8 @@ def reject_reason(*rules: tuple[Column, str]) -> Column:
     for condition, name in reversed(rules):
         out = F.when(condition, name).otherwise(out)
     return out
+
+
+def rollout(samples: DataFrame, generate, retrieve) -> DataFrame:
+    """One round with injected strategies, tables in and tables out: generate(samples) adds queries, retrieve(queries) documents."""
+    return retrieve(generate(samples))

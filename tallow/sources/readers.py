@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,3 +151,40 @@ def visible_text(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "text"])
 
     return pages.select(F.col(id_col).alias("id"), html_col).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; in a local one only where none is set and Spark is local."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        named = "file://" + tempfile.mkdtemp(prefix="tallow-")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def merged(spark: SparkSession, paths: list[str], schema: str, key: list[str]) -> DataFrame:
+    """Shards by several paths or globs, each path once, each key once."""
+    rows = spark.read.schema(schema).json(sorted(set(paths)))
+    return rows.dropDuplicates(key)
+
+
+def guarded(write, path: str) -> bool:
+    """Whether a write took place: false if the path holds data already."""
+    try:
+        write(path)
+    except AnalysisException as e:
+        if "EXISTS" not in (e.getCondition() or "").upper():
+            raise
+        return False
+    return True
+
+
+#: Readers of stored responses by a provider's name.
+PROVIDERS = {"snippets": snippet_documents, "page": visible_text}
+
+
+def documents_of(provider: str, responses: DataFrame, id_col: str, body: str) -> DataFrame:
+    if provider not in PROVIDERS:
+        raise ValueError(f"unknown provider {provider}; known are {sorted(PROVIDERS)}")
+    return PROVIDERS[provider](responses, id_col, body)
