@@ -8,20 +8,35 @@ from pyspark.sql import functions as F
 from .text import expand_ordinals, normalize_answer
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once a row: inside a lambda it is a variable, not an expression to repeat."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), 0)
+
+
 def tokens(normalized: Column) -> Column:
     return F.filter(F.split(normalized, " "), lambda t: t != "")
 
 
+def answer_tokens(c: Column) -> Column:
+    return tokens(normalize_answer(c))
+
+
 def overlap(p: Column, g: Column) -> Column:
     """Size of the multiset intersection of two token arrays."""
     times = lambda a, x: F.size(F.filter(a, lambda y: y == x))
     return F.aggregate(F.array_distinct(p), F.lit(0), lambda n, x: n + F.least(times(p, x), times(g, x)))
 
 
+def bag_prf(p: Column, g: Column) -> Column:
+    """Struct (f1, precision, recall) of two token arrays, which should be variables or columns."""
+    counts = F.struct(overlap(p, g).alias("n"), F.size(p).alias("p"), F.size(g).alias("g"))
+    return let(counts, lambda c: prf(c["n"], c["p"], c["g"]))
+
+
 def token_prf(prediction: Column, gold: Column) -> Column:
     """Struct (f1, precision, recall) of two texts; two empty ones give 1."""
-    p, g = tokens(normalize_answer(prediction)), tokens(normalize_answer(gold))
-    return prf(overlap(p, g), F.size(p), F.size(g))
+    both = F.struct(answer_tokens(prediction).alias("p"), answer_tokens(gold).alias("g"))
+    return let(both, lambda s: bag_prf(s["p"], s["g"]))
 
 
 def prf(common: Column, n_p: Column, n_g: Column) -> Column:
@@ -35,14 +50,19 @@ def prf(common: Column, n_p: Column, n_g: Column) -> Column:
 
 def best_prf(prediction: Column, golds: Column) -> Column:
     """The first gold's scores with the largest F1; zeros without golds."""
-    scored = F.transform(golds, lambda g, i: F.struct(token_prf(prediction, g).alias("s"), (-i).alias("i")))
-    ranked = F.array_max(F.transform(scored, lambda x: F.struct(x["s"]["f1"].alias("f1"), x["i"].alias("i"), x["s"]["precision"].alias("precision"), x["s"]["recall"].alias("recall"))))
+    bags = F.struct(answer_tokens(prediction).alias("p"), F.transform(golds, lambda g: answer_tokens(g)).alias("gs"))
+
+    def best(s: Column) -> Column:
+        scored = F.transform(s["gs"], lambda g, i: F.struct(bag_prf(s["p"], g).alias("s"), i.alias("i")))
+        ranked = F.array_max(F.transform(scored, lambda x: F.struct(x["s"]["f1"].alias("f1"), (-x["i"]).alias("i"), x["s"].alias("s"))))
+        return ranked["s"]
+
     zero = F.struct(*[F.lit(0.0).alias(n) for n in ("f1", "precision", "recall")])
-    return F.when(F.size(golds) == 0, zero).otherwise(F.struct(ranked["f1"].alias("f1"), ranked["precision"].alias("precision"), ranked["recall"].alias("recall")))
+    return F.coalesce(let(bags, best), zero)
 
 
 def exact_match(prediction: Column, golds: Column) -> Column:
-    return F.exists(golds, lambda g: normalize_answer(g) == normalize_answer(prediction)).cast("double")
+    return let(normalize_answer(prediction), lambda p: F.exists(golds, lambda g: normalize_answer(g) == p)).cast("double")
 
 
 def set_prf(p: Column, g: Column, digits: int = 4) -> Column:
@@ -64,10 +84,16 @@ def joint(a: Column, b: Column) -> Column:
 
 def acceptance_f1(prediction: Column, golds: Column) -> Column:
     """Best F1 with ordinals spelled out; 1 for one or two tokens that are a subset of a gold's."""
-    wide, all_ = expand_ordinals(prediction), F.transform(golds, expand_ordinals)
-    p = tokens(normalize_answer(wide))
-    subset = F.exists(all_, lambda g: F.size(F.array_except(p, tokens(normalize_answer(g)))) == 0)
-    return F.when(F.size(p).between(1, 2) & subset, 1.0).otherwise(best_prf(wide, all_)["f1"])
+    bags = F.struct(
+        answer_tokens(expand_ordinals(prediction)).alias("p"), F.transform(golds, lambda g: answer_tokens(expand_ordinals(g))).alias("gs")
+    )
+
+    def accept(s: Column) -> Column:
+        subset = lambda g: F.size(s["p"]).between(1, 2) & (F.size(F.array_except(s["p"], g)) == 0)
+        each = F.transform(s["gs"], lambda g: F.when(subset(g), 1.0).otherwise(bag_prf(s["p"], g)["f1"]))
+        return F.coalesce(F.array_max(each), F.lit(0.0))
+
+    return let(bags, accept)
 
 
 def reward(em: Column, evidence: Column, fmt: Column, searches: Column, repeats: Column, weights=(1.0, 0.5, 0.1, 0.0, 0.0)) -> Column:

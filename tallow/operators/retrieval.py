@@ -16,9 +16,12 @@ def bm25(candidates: DataFrame, queries: DataFrame, group: str, candidate: str,
     counts each time.  Terms are counted once a candidate and shuffled by
     group and term; texts never are.
     """
-    counted = candidates.select(group, candidate, F.size(terms).alias("dl"), F.explode(terms).alias("term"))
-    tf = counted.groupBy(group, candidate, "dl", "term").agg(F.count("*").alias("tf"))
-    stats = candidates.groupBy(group).agg(F.count("*").alias("n"), F.avg(F.size(terms)).alias("avgdl"))
+    counted = candidates.select(group, candidate, F.size(terms).alias("dl"), F.explode_outer(terms).alias("term"))
+    # all statistics derive from term counts of candidates, not from texts
+    all_ = counted.groupBy(group, candidate, "dl", "term").agg(F.count("term").alias("tf"))
+    each = all_.groupBy(group, candidate).agg(F.max("dl").alias("dl"))
+    stats = each.groupBy(group).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = all_.filter("term is not null")
     df = tf.groupBy(group, "term").agg(F.count("*").alias("df"))
     asked = queries.select(group, F.explode(terms).alias("term")).groupBy(group, "term").agg(F.count("*").alias("qf"))
     rated = asked.join(df, [group, "term"]).join(stats, group)
@@ -27,7 +30,7 @@ def bm25(candidates: DataFrame, queries: DataFrame, group: str, candidate: str,
     length = 1 - b + b * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl"))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
     hits = tf.join(rated, [group, "term"]).groupBy(group, candidate).agg(F.sum(part).alias("score"))
-    return candidates.select(group, candidate).join(hits, [group, candidate], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return each.select(group, candidate).join(hits, [group, candidate], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def top(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
