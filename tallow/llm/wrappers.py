@@ -241,14 +241,21 @@ def main_text(page: str, path: list[str]) -> str:
     return out or text_of(located(root, region(skeleton(root))))
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One expression for each host of a batch's pages."""
+def _partial(batches: Iterator[pa.RecordBatch], most: int = 5000) -> Iterator[pa.RecordBatch]:
+    """One expression for each host of a partition's pages; handed on when there are ``most`` hosts."""
+    own: dict[str, list] = {}
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(map(json.dumps, own.values()), pa.string())], ["host", "wrapper"])
+
     for batch in batches:
-        own: dict[str, list] = {}
         for host, page in zip(batch.column(0), batch.column(1), strict=True):
             host, s = host.as_py(), skeleton(tree(page.as_py() or ""))
             own[host] = aligned(own[host], s) if host in own else s
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(map(json.dumps, own.values()), pa.string())], ["host", "wrapper"])
+        if len(own) >= most:
+            yield done()
+            own.clear()
+    yield done()
 
 
 def _merged(group: pa.Table) -> pa.Table:
@@ -261,9 +268,9 @@ def _merged(group: pa.Table) -> pa.Table:
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``host`` and ``wrapper`` (JSON of the expression), from all pages.
 
-    Each batch of pages gives one expression a host, so what meets in a
-    host's task is an expression for each batch that has the host; 64 groups
-    a host merge first.
+    Each partition of pages gives one expression a host, so what meets in a
+    host's task is an expression for each partition that has the host; 64
+    groups a host merge first.
     """
     rows = pages.select(host_of(F.coalesce(F.col(url_col), F.lit(""))).alias("host"), F.col(html_col).alias("html"))
     first = rows.mapInArrow(_partial, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(64)))
