@@ -107,3 +107,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.select("id", "sentence_ids", licenses.alias("licenses"))
     free = F.when(F.size("licenses") == 0, F.lit(None).cast("boolean")).otherwise(~F.arrays_overlap("licenses", F.array(*map(F.lit, bound))))
     return rows.select(F.col("id").alias(id_col), "sentence_ids", "licenses", F.size("licenses").cast("long").alias("n_licenses"), free.alias("commercial"))
+
+
+def scan_sql() -> str:
+    """DuckDB SQL for the rows of op3_license_scan: the same steps over the same fixed values."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    space = r"[ \t\n\x0B\f\r]+"
+    cut = f"string_split_regex(regexp_replace(coalesce(text, ''), '([.!?]){space}', '\\1' || chr(10), 'g'), '[\\r\\n]+')"
+    flat = r"regexp_replace(lower(s), '[ \t\n\x0B\f\r\x{A0}]+', ' ', 'g')"
+    clean = rf"""regexp_replace({flat}, '^[ *#/;:>"''-]+|[ .;:!?*"''-]+$', '', 'g')"""
+    named = "CASE " + " ".join(f"WHEN regexp_full_match(s, {quote(p)}) THEN '{i}'" for i, p in SENTENCES) + " END"
+    steps, line = [], "line0"
+    for k, (_, _, items) in enumerate(RULES):
+        pattern = quote("".join(f";{i};(?:;(?:COPYRIGHT|RESERVED);)*?" for i in items[:-1]) + f";{items[-1]};")
+        steps.append(f"r{k + 1} AS (SELECT *, regexp_matches({line}, {pattern}) AS m{k}, regexp_replace({line}, {pattern}, ';-;', 'g') AS line{k + 1} FROM r{k})")
+        line = f"line{k + 1}"
+    hits = ", ".join(f"CASE WHEN m{k} THEN '{name}' END" for k, (name, _, _) in enumerate(RULES))
+    bound = ", ".join(quote(name) for name in sorted({name for name, free, _ in RULES if not free}))
+    return f"""
+WITH parts AS (
+  SELECT doc_id, list_transform(list_filter({cut}, lambda s: regexp_matches(s, {quote(_HINT)})), lambda s: {clean}) AS parts FROM documents
+), named AS (
+  SELECT doc_id, list_filter(list_transform(parts, lambda s: {named}), lambda x: x IS NOT NULL) AS ids FROM parts
+), r0 AS (
+  SELECT doc_id, ids, ';' || array_to_string(ids, ';;') || ';' AS line0 FROM named
+), {", ".join(steps)}, found AS (
+  SELECT doc_id, ids, list_sort(list_distinct(list_filter([{hits}], lambda x: x IS NOT NULL))) AS licenses FROM r{len(RULES)}
+)
+SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, array_to_string(licenses, ',') AS licenses, CAST(len(licenses) AS BIGINT) AS n_licenses,
+  CASE WHEN len(licenses) > 0 THEN NOT list_has_any(licenses, [{bound}]) END AS commercial
+FROM found"""

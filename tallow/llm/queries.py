@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, knn, licenses, mixing, near_dedup, pii, toxicity, urls, wrappers
 
@@ -24,8 +25,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences of all documents."""
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    """Licences of all documents; the sequences are joined by commas."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("sentence_ids", "licenses")})
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_license_scan": licenses.scan_sql(),
     "op5_source_mix": mixing.SQL,
     "op6_top_k": knn.SQL,
     "op1_near_dedup": r"""

@@ -1,6 +1,7 @@
+import duckdb
 import numpy as np
 
-from tallow.llm import licenses, urls
+from tallow.llm import licenses, queries, urls
 
 
 def test_license_scan(spark, table):
@@ -30,6 +31,27 @@ def test_license_scan(spark, table):
     assert licenses.scan(table([])).collect() == []
 
 
+def test_license_scan_matches_sql(spark, table, tmp_path):
+    made = [
+        (1, "A. Licensed  under the Apache License, Version 2.0!  Licensed under CC BY-NC 4.0."),
+        (2, None),
+        (3, ""),
+        (4, "Copyright 2020 X.\r\nAll rights reserved.\n\n* Released under the MIT License.\u00a0"),
+        (5, "Redistribution and use in source and binary forms, with or without modification, are permitted.\nCopyright Y\nNeither the name of Y may be used to endorse or promote products"),
+        (6, "Redistribution and use in source and binary forms, with or without modification, are permitted.\nx\tlicense"),
+        (7, "# Dedicated to the public domain;\v\"MIT License\".\u00a9 2021"),
+        (7, "# Dedicated to the public domain;\v\"MIT License\".\u00a9 2021"),
+    ]
+    table(made).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder, name in ((tmp_path, "documents.parquet/*.parquet"), ("/root/testdata/sf0.01", "documents.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/{name}'")
+        want = con.execute(queries.ORACLES["op3_license_scan"])
+        columns = [d[0] for d in want.description]
+        got = queries.op3_license_scan(spark, str(folder)).select(columns).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
 def parts(url):
     at = (url or "").find("://")
     if at < 0:
