@@ -1,5 +1,7 @@
 """Every registered query against its DuckDB statement, on the smallest tables."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import duckdb
 import pytest
 
@@ -18,6 +20,20 @@ def duck():
     return connection
 
 
+@pytest.fixture(scope="module")
+def answers(spark, request):
+    """A future of (types, rows) for each query that this run tests; planning of small queries takes most of the time, so they overlap."""
+
+    def answer(name):
+        got = plans.QUERIES[name](spark, DATA)
+        return got.dtypes, got.collect()
+
+    chosen = [i.callspec.params["name"] for i in request.session.items if i.path == request.path]
+    pool = ThreadPoolExecutor(6)
+    yield {name: pool.submit(answer, name) for name in chosen}
+    pool.shutdown(cancel_futures=True)
+
+
 def plain(value):
     if isinstance(value, (list, tuple)):
         return tuple(plain(v) for v in value)
@@ -29,10 +45,10 @@ def plain(value):
 
 
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
-def test_query(spark, duck, name):
-    got = plans.QUERIES[name](spark, DATA)
-    columns = sorted(got.columns)
-    rows = sorted(tuple(plain(r[c]) for c in columns) for r in got.collect())
+def test_query(answers, duck, name):
+    dtypes, got = answers[name].result()
+    columns = sorted(c for c, _ in dtypes)
+    rows = sorted(tuple(plain(r[c]) for c in columns) for r in got)
     if name not in plans.ORACLES:
         assert rows
         return
@@ -40,6 +56,6 @@ def test_query(spark, duck, name):
     names = [d[0] for d in answer.description]
     assert sorted(names) == columns
     kinds = {d[0]: str(d[1]) for d in answer.description}
-    assert {c: TYPES[k] for c, k in got.dtypes if k in TYPES} == {c: kinds[c] for c, k in got.dtypes if k in TYPES}
+    assert {c: TYPES[k] for c, k in dtypes if k in TYPES} == {c: kinds[c] for c, k in dtypes if k in TYPES}
     want = sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in answer.fetchall())
     assert rows == want
