@@ -1,3 +1,7 @@
+import collections
+import math
+import random
+
 import duckdb
 import numpy as np
 
@@ -95,3 +99,32 @@ def test_scores_are_length_normalised_means():
     tables = np.zeros((2, 2, urls.ORDERS * urls.SLOTS))
     assert np.allclose(urls.scores(["abc", "", "x" * 1000], tables), 0)
     assert urls.threshold({(10, "allow"): 5}) == 0.0
+
+
+def test_models_are_exact_however_many_urls(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789-") for _ in range(12))
+    given = [f"http://{'x.com' if k % 2 else 'y.net/es'}/{word()}" for k in range(4000)] + [f"http://z.org/{word()}" for _ in range(50)] + ["http://é.org/\x02\x03", None]
+    got = urls.judge(spark.createDataFrame(list(enumerate(given)), "page_id long, url string").repartition(3)).collect()
+    held = {r[0] for r in spark.createDataFrame([(h + p,) for h, p in map(parts, given)], "t string").distinct().filter("pmod(xxhash64(t), 4) = 0").collect()}
+    counts = [collections.Counter(), collections.Counter()]
+    symbols = lambda t: [256] * (urls.ORDERS - 1) + list(t.encode()) + [257]
+    for url in given:
+        host, path = parts(url)
+        rule = rule_of(host, path)
+        x = symbols(host + path)
+        if rule and host + path not in held:
+            for k in range(urls.ORDERS - 1, len(x)):
+                for o in range(urls.ORDERS):
+                    counts[rule[2] == "block"][tuple(x[k - o : k + 1])] += 1
+                    counts[rule[2] == "block"]["before", tuple(x[k - o : k])] += 1
+    assert len({g for c in counts for g in c if len(g) == 5}) > urls.SLOTS
+    for r in got:
+        x, total = symbols("".join(parts(given[r.page_id]))), 0
+        for k in range(urls.ORDERS - 1, len(x)):
+            p = [1 / 256, 1 / 256]
+            for o in range(urls.ORDERS):
+                p = [(c[tuple(x[k - o : k + 1])] + urls.STRENGTH * q) / (c["before", tuple(x[k - o : k])] + urls.STRENGTH) for c, q in zip(counts, p, strict=True)]
+            total += math.log(p[0]) - math.log(p[1])
+        assert abs(r.score - total / (len(x) - urls.ORDERS + 1)) < 1e-9
+    assert len(got) == len(given)
