@@ -15,7 +15,8 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,7 +47,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))", re.I)
 #: An element that opens closes these, if one is open within the nearest block that may hold it.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_DEEP = 100
+_HOLDS = ("ul", "ol", "dl", "table", "tbody", "thead", "select")
 
 
 class Element:
@@ -60,6 +61,19 @@ def tree(page: str) -> Element:
     """A tolerant parse: children are elements and texts, which are still escaped."""
     root = Element("", "", False)
     stack, at = [root], 0
+    #: Where in the stack the open elements of a tag are, and the open blocks.
+    places: dict[str, list[int]] = {}
+    blocks = [0]
+
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else 0
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in BLOCK:
+                blocks.pop()
 
     def text(piece: str) -> None:
         if piece:
@@ -80,36 +94,30 @@ def tree(page: str) -> Element:
             continue
         tag, rest = name.lower(), m[4] or m[7] or ""
         if m[2] or m[5]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if tag not in BLOCK and any(e.tag in BLOCK for e in stack[k + 1 :]):
-                        break  # an inline end tag doesn't close blocks
-                    del stack[k:]
-                    break
+            k = last(tag)
+            if k and (tag in BLOCK or blocks[-1] < k):  # an inline end tag doesn't close blocks
+                close(k)
             continue
         if tag in RAW:
             if not rest.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*+>", re.I).search(page, at)
                 at = end.end() if end else size
             continue
-        if tag in BLOCK and any(e.tag == "p" for e in stack):
-            k = max(k for k, e in enumerate(stack) if e.tag == "p")
-            if not any(e.tag in BLOCK for e in stack[k + 1 :]):
-                del stack[k:]
+        if tag in BLOCK and last("p") and blocks[-1] == last("p"):
+            close(last("p"))
         for old in _CLOSES.get(tag, ()):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == old:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("ul", "ol", "dl", "table", "tbody", "thead", "select"):
-                    break
+            if last(old) > max(map(last, _HOLDS)):
+                close(last(old))
         marks = {a.lower(): (x or y or z) for a, x, y, z in _ATTRIBUTE.findall(rest)} if rest else {}
         shown = " ".join(v for v in marks.values() if v)
-        inside = any(e.tag in ("article", "main") for e in stack)
+        inside = last("article") or last("main")
         outside = tag in OUTSIDE or (tag == "header" and not inside) or bool(shown and tag not in ("html", "body", "article", "main") and _MARKS.search(shown))
         own = Element(tag, f"{tag}.{marks['class'].split()[0]}" if marks.get("class", "").split() else tag, outside)
         stack[-1].children.append(own)
-        if tag not in VOID and not rest.endswith("/") and len(stack) < _DEEP:
+        if tag not in VOID and not rest.endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
             stack.append(own)
     return root
 
@@ -117,22 +125,46 @@ def tree(page: str) -> Element:
 # A skeleton node is [label, flags, characters, children]; flags: 1 optional, 2 repeated, 4 outside of the main text.
 
 
+# Pages may nest to any depth, so nothing here recurses.
+
+
 def skeleton(element: Element) -> list:
-    chars, children = 0, []
-    for c in element.children:
-        if isinstance(c, str):
-            chars += len(c.strip())
-        elif c.tag not in VOID:
-            children.append(skeleton(c))
-    return [element.label, 4 * element.outside, chars, folded(children)]
+    order = [element]
+    for e in order:
+        order.extend(c for c in e.children if not isinstance(c, str) and c.tag not in VOID)
+    made: dict[int, list] = {}
+    for e in reversed(order):
+        children = [made.pop(id(c)) for c in e.children if not isinstance(c, str) and c.tag not in VOID]
+        made[id(e)] = [e.label, 4 * e.outside, sum(len(c.strip()) for c in e.children if isinstance(c, str)), folded(children)]
+    return made[id(element)]
+
+
+def _run(steps: Generator) -> list:
+    """What a generator returns that yields the pairs it needs aligned."""
+    stack, value = [steps], None
+    while stack:
+        try:
+            pair = stack[-1].send(value)
+            stack.append(_aligned(*pair))
+            value = None
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+    return value
 
 
 def folded(children: list[list]) -> list[list]:
     """Neighbours of one label become one repeated child."""
+    if all(c[0] != d[0] for c, d in pairwise(children)):
+        return children
+    return _run(_folded(children))
+
+
+def _folded(children: list[list]) -> Generator:
     out: list[list] = []
     for c in children:
         if out and out[-1][0] == c[0]:
-            out[-1] = aligned(out[-1], c)
+            out[-1] = yield out[-1], c
             out[-1][1] |= 2
         else:
             out.append(c)
@@ -141,9 +173,15 @@ def folded(children: list[list]) -> list[list]:
 
 def aligned(a: list, b: list) -> list:
     """The expression that covers two of one label: children that match in order stay, others become optional."""
+    return _run(_aligned(a, b))
+
+
+def _aligned(a: list, b: list) -> Generator:
     x, y = a[3], b[3]
+    children = []
     if [c[0] for c in x] == [c[0] for c in y]:
-        children = [aligned(c, d) for c, d in zip(x, y, strict=True)]
+        for c, d in zip(x, y, strict=True):
+            children.append((yield c, d))
     else:
         n, m = len(x), len(y)
         best = [[0] * (m + 1) for _ in range(n + 1)]
@@ -151,10 +189,9 @@ def aligned(a: list, b: list) -> list:
             for j in range(m - 1, -1, -1):
                 best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
         i = j = 0
-        children = []
         while i < n or j < m:
             if i < n and j < m and x[i][0] == y[j][0]:
-                children.append(aligned(x[i], y[j]))
+                children.append((yield x[i], y[j]))
                 i, j = i + 1, j + 1
             elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
                 children.append([x[i][0], x[i][1] | 1, *x[i][2:]])
@@ -162,35 +199,57 @@ def aligned(a: list, b: list) -> list:
             else:
                 children.append([y[j][0], y[j][1] | 1, *y[j][2:]])
                 j += 1
-        children = folded(children)
+        children = yield from _folded(children)
     return [a[0], (a[1] | b[1]) & 3 | a[1] & b[1] & 4, a[2] + b[2], children]
 
 
-def region(wrapper: list) -> list[str]:
-    """Labels from the root down to the main region of a wrapper."""
-    best: tuple[int, list[str]] = (-1, [])
+def packed(node: list) -> str:
+    """JSON of a skeleton: the nodes in order, each with the number of its children instead of them."""
+    out, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        out.append([*n[:3], len(n[3])])
+        todo.extend(reversed(n[3]))
+    return json.dumps(out)
 
-    def mass(node: list) -> int:
-        return 0 if node[1] & 4 else node[2] + sum(map(mass, node[3]))
 
-    def named(node: list, path: list[str]) -> None:
-        nonlocal best
+def unpacked(text: str) -> list:
+    nodes: list[list] = []
+    for label, flags, chars, n in reversed(json.loads(text)):
+        children = [nodes.pop() for _ in range(n)]
+        nodes.append([label, flags, chars, children])
+    return nodes[0]
+
+
+def region(wrapper: list) -> list[str]:
+    """Labels from the root down to the main region of a wrapper."""
+    order: list[tuple[list, int]] = []
+    todo = [(wrapper, -1)]
+    while todo:
+        node, parent = todo.pop()
         if node[1] & 4:
-            return
-        if node[0].split(".")[0] in ("article", "main") and mass(node) > best[0]:
-            best = (mass(node), path)
-        for c in node[3]:
-            named(c, [*path, c[0]])
-
-    named(wrapper, [])
-    if best[1]:
-        return best[1]
-    node, path = wrapper, []
+            continue
+        todo.extend((c, len(order)) for c in reversed(node[3]))
+        order.append((node, parent))
+    masses = [node[2] for node, _ in order]
+    for k in range(len(order) - 1, 0, -1):
+        masses[order[k][1]] += masses[k]
+    best = max((k for k, (node, _) in enumerate(order) if node[0].split(".")[0] in ("article", "main")), key=lambda k: (masses[k], -k), default=0)
+    path: list[str] = []
+    while best:
+        path.append(order[best][0][0])
+        best = order[best][1]
+    if path:
+        return path[::-1]
+    mass = {id(node): m for (node, _), m in zip(order, masses, strict=True)}
+    of = lambda node: mass.get(id(node), 0)
+    node = wrapper
     while True:
-        inner = max(node[3], key=mass, default=None)
-        if inner is None or inner[1] & 2 or mass(inner) < 0.6 * max(1, mass(node)) or inner[0].split(".")[0] not in BLOCK:
+        inner = max(node[3], key=of, default=None)
+        if inner is None or inner[1] & 2 or of(inner) < 0.6 * max(1, of(node)) or inner[0].split(".")[0] not in BLOCK:
             return path
-        node, path = inner, [*path, inner[0]]
+        node = inner
+        path.append(inner[0])
 
 
 def located(root: Element, path: list[str]) -> list[Element]:
@@ -212,25 +271,20 @@ def text_of(elements: list[Element]) -> str:
             blocks.append(block)
         open_.clear()
 
-    def walk(e: Element) -> None:
-        if e.outside:
-            return
-        block = e.tag in BLOCK
-        if block:
+    todo: list = [x for e in reversed(elements) for x in (None, e)]  # None ends a block
+    while todo:
+        e = todo.pop()
+        if e is None:
             end()
-        if e.tag == "br":
-            open_.append(" ")
-        for c in e.children:
-            if isinstance(c, str):
-                open_.append(c)
-            else:
-                walk(c)
-        if block:
-            end()
-
-    for e in elements:
-        walk(e)
-        end()
+        elif isinstance(e, str):
+            open_.append(e)
+        elif not e.outside:
+            if e.tag in BLOCK:
+                end()
+                todo.append(None)
+            if e.tag == "br":
+                open_.append(" ")
+            todo.extend(reversed(e.children))
     return "\n".join(blocks)
 
 
@@ -246,7 +300,7 @@ def _partial(batches: Iterator[pa.RecordBatch], most: int = 5000) -> Iterator[pa
     own: dict[str, list] = {}
 
     def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(map(json.dumps, own.values()), pa.string())], ["host", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(map(packed, own.values()), pa.string())], ["host", "wrapper"])
 
     for batch in batches:
         for host, page in zip(batch.column(0), batch.column(1), strict=True):
@@ -261,8 +315,8 @@ def _partial(batches: Iterator[pa.RecordBatch], most: int = 5000) -> Iterator[pa
 def _merged(group: pa.Table) -> pa.Table:
     total = None
     for text in sorted(group.column("wrapper").to_pylist()):
-        total = aligned(total, json.loads(text)) if total else json.loads(text)
-    return pa.table({"host": [group.column("host")[0].as_py()], "wrapper": [json.dumps(total)]}, schema=pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
+        total = aligned(total, unpacked(text)) if total else unpacked(text)
+    return pa.table({"host": [group.column("host")[0].as_py()], "wrapper": [packed(total)]}, schema=pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -289,7 +343,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _region_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths = [" ".join(region(json.loads(w))) for w in batch.column(1).to_pylist()]
+        paths = [" ".join(region(unpacked(w))) for w in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], ["host", "path"])
 
 

@@ -43,3 +43,14 @@ def test_broken_markup_and_depth():
         w.main_text(html, [])
     assert w.main_text("<p a='>'>b", []) == "b" and w.main_text(deep, []) == "x"
     assert w.main_text("<p>" + "word " * 200_000, []) == ("word " * 200_000).strip()
+
+
+def test_elements_below_any_depth_keep_their_place(spark):
+    deep = "<div>" * 3000 + "<nav>menu</nav><p>inner</p><div class='ad'>buy</div>" + "</div>" * 3000
+    html = f"<body><article><p>before</p>{deep}<p>after</p></article><p>outside</p></body>"
+    assert w.main_text(html, []) == "before\ninner\nafter"
+    rows = [(k, "http://deep.org/x", html.replace("inner", f"inner {k}")) for k in range(3)]
+    got = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"before\ninner {k}\nafter" for k in range(3)}
+    one = w.skeleton(w.tree(page(deep)))
+    assert w.packed(w.unpacked(w.packed(one))) == w.packed(one)
