@@ -30,6 +30,12 @@ SENTENCES = (
     ("RESERVED", r"all rights reserved"),
 )
 
+_GPL = r"you (?:can|may) redistribute it and/or modify it under the terms of the gnu {}general public license,?(?: as published by the free software foundation[,;:]?)? (?:either )?version {}(?![0-9]).*"
+
+#: Sentences of the usual headers, which the DuckDB statement doesn't know; the last ones begin anywhere in a line.
+HEADERS = (("APACHE2", r"licensed under (?:the )?apache license,? version 2(?:\.0)?,? \(the \"?license\"?\).*"),)
+INNER = (("GPL3", _GPL.format("", "3")), ("GPL2", _GPL.format("", "2")), ("LGPL", _GPL.format("(?:lesser|library) ", "[0-9.]+")))
+
 #: A licence, whether it is free for commercial use, and its sentences in order; the first rule that
 #: matches a stretch of the sequence takes it.
 RULES = (
@@ -53,26 +59,37 @@ _HINT = r"(?i)licen[sc]e|copyright|\(c\)|©|permission|public domain|cc0|as is|r
 
 
 def normalised(sentence: Column) -> Column:
-    """Lower case, white space as one space, marks at both ends off."""
-    flat = F.regexp_replace(F.lower(sentence), r"[\s\x{A0}]+", " ")
+    """Lower case, white space within lines as one space, marks at both ends of lines off."""
+    lines = F.regexp_replace(F.lower(sentence), r"(?<![ \t\x0B\f\x{A0}.;:!?*\"'-])[ \t\x0B\f\x{A0}.;:!?*\"'-]*+\n[\s\x{A0}*#/;:>\"'-]*+", "\n")
+    flat = F.regexp_replace(lines, r"[ \t\x0B\f\x{A0}]+", " ")
     return F.regexp_replace(flat, r"^[\s*#/;:>\"'-]+|[\s.;:!?*\"'-]+$", "")
 
 
+def _wrapped(pattern: str) -> str:
+    """A pattern whose words may be on different lines; a tail ends with its line."""
+    return pattern.removesuffix(".*").replace(".*", "(?s:.*?)").replace(" ", "[ \n]") + (".*" if pattern.endswith(".*") else "")
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of a text's known sentences, in order.
 
-    Sentences end at line ends and at . ! ? before white space.
+    Pieces end at blank lines and at . ! ? before white space.  In them, known
+    sentences begin and end with lines, over as few lines as they can.
     """
     known = F.lit(None).cast("string")
 
     def name(s: Column) -> Column:
         out = known
-        for identifier, pattern in reversed(SENTENCES):
-            out = F.when(s.rlike(f"^(?:{pattern})$"), F.lit(identifier)).otherwise(out)
+        for identifier, pattern in reversed((*SENTENCES, *HEADERS, *INNER)):
+            out = F.when(s.rlike(f"(?s)^(?:{pattern})$"), F.lit(identifier)).otherwise(out)
         return out
 
-    parts = F.filter(F.split(text, r"(?<=[.!?])\s+|[\r\n]+"), lambda s: s.rlike(_HINT))
-    return F.filter(F.transform(F.transform(parts, normalised), name), lambda x: x.isNotNull())
+    lines, inner = ("|".join(_wrapped(p) for _, p in some) for some in ((*SENTENCES, *HEADERS), INNER))
+    sentence = rf"(?dm)(?:^(?:{lines})|(?<![^\s])(?:{inner}))$"
+    plain = F.regexp_replace(text, r"\r\n?", "\n")
+    parts = F.filter(F.split(plain, r"(?<=[.!?])\s+|\n[\s*#/;:>\"'-]*\n"), lambda s: s.rlike(_HINT))
+    found = F.flatten(F.transform(F.transform(parts, normalised), lambda s: F.regexp_extract_all(s, F.lit(sentence), F.lit(0))))
+    return F.filter(F.transform(F.transform(found, lambda s: F.replace(s, F.lit("\n"), F.lit(" "))), name), lambda x: x.isNotNull())
 
 
 def matched_rules(ids: Column) -> Column:

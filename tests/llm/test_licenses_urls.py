@@ -128,3 +128,41 @@ def test_models_are_exact_however_many_urls(spark):
             total += math.log(p[0]) - math.log(p[1])
         assert abs(r.score - total / (len(x) - urls.ORDERS + 1)) < 1e-9
     assert len(got) == len(given)
+
+
+def test_wrapped_license_texts(spark, table):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+    bsd2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above notice."""
+    bsd3 = bsd2 + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at"""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+    lgpl = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+    want = [(mit, "MIT"), (bsd2, "BSD-2-Clause"), (bsd3, "BSD-3-Clause"), (apache, "Apache-2.0"), (gpl, "GPL-3.0"), (gpl.replace("version 3", "version 2"), "GPL-2.0"), (lgpl, "LGPL"), ("Licensed under the Apache\r\nLicense, Version 2.0", "Apache-2.0")]
+    rows = [(f"{lead}{t}".replace("\n", f"\n{lead}"), name) for t, name in want for lead in ("", " * ", "# ", "// ")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(table([(k, t) for k, (t, _) in enumerate(rows)])).collect()}
+    assert [got[k] for k in range(len(rows))] == [[name] for _, name in rows]
+    apart = "Licensed under the Apache\n\nLicense, Version 2.0"
+    assert licenses.scan(table([(1, apart)])).collect()[0].licenses == []
