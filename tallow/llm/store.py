@@ -3,6 +3,10 @@
 Intermediate results are cut from their lineage by writing Parquet to the
 folder that the cluster names in ``spark.checkpoint.dir``, which all executors
 share, so a lost executor costs a re-read and never a wrong or failed job.
+
+A table lives until discard() or sweep() removes it.  Loops discard a round's
+tables when the next round is written; a caller that has written an operator's
+result sweeps the rest, as corpus_pipeline.run does after each stage.
 """
 
 from __future__ import annotations
@@ -26,9 +30,43 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _written(spark: SparkSession) -> list[str]:
+    """Paths of the session's tables that are still there, in the order of writing."""
+    if not hasattr(spark, "_tallow_tables"):
+        spark._tallow_tables = []
+    return spark._tallow_tables
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallow-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written(spark).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tallow_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _written(spark).remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of materialise() that no later step reads."""
+    for table in tables:
+        _delete(table.sparkSession, table._tallow_path)
+
+
+def mark(spark: SparkSession) -> set[str]:
+    """The tables that are there now, to be given to sweep()."""
+    return set(_written(spark))
+
+
+def sweep(spark: SparkSession, keep: set[str], *tables: DataFrame) -> None:
+    """Remove the session's tables but those in ``keep`` and ``tables``; for callers that have written their result."""
+    keep = keep | {t._tallow_path for t in tables}
+    for path in [p for p in _written(spark) if p not in keep]:
+        _delete(spark, path)
