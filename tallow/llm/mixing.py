@@ -3,14 +3,19 @@
 Sizes are word counts.  The sources share a budget by weight; no source goes
 beyond ``cap`` times its own size, and what is cut off goes to the others by
 weight.  A document is emitted floor(rate) times, plus one hash-seeded
-Bernoulli copy with the fraction of the rate as its probability.
-
-The draws of a source are coupled to keep its total near the target at any
-size: documents fall by hash into groups of about ``group_rows``; in a group,
-sorted by size, the k-th gets its copy if a multiple of 1 lies in
-(u + k * f, u + (k + 1) * f], where u is the group's hash-seeded uniform
-number and f the fraction.  Each single draw is Bernoulli(f).  A group is
-bounded, so a source with a third of all rows is spread over many tasks.
+Bernoulli copy with the fraction of the rate as its probability: it gets the
+copy if its uniform number u, a hash of the seed and its id, is below the
+source's threshold.
+
+A source of few documents, or with a few long ones, would miss its target by
+chance if the threshold were the fraction itself.  So the threshold is
+calibrated: of the ``STEPS`` bounds of u it is the one below which the sizes
+come nearest to fraction * source size.  It tends to the fraction as a source
+grows.  A document's u depends on nothing but itself, so another document
+changes draws only between the old threshold and the new.
+
+Copies follow from source and id alone, so texts are never shuffled: what is
+aggregated is a row for each source and step of u.
 """
 
 from __future__ import annotations
@@ -18,7 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import materialise
+
 WORD = r"[^\x20\x09-\x0D]+"
+STEPS = 4096
 
 
 def words_in(text: Column) -> Column:
@@ -57,66 +65,91 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return per.select("source", "rows", "source_size", F.when(F.col("full"), F.col("most")).otherwise(shared).alias("target"))
 
 
+def draw(id_: Column, text: Column, seed: str) -> Column:
+    """The step of u, 0 to STEPS - 1: the first bits of a hash of the seed and the id; rows without an id draw by text."""
+    named = F.concat(F.lit(seed + "/"), id_.cast("string"))
+    return F.floor(hash32(F.coalesce(named, F.concat(F.lit(seed + "//"), F.md5(F.coalesce(text, F.lit("")))))) / (2**32 // STEPS))
+
+
+def source_rates(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """``source``, ``source_size``, ``target``, ``whole`` and ``threshold`` for every source of a table of (source, size, step).
+
+    A document has ``whole`` copies, and one more if its step is below
+    ``threshold``.  At most STEPS rows a source meet in a window.
+    """
+    targets = source_targets(sizes, weights, share, cap)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = targets.select("source", "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("fraction"))
+    steps = sizes.groupBy("source", "step").agg(F.sum("size").alias("size"))
+    below = F.sum("size").over(Window.partitionBy("source").orderBy("step"))
+    steps = steps.select("source", (F.col("step") + 1).alias("bound"), below.alias("below"))
+    aimed = steps.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("t.*", "s.bound", "s.below")
+    miss = F.abs(F.col("below") - F.col("fraction") * F.col("source_size"))
+    best = aimed.groupBy("source", "source_size", "target", "whole", "fraction").agg(F.min(F.struct(miss.alias("miss"), "bound")).alias("best"))
+    # without any extra copy the miss is the fraction of the size
+    none = F.col("fraction") * F.col("source_size") <= F.col("best.miss")
+    return best.select("source", "source_size", "target", "whole", F.when(none, F.lit(0)).otherwise(F.col("best.bound")).cast("long").alias("threshold"))
+
+
+def _copies(docs: DataFrame, rates: DataFrame) -> DataFrame:
+    """Rows with a ``source`` and a ``step`` joined with their source's rates; Spark broadcasts the rates only below its size threshold."""
+    rows = docs.alias("d").join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
+    copies = F.col("r.whole") + F.when(F.col("d.step") < F.col("r.threshold"), 1).otherwise(0)
+    return rows.select("d.*", "r.source_size", "r.target", copies.cast("long").alias("copies"))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "mix",
-    group_rows: int = 4096,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``id_col``, ``size``, ``source_size``, ``target``, ``copies``, ``taken`` and the columns named in ``keep``.
+    """``id_col``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``: one row per document, those with no copy included.
 
-    One row per document, those with no copy included.  A null text has size
-    0; a null source is a source of its own; a null id is hashed as the text
-    'null'.  Repeated rows are rows of their own, and equal ones are
-    interchangeable.  Other columns are not read, so none can clash; columns
-    in ``keep`` come back as a struct ``kept``.  No rows give no rows.
+    A null text has size 0; a null source is a source of its own; a null id
+    draws by the text.  Repeated rows are rows of their own that draw alike,
+    as do rows that share an id.  Very long texts count whole.  Other columns
+    are not read, so none can clash.  No rows give no rows.
+
+    Texts are read once, to write sizes and draws.
     """
-    base = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("source"),
-        words_in(F.col(text_col)).alias("size"),
-        *([F.struct(*keep).alias("kept")] if keep else []),
-    )
-    targets = source_targets(base.select("source", "size"), weights, share, cap)
-    rated = base.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.rows", "t.source_size", "t.target")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    name = F.concat(F.lit(seed + "/"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), F.lit("/"))
-    rated = (
-        rated.withColumn("rate", rate)
-        .withColumn("f", F.col("rate") - F.floor("rate"))
-        .withColumn("bin", hash32(F.coalesce(F.col("id").cast("string"), F.lit("null"))) % F.ceil(F.col("rows") / group_rows))
-        .withColumn("u", hash32(F.concat(name, F.col("bin").cast("string"))) / F.lit(4294967296.0))
-    )
-    k = F.row_number().over(Window.partitionBy("source", "bin").orderBy("size", "id")) - 1
-    rated = rated.withColumn("k", k)
-    extra = F.floor(F.col("u") + (F.col("k") + 1) * F.col("f")) - F.floor(F.col("u") + F.col("k") * F.col("f"))
-    copies = (F.floor("rate") + extra).cast("long")
-    return rated.select(
-        F.col("id").alias(id_col),
-        "size",
-        "source_size",
-        "target",
-        copies.alias("copies"),
-        (F.col("size") * copies).alias("taken"),
-        *(["kept"] if keep else []),
-    )
+    sizes = materialise(_sized(docs, seed, id_col, text_col, source_col), "sizes")
+    out = _copies(sizes, source_rates(sizes.select("source", "size", "step"), weights, share, cap))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _sized(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    i, t = F.col(id_col), F.col(text_col)
+    return docs.select(i.alias("id"), F.col(source_col).alias("source"), words_in(t).alias("size"), draw(i, t, seed).alias("step"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken, with all their columns."""
-    mixed = mix(docs, keep=tuple(docs.columns), **options).filter("copies > 0")
-    return mixed.select("kept", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("kept.*")
+def mixed_documents(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2.0,
+    seed: str = "mix",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as mix() takes it, with all their columns, whatever their names."""
+    sizes = materialise(_sized(docs, seed, id_col, text_col, source_col).drop("id"), "sizes")
+    rates = materialise(source_rates(sizes, weights, share, cap), "rates")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    field = lambda c: F.col("row").getField(c)
+    drawn = _copies(whole.select("row", field(source_col).alias("source"), draw(field(id_col), field(text_col), seed).alias("step")), rates)
+    taken = drawn.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select(*[field(c).alias(c) for c in docs.columns])
 
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), per AS (
   SELECT source, count(*) AS n, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -131,15 +164,19 @@ WITH sized AS (
   SELECT *, sum(CASE WHEN is_full THEN most ELSE 0 END) OVER () AS spent, (sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ())::DOUBLE AS open_weight FROM capped
 ), targets AS (
   SELECT source, n, source_size, CASE WHEN is_full THEN most ELSE weight * ((budget - spent) / open_weight) END AS target FROM solved
+), steps AS (
+  SELECT source, CAST('0x' || substr(md5(coalesce('mix/' || doc_id, 'mix//' || md5(coalesce(text, '')))), 1, 8) AS BIGINT) // 1048576 AS step, sum(size) AS size
+  FROM sized GROUP BY ALL
+), bounds AS (
+  SELECT source, 0 AS bound, 0 AS below FROM targets
+  UNION ALL SELECT source, step + 1, sum(size) OVER (PARTITION BY source ORDER BY step) FROM steps
 ), rated AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
-    CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0 END AS rate,
-    CAST('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null')), 1, 8) AS BIGINT) % CAST(ceil(n / 4096.0) AS BIGINT) AS bin
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
-), drawn AS (
-  SELECT *, rate - floor(rate) AS f, (row_number() OVER (PARTITION BY source, bin ORDER BY size, doc_id) - 1)::DOUBLE AS k,
-    CAST('0x' || substr(md5('mix/' || coalesce('s' || source, 'n') || '/' || bin), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u
-  FROM rated
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS rate FROM targets
+), aimed AS (
+  SELECT r.*, bound FROM rated r JOIN bounds b ON r.source IS NOT DISTINCT FROM b.source
+  QUALIFY row_number() OVER (PARTITION BY r.source ORDER BY abs(below - (rate - floor(rate)) * source_size), bound) = 1
 )
-SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + floor(u + (k + 1) * f) - floor(u + k * f) AS BIGINT) AS taken FROM drawn
+SELECT doc_id, size, a.source_size, target,
+  size * CAST(floor(rate) + CASE WHEN CAST('0x' || substr(md5(coalesce('mix/' || doc_id, 'mix//' || md5(coalesce(text, '')))), 1, 8) AS BIGINT) // 1048576 < bound THEN 1 ELSE 0 END AS BIGINT) AS taken
+FROM sized d JOIN aimed a ON d.source IS NOT DISTINCT FROM a.source
 """

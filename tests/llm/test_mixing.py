@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from tallow.llm import mixing
@@ -26,7 +28,7 @@ def test_targets_taken_and_bounds(spark):
         source = ["a", "B", "é", None, "tiny"][min(k % 37 % 5, 4)] if k % 3 else "a"
         rows.append((k, "w " * (k * k % 97), source, k))
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
-    got = mixing.mix(docs, group_rows=256).collect()
+    got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
     sizes, taken, target = {}, {}, {}
     for r in got:
@@ -38,7 +40,7 @@ def test_targets_taken_and_bounds(spark):
     want = brute_targets(sizes)
     for s in want:
         assert target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= 0.02 * want[s] + 200
-    again = mixing.mix(docs.repartition(7), group_rows=256).collect()
+    again = mixing.mix(docs.repartition(7)).collect()
     assert sorted(again, key=lambda r: r.doc_id) == sorted(got, key=lambda r: r.doc_id)
 
 
@@ -60,3 +62,35 @@ def test_mixed_documents_repeat_whole_rows(spark):
         assert r.copies == r.doc_id
         seen[r.doc_id] = seen.get(r.doc_id, 0) + 1
     assert seen == {k: v for k, v in counts.items() if v}
+
+
+def test_another_document_moves_few_draws(spark, table):
+    """With the same rates a document's draw depends on itself alone: only documents between the old and the new threshold change."""
+    rows = [(k, "w " * (1 + k % 9), "en", "ab"[k % 2], 1) for k in range(2000)]
+    before = {r.doc_id: r.copies for r in mixing.mix(table(rows)).collect()}
+    after = {r.doc_id: r.copies for r in mixing.mix(table([*rows, (5000, "w", "en", "a", 1)])).collect()}
+    assert sum(before[k] != after[k] for k in before) <= 10
+
+
+def test_draws_are_hash_seeded_bernoulli(spark, table):
+    """Against a brute-force version: u of the id, the threshold with the nearest total, whole copies and one more below it."""
+    rows = [(k, "w " * (k * k % 83), "en", "abc"[k % 7 % 3], 1) for k in range(900)]
+    got = {r.doc_id: r for r in mixing.mix(table(rows)).collect()}
+    step = {k: int(hashlib.md5(f"mix/{k}".encode()).hexdigest()[:8], 16) >> 20 for k, *_ in rows}
+    for source in "abc":
+        mine = [r[0] for r in rows if r[3] == source]
+        size = {k: len(rows[k][1].split()) for k in mine}
+        total = sum(size.values())
+        rate = got[mine[0]].target / total
+        whole, part = int(rate), rate - int(rate)
+        bound = min(range(mixing.STEPS + 1), key=lambda b: (abs(sum(size[k] for k in mine if step[k] < b) - part * total), b))
+        assert all(got[k].copies == whole + (step[k] < bound) for k in mine)
+        assert abs(bound / mixing.STEPS - part) < 0.1  # close to the fraction itself
+
+
+def test_long_texts_ties_and_clashing_columns(spark):
+    rows = [(1, "w " * 300_000, "a", 7, 8), (2, "w " * 300_000, "a", 7, 8), (3, "x", "b", 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, step int, copies int")
+    assert sorted(r["size"] for r in mixing.mix(docs).collect()) == [1, 300_000, 300_000]
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and all(r.step == 7 and r.copies == 8 for r in out.collect())
