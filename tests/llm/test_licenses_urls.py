@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import textwrap
 
 import duckdb
 import numpy as np
@@ -166,3 +167,37 @@ version 2.1 of the License, or (at your option) any later version."""
     assert [got[k] for k in range(len(rows))] == [[name] for _, name in rows]
     apart = "Licensed under the Apache\n\nLicense, Version 2.0"
     assert licenses.scan(table([(1, apart)])).collect()[0].licenses == []
+
+
+PUBLISHED = {
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "MIT": "The MIT License (MIT)\n\nCopyright (c) 2020 Some Body\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "BSD-3-Clause": "Copyright 2020 Some Body\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "Apache-2.0": "Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "LGPL": "GNU LESSER GENERAL PUBLIC LICENSE\n Version 2.1, February 1999",
+}
+
+
+def test_published_texts_wrapped_and_in_comments(spark, table):
+    def wrapped(text, lead, width=76):
+        return "\n".join(lead + line for part in text.split("\n") for line in textwrap.wrap(part, width - len(lead)) or [""])
+
+    rows = [(wrapped(t, lead), name) for name, t in PUBLISHED.items() for lead in ("", " * ", "# ", "// ", "    ")]
+    rows += [(f"{lead}SPDX-License-Identifier: {name}", name) for name, _ in licenses.SPDX if "LGPL" not in name for lead in ("", "// ", "# ", "/* ")]
+    got = {r.doc_id: r for r in licenses.scan(table([(k, t) for k, (t, _) in enumerate(rows)])).collect()}
+    assert [got[k].licenses for k in range(len(rows))] == [[name] for _, name in rows]
+    assert all(got[k].commercial == ("NC" not in name) for k, (_, name) in enumerate(rows))
+
+
+def test_spdx_expressions_and_prose(spark):
+    schema = "doc_id long, text string, ids string, licenses string, sentence_ids int"
+    rows = [(1, "SPDX-License-Identifier: (MIT OR Apache-2.0)", "", "", 0), (2, "the GNU General Public License and the ISC license were compared", "", "", 0), (3, "SPDX-License-Identifier: GPL-2.0-or-later", "", "", 0), (1, "SPDX-License-Identifier: (MIT OR Apache-2.0)", "", "", 0)]
+    got = sorted((r.doc_id, tuple(r.licenses)) for r in licenses.scan(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(1, ("Apache-2.0", "MIT")), (1, ("Apache-2.0", "MIT")), (2, ()), (3, ("GPL-2.0",))]
