@@ -307,7 +307,7 @@ def _star_links(near: DataFrame, sets: DataFrame, percent: int, members: int) ->
     return rows.repartition("v", "salt").sortWithinPartitions("v", "salt", "role").mapInArrow(_star(percent), "u long, v long")
 
 
-def _rest_links(tied: DataFrame, reps: DataFrame, sets, first: DataFrame, percent: int, distance: int, block_bytes: int, block_rows: int) -> DataFrame | None:
+def _rest_links(tied: DataFrame, reps: DataFrame, sets: DataFrame, first: DataFrame, percent: int, distance: int, block_bytes: int, block_rows: int) -> DataFrame | None:
     """Links between different components of ``first`` that share a key; None if no key has two."""
     labels = first.select(F.col("id").alias("node"), "root")
     rows = tied.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("component"))
@@ -336,8 +336,7 @@ def _rest_links(tied: DataFrame, reps: DataFrame, sets, first: DataFrame, percen
     sides = pairs.select(F.col("a").alias("block"), "a", "b").unionByName(pairs.filter("a <> b").select(F.col("b").alias("block"), "a", "b"))
     met = dealt.join(sides, "block").select("a", "b", "node", "component", "signature")
     met = met.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_apart(distance), "a long, b long, node long")
-    met = materialise(met, "apart")
-    sent = met.join(sets(met.select("node").distinct()), "node").select("a", "b", "node", "hashes")
+    sent = met.join(sets, "node").select("a", "b", "node", "hashes")
     return sent.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_confirm(percent), "u long, v long")
 
 
@@ -358,11 +357,12 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     signature = lambda n: reps.select(F.col("node").alias(n), F.col("signature").alias(f"s{n}"))
     near = pairs.join(signature("u"), "u").join(signature("v"), "v").select("u", "v", "su", "sv")
     near = materialise(near.mapInArrow(_within(distance), "u long, v long"), "near")
-    ends = near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct()
-    first = connected_components(_star_links(near, _texts(base, reps, ends, words), percent, block_rows))
-    rest = _rest_links(tied, reps, lambda nodes: _texts(base, reps, nodes, words), first, percent, distance, block_bytes, block_rows)
+    # texts are read again, and sets are sent, for classes that share a key with another one only
+    sets = materialise(_texts(base, reps, tied.select("node").distinct(), words), "sets")
+    first = connected_components(_star_links(near, sets, percent, block_rows))
+    rest = _rest_links(tied, reps, sets, first, percent, distance, block_bytes, block_rows)
     found = first if rest is None else connected_components(rest.unionByName(first.select(F.col("id").alias("u"), F.col("root").alias("v"))))
-    discard(tied, near)
+    discard(tied, near, sets)
     members = found.select(F.col("id").alias("node"), "root").unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     keepers = members.join(reps.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("keeper"))
     linked = members.join(keepers, "root").select("node", "keeper")
