@@ -7,8 +7,10 @@ local maxima of the labels begin the phrases; and a phrase's name, a hash of
 its symbols, is a symbol of the next level.  Whether a symbol begins a phrase
 depends on a few symbols around it only, so equal substrings get equal
 interior names wherever they stand.  The fingerprint is the bottom-k sketch
-of the names of one level; the likeness of two is the estimated Jaccard
-similarity of their name sets.
+of the names of the highest level, followed by those of the levels below as
+long as a level has few names (short texts); the likeness of two is the
+estimated Jaccard similarity of the name sets of the lowest level that both
+hold.
 """
 
 from __future__ import annotations
@@ -18,14 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dedup import mix64
 
-LEVELS, KEPT, _STEP = 3, 64, np.uint64(0x9E3779B97F4A7C15)
+LEVELS, KEPT, FEW, _STEP = 3, 64, 16, np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.array([(x & -x).bit_length() - 1 if x else 0 for x in range(256)], np.uint8)
 
 
@@ -67,12 +68,13 @@ def parse(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names, np.flatnonzero(starts[begin])
 
 
-def sketches(texts: list[str], levels: int = LEVELS, kept: int = KEPT, piece: int = 1 << 19) -> list[np.ndarray]:
-    """The ``kept`` smallest distinct 32-bit names of every text, ascending; none for an empty text.
+def sketches(texts: list[str], levels: int = LEVELS, kept: int = KEPT, piece: int = 1 << 19, few: int = FEW) -> list[list[np.ndarray]]:
+    """Of every text the ``kept`` smallest distinct 32-bit names of each level, ascending, from the highest level down to one with ``few``.
 
-    Texts are taken together up to ``piece`` characters, to bound memory.
+    An empty text has no levels.  Texts are taken together up to ``piece``
+    characters, to bound memory.
     """
-    out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+    out: list[list[np.ndarray]] = [[] for _ in texts]
     low = 0
     while low < len(texts):
         high, total = low, 0
@@ -85,43 +87,58 @@ def sketches(texts: list[str], levels: int = LEVELS, kept: int = KEPT, piece: in
             continue
         x = np.frombuffer("".join([texts[k] for k in some]).encode("utf-32-le", "surrogatepass"), np.uint32)
         first = np.cumsum([0, *(len(texts[k]) for k in some[:-1])])
+        parsed = []
         for _ in range(levels):
             x, first = parse(x, first)
-        x = (x >> np.uint64(32)).astype(np.uint32)
-        for k, a, b in zip(some, first, [*first[1:], len(x)], strict=True):
-            out[k] = np.unique(x[a:b])[:kept]
+            parsed.append(((x >> np.uint64(32)).astype(np.uint32), np.append(first, len(x))))
+        for n, k in enumerate(some):
+            for names, at in reversed(parsed):
+                out[k].append(np.unique(names[at[n] : at[n + 1]])[:kept])
+                if len(out[k][-1]) >= few:
+                    break
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
-    """Estimated Jaccard similarity of two sketches; 1 for two empty ones."""
-    if not len(a) or not len(b):
+def likeness(a: list[np.ndarray], b: list[np.ndarray], kept: int = KEPT) -> float:
+    """Estimated Jaccard similarity of two sketches, at the lowest level that both hold; 1 for two empty ones."""
+    if not a or not b:
         return float(len(a) == len(b))
-    both = np.union1d(a, b)[:kept]
-    return float(np.isin(both, a).__and__(np.isin(both, b)).sum() / len(both))
+    x, y = (s[min(len(a), len(b)) - 1] for s in (a, b))
+    both = np.union1d(x, y)[:kept]
+    return float((np.isin(both, x) & np.isin(both, y)).sum() / len(both))
 
 
-def text_of(sketch: np.ndarray) -> str:
-    return "".join([f"{v:08x}" for v in sketch.tolist()])
+def text_of(sketch: list[np.ndarray]) -> str:
+    return ".".join(["".join([f"{v:08x}" for v in level.tolist()]) for level in sketch])
 
 
 _NULL = -(1 << 63)
 
 
-def _dealt(bounds: np.ndarray, ahead: dict[int, list[int]]):
-    """Rows to ranges of ids, the first row of a range to the range before it as well; texts are compressed."""
+def _place(ids: np.ndarray, ties: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """The last of the sorted (id, tie) bounds that isn't above each row."""
+    firsts = np.array([b[0] for b in bounds])
+    low, high = np.searchsorted(firsts, ids, "left"), np.searchsorted(firsts, ids, "right")
+    out = high - 1
+    for k in np.flatnonzero(low < high):  # an id that is a bound: its ties decide
+        while out[k] >= 0 and bounds[out[k]] > (ids[k], ties[k]):
+            out[k] -= 1
+    return out
+
+
+def _dealt(bounds: list[tuple[int, int]]):
+    """Rows to ranges, the first row of a range to the range before it as well; texts are compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3).compress
         for batch in batches:
-            ids = batch.column(0).fill_null(_NULL).to_numpy()
-            part = np.searchsorted(bounds, ids, "right")
+            ids, ties = batch.column(0).fill_null(_NULL).to_numpy(), batch.column(1).to_numpy()
             rows: list[tuple] = []
-            for one, p, text in zip(ids.tolist(), part.tolist(), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                row = (one, xxhash.xxh3_64_intdigest(raw) - (1 << 63), pack(raw))
-                rows.append((p, 0, *row))
-                rows += [(q, 1, *row) for q in ahead.get(one, ())]
+            for one, tie, p, text in zip(ids.tolist(), ties.tolist(), _place(ids, ties, bounds).tolist(), batch.column(2), strict=True):
+                packed = pack((text.as_py() or "").encode("utf-8", "surrogatepass"))
+                rows.append((p, 0, one, tie, packed))
+                if bounds[p] == (one, tie):
+                    rows.append(((p - 1) % len(bounds), 1, one, tie, packed))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
                 ["part", "ahead", "id", "tie", "packed"],
@@ -130,6 +147,19 @@ def _dealt(bounds: np.ndarray, ahead: dict[int, list[int]]):
     return run
 
 
+def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest (id, tie) of a partition."""
+    least: tuple[int, int] | None = None
+    for batch in batches:
+        if batch.num_rows:
+            ids, ties = batch.column(0).fill_null(_NULL).to_numpy(), batch.column(1).to_numpy()
+            at = np.lexsort((ties, ids))[0]
+            one = (int(ids[at]), int(ties[at]))
+            least = one if least is None else min(least, one)
+    if least is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in least], ["id", "tie"])
+
+
 def _fingerprinted(quarter: int, levels: int, kept: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -176,19 +206,9 @@ def _fingerprinted(quarter: int, levels: int, kept: int, piece: int):
     return run
 
 
-def _firsts(bounds: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, int] = {}
-        for batch in batches:
-            ids = batch.column(0).fill_null(_NULL).to_numpy()
-            for p, i in zip(np.searchsorted(bounds, ids, "right").tolist(), ids.tolist(), strict=True):
-                least[p] = min(i, least.get(p, i))
-        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int32()), pa.array(list(least.values()), pa.int64())], ["part", "id"])
-
-    return run
-
-
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", quarter: int = 4, levels: int = LEVELS, kept: int = KEPT, piece: int = 1 << 19) -> DataFrame:
+def fingerprint_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", quarter: int = 4, levels: int = LEVELS, kept: int = KEPT, piece: int = 1 << 19, range_bytes: int = 1 << 24
+) -> DataFrame:
     """Fingerprints of every document and of its edited text, with their likeness and that to the next document.
 
     Columns: ``id_col``, ``n_chars``, ``edited_sha256``, ``fingerprint``,
@@ -196,29 +216,28 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     has its last floor(n_chars / 4) code points replaced by the first as many
     (or all) of the next document by ascending id; after the last comes the
     first, so a lone document is its own next.  Null texts are empty.  Null
-    ids come before all others; rows that repeat an id are ordered by a hash
-    of their texts.  Other columns are not read; no rows give no rows.
-
-    Texts cross the network once, compressed: to as many id ranges as the
-    session has shuffle partitions.  The driver sees one boundary and one
-    first id of each range.
+    ids come before all others; rows of one id are ordered by a hash of their
+    texts, and rows that repeat both are neighbours.  Very long texts are read
+    whole.  Other columns are not read; no rows give no rows.
+
+    Texts cross the network once, compressed, to ranges of (id, hash) of about
+    ``range_bytes`` of text, at least as many as the session has shuffle
+    partitions; a range is a partition, so no two share a task.  The driver
+    sees the first row of each range, two numbers.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = ids.filter("id is not null").stat.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
-    bounds = np.unique(np.array(cuts, np.float64).astype(np.int64))
-    first = {r[0]: r[1] for r in ids.mapInArrow(_firsts(bounds), "part int, id long").groupBy("part").agg(F.min("id")).collect()}
-    parts = sorted(first)
-    ahead: dict[int, list[int]] = {}
-    for k, p in enumerate(parts):
-        ahead.setdefault(first[parts[(k + 1) % len(parts)]], []).append(p)
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        _dealt(bounds, ahead), "part int, ahead int, id long, tie long, packed binary"
-    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"))
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
+    bounds = sorted((r.id, r.tie) for r in keys.repartitionByRange(ranges, F.asc_nulls_first("id"), "tie").mapInArrow(_first, "id long, tie long").collect())
     out = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    if not bounds:
+        return spark.createDataFrame([], out).withColumnRenamed("id", id_col)
     return (
-        dealt.repartition(max(1, len(parts)), "part")
+        docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+        .mapInArrow(_dealt(bounds), "part int, ahead int, id long, tie long, packed binary")
+        .repartitionById(len(bounds), "part")
         .sortWithinPartitions("part", "ahead", "id", "tie")
         .mapInArrow(_fingerprinted(quarter, levels, kept, piece), out)
         .withColumnRenamed("id", id_col)
