@@ -1,10 +1,14 @@
 """Personal data: base patterns, extended by bootstrapped contexts.  DataFrame functions only.
 
 Base spans come from four regular expressions with checks.  They are the seeds
-of a bootstrap over the whole corpus: the words on both sides of an instance
-make a lexical pattern; on the graph of patterns and identifier-like instances
-(tokens with a digit or an at sign) confidence is passed back and forth; and
-the patterns that end above the bar add the instances they stand around.
+of a bootstrap over the whole corpus.  Its instances are runs of
+identifier-like tokens (with a digit, an at sign or a bracketed "at"), spaces
+included, so a phone number or a card in groups is one instance.  The words on
+both sides of an instance, or the end of the text, make a lexical pattern; on
+the graph of patterns and instances confidence is passed back and forth; and
+the patterns that end above the bar add the instances they stand around.  An
+instance of a shape that no seed of the kind has needs more: its confidence is
+the square of its pattern's.
 
 Positions are code points, ends exclusive.  They follow from the pieces
 between matches: split() and regexp_extract_all() walk over the same
@@ -70,32 +74,40 @@ def matches(text: Column, kind: str) -> Column:
     return F.when(text.rlike(_NEEDS[kind]), spans).otherwise(F.array().cast(_SPAN))
 
 
-#: An identifier-like token, and the words next to it.
-_TOKEN = r"(?<![^\s])(?=[^\s]*[0-9@])[^\s]{6,64}(?![^\s])"
-_EDGE = r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$"
+#: Identifier-like tokens with one blank between each two; possessive, so the time is linear in the text.
+_MARK = r"(?=[^\s]*?(?:[0-9@]|[\[({]at[\])}]))"
+_RUN = rf"(?<!\S){_MARK}\S++(?:[ \t]{_MARK}\S++)*+"
+_LEAD, _TAIL = r"^[^\p{L}\p{N}+(]+", r"[^\p{L}\p{N}]+$"
+_BLANKS = " \t\n\x0b\x0c\r"
+_ITEM = "array<struct<start:int,end:int,core:string,left:string,right:string>>"
+
+
+def _word(gap: Column, last: bool) -> Column:
+    """The last or first word of the piece between two instances, in lower case; empty if it is blank."""
+    flat = F.translate(gap, _BLANKS, " " * len(_BLANKS))
+    return F.lower(F.substring_index(F.rtrim(flat), " ", -1) if last else F.substring_index(F.ltrim(flat), " ", 1))
 
 
 def _contexts(text: Column) -> Column:
-    """Identifier-like tokens of a text with the word before and after: array of (start, end, token, left, right).
+    """Instances of a text with the word before and after: array of (start, end, core, left, right).
 
-    Start and end leave out marks at the token's edges.
+    Start, end and core leave out marks at the edges.  Without a word between
+    it and the end of the text or another instance, an instance has ^ or $ there.
     """
-    found = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-    gaps = F.split(text, _TOKEN, -1)
-    row = "array<struct<start:int,end:int,token:string,left:string,right:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast(row).alias("out"))
+    found = F.regexp_extract_all(text, F.lit(_RUN), F.lit(0))
+    gaps = F.split(text, _RUN, -1)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast(_ITEM).alias("out"))
 
     def add(state: Column, one: Column) -> Column:
         before, after = F.get(gaps, state["k"]), F.get(gaps, state["k"] + 1)
         low = state["at"] + F.length(before)
-        core = F.regexp_replace(one, _EDGE, "")
-        lead = F.length(F.regexp_extract(one, r"^[^\p{L}\p{N}+]*", 0))
-        left = F.lower(F.regexp_extract(F.right(before, F.lit(40)), r"([^\s]+)\s*$", 1))
-        right = F.lower(F.regexp_extract(F.left(after, F.lit(40)), r"^\s*([^\s]+)", 1))
-        item = F.struct((low + lead).alias("start"), (low + lead + F.length(core)).alias("end"), core.alias("token"), left.alias("left"), right.alias("right"))
+        lead = F.length(F.regexp_extract(one, _LEAD, 0))
+        core = F.regexp_replace(F.regexp_replace(one, _LEAD, ""), _TAIL, "")
+        left, right = F.coalesce(F.nullif(_word(before, True), F.lit("")), F.lit("^")), F.coalesce(F.nullif(_word(after, False), F.lit("")), F.lit("$"))
+        item = F.struct((low + lead).alias("start"), (low + lead + F.length(core)).alias("end"), core.alias("core"), left.alias("left"), right.alias("right"))
         return F.struct((low + F.length(one)).alias("at"), (state["k"] + 1).alias("k"), F.concat(state["out"], F.array(item)).alias("out"))
 
-    return F.when(text.rlike("[0-9@]"), F.aggregate(found, start, add, lambda s: s["out"])).otherwise(F.array().cast(row))
+    return F.when(text.rlike(r"[0-9@]|[\[({]at[\])}]"), F.aggregate(found, start, add, lambda s: s["out"])).otherwise(F.array().cast(_ITEM))
 
 
 def shape(token: Column) -> Column:
@@ -103,43 +115,45 @@ def shape(token: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(token, r"\p{L}+", "a"), r"[0-9]+", "9")
 
 
-def bootstrap(instances: DataFrame, rounds: int = 3, support: int = 5, bar: float = 0.9) -> DataFrame:
-    """Confident patterns: ``left``, ``right``, ``kind``, ``confidence``.
+def bootstrap(instances: DataFrame, rounds: int = 3, support: int = 5, bar: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """Confident patterns (``left``, ``right``, ``kind``, ``confidence``) and the seeds' shapes (``kind``, ``shape``).
 
     ``instances`` has ``token``, ``shape``, ``left``, ``right`` and ``kind``,
-    which is null for tokens that no base span covers.  A pattern is the word
-    on each side.  In each round a pattern's confidence in a kind is the mean
-    of its instances' (1 for seeds, 0 for other kinds' seeds), with one
-    failure added, and an unseen instance's confidence is the best of its
-    patterns', if its shape is one of the kind's seeds.  A pattern counts from
-    ``support`` different instances on.
+    which is null for tokens that no base span is in.  In each round a
+    pattern's confidence in a kind is the mean of its instances' (1 for seeds,
+    0 for other kinds' seeds), with one failure added; an unseen instance's is
+    the best of its patterns', squared if no seed of the kind has its shape.
+    A pattern counts from ``support`` different instances with a confidence on.
     """
-    # different instances of a pattern, with their number of mentions, are all that the rounds read
-    edges = materialise(
-        instances.filter("left <> '' and right <> ''").groupBy("left", "right", "token", "shape", "kind").agg(F.count("*").alias("mentions")),
-        "edges",
-    )
+    # different instances of a pattern are all that the rounds read; a token has one shape and one kind
+    edges = materialise(instances.select("left", "right", "token", "shape", "kind").distinct(), "edges")
     shapes = edges.filter("kind is not null").select("kind", "shape").distinct()
-    # the shapes of seeds; unseen instances may become of a kind that has their shape
-    able = edges.filter("kind is null").drop("kind").join(shapes, "shape").select("left", "right", "token", "kind", F.lit(0.0).alias("confidence"))
-    seeds = edges.filter("kind is not null").select("left", "right", "token", "kind", F.lit(1.0).alias("confidence"))
-    total = edges.groupBy("left", "right").agg(F.countDistinct("token").alias("n"))
-    patterns = None
+    seeds = edges.filter("kind is not null").select("left", "right", "kind", F.lit(1.0).alias("confidence"))
+    unseen = edges.filter("kind is null").drop("kind")
+    total = edges.groupBy("left", "right").agg(F.count("*").alias("n"))
+    patterns, known = None, seeds
     for step in range(rounds):
-        known = seeds.unionByName(able)
+        if patterns is not None:
+            hits = believed(unseen.join(patterns, ["left", "right"]), shapes)
+            best = hits.groupBy("token", "kind").agg(F.max("confidence").alias("confidence"))
+            known = seeds.unionByName(unseen.join(best, "token").select("left", "right", "kind", "confidence"))
         patterns = (
             known.groupBy("left", "right", "kind")
-            .agg(F.sum("confidence").alias("sum"), F.sum((F.col("confidence") > 0).cast("long")).alias("n_known"))
+            .agg(F.sum("confidence").alias("sum"), F.count("*").alias("n_known"))
             .join(total, ["left", "right"])
             .withColumn("confidence", F.col("sum") / (F.col("n") + 1))
-            .filter(F.col("n_known") >= support)
-            .filter(F.col("confidence") >= bar / 2)
+            .filter((F.col("n_known") >= support) & (F.col("confidence") >= bar / 2))
             .select("left", "right", "kind", "confidence")
         )
         patterns = materialise(patterns, f"patterns{step}")
-        best = able.drop("confidence").join(patterns, ["left", "right", "kind"]).groupBy("token", "kind").agg(F.max("confidence").alias("confidence"))
-        able = able.drop("confidence").join(best, ["token", "kind"], "left").select("left", "right", "token", "kind", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
-    return patterns.filter(F.col("confidence") >= bar)
+    return patterns.filter(F.col("confidence") >= bar), shapes
+
+
+def believed(hits: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Unseen instances in patterns with their own confidence: the pattern's, squared for a shape that the kind's seeds lack."""
+    seen = shapes.withColumn("seen", F.lit(True))
+    own = F.when(F.col("seen"), F.col("confidence")).otherwise(F.col("confidence") * F.col("confidence"))
+    return hits.join(seen, ["kind", "shape"], "left").withColumn("confidence", own).drop("seen")
 
 
 def _tag(kind: str):
@@ -150,65 +164,68 @@ def _is(kind: str):
     return lambda s: s["kind"] == kind
 
 
-def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: ``id``, ``hash`` of the text, ``base`` spans and ``contexts``."""
-    one = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return one.select("id", F.xxhash64("text").alias("hash"), base_spans(F.col("text")).alias("base"), _contexts(F.col("text")).alias("contexts"))
-
-
 def base_spans(text: Column) -> Column:
     """Base spans (kind, start, end) of a non-null text, by kind and start."""
     return F.concat(*[F.transform(matches(text, k), _tag(k)) for k in KINDS])
 
 
-def _kind_at(c: Column) -> Column:
-    """The kind of the first base span that overlaps a token; null for none."""
-    return F.get(F.filter(F.col("base"), lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"])), 0)["kind"]
+def _kind_in(core: Column) -> Column:
+    """The first kind with a base span in an instance; null for none."""
+    kind = F.lit(None).cast("string")
+    for k in reversed(KINDS):
+        kind = F.when(F.size(matches(core, k)) > 0, F.lit(k)).otherwise(kind)
+    return kind
 
 
-def _instance(c: Column) -> Column:
-    return F.struct(*[c[n].alias(n) for n in ("start", "end", "token", "left", "right")], shape(c["token"]).alias("shape"), _kind_at(c).alias("kind"))
+def _added(docs: DataFrame, id_col: str, text_col: str, rounds: int, support: int, bar: float, tokens: int) -> DataFrame:
+    """Spans that the bootstrap adds: one row for an id and text hash, with ``added``.
 
-
-def _added(read: DataFrame, rounds: int, support: int, bar: float) -> DataFrame:
-    """Spans that the bootstrap adds: one row for an id and text hash, with ``added``."""
-    instances = read.filter(F.size("contexts") > 0).select("id", "hash", F.explode(F.transform("contexts", _instance)).alias("c")).select("id", "hash", "c.*")
-    patterns = bootstrap(instances, rounds, support, bar)
-    shapes = instances.filter("kind is not null").select("kind", "shape").distinct()
-    hits = instances.filter("kind is null").drop("kind").join(patterns, ["left", "right"]).join(shapes, ["kind", "shape"])
+    Runs of more than ``tokens`` tokens are tables of numbers, not identifiers.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.explode(_contexts(text)).alias("c")).select("id", "hash", "c.*")
+    rows = rows.filter((F.col("core") != "") & (F.size(F.split("core", r"[ \t]")) <= tokens))
+    rows = rows.select("id", "hash", "start", "end", "left", "right", F.xxhash64("core").alias("token"), shape(F.col("core")).alias("shape"), _kind_in(F.col("core")).alias("kind"))
+    instances = materialise(rows, "instances")
+    patterns, shapes = bootstrap(instances, rounds, support, bar)
+    hits = believed(instances.filter("kind is null").drop("kind").join(patterns, ["left", "right"]), shapes).filter(F.col("confidence") >= bar)
     best = hits.groupBy("id", "hash", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best"))
     spans = best.groupBy("id", "hash").agg(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "start", "end")).alias("added"))
     return materialise(spans, "added")
 
 
-def _with_added(rows: DataFrame, added: DataFrame, most: int = 20_000) -> DataFrame:
-    """``rows`` with ``added`` (null for none) by id and text hash; broadcast only if it is counted to be small."""
+def _with_added(rows: DataFrame, added: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """``rows`` with ``added`` (null for none) by id and text hash; broadcast only if its counted size is at most ``most`` bytes."""
     right = added.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "added")
-    if added.count() <= most:
+    size = added.agg(F.sum(F.size("added") * 64 + 128)).first()[0] or 0
+    if size <= most:
         right = F.broadcast(right)
     return rows.join(right, rows["hash"].eqNullSafe(right["_hash"]) & rows["id"].eqNullSafe(right["_id"]), "left").drop("_id", "_hash")
 
 
 def _merged(base: Column, added: Column) -> Column:
-    """All spans in the order of kinds, then starts."""
+    """All spans in the order of kinds, then starts; added ones that overlap a base span go."""
     order = F.array(*[F.lit(k) for k in KINDS])
-    both = F.concat(base, F.coalesce(added, F.array().cast("array<struct<kind:string,start:int,end:int>>")))
+    fresh = F.filter(added, lambda s: ~F.exists(base, lambda x: (x["start"] < s["end"]) & (x["end"] > s["start"])))
+    both = F.concat(base, F.coalesce(fresh, F.array().cast("array<struct<kind:string,start:int,end:int>>")))
     ranked = F.array_sort(F.transform(both, lambda s: F.struct(F.array_position(order, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 5, bar: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 5, bar: float = 0.9, tokens: int = 8) -> DataFrame:
     """Per row: ``id_col``, ``base`` and ``spans``, arrays of (kind, start, end) in the order of kinds, then starts.
 
     ``base`` has the spans of the base patterns; ``spans`` has them and those
-    that the bootstrap adds: tokens that overlap no base span, in a confident
-    pattern, of a shape that the kind's seeds have.  Null and empty texts have
-    no spans.  A row in gives a row out; rows that share an id, or have none,
-    get the spans of their own text.  Other columns are not read.  No rows
-    give no rows.
+    that the bootstrap adds: instances that overlap no base span, in a
+    confident pattern.  Null and empty texts have no spans; very long ones are
+    read whole, with tokens and words of any length.  A row in gives a row
+    out; rows that share an id, or have none, get the spans of their own text.
+    Of patterns with the same confidence in two kinds the later name wins.
+    Other columns are not read.  No rows give no rows.
     """
-    read = materialise(_read(docs, id_col, text_col), "pii")
-    rows = _with_added(read, _added(read, rounds, support, bar))
+    added = _added(docs, id_col, text_col, rounds, support, bar, tokens)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = _with_added(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), base_spans(text).alias("base")), added)
     return rows.select(F.col("id").alias(id_col), "base", _merged(F.col("base"), F.col("added")).alias("spans"))
 
 
@@ -222,18 +239,18 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 5, bar: float = 0.9) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 5, bar: float = 0.9, tokens: int = 8) -> DataFrame:
     """``docs`` with every span of find() replaced by its kind in brackets, as in ``[EMAIL]``.
 
     Overlapping spans are replaced together, under the kind of the one that
     starts first.  All rows and columns stay, whatever their names; null texts
     stay null.
     """
-    added = _added(materialise(_read(docs, id_col, text_col), "pii"), rounds, support, bar)
-    text = F.col(f"row.{text_col}")
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    rows = rows.withColumns({"id": F.col(f"row.{id_col}"), "hash": F.xxhash64(F.coalesce(text, F.lit("")))})
-    rows = _with_added(rows, added).withColumn("spans", _merged(base_spans(F.coalesce(text, F.lit(""))), F.col("added")))
+    added = _added(docs, id_col, text_col, rounds, support, bar, tokens)
+    text = F.col("row").getField(text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumns({"id": F.col("row").getField(id_col), "hash": F.xxhash64(F.coalesce(text, F.lit("")))})
+    rows = _with_added(rows.withColumn("base", base_spans(F.coalesce(text, F.lit("")))), added).withColumn("spans", _merged(F.col("base"), F.col("added")))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 

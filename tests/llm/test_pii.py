@@ -69,3 +69,83 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert got.columns == ["doc_id", "text", "id", "hash", "base", "spans", "row"]
     assert sorted(str(r.text) for r in got.collect()) == sorted(["mail [EMAIL] or [IP]!", "None", "plain", "[PHONE]"])
     assert pii.redact(spark.createDataFrame([], schema)).collect() == [] == pii.find(spark.createDataFrame([], schema)).collect()
+
+
+def slow_runs(text):
+    """Instances with the words around them, one token at a time."""
+    tokens = [(m.start(), m.end()) for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text)]
+    mark = lambda t: re.search(r"[0-9@]|[\[({]at[\])}]", text[t[0] : t[1]])
+    runs, out = [], []
+    for k, t in enumerate(tokens):
+        if mark(t):
+            if runs and runs[-1][-1] == k - 1 and text[tokens[k - 1][1] : t[0]] in (" ", "\t"):
+                runs[-1].append(k)
+            else:
+                runs.append([k])
+    inside = {k for r in runs for k in r}
+    for r in runs:
+        low, high = tokens[r[0]][0], tokens[r[-1]][1]
+        whole = text[low:high]
+        lead = len(whole) - len(re.sub(r"^[^\w+(]+|^_+", "", whole))
+        core = re.sub(r"[\W_]+$", "", whole[lead:])
+        left = text[slice(*tokens[r[0] - 1])].lower() if r[0] and r[0] - 1 not in inside else "^"
+        right = text[slice(*tokens[r[-1] + 1])].lower() if r[-1] + 1 < len(tokens) and r[-1] + 1 not in inside else "$"
+        out.append((low + lead, low + lead + len(core), core, left, right))
+    return out
+
+
+def slow_find(texts, rounds=3, support=5, bar=0.9, most=8):
+    """The bootstrap by its definition, over all texts at once."""
+    shape = lambda x: re.sub("[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", x))
+    kind = lambda x: next((k for k, p in SHAPES.items() if any(good(k, m[0]) for m in re.finditer(p, x))), None)
+    runs = [(i, *r) for i, t in enumerate(texts) for r in slow_runs(t or "") if r[2] and len(re.split("[ \t]", r[2])) <= most]
+    edges = {(r[4], r[5], r[3]) for r in runs}
+    seeds = {(shape(x), kind(x)) for _, _, x in edges if kind(x)}
+    known = {(a, b, x, kind(x)): 1.0 for a, b, x in edges if kind(x)}
+    for step in range(rounds):
+        if step:
+            best = {}
+            for a, b, x in edges:
+                if not kind(x):
+                    for (p, q, k), c in patterns.items():
+                        if (p, q) == (a, b):
+                            best[x, k] = max(best.get((x, k), 0), c if (shape(x), k) in seeds else c * c)
+            known = {e: 1.0 for e in known if known[e] == 1.0 and kind(e[2])} | {(a, b, x, k): c for a, b, x in edges for (y, k), c in best.items() if x == y}
+        patterns = {}
+        for a, b, k in {(a, b, k) for a, b, _, k in known}:
+            own = [c for (p, q, _, m), c in known.items() if (p, q, m) == (a, b, k)]
+            conf = sum(own) / (sum((p, q) == (a, b) for p, q, _ in edges) + 1)
+            if len(own) >= support and conf >= bar / 2:
+                patterns[a, b, k] = conf
+    out = []
+    for i, t in enumerate(texts):
+        spans = [(list(SHAPES).index(s.split(":")[0]), *map(int, s.split(":")[1:])) for s in brute(t)]
+        base = list(spans)
+        for j, low, high, core, left, right in runs:
+            if i == j and not kind(core) and not any(x < high and y > low for _, x, y in base):
+                able = [(c if (shape(core), k) in seeds else c * c, k) for (p, q, k), c in patterns.items() if (p, q) == (left, right) and c >= bar]
+                able = [x for x in able if x[0] >= bar]
+                if able:
+                    spans.append((list(SHAPES).index(max(able)[1]), low, high))
+        out.append(",".join(f"{list(SHAPES)[k]}:{a}:{b}" for k, a, b in sorted(spans)))
+    return out
+
+
+def test_bootstrap_matches_brute_force(spark, table):
+    valid, rnd = cards(60), random.Random(9)
+    texts = [f"my card {c} expires soon" for c in valid[:40]] + [f"my card {c[:15]} expires soon" for c in valid[:6]]
+    texts += [f"call me at +49 (0{100 + k}) 555-{1000 + k}, or write" for k in range(45)] + [f"call me at (0{100 + k}) 777-{1000 + k}, or write" for k in range(4)]
+    texts += [f"mail user{k}@host.org" for k in range(30)] + ["mail bob[at]host.org", "mail ann (at) host.org", "see page 12 of 90", "", None, "7", "9 10"]
+    texts += [f"number {rnd.randint(1, 99)} of {rnd.randint(1, 99)} at {rnd.randint(1, 99)} or" for _ in range(30)]
+    texts += ["x" * 300 + "1 " + "é" * 500 + " 22\n33\t44  55", " ".join(str(k) for k in range(3000))]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(table(list(enumerate(texts))))).collect()}
+    want = slow_find(texts)
+    assert [got[k] for k in range(len(texts))] == want
+    assert want[85].startswith("phone:11:") and want[40].startswith("card:8:") and "email" in want[texts.index("mail bob[at]host.org")]
+
+
+def test_long_identifiers_and_neighbours(spark, table):
+    word = "w" * 200
+    texts = [f"{word} {'a' * 100}{k}@host.org {word}" for k in range(30)] + [f"{word} {'a' * 100}[at]host.org {word}"]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(table(list(enumerate(texts))))).collect()}
+    assert got[30] == f"email:201:{201 + 100 + 12}"
