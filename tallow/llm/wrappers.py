@@ -1,13 +1,21 @@
 """HTML main-text extraction by wrapper inference.
 
-Pages become trees of labelled elements.  A union-free regular expression over
-tags is a tree whose children are in order and are plain, optional or
-repeated; the skeletons of a host's pages are aligned one after the other, and
-mismatches become optional children, neighbours of one label repeated groups,
-text a slot with the number of characters seen in it.  The host's wrapper so
-tells where its text slots are.  The main region is an article or main element
-of the wrapper, or else the element that holds most of the text outside of
-menus, adverts and the like, and each page's text is read from that region.
+Pages are token streams of elements and texts.  A union-free regular
+expression over them is a tree whose children are in order and are plain,
+optional or repeated, repeated groups of several labels included, with slots
+for text.  A host's wrapper is inferred from all of its pages: their different
+expressions are aligned one after the other, in an order of their own, and
+mismatches become optional children, stretches that come again repeated
+groups.  A text slot is variable if its text differs from page to page, and
+constant if nearly all pages have the same text there: then it is part of the
+template.  What a slot holds is counted over all pages, so neither the order
+nor the partitions of pages matter.
+
+The main region is an article or main element of the wrapper, or else the
+element that holds most of the variable text outside of menus, forms and the
+like.  A page's main text is the region's, without its constant slots.  Names
+of classes only break the tie for elements with variable text that tags and
+slots can't tell from an article's: adverts, comments, share buttons.
 """
 
 from __future__ import annotations
@@ -15,10 +23,10 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Generator, Iterator
-from itertools import pairwise
+from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +41,40 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot"
     " th thead tr ul".split()
 )
-OUTSIDE = frozenset("head nav footer aside form menu button dialog input label fieldset".split())
-_MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?"
-    r"|cookies?|consent|notices?|popup|modal|overlay|newsletter|subscribe|share|sharing|social|related|recommended|comments?|commentlist|replies"
-    r"|respond|disqus|footer|masthead|site-header|page-header|topbar|toolbar|pagination|widget)(?:$|[\s_-])",
-    re.I,
+OUTSIDE = frozenset("head nav footer aside form menu dialog input fieldset".split())
+#: Elements that are no text of their own, but may stand in a sentence.
+CONTROLS = frozenset("button label".split())
+SENTENCES = frozenset("p li td th dd dt blockquote h1 h2 h3 h4 h5 h6 figcaption caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names of parts that are no main text, and names that only say what kind of element it is.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs"
+    " cookie cookies consent notice notices popup modal overlay newsletter subscribe share sharing social related recommended comment comments"
+    " commentlist replies reply respond disqus footer masthead topbar toolbar pagination pager widget widgets".split()
 )
+KINDS = frozenset(
+    "area bar block body bottom box btn button buttons col column container content cta first footer form group header holder icon icons inner item"
+    " items last left link links list main media module outer page panel post posts primary right row secondary section site slot small thread title"
+    " top unit wrap wrapper x".split()
+)
+
+
+def marked(names: str) -> bool:
+    """Whether a class, id or role says that an element is no main text.
+
+    One of its names must be made of marks and kinds alone, with a mark, and
+    all others of kinds or marks: "ad-slot" and "share buttons" are, while
+    "related-work", "social history" or "share price" name a subject.
+    """
+    found = False
+    for name in names.split():
+        parts = [x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+", name)]
+        if not all(x in MARKS or x in KINDS for x in parts):
+            return False
+        found = found or any(x in MARKS for x in parts)
+    return found
+
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.S,
@@ -51,15 +86,31 @@ _HOLDS = ("ul", "ol", "dl", "table", "tbody", "thead", "select")
 
 
 class Element:
-    __slots__ = ("children", "label", "outside", "tag")
+    __slots__ = ("children", "label", "outside", "path", "tag")
+
+    def __init__(self, tag: str, label: str, outside: bool, path: int) -> None:
+        self.tag, self.label, self.outside, self.path, self.children = tag, label, outside, path, []
 
-    def __init__(self, tag: str, label: str, outside: bool) -> None:
-        self.tag, self.label, self.outside, self.children = tag, label, outside, []
+
+_PATHS: dict[tuple[int, str], int] = {}
+
+
+def below(path: int, label: str) -> int:
+    """The number of the path of labels that continues ``path`` by ``label``."""
+    got = _PATHS.get((path, label))
+    if got is None:
+        if len(_PATHS) > 200_000:
+            _PATHS.clear()
+        got = _PATHS[path, label] = xxhash.xxh3_64_intdigest(f"{path}/{label}") - (1 << 63)
+    return got
+
+
+_DIGITS = re.compile("[0-9]+")
 
 
 def tree(page: str) -> Element:
     """A tolerant parse: children are elements and texts, which are still escaped."""
-    root = Element("", "", False)
+    root = Element("", "", False, 0)
     stack, at = [root], 0
     #: Where in the stack the open elements of a tag are, and the open blocks.
     places: dict[str, list[int]] = {}
@@ -109,10 +160,12 @@ def tree(page: str) -> Element:
             if last(old) > max(map(last, _HOLDS)):
                 close(last(old))
         marks = {a.lower(): (x or y or z) for a, x, y, z in _ATTRIBUTE.findall(rest)} if rest else {}
-        shown = " ".join(v for v in marks.values() if v)
         inside = last("article") or last("main")
-        outside = tag in OUTSIDE or (tag == "header" and not inside) or bool(shown and tag not in ("html", "body", "article", "main") and _MARKS.search(shown))
-        own = Element(tag, f"{tag}.{marks['class'].split()[0]}" if marks.get("class", "").split() else tag, outside)
+        outside = tag in OUTSIDE or (tag == "header" and not inside) or (tag in CONTROLS and stack[blocks[-1]].tag not in SENTENCES)
+        if marks and tag not in ("html", "body", "article", "main"):
+            outside = outside or any(marked(v) for v in marks.values() if v)
+        label = f"{tag}.{_DIGITS.sub('#', marks['class'].split()[0])}" if marks.get("class", "").split() else tag
+        own = Element(tag, label, outside, below(stack[-1].path, label))
         stack[-1].children.append(own)
         if tag not in VOID and not rest.endswith("/"):
             places.setdefault(tag, []).append(len(stack))
@@ -122,24 +175,23 @@ def tree(page: str) -> Element:
     return root
 
 
-# A skeleton node is [label, flags, characters, children]; flags: 1 optional, 2 repeated, 4 outside of the main text.
-
-
-# Pages may nest to any depth, so nothing here recurses.
+# A node of an expression is [label, flags, children]; flags: 1 optional, 2 repeated.  A group of several labels has the label "".
+# Pages may nest to any depth, so nothing here recurses but over the depth of groups and of alignment, by a stack of generators.
 
 
 def skeleton(element: Element) -> list:
+    """The expression of an element: its elements but those outside of the main text, stretches that come again folded."""
     order = [element]
     for e in order:
-        order.extend(c for c in e.children if not isinstance(c, str) and c.tag not in VOID)
+        order.extend(c for c in e.children if not isinstance(c, str) and c.tag not in VOID and not c.outside)
     made: dict[int, list] = {}
     for e in reversed(order):
-        children = [made.pop(id(c)) for c in e.children if not isinstance(c, str) and c.tag not in VOID]
-        made[id(e)] = [e.label, 4 * e.outside, sum(len(c.strip()) for c in e.children if isinstance(c, str)), folded(children)]
+        children = [made.pop(id(c)) for c in e.children if not isinstance(c, str) and c.tag not in VOID and not c.outside]
+        made[id(e)] = [e.label, 0, folded(children)]
     return made[id(element)]
 
 
-def _run(steps: Generator) -> list:
+def _run(steps) -> list:
     """What a generator returns that yields the pairs it needs aligned."""
     stack, value = [steps], None
     while stack:
@@ -153,21 +205,41 @@ def _run(steps: Generator) -> list:
     return value
 
 
+def _names(node: list) -> tuple:
+    """What a node must share with another to be aligned with it: its label, for a group the labels of its children."""
+    return (node[0],) if node[0] else ("", *(c[0] for c in node[2]))
+
+
 def folded(children: list[list]) -> list[list]:
-    """Neighbours of one label become one repeated child."""
-    if all(c[0] != d[0] for c, d in pairwise(children)):
-        return children
-    return _run(_folded(children))
+    return _run(_folded(children)) if len(children) > 1 else children
 
 
-def _folded(children: list[list]) -> Generator:
+def _folded(children: list[list], longest: int = 6):
+    """Neighbours of one label become one repeated child, then stretches of up to ``longest`` labels that come again repeated groups."""
     out: list[list] = []
     for c in children:
-        if out and out[-1][0] == c[0]:
+        if out and _names(out[-1]) == _names(c):
             out[-1] = yield out[-1], c
             out[-1][1] |= 2
         else:
             out.append(c)
+    for period in range(2, longest + 1):
+        if len(out) < 2 * period:
+            break
+        names, made, k = [_names(c) for c in out], [], 0
+        while k < len(out):
+            same = names[k : k + period]
+            if len(same) == period and names[k + period : k + 2 * period] == same and all(len(n) == 1 for n in same):
+                group = ["", 2, out[k : k + period]]
+                k += period
+                while names[k : k + period] == same:
+                    group = yield group, ["", 2, out[k : k + period]]
+                    k += period
+                made.append(group)
+            else:
+                made.append(out[k])
+                k += 1
+        out = made
     return out
 
 
@@ -176,140 +248,195 @@ def aligned(a: list, b: list) -> list:
     return _run(_aligned(a, b))
 
 
-def _aligned(a: list, b: list) -> Generator:
-    x, y = a[3], b[3]
-    children = []
-    if [c[0] for c in x] == [c[0] for c in y]:
+def _aligned(a: list, b: list, cells: int = 1 << 18):
+    x, y = a[2], b[2]
+    names, others = [_names(c) for c in x], [_names(c) for c in y]
+    children: list[list] = []
+    if names == others:
         for c, d in zip(x, y, strict=True):
             children.append((yield c, d))
+        return [a[0], a[1] | b[1], children]
+    # what begins and what ends alike is aligned without a table
+    n, m, front, back = len(x), len(y), 0, 0
+    while front < min(n, m) and names[front] == others[front]:
+        front += 1
+    while back < min(n, m) - front and names[n - 1 - back] == others[m - 1 - back]:
+        back += 1
+    for c, d in zip(x[:front], y[:front], strict=True):
+        children.append((yield c, d))
+    p, q = x[front : n - back], y[front : m - back]
+    if len(p) * len(q) > cells:
+        # too many children without any period: each of their labels is one optional repeated child, in the order of appearance
+        kinds: dict[tuple, list] = {}
+        for c in (*p, *q):
+            kind = _names(c)
+            kinds[kind] = (yield kinds[kind], c) if kind in kinds else c
+        children += [[c[0], c[1] | 3, c[2]] for c in kinds.values()]
     else:
-        n, m = len(x), len(y)
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        while i < n or j < m:
-            if i < n and j < m and x[i][0] == y[j][0]:
-                children.append((yield x[i], y[j]))
+        i, j = 0, 0
+        best = _longest([_names(c) for c in p], [_names(c) for c in q])
+        while i < len(p) or j < len(q):
+            if i < len(p) and j < len(q) and _names(p[i]) == _names(q[j]):
+                children.append((yield p[i], q[j]))
                 i, j = i + 1, j + 1
-            elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-                children.append([x[i][0], x[i][1] | 1, *x[i][2:]])
+            elif j == len(q) or (i < len(p) and best[i + 1][j] >= best[i][j + 1]):
+                children.append([p[i][0], p[i][1] | 1, p[i][2]])
                 i += 1
             else:
-                children.append([y[j][0], y[j][1] | 1, *y[j][2:]])
+                children.append([q[j][0], q[j][1] | 1, q[j][2]])
                 j += 1
-        children = yield from _folded(children)
-    return [a[0], (a[1] | b[1]) & 3 | a[1] & b[1] & 4, a[2] + b[2], children]
+    for c, d in zip(x[n - back :], y[m - back :], strict=True):
+        children.append((yield c, d))
+    children = yield from _folded(children)
+    return [a[0], a[1] | b[1], children]
+
+
+def _longest(p: list[tuple], q: list[tuple]) -> list[list[int]]:
+    """Lengths of the longest common subsequences of the ends."""
+    best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+    for i in range(len(p) - 1, -1, -1):
+        for j in range(len(q) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if p[i] == q[j] else max(best[i + 1][j], best[i][j + 1])
+    return best
 
 
 def packed(node: list) -> str:
-    """JSON of a skeleton: the nodes in order, each with the number of its children instead of them."""
+    """JSON of an expression: the nodes in order, each with the number of its children instead of them."""
     out, todo = [], [node]
     while todo:
         n = todo.pop()
-        out.append([*n[:3], len(n[3])])
-        todo.extend(reversed(n[3]))
+        out.append([*n[:2], len(n[2])])
+        todo.extend(reversed(n[2]))
     return json.dumps(out)
 
 
 def unpacked(text: str) -> list:
     nodes: list[list] = []
-    for label, flags, chars, n in reversed(json.loads(text)):
+    for label, flags, n in reversed(json.loads(text)):
         children = [nodes.pop() for _ in range(n)]
-        nodes.append([label, flags, chars, children])
+        nodes.append([label, flags, children])
     return nodes[0]
 
 
-def region(wrapper: list) -> list[str]:
-    """Labels from the root down to the main region of a wrapper."""
-    order: list[tuple[list, int]] = []
-    todo = [(wrapper, -1)]
+def region(wrapper: list, chars: dict[int, int]) -> list[str]:
+    """Labels from the root down to the main region of a wrapper; ``chars`` are the variable characters of each path's slot."""
+    order: list[tuple[list, int, int]] = []
+    todo = [(wrapper, -1, 0)]
     while todo:
-        node, parent = todo.pop()
-        if node[1] & 4:
-            continue
-        todo.extend((c, len(order)) for c in reversed(node[3]))
-        order.append((node, parent))
-    masses = [node[2] for node, _ in order]
+        node, parent, path = todo.pop()
+        todo.extend((c, len(order), below(path, c[0]) if c[0] else path) for c in reversed(node[2]))
+        order.append((node, parent, path))
+    masses = [chars.get(path, 0) if node[0] or parent < 0 else 0 for node, parent, path in order]
     for k in range(len(order) - 1, 0, -1):
         masses[order[k][1]] += masses[k]
-    best = max((k for k, (node, _) in enumerate(order) if node[0].split(".")[0] in ("article", "main")), key=lambda k: (masses[k], -k), default=0)
-    path: list[str] = []
+    mains = [k for k, (node, _, _) in enumerate(order) if node[0].split(".")[0] in ("article", "main")]
+    best = max(mains, key=lambda k: (masses[k], -k), default=0)
+    labels: list[str] = []
     while best:
-        path.append(order[best][0][0])
+        if order[best][0][0]:
+            labels.append(order[best][0][0])
         best = order[best][1]
-    if path:
-        return path[::-1]
-    mass = {id(node): m for (node, _), m in zip(order, masses, strict=True)}
-    of = lambda node: mass.get(id(node), 0)
+    if labels:
+        return labels[::-1]
+    mass = {id(node): m for (node, _, _), m in zip(order, masses, strict=True)}
     node = wrapper
     while True:
-        inner = max(node[3], key=of, default=None)
-        if inner is None or inner[1] & 2 or of(inner) < 0.6 * max(1, of(node)) or inner[0].split(".")[0] not in BLOCK:
-            return path
+        inner = max(node[2], key=lambda c: mass[id(c)], default=None)
+        if inner is None or inner[1] & 2 or mass[id(inner)] < 0.6 * max(1, mass[id(node)]) or inner[0].split(".")[0] not in BLOCK:
+            return labels
         node = inner
-        path.append(inner[0])
+        labels.append(inner[0])
 
 
-def located(root: Element, path: list[str]) -> list[Element]:
+def located(root: Element, labels: list[str]) -> list[Element]:
     """The elements of a page at a path of labels, in page order."""
     found = [root]
-    for label in path:
-        found = [c for e in found for c in e.children if not isinstance(c, str) and c.label == label]
+    for label in labels:
+        found = [c for e in found for c in e.children if not isinstance(c, str) and c.label == label and not c.outside]
     return found
 
 
-def text_of(elements: list[Element]) -> str:
-    """Blocks of elements in page order, joined by a line end."""
-    blocks: list[str] = []
+def blocks(elements: list[Element]) -> list[tuple[int, str, str]]:
+    """Path, tag and text of the blocks of elements, in page order; a block is of the nearest block element."""
+    out: list[tuple[int, str, str]] = []
     open_: list[str] = []
+    owners: list[Element] = []
 
     def end() -> None:
-        block = " ".join(html.unescape("".join(open_)).split())
-        if block:
-            blocks.append(block)
+        text = " ".join(html.unescape("".join(open_)).split())
+        if text:
+            out.append((owners[-1].path, owners[-1].tag, text))
         open_.clear()
 
-    todo: list = [x for e in reversed(elements) for x in (None, e)]  # None ends a block
-    while todo:
-        e = todo.pop()
-        if e is None:
-            end()
-        elif isinstance(e, str):
-            open_.append(e)
-        elif not e.outside:
-            if e.tag in BLOCK:
+    for top in elements:
+        owners.append(top)
+        todo: list = [None, *reversed(top.children)]  # None ends the innermost block
+        while todo:
+            e = todo.pop()
+            if e is None:
                 end()
-                todo.append(None)
-            if e.tag == "br":
-                open_.append(" ")
-            todo.extend(reversed(e.children))
-    return "\n".join(blocks)
-
+                owners.pop()
+            elif isinstance(e, str):
+                open_.append(e)
+            elif e.tag in BLOCK:
+                end()
+                if not e.outside:
+                    owners.append(e)
+                    todo.append(None)
+                    todo.extend(reversed(e.children))
+            elif not e.outside:
+                if e.tag == "br":
+                    open_.append(" ")
+                todo.extend(reversed(e.children))
+    return out
 
-def main_text(page: str, path: list[str]) -> str:
-    """The text at a path; if the page has nothing there, that of its own main region."""
-    root = tree(page)
-    out = text_of(located(root, path)) if path else ""
-    return out or text_of(located(root, region(skeleton(root))))
 
+def slots(found: list[tuple[int, str, str]]) -> dict[int, tuple[int, int]]:
+    """What the slot of each path holds on a page: a hash of its texts in order, and their characters."""
+    texts: dict[int, list[str]] = {}
+    for path, _, text in found:
+        texts.setdefault(path, []).append(text)
+    return {p: (xxhash.xxh3_64_intdigest("\n".join(t).encode("utf-8", "surrogatepass")) - (1 << 63), sum(map(len, t))) for p, t in texts.items()}
 
-def _partial(batches: Iterator[pa.RecordBatch], most: int = 5000) -> Iterator[pa.RecordBatch]:
-    """One expression for each host of a partition's pages; handed on when there are ``most`` hosts."""
-    own: dict[str, list] = {}
 
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(map(packed, own.values()), pa.string())], ["host", "wrapper"])
+def main_text(page: str, labels: list[str], constant: dict[int, int] | None = None) -> str:
+    """The text at a path of labels without constant slots; if the page has nothing there, that of its own main region.
 
+    A slot is dropped if it holds what ``constant`` says.  Headings stay, and
+    slots that hold half of the text or more: then the pages are copies of an
+    article, not of a template.
+    """
+    root = tree(page)
+    found = blocks(located(root, labels)) if labels else []
+    if not found:
+        whole = blocks([root])
+        own = slots(whole)
+        found = blocks(located(root, region(skeleton(root), {p: n for p, (h, n) in own.items() if (constant or {}).get(p) != h})))
+    if constant:
+        held = slots(found)
+        same = {p for p, (h, _) in held.items() if constant.get(p) == h}
+        kept = [b for b in found if b[0] not in same or b[1] in HEADINGS]
+        if 2 * sum(len(b[2]) for b in kept) > sum(len(b[2]) for b in found):
+            found = kept
+    return "\n".join(b[2] for b in found)
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a batch's pages: the different expressions of each host, and what the slots hold, with numbers of pages."""
     for batch in batches:
-        for host, page in zip(batch.column(0), batch.column(1), strict=True):
-            host, s = host.as_py(), skeleton(tree(page.as_py() or ""))
-            own[host] = aligned(own[host], s) if host in own else s
-        if len(own) >= most:
-            yield done()
-            own.clear()
-    yield done()
+        shapes: dict[tuple, int] = {}
+        held: dict[tuple, list[int]] = {}
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            root = tree(page.as_py() or "")
+            shape = (host, packed(skeleton(root)))
+            shapes[shape] = shapes.get(shape, 0) + 1
+            for path, (content, chars) in slots(blocks([root])).items():
+                n = held.setdefault((host, path, content), [0, 0])
+                n[0] += 1
+                n[1] += chars
+        rows = [(h, shape, None, None, n, 0) for (h, shape), n in shapes.items()] + [(h, None, p, c, n, m) for (h, p, c), (n, m) in held.items()]
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["host", "shape", "path", "content", "pages", "chars"])
 
 
 def _merged(group: pa.Table) -> pa.Table:
@@ -319,46 +446,63 @@ def _merged(group: pa.Table) -> pa.Table:
     return pa.table({"host": [group.column("host")[0].as_py()], "wrapper": [packed(total)]}, schema=pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host`` and ``wrapper`` (JSON of the expression), from all pages.
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", support: int = 5, agreement: float = 0.95) -> DataFrame:
+    """``host``, ``wrapper`` (JSON of the expression) and ``slots``, an array of (path, chars, constant), from all pages.
 
-    Each partition of pages gives one expression a host, so what meets in a
-    host's task is an expression for each partition that has the host; 64
-    groups a host merge first.
+    A slot is constant if at least ``support`` pages of the host have it and
+    ``agreement`` of them hold the same there; ``constant`` is then a hash of
+    that, else null.  A host's different expressions meet in its task, in 64
+    groups by their hash before; digits in class names don't count, so a host
+    has as many as its templates differ.
     """
     rows = pages.select(host_of(F.coalesce(F.col(url_col), F.lit(""))).alias("host"), F.col(html_col).alias("html"))
-    first = rows.mapInArrow(_partial, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(64)))
-    some = first.groupBy("host", "salt").applyInArrow(_merged, "host string, wrapper string")
-    return some.groupBy("host").applyInArrow(_merged, "host string, wrapper string")
+    seen = materialise(rows.mapInArrow(_seen, "host string, shape string, path long, content long, pages long, chars long"), "seen")
+    shapes = seen.filter("shape is not null").select("host", F.col("shape").alias("wrapper")).distinct()
+    some = shapes.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(64))).groupBy("host", "salt").applyInArrow(_merged, "host string, wrapper string")
+    whole = some.groupBy("host").applyInArrow(_merged, "host string, wrapper string")
+    held = seen.filter("path is not null").groupBy("host", "path", "content").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
+    slot = held.groupBy("host", "path").agg(F.sum("pages").alias("n"), F.sum("chars").alias("chars"), F.max(F.struct("pages", "content")).alias("top"))
+    steady = (F.col("n") >= support) & (F.col("top.pages") >= agreement * F.col("n"))
+    slot = slot.select("host", F.struct("path", "chars", F.when(steady, F.col("top.content")).alias("constant")).alias("slot"))
+    return whole.join(slot.groupBy("host").agg(F.collect_list("slot").alias("slots")), "host", "left")
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The path to each wrapper's main region, and its constant slots."""
+    for batch in batches:
+        labels, constant = [], []
+        for wrapper, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            labels.append(" ".join(region(unpacked(wrapper), {s["path"]: s["chars"] for s in held or [] if s["constant"] is None})))
+            constant.append([(s["path"], s["constant"]) for s in held or [] if s["constant"] is not None])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(constant, pa.map_(pa.int64(), pa.int64()))], ["host", "labels", "constant"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths = batch.column(3).to_pylist()
-        texts = [main_text(p.as_py() or "", path.split(" ") if path else []) for p, path in zip(batch.column(2), paths, strict=True)]
+        texts = [
+            main_text(page.as_py() or "", labels.split(" ") if labels else [], dict(constant or []))
+            for page, labels, constant in zip(batch.column(2), *(batch.column(k).to_pylist() for k in (3, 4)), strict=True)
+        ]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"]
         )
 
 
-def _region_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        paths = [" ".join(region(unpacked(w))) for w in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], ["host", "path"])
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: int = 5, agreement: float = 0.95) -> DataFrame:
     """``id_col``, ``url``, ``text``, ``n_chars`` of every page.
 
-    Null and empty pages give an empty text.  Pages without a host (a null
-    URL, or one without ://) share a wrapper.  A row in gives a row out,
-    repeated ones too; other columns are not read.  No rows give no rows.
-    The table of regions has a row for each host; Spark joins it by broadcast
-    under its threshold and by sorted merge beyond.
+    Null and empty pages give an empty text; very long ones and such of any
+    depth are read whole.  Pages without a host (a null URL, or one without
+    ://) share a wrapper.  A row in gives a row out, repeated ones too, and
+    each counts for the wrapper; of two regions with as many characters the
+    first in the wrapper is taken.  Other columns are not read.  No rows give
+    no rows.  The table of regions has a row for each host; Spark joins it by
+    broadcast under its threshold and by sorted merge beyond.
     """
-    regions = materialise(wrappers(pages, url_col, html_col).mapInArrow(_region_of, "host string, path string"), "regions")
+    regions = wrappers(pages, url_col, html_col, support, agreement).select("host", "wrapper", "slots")
+    regions = materialise(regions.mapInArrow(_regions, "host string, labels string, constant map<long,long>"), "regions")
     kind = dict(pages.dtypes)[id_col]
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.withColumn("host", host_of(F.coalesce(F.col("url"), F.lit(""))))
-    joined = rows.join(regions, "host", "left").select("id", "url", "html", "path")
+    joined = rows.join(regions, "host", "left").select("id", "url", "html", "labels", "constant")
     return joined.mapInArrow(_extracted, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

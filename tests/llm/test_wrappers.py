@@ -1,4 +1,5 @@
-import json
+import random
+import time
 
 from tallow.llm import wrappers as w
 
@@ -32,9 +33,79 @@ def test_alignment_is_union_free():
     tree = lambda h: w.skeleton(w.tree(h))
     a, b = tree("<div><p>x</p><p>y</p><i>z</i></div>"), tree("<div><p>x</p><u>q</u></div>")
     both = w.aligned(a, b)
-    div = both[3][0]
-    assert [c[0] for c in div[3]] == ["p", "i", "u"] and div[3][0][1] & 2 and div[3][1][1] & 1 and div[3][2][1] & 1
-    assert json.loads(json.dumps(both)) == both and w.aligned(both, a)[3][0][3][0][1] & 2
+    div = both[2][0]
+    assert [c[0] for c in div[2]] == ["p", "i", "u"] and div[2][0][1] & 2 and div[2][1][1] & 1 and div[2][2][1] & 1
+    assert w.unpacked(w.packed(both)) == both and w.aligned(both, a)[2][0][2][0][1] & 2
+
+
+def test_groups_of_several_labels_are_folded():
+    div = w.skeleton(w.tree("<div><h2>a</h2><p>b</p><h2>c</h2><p>d</p><p>e</p><h2>f</h2><p>g</p><ul><li>x</ul></div>"))[2][0]
+    assert [c[0] for c in div[2]] == ["", "ul"] and div[2][0][1] & 2 and [c[0] for c in div[2][0][2]] == ["h2", "p"] and div[2][0][2][1][1] & 2
+    assert w.aligned(div, w.skeleton(w.tree("<div><h2>a</h2><p>b</p><h2>c</h2><p>d</p></div>"))[2][0])[2][1][1] & 1
+
+
+def test_long_pages_take_seconds(spark):
+    began = time.perf_counter()
+    alternating = "<article>" + "<h2>a</h2><p>b</p>" * 10_000 + "</article>"
+    rnd = random.Random(1)
+    mixed = ["<article>" + "".join(f"<{t}>x</{t}>" for t in rnd.choices(["p", "ul", "h2", "pre", "table"], k=20_000)) + "</article>" for _ in range(3)]
+    rows = [(k, "http://long.org/x", page(h)) for k, h in enumerate([alternating, *mixed])]
+    got = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0].count("\n") == 19_999 and all(got[k].count("\n") == 19_999 for k in (1, 2, 3))
+    assert time.perf_counter() - began < 60
+
+
+def template(k, host="h.org"):
+    words = f"story {k} " * 20
+    return (k, f"http://{host}/{k}", page(f"<article><h1>T{k}</h1><p>{words}</p><div>All rights reserved. Terms apply.</div><div class='related-work'>work {k}</div><div class='social history'>past {k}</div><p>end {k}</p></article>"))
+
+
+def test_constant_slots_are_the_template(spark):
+    """With its wrapper a host's constant line goes; without one, or on too few pages, it stays.  Names of subjects are no marks."""
+    want = lambda k, line: f"T{k}\n{(f'story {k} ' * 20).strip()}\n{line}work {k}\npast {k}\nend {k}"
+    rows = [template(k) for k in range(6)] + [template(10 + k, "few.org") for k in range(3)]
+    got = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    line = "All rights reserved. Terms apply.\n"
+    assert all(got[k] == want(k, "") for k in range(6)) and all(got[10 + k] == want(10 + k, line) for k in range(3))
+    assert w.main_text(rows[0][2], [], {}) == want(0, line)
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    same = template(1)
+    rows = [(k, same[1], same[2]) for k in range(8)]
+    got = {r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 1 and got.pop().startswith("T1\nstory 1")
+
+
+def test_result_is_that_of_a_slow_version_whatever_the_partitions(spark):
+    """Constant slots by counting texts page by page; expressions of pages in any order and partitions."""
+    rnd = random.Random(2)
+    rows = []
+    for k in range(60):
+        host = f"h{k % 4}.org"
+        parts = [f"<p>{rnd.choice('abcdef')} {k} words</p>" * rnd.randint(1, 4), "<div>constant line</div>" if k % 4 != 3 or rnd.random() < 0.5 else "<div>odd</div>", f"<section><p>x{k}</p></section>" * rnd.randint(0, 2), f"<ul><li>{k}</li></ul>"]
+        rows.append((k, f"https://{host}/p", page(f"<article><h1>head</h1>{''.join(parts)}</article>")))
+    schema = "page_id long, url string, html string"
+    got = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, schema).repartition(1)).collect()}
+    rnd.shuffle(rows)
+    assert got == {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, schema).repartition(7)).collect()}
+    for k, url, source in rows:
+        mine = [h for _, u, h in rows if u == url]
+        lines = w.main_text(source, ["html", "body", "article"]).split("\n")
+        common = sum("<div>constant line</div>" in h for h in mine) >= 0.95 * len(mine)
+        want = [x for x in lines if not (common and x == "constant line")]
+        assert got[k].split("\n") == want
+
+
+def test_names_that_are_marks():
+    for name in ("ad", "ad-slot", "share buttons", "post_comments", "relatedPosts", "cookie-notice", "sidebar left"):
+        assert w.marked(name), name
+    for name in ("", "related-work", "social history", "share price", "comments-on-policy", "content", "main", "shared", "adventure"):
+        assert not w.marked(name), name
+
+
+def test_controls_in_a_sentence_stay():
+    assert w.main_text("<article><p>Press <button>OK</button> or the <label>name</label> now.</p><button>Send</button><form><label>x</label></form></article>", []) == "Press OK or the name now."
 
 
 def test_broken_markup_and_depth():
