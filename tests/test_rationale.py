@@ -1,46 +1,88 @@
 """Rules of rationale quality and of replayed episodes."""
 
 import json
+import time
+from difflib import SequenceMatcher
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tallow.functions import grounding as g
 from tallow.operators import rationale as r
 from tallow.operators import replay
 
 
-def test_folding_and_near_substrings():
-    assert r.folded("Ad-Dīn Ñ 9") == "addinn9" and r.near_substring("Nayrizi", "al-Nairizi the mathematician") and not r.near_substring("Paris", "London")
-    assert not r.near_substring("", "x") and not r.near_substring("abc", "xyz")
+def one(spark, **columns):
+    """The values of column expressions over no data."""
+    return spark.range(1).select(*[c.alias(k) for k, c in columns.items()]).first()
 
 
-def test_dates_and_aliases():
-    assert r.dates("1066March3, 1887", "") == {"march 3 1887", "3 march 1887"}
-    assert "gianfranco" in r.aliases('Franco "Gianfranco" Zeffirelli, KBE', r.normal('Franco "Gianfranco" Zeffirelli, KBE'))
-    assert r.name_tokens("Franco Zeffirelli, KBE (born 1923)", "") == ["franco", "zeffirelli"]
+def test_folding_and_near_names():
+    assert r.folded("Ad-Dīn Ñ 9") == "addinn9" and r.near("Nayrizi", "al-Nairizi the mathematician") and not r.near("Paris", "London")
+    assert not r.near("", "x") and not r.near("abc", "xyz") and r.near("al-Nairizi", "Nairizi")
+
+
+@given(st.text("abcd", min_size=5, max_size=9), st.text("abcde", max_size=60))
+def test_stretches_are_skipped_only_if_they_cant_be_alike(name, text):
+    stretches = [text[k : k + len(name)] for k in range(max(len(text) - len(name) + 1, 1))]
+    assert r.alike(name, text) == any(SequenceMatcher(None, name, x).ratio() >= r.ALIKE for x in stretches)
+
+
+def test_long_texts_are_compared_in_linear_time():
+    began = time.perf_counter()
+    assert not r.near("zzzzqqqq", "the quick brown fox " * 50_000)
+    assert time.perf_counter() - began < 5
+
+
+def test_forms_of_an_answer(spark):
+    answer = 'Franco "Gianfranco" Zeffirelli, KBE (born 1923)'
+    got = one(spark, a=g.aliases(F.lit(answer)), n=g.name_tokens(F.lit("Franco Zeffirelli, KBE (born 1923)")), d=g.legal_dates(F.lit("1066March3, 1887")), u=g.aliases(F.lit("British")), k=g.aliases(F.lit("John Doe, better known as Johnny (singer)")))
+    assert "gianfranco" in got.a and got.n == ["franco", "zeffirelli"] and set(got.d) == {"march 3 1887", "3 march 1887"}
+    assert set(got.u) == {"british", "britain", "uk", "united kingdom", "great britain"} and {"johnny", "john doe"} <= set(got.k)
 
 
 @pytest.mark.parametrize(
     ("answer", "said", "ok"),
-    [("London", "So he was born in London.", True), ("London", "He was born in Paris.", False), ("yes", "Both share a nationality.", True), ("no", "They do not agree.", True), ("Italian", "She came from Italy.", True), ("", "", False), ("Michael Smith", "Mike met others, therefore it was smith", True)],
-)
-def test_answers_are_derived(answer, said, ok):
-    assert r.derives(answer, said, "", "") is ok
+    [
+        ("London", "So he was born in London.", True), ("London", "He was born in Paris.", False), ("yes", "Both share a nationality.", True), ("no", "They do not agree.", True),
+        ("Italian", "She came from Italy.", True), ("", "", False), ("Michael Smith", "Mike met others, therefore it was smith", True), ("Michael Smith", "Anna met others, therefore it was smith", False),
+        ("the Long and Winding Road to the Sea", "it is called winding the sea road", False), ("one two three four five six", "said: two three four!", True), ("U2", "They saw U2 live.", True),
+    ],
+)
+def test_answers_are_arrived_at(spark, answer, said, ok):
+    empty = F.array().cast("array<string>")
+    assert one(spark, v=g.arrives(F.lit(said), F.lit(answer), F.lit(""), F.lit(""), empty)).v is ok
+
+
+def test_novel_names(spark):
+    sources = ["Who directed Film X?", "Ada Example", "Film X was directed by Ada Example in Italy. She won an Award in the Julian year."]
+    names = lambda said: one(spark, v=g.novel_names(F.lit(said), F.array(*map(F.lit, sources)), F.lit(r.folded(" ".join(sources))))).v
+    assert names("Ada Example directed Film X. Therefore Italian cinema counts.") == []
+    assert names("Bogus Person directed it.") == ["Bogus Person"]
+    assert names("The Awards of Ada. Because Both Example films. Gregorian dates, Old Style.") == []
+    assert names("She lived in Brazil and in Europe.") == ["Brazil"]
 
 
-def test_novel_names():
-    sources = ["Who directed Film X?", "Ada Example", "Film X was directed by Ada Example in Italy."]
-    assert r.novel_names("Ada Example directed Film X. Therefore Italian cinema counts.", sources) == []
-    assert r.novel_names("Bogus Person directed it.", sources) == ["Bogus Person"]
+def judged(spark, raw, answer, question, evidence):
+    rows = spark.createDataFrame([(1, raw, answer, question, evidence)], "id long, raw string, answer string, question string, evidence array<string>")
+    return r.score_rationales(rows, "id", "raw", "answer", "question", "evidence").first()
 
 
-def test_judgement():
+def test_judgement(spark):
     good = "Film X was directed by Ada Example. Ada Example was born in London, which the second text states clearly. Therefore the answer to the question is London."
     evidence = ["Film X was directed by Ada Example", "Ada Example was born in London"]
-    got = r.judge("```json\n" + json.dumps({"reasoning": good}) + "\n```", "London", "Where was the director of Film X born?", evidence)
-    assert got["accepted"] and got["score"] == 5 and got["bridged"]
-    assert not r.judge(json.dumps({"reasoning": good + " <answer>London</answer>"}), "London", "", evidence)["accepted"]
-    assert not r.judge("plain text", "London", "", evidence)["parsed"]
+    question = "Where was the director of Film X born?"
+    got = judged(spark, "```json\n" + json.dumps({"reasoning": good}) + "\n```", "London", question, evidence)
+    assert got.accepted and got.score == 5 and got.bridged and got.covered == 2
+    assert judged(spark, "well: " + json.dumps({"reasoning": good}) + " done", "London", question, evidence).accepted
+    assert not judged(spark, json.dumps({"reasoning": good + " <answer>London</answer>"}), "London", "", evidence).accepted
+    assert not judged(spark, json.dumps({"reasoning": good + " As an AI, I must stop."}), "London", question, evidence).clean
+    spelled = judged(spark, json.dumps({"reasoning": "the name nairizi is what the text gives, so it is the one"}), "Abu'l-Abbas al-Fadl ibn Hatim al-Nayrīzī", "who was nairizi", ["x"])
+    assert spelled.derived
+    none = judged(spark, "plain text", "London", "", evidence)
+    assert (none.parsed, none.score, none.clean, none.accepted, none.novel) == (False, 0, True, False, [])
 
 
 def test_phases_and_truncation(spark):
