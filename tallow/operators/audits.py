@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import ordered_places, running_sums
+
 
 def share(condition: Column) -> Column:
     """Mean of a condition, null counted as false."""
@@ -16,46 +18,50 @@ def ratio(a: Column, b: Column) -> Column:
     return F.sum(a) / F.greatest(F.lit(1), F.sum(b))
 
 
+def _ranked_values(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``group``, ``value``, ``upto`` (rows of the group up to and with the value) and the group's ``total``: a row for each different value."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    summed = running_sums(counts, [group, value], ["n"])
+    base = summed.groupBy(F.col(group).alias("_g")).agg(F.min(F.col("upto_n") - F.col("n")).alias("base"), F.sum("n").alias("total"))
+    return summed.join(base, F.col(group).eqNullSafe(F.col("_g"))).select(group, value, (F.col("upto_n") - F.col("base")).alias("upto"), "total")
+
+
 def nearest_ranks(df: DataFrame, group: str, value: str, quantiles: dict[str, float]) -> DataFrame:
     """Percentiles by sorted[round((n - 1) * q)], rounding half to even: ``group`` and a column for each name.
 
-    Counts by value are summed in order, so that no task holds a group's rows.
+    Counts by value are summed in ranges, so that no task holds a group's rows, however many different values it has.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(group)
-    counts = counts.withColumn("upto", F.sum("n").over(w.orderBy(value))).withColumn("total", F.sum("n").over(w))
     at = {k: F.min(F.when(F.col("upto") > F.bround((F.col("total") - 1) * F.lit(q)), F.col(value))).alias(k) for k, q in quantiles.items()}
-    return counts.groupBy(group).agg(*at.values())
+    return _ranked_values(df, group, value).groupBy(group).agg(*at.values())
 
 
-def placed(df: DataFrame, score: str, order: list, descending: bool = False) -> DataFrame:
-    """``place`` (from 0) of each row by score, then by ``order``.
+def linear_quantiles(df: DataFrame, group: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Percentiles between the two nearest ranks in proportion, in the same way."""
+    out = []
+    for name, q in quantiles.items():
+        place = (F.col("total") - 1) * F.lit(float(q))
+        low, high = (F.min(F.when(F.col("upto") > f(place), F.col(value))) for f in (F.floor, F.ceil))
+        part = F.max(place - F.floor(place))
+        out.append((low + part * (high - low)).alias(name))
+    return _ranked_values(df, group, value).groupBy(group).agg(*out)
 
-    Counts by score are summed and joined back; only rows of one score are
-    sorted together, never all rows in one task.
-    """
-    counts = df.groupBy(score).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc(score) if descending else F.asc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(score, F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))
-    inside = F.row_number().over(Window.partitionBy(score).orderBy(*order)) - 1
-    return df.join(offsets, score).withColumn("place", F.col("offset") + inside).drop("offset")
+
+def placed(df: DataFrame, score: str, order: list, descending: bool = False) -> DataFrame:
+    """``place`` (from 0) of each row by score, then by ``order``."""
+    return ordered_places(df, [F.desc(score) if descending else F.asc(score), *order]).drop("total")
 
 
 def cumulative_precision(df: DataFrame, label: str, score: str, id_col: str) -> DataFrame:
     """``id_col`` and ``precision`` at each row of label 1, by descending score, label 0 first among ties."""
-    rows = placed(df, score, [label, id_col], descending=True)
-    hits = placed(df.filter(F.col(label) == 1), score, [id_col], descending=True).select(id_col, F.col("place").alias("hit"))
-    return rows.filter(F.col(label) == 1).join(hits, id_col).select(id_col, ((F.col("hit") + 1) / (F.col("place") + 1)).alias("precision"))
+    rows = df.select(id_col, label, score, F.lit(1).alias("row"), (F.col(label) == 1).cast("int").alias("hit"))
+    rows = running_sums(rows, [F.desc(score), F.col(label), F.col(id_col)], ["row", "hit"])
+    return rows.filter("hit = 1").select(id_col, (F.col("upto_hit") / F.col("upto_row")).alias("precision"))
 
 
 def midranks(df: DataFrame, score: str) -> DataFrame:
-    """``midrank``: the mean place of a row among those of its score.
-
-    Counts by score are summed, so that only one row a score is windowed.
-    """
-    counts = df.groupBy(score).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("midrank", before + (F.col("n") + 1) / 2).drop("n")
+    """``midrank``: the mean place of a row among those of its score."""
+    counts = running_sums(df.groupBy(score).agg(F.count("*").alias("n")), [score], ["n"])
+    ranks = counts.select(score, (F.col("upto_n") - F.col("n") + (F.col("n") + 1) / 2).alias("midrank"))
     return df.join(ranks, score)
 
 
@@ -78,14 +84,12 @@ def confusion(df: DataFrame, gold: str, predicted: str, positive) -> DataFrame:
 def threshold_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """Recalls and balanced accuracy at each different score as threshold (positive: at or above).
 
-    Cumulative counts over one row a score replace the thresholds x rows product.
+    Running counts over one row a score replace the thresholds x rows product.
     """
     per = df.groupBy(F.col(score).alias("threshold")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg"))
-    everything = Window.partitionBy()
-    above = Window.orderBy(F.desc("threshold"))
-    per = per.withColumn("tp", F.sum("pos").over(above)).withColumn("fp", F.sum("neg").over(above))
-    recall_pos = F.col("tp") / F.sum("pos").over(everything)
-    recall_neg = 1 - F.col("fp") / F.sum("neg").over(everything)
+    per = running_sums(per, [F.desc("threshold")], ["pos", "neg"])
+    recall_pos = F.col("upto_pos") / F.col("total_pos")
+    recall_neg = 1 - F.col("upto_neg") / F.col("total_neg")
     return per.select("threshold", recall_pos.alias("recall_pos"), recall_neg.alias("recall_neg"), ((recall_pos + recall_neg) / 2).alias("balanced"))
 
 
