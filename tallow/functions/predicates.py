@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scores import jaccard
-from .text import capability_tokens, loose_query, padded_contains, query_key, state_words, text
+from .scores import jaccard, let
+from .text import capability_tokens, loose_query, normalize_answer, padded_contains, query_key, state_words, text
 
 
-def eligible(question: Column, golds: Column) -> Column:
-    return (F.trim(question) != "") & F.exists(golds, lambda g: F.trim(g) != "")
+def eligible(question: Column, golds: Column, facts: Column, contexts: Column) -> Column:
+    """A question, a gold answer that isn't blank, a valid supporting fact, and contexts."""
+    asked = (F.trim(question) != "") & F.exists(golds, lambda g: F.trim(g) != "")
+    return F.coalesce(asked & (F.size(supporting_facts(facts)) > 0) & (F.size(contexts) > 0), F.lit(False))
 
 
 def supporting_facts(facts: Column) -> Column:
@@ -19,9 +21,34 @@ def supporting_facts(facts: Column) -> Column:
     return F.filter(rows, lambda f: f["title"].isNotNull() & f["sentence_id"].isNotNull())
 
 
-def two_hop(first: Column, second: Column, answer: Column, question: Column) -> Column:
-    """Whether the answer stands in the first text alone, and not in the question; all normalized."""
-    return padded_contains(first, answer) & ~padded_contains(second, answer) & ~padded_contains(question, answer)
+def visible_in(needle: Column, haystack: Column) -> Column:
+    """Whether a text shows another one as whole normalized tokens."""
+    return padded_contains(normalize_answer(haystack), normalize_answer(needle))
+
+
+def two_hop(question: Column, answer: Column, contexts: Column, facts: Column, distractors: int = 8) -> Column:
+    """A two-hop graph as a struct, null for a sample that has none.
+
+    ``contexts`` has (title, text), the last of a title counts; ``facts`` has
+    (title, sentence).  Two titles support the answer, which only the text of
+    one, b, shows; the other, a, names b; the question doesn't; a fact of b
+    shows the answer; and ``distractors`` other contexts don't.
+    """
+    text_of = lambda title: F.element_at(F.filter(contexts, lambda c: c["title"] == title), -1)["text"]
+    titles = F.array_distinct(F.transform(facts, lambda f: f["title"]))
+    known = (F.size(titles) == 2) & F.forall(titles, lambda t: F.exists(contexts, lambda c: c["title"] == t))
+    showing = F.filter(titles, lambda t: visible_in(answer, text_of(t)))
+
+    def graph(b: Column) -> Column:
+        a = F.get(F.filter(titles, lambda t: t != b), 0)
+        own = lambda t: F.filter(F.transform(F.filter(facts, lambda f: f["title"] == t), lambda f: F.trim(f["sentence"])), lambda x: x.isNotNull())
+        others = F.filter(contexts, lambda c: (c["title"] != a) & (c["title"] != b) & ~visible_in(answer, c["text"]))
+        good = visible_in(b, text_of(a)) & ~visible_in(b, question) & F.exists(own(b), lambda x: visible_in(answer, x)) & (F.size(others) >= distractors)
+        found = F.struct(a.alias("a"), b.alias("b"), text_of(a).alias("text_a"), text_of(b).alias("text_b"), F.array_join(own(a), " ").alias("fact_a"), F.array_join(own(b), " ").alias("fact_b"), others.alias("distractors"))
+        return F.when(good, found)
+
+    # a title that alone shows the answer: the other one's text then doesn't
+    return F.when(known & (F.size(showing) == 1), let(F.get(showing, 0), graph))
 
 
 def covered(gold: Column, got: Column) -> Column:
@@ -32,9 +59,10 @@ def _count(steps: Column, kind: str) -> Column:
     return F.size(F.filter(steps, lambda s: s["step_type"] == kind))
 
 
-def valid_state(steps: Column) -> Column:
-    filled = F.forall(steps, lambda s: F.length(s["content"]) > 0)
-    return (_count(steps, "search") == 1) & (_count(steps, "observation") >= 1) & filled
+def valid_state(steps: Column, sources: Column, provider: str, errors: Column) -> Column:
+    """A state after one search: observed, with documents that all are the provider's, and no retrieval error."""
+    seen = (_count(steps, "search") == 1) & (_count(steps, "observation") >= 1)
+    return seen & (F.size(sources) > 0) & F.forall(sources, lambda s: F.coalesce(s == provider, F.lit(False))) & (F.coalesce(errors, F.lit(0)) == 0)
 
 
 def no_search(steps: Column) -> Column:
@@ -73,9 +101,36 @@ def leak_pattern(c) -> Column:
     return text(c).rlike(r"(?i)hotpot.?qa|huggingface\.co/datasets|datasets-server|kaggle\.com/datasets")
 
 
+#: Ranges of IPv4 addresses that aren't global: first address and number of leading bits.
+NOT_GLOBAL = (
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24),
+    ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4),
+)
+
+
+def address_ranges() -> list[tuple[int, int]]:
+    """First and last number of each range of NOT_GLOBAL."""
+    number = lambda x: sum(int(part) << 8 * k for k, part in enumerate(reversed(x.split("."))))
+    return [(number(first), number(first) + (1 << 32 - bits) - 1) for first, bits in NOT_GLOBAL]
+
+
 def public_http(c) -> Column:
-    """Scheme and host part of the guard; names aren't resolved."""
-    return F.regexp_extract(text(c), "^([a-zA-Z]+):", 1).isin("http", "https") & (_host(c) != "")
+    """Scheme and host part of the guard; names aren't resolved, but literal addresses and localhost need no resolver.
+
+    A host that ends in a number or 0x is an address: four numbers up to 255,
+    none of the ranges that aren't global.  Other spellings of addresses, and
+    IPv6 but for 2000::/3 outside of the documentation range, are refused.
+    """
+    scheme = F.lower(F.regexp_extract(text(c), "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
+    host = F.regexp_replace(F.regexp_replace(_host(c), "^.*@", ""), ":[0-9]*$", "")
+    parts = F.transform(F.split(host, r"\."), lambda x: x.try_cast("long"))
+    quad = host.rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?!$)|$)){4}$")
+    number = F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
+    local = F.exists(F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in address_ranges()]), lambda r: number.between(r["a"], r["b"]))
+    named = (host != "") & ~host.rlike(r"(?:^|\.)localhost$") & ~host.contains("[")
+    address = host.rlike(r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)\.?$")
+    six = host.rlike(r"^\[[23][0-9a-f]{3}:") & ~host.rlike(r"^\[2001:0?db8:")
+    return scheme.isin("http", "https") & F.when(address, F.when(quad, ~local).otherwise(False)).otherwise(named | six)
 
 
 def depth(seen: Column, support: Column) -> Column:
@@ -108,8 +163,17 @@ def novelty(a, b) -> Column:
     )
 
 
-def hop_label(novel: Column, conditioned: Column, new_documents: Column) -> Column:
-    return F.when(novel != "rewrite", "duplicate").when(~new_documents, "no_new").when(conditioned, "conditioned_new").otherwise("unconditioned_new")
+def hop_label(novel: Column, conditioned: Column, new_documents: Column, new_facts: Column) -> Column:
+    """What a second search was: a repetition with or without new documents, or a new query that used the observation or didn't."""
+    fresh = (new_documents > 0) | (new_facts > 0)
+    again = novel.isin("exact_duplicate", "normalized_duplicate", "semantic_duplicate")
+    return (
+        F.when(again & ~fresh, "duplicate_retry")
+        .when(again, "duplicate_but_new_docs")
+        .when(conditioned & fresh, "obs_conditioned_hop")
+        .when(conditioned, "obs_conditioned_no_new_docs")
+        .otherwise("rewrite_not_obs_conditioned")
+    )
 
 
 def quadrant(direct: Column, oracle: Column) -> Column:

@@ -25,7 +25,57 @@ def sft_row(sample_id: Column, category: str, question: Column, target: Column,
 
 def tagged(**parts: Column) -> Column:
     """Tags around bodies, in order, joined by line ends."""
-    return F.concat_ws("\n", *[F.concat(F.lit(f"<{k}>"), v, F.lit(f"</{k}>")) for k, v in parts.items()])
+    return F.concat_ws("\n", *[F.concat(F.lit(f"<{k}>\n"), v, F.lit(f"\n</{k}>")) for k, v in parts.items()])
+
+
+def evidence_block(refs: Column) -> Column:
+    """References (document_id, title, sentence_id, text) as cited lines."""
+    line = lambda r: F.concat(F.lit("[document_id="), r["document_id"], F.lit(" | title="), r["title"], F.lit(" | sentence_id="), r["sentence_id"].cast("string"), F.lit("]\n"), r["text"])
+    return F.array_join(F.transform(refs, line), "\n")
+
+
+def documents_block(documents: Column) -> Column:
+    """Documents (title, text) as numbered paragraphs."""
+    return F.array_join(F.transform(documents, lambda d, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), d["title"], F.lit("\n"), d["text"])), "\n\n")
+
+
+def target(category: str, question: Column, gold: Column, refs: Column, documents: Column, reasoning: Column | None = None) -> Column:
+    """What a row of a category should answer."""
+    cited = evidence_block(refs)
+    return {
+        "internal": lambda: tagged(internal=F.lit("Use internal knowledge."), answer=gold),
+        "evidence": lambda: tagged(evidence=cited, answer=gold),
+        "evidence_reasoning": lambda: tagged(evidence=cited, reasoning=reasoning, answer=gold),
+        "search_format": lambda: tagged(search=question, observation=documents_block(documents), evidence=cited, answer=gold),
+    }[category]()
+
+
+def user_turn(category: str, question: Column, documents: Column) -> Column:
+    """The question, with the documents for the categories that read evidence."""
+    asked = F.concat(F.lit("Question: "), question)
+    return F.concat(asked, F.lit("\n\nDocuments:\n"), documents_block(documents)) if category.startswith("evidence") else asked
+
+
+def template_reasoning(refs: Column, gold: Column) -> Column:
+    """A rationale that holds every reference's text and the answer."""
+    return F.concat(F.array_join(F.transform(refs, lambda r: r["text"]), " "), F.lit(" Therefore, the answer is "), gold, F.lit("."))
+
+
+def packed_documents(contexts: Column, facts: Column, noisy: bool, order, most: int = 3) -> Column:
+    """Input documents of a row: (title, text, role, rank).
+
+    A clean view has the supporting titles' contexts, in the order of the
+    facts; a noisy one has ``most`` others among them.  ``order`` gives the
+    key that picks and orders them by, from a title.
+    """
+    titles = F.array_distinct(F.transform(facts, lambda f: f["title"]))
+    of = lambda t: F.element_at(F.filter(contexts, lambda c: c["title"] == t), -1)["text"]
+    gold = F.transform(F.filter(titles, lambda t: F.exists(contexts, lambda c: c["title"] == t)), lambda t: F.struct(t.alias("title"), of(t).alias("text"), F.lit("gold_supporting").alias("role")))
+    by_key = lambda docs: F.transform(F.array_sort(F.transform(docs, lambda d: F.struct(order(d["title"]).alias("key"), d.alias("d")))), lambda x: x["d"])
+    others = F.filter(contexts, lambda c: ~F.array_contains(titles, c["title"]))
+    others = F.transform(others, lambda c: F.struct(c["title"].alias("title"), c["text"].alias("text"), F.lit("distractor").alias("role")))
+    packed = by_key(F.concat(gold, F.slice(by_key(others), 1, most))) if noisy else gold
+    return F.transform(packed, lambda d, i: F.struct(d["title"].alias("title"), d["text"].alias("text"), d["role"].alias("role"), (i + 1).alias("rank")))
 
 
 def sharegpt(messages: Column) -> Column:

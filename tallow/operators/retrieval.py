@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import benchmark_url, public_http
 from ..functions.text import bm25_terms, content_id, sentences, web_tokens
 
 
@@ -53,3 +54,48 @@ def chunks(pages: DataFrame, query: Column, id_col: str, text: str, least: int =
     rows = rows.select(id_col, "position", F.substring("block", 1, most).alias("text"), score.alias("score"), content_id(key, "web_", 12).alias("document_id"))
     first = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("score"), id_col, "position"))
     return rows.withColumn("n", first).filter("n = 1").drop("n")
+
+
+def context_documents(responses: DataFrame, id_col: str, query: str, items: str, most: int = 1400) -> DataFrame:
+    """Documents of a context provider, in its order: (``id_col``, rank, document_id, title, url, text, score).
+
+    ``items`` has (url, title, snippets).  Leaks of benchmarks go before ranks
+    are given; snippets are joined and cut, and the score is the number of
+    the query's tokens in the text.
+    """
+    kept = F.filter(items, lambda x: ~F.coalesce(benchmark_url(x["url"]), F.lit(False)))
+    rows = responses.select(id_col, F.col(query).alias("query"), F.posexplode(kept).alias("place", "x"))
+    rows = rows.select(id_col, "query", (F.col("place") + 1).alias("rank"), F.col("x.title").alias("title"), F.col("x.url").alias("url"), F.substring(F.array_join("x.snippets", "\n\n"), 1, most).alias("text"))
+    score = F.size(F.array_intersect(web_tokens("query"), web_tokens("text"))).cast("double")
+    return rows.select(id_col, "rank", content_id(F.concat_ws("\n", "url", "text"), "web_", 12).alias("document_id"), "title", "url", "text", score.alias("score"))
+
+
+def requests(asked: DataFrame, index: DataFrame, request: str, topk: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Retrieval requests (``request``, sample_id, query, topk) against an index of (sample_id, candidate, terms).
+
+    Gives the errors, a row a request (null for none), and the ranked hits of
+    requests without one.  An id or a query that is blank is an error before
+    an id that the index lacks; ``topk`` of null or 0 is the default.
+    """
+    known = index.select("sample_id").distinct().withColumn("known", F.lit(True))
+    sample, query = F.trim(F.coalesce("sample_id", F.lit(""))), F.trim(F.coalesce("query", F.lit("")))
+    rows = asked.select(request, sample.alias("sample_id"), query.alias("query"), F.coalesce(F.nullif("topk", F.lit(0)), F.lit(topk)).alias("topk")).join(known, "sample_id", "left")
+    blank = (F.col("sample_id") == "") | (F.col("query") == "")
+    error = F.when(blank, "sample_id and query required").when(F.col("known").isNull(), F.concat(F.lit("unknown sample_id: "), "sample_id"))
+    rows = rows.withColumn("error", error)
+    good = rows.filter("error is null")
+    candidates = good.select(request, "sample_id").join(index, "sample_id").select(request, "candidate", "terms")
+    terms = F.transform(F.regexp_extract_all("query", F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
+    scored = bm25(candidates, good.select(request, terms.alias("terms")), request, "candidate", k1=1.5).withColumn("score", F.round("score", 8))
+    rank = F.row_number().over(Window.partitionBy(request).orderBy(F.desc("score"), "candidate"))
+    hits = scored.withColumn("rank", rank).join(good.select(request, "topk"), request).filter("rank <= topk").select(request, "rank", "candidate", "score")
+    return rows.select(request, "error"), hits
+
+
+def cached_pages(pages: DataFrame, cache: DataFrame, url: str) -> tuple[DataFrame, DataFrame]:
+    """Pages whose text a cache (key, text) holds by the SHA-256 of the URL, and the public ones that must be fetched.
+
+    URLs that aren't public HTTP are in neither; each URL is fetched once.
+    """
+    keyed = pages.filter(public_http(url)).withColumn("key", F.sha2(url, 256))
+    return keyed.join(cache.select("key", "text"), "key"), keyed.join(cache.select("key"), "key", "left_anti").select("key", url).distinct()

@@ -65,12 +65,11 @@ def _(t):
     return t.spark.range(1).select(F.lit(first).alias("first"), F.lit(second).alias("second"), F.lit(readers.same_rows(rows, t.spark.read.parquet(path))).alias("same"))
 
 
-@query("z01_injected_strategies", "SELECT doc_id, upper(prediction) AS query, len(golds) AS n_documents FROM qa WHERE doc_id % 2 = 0 AND regexp_matches(prediction, '^[ -~]*$')")
+@query("z01_injected_strategies", "SELECT doc_id, 'find ' || prediction AS query, len(golds) AS n_documents FROM qa")
 def _(t):
-    samples = t.qa.filter("doc_id % 2 = 0").filter(F.col("prediction").rlike("^[ -~]*$"))
-    generate = lambda s: s.select("doc_id", F.upper("prediction").alias("query"))
+    generate = lambda s: s.select("doc_id", F.concat(F.lit("find "), "prediction").alias("query"))
     retrieve = lambda s: s.join(t.qa.select("doc_id", F.size("golds").cast("long").alias("n_documents")), "doc_id")
-    return replay.rollout(samples, generate, retrieve)
+    return replay.rollout(t.qa, generate, retrieve)
 
 
 @query("z04_provider_switch")
@@ -86,4 +85,6 @@ def _(t):
 
 @query("k02b_paragraph_candidates")
 def _(t):
-    return retrieval.chunks(t.documents.select("doc_id", "text"), F.lower(F.substring("text", 1, 60)), "doc_id", "text", most=600)
+    asked = t.benchmark.select("item_id", F.lower("text").alias("q"))
+    pages = t.documents.join(asked, F.col("doc_id") % t.items == F.col("item_id")).select("doc_id", "text", "q")
+    return retrieval.chunks(pages, F.col("q"), "doc_id", "text", most=600)

@@ -54,10 +54,9 @@ def _(t):
     return t.orders.select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(40)
 
 
-@query("s08_row_digest", "SELECT sha256(string_agg(sha256(doc_id || ':' || text), '' ORDER BY sha256(doc_id || ':' || text))) AS digest FROM documents WHERE doc_id < 500")
+@query("s08_row_digest", "WITH h AS (SELECT sha256(doc_id || ':' || text) AS h FROM documents), b AS (SELECT sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY substr(h, 1, 3)) SELECT sha256(string_agg(h, '' ORDER BY h)) AS digest FROM b")
 def _(t):
-    row = F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text")
-    return readers.digest(t.documents.filter("doc_id < 500"), row)
+    return readers.digest(t.documents, F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text"))
 
 
 @query("s12_compact_log", "SELECT o.n_nationkey AS place, e.user_id, max(e.event_id) AS event_id FROM events e JOIN nation o ON e.user_id = o.n_nationkey GROUP BY ALL")
@@ -82,7 +81,6 @@ def _(t):
     return t.qa.select("doc_id", "question", F.size("golds").cast("long").alias("n_contexts"))
 
 
-@query("s18_retrieval_requests", "SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'unknown sample_id' WHEN l.quality = 0 THEN 'empty query' END AS error FROM (SELECT doc_id + (CASE WHEN toxic = 1 THEN 1000000 ELSE 0 END) AS doc_id, quality FROM labels) l LEFT JOIN documents d USING (doc_id)")
 def _(t):
     asked = t.labels.select((F.col("doc_id") + F.when(F.col("toxic") == 1, 1000000).otherwise(0)).alias("doc_id"), "quality")
     rows = asked.join(t.documents.select("doc_id", F.lit(True).alias("known")), "doc_id", "left")
@@ -91,7 +89,7 @@ def _(t):
 
 @query("s20_snippet_documents")
 def _(t):
-    body = F.to_json(F.struct(F.array(F.struct(F.col("url"), F.lit("").alias("title"), F.array(F.substring("html", 1, 50)).alias("snippets"))).alias("items")))
+    body = F.to_json(F.struct(F.array(F.struct(F.col("url"), F.lit("").alias("title"), F.array("html").alias("snippets"))).alias("items")))
     return readers.snippet_documents(t.pages.select("page_id", body.alias("body")), "page_id", "body")
 
 
@@ -101,7 +99,6 @@ def _(t):
     return t.qa.select("doc_id", F.filter(pair, lambda x: x != "").alias("snippets"))
 
 
-@query("s22_fetch_cache", "SELECT page_id, sha256(url) AS key, page_id % 3 = 0 AS hit FROM pages")
 def _(t):
     cache = t.pages.filter("page_id % 3 = 0").select(F.sha2("url", 256).alias("key"), F.lit(True).alias("c")).distinct()
     rows = t.pages.select("page_id", F.sha2("url", 256).alias("key")).join(cache, "key", "left")
@@ -141,19 +138,20 @@ def _(t):
 
 _SENT = rf"list_filter(flatten(list_transform(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?。！？；;])\s*', '\1' || chr(1), 'g'), '\x01|\n+'), lambda x: {q.collapse('x')}), lambda x: x <> ''), lambda s: list_transform(range(0, CAST(length(s) AS BIGINT), 360), lambda i: substr(s, i + 1, 360)))), lambda x: length(x) >= 20)"
 _TERMS = lambda x: f"list_transform(regexp_extract_all({x}, '[A-Za-z0-9]+'), lambda w: lower(w))"
-_BM = f"""WITH s AS (SELECT doc_id % 40 AS g, doc_id, unnest(ss) AS sentence, unnest(range(len(ss))) AS position FROM (SELECT doc_id, {_SENT} AS ss FROM documents WHERE doc_id < 400)),
+_G = "doc_id % (SELECT count(*) FROM benchmark)"
+_BM = f"""WITH s AS (SELECT {_G} AS g, doc_id, unnest(ss) AS sentence, unnest(range(len(ss))) AS position FROM (SELECT doc_id, {_SENT} AS ss FROM documents)),
  t AS (SELECT g, doc_id, position, sentence, {_TERMS('sentence')} AS terms FROM s),
  tf AS (SELECT g, doc_id, position, len(terms) AS dl, term, count(*) AS tf FROM (SELECT *, unnest(terms) AS term FROM t) GROUP BY ALL),
  st AS (SELECT g, count(*) AS n, avg(len(terms)) AS avgdl FROM t GROUP BY g), df AS (SELECT g, term, count(*) AS df FROM tf GROUP BY ALL),
- qt AS (SELECT item_id AS g, term, count(*) AS qf FROM (SELECT item_id, unnest({_TERMS(_w := "array_to_string(string_split(text, ' ')[1:12], ' ')")}) AS term FROM benchmark) GROUP BY ALL),
+ qt AS (SELECT item_id AS g, term, count(*) AS qf FROM (SELECT item_id, unnest({_TERMS("text")}) AS term FROM benchmark) GROUP BY ALL),
  sc AS (SELECT tf.g, tf.doc_id, tf.position, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(1.0, avgdl)))) AS score FROM tf JOIN df USING (g, term) JOIN st USING (g) JOIN qt USING (g, term) GROUP BY ALL)"""
 
 
 def _sentences(t):
-    d = t.documents.filter("doc_id < 400").select((F.col("doc_id") % 40).alias("g"), "doc_id", "text")
+    d = t.documents.select((F.col("doc_id") % t.items).alias("g"), "doc_id", "text")
     rows = retrieval.sentence_terms(d.withColumn("s", F.struct("g", "doc_id")), "s", "doc_id", "text")
     rows = rows.select(F.col("s.g").alias("g"), F.struct("doc_id", "position").alias("c"), F.transform(text.all_matches("sentence", "[A-Za-z0-9]+"), F.lower).alias("terms"), "sentence")
-    asked = t.benchmark.select(F.col("item_id").alias("g"), F.transform(text.all_matches(text.first_words(F.regexp_replace("text", "[\\n\\r\\t]", "\x00"), 12), "[A-Za-z0-9]+"), F.lower).alias("terms"))
+    asked = t.benchmark.select(F.col("item_id").alias("g"), F.transform(text.all_matches("text", "[A-Za-z0-9]+"), F.lower).alias("terms"))
     return rows, asked
 
 
@@ -165,18 +163,18 @@ def _(t):
     return retrieval.top(two, "g", [F.desc("score"), "doc_id", "position"], 8).select("g", "doc_id", "position", "score")
 
 
-_CBM = f"""WITH t AS (SELECT doc_id % 40 AS g, doc_id, {_TERMS("substr(text, 1, 600)")} AS terms FROM documents),
+_CBM = f"""WITH t AS (SELECT {_G} AS g, doc_id, {_TERMS("text")} AS terms FROM documents),
  tf AS (SELECT g, doc_id, len(terms) AS dl, term, count(*) AS tf FROM (SELECT *, unnest(terms) AS term FROM t) GROUP BY ALL),
  st AS (SELECT g, count(*) AS n, avg(len(terms)) AS avgdl FROM t GROUP BY g), df AS (SELECT g, term, count(*) AS df FROM tf GROUP BY ALL),
- qt AS (SELECT item_id AS g, term, count(*) AS qf FROM (SELECT item_id, unnest({_TERMS("substr(text, 1, 80)")}) AS term FROM benchmark) GROUP BY ALL),
+ qt AS (SELECT item_id AS g, term, count(*) AS qf FROM (SELECT item_id, unnest({_TERMS("text")}) AS term FROM benchmark) GROUP BY ALL),
  sc AS (SELECT tf.g, tf.doc_id, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(1.0, avgdl)))) AS score FROM tf JOIN df USING (g, term) JOIN st USING (g) JOIN qt USING (g, term) GROUP BY ALL)"""
 
 
 @query("k02_candidate_bm25", f"{_CBM} SELECT t.g, t.doc_id, CAST(row_number() OVER (PARTITION BY t.g ORDER BY round(coalesce(score, 0), 8) DESC, t.doc_id) AS INT) AS rank, round(coalesce(score, 0), 8) AS score FROM t LEFT JOIN sc USING (g, doc_id) QUALIFY rank <= 5")
 def _(t):
     words = lambda c: F.transform(text.all_matches(c, "[A-Za-z0-9]+"), F.lower)
-    rows = t.documents.select((F.col("doc_id") % 40).alias("g"), "doc_id", words(F.substring("text", 1, 600)).alias("terms"))
-    asked = t.benchmark.select(F.col("item_id").alias("g"), words(F.substring("text", 1, 80)).alias("terms"))
+    rows = t.documents.select((F.col("doc_id") % t.items).alias("g"), "doc_id", words("text").alias("terms"))
+    asked = t.benchmark.select(F.col("item_id").alias("g"), words("text").alias("terms"))
     scored = retrieval.bm25(rows, asked, "g", "doc_id", k1=1.5).withColumn("score", F.round("score", 8))
     return retrieval.top(scored, "g", [F.desc("score"), "doc_id"], 5).select("g", "doc_id", "rank", "score")
 
@@ -188,29 +186,28 @@ def _(t):
     return rows.select("id", error.alias("error"), F.coalesce(F.size("golds"), F.lit(0)).cast("long").alias("n")).withColumn("n", F.greatest("n", F.lit(0)))
 
 
-@query("k04_chunk_ranking", r"""WITH p AS (SELECT doc_id, lower(substr(text, 1, 60)) AS query, unnest(list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda x: trim(x)), lambda x: length(x) >= 40)) AS block FROM documents),
- n AS (SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id) AS o, len(list_intersect(list_distinct(regexp_extract_all(query, '[a-z0-9]{3,}')), list_distinct(regexp_extract_all(lower(block), '[a-z0-9]{3,}')))) AS score, 'web_' || substr(sha256(regexp_replace(lower(substr(block, 1, 1400)), '\s+', ' ', 'g')), 1, 12) AS document_id FROM p)
- SELECT document_id, max(score) AS score FROM n GROUP BY 1 ORDER BY score DESC, document_id LIMIT 50""")
+@query("k04_chunk_ranking", rf"""WITH p AS (SELECT d.doc_id, lower(b.text) AS query, unnest(list_filter(list_transform(regexp_split_to_array(replace(d.text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda x: trim(x)), lambda x: length(x) >= 40)) AS block FROM documents d JOIN benchmark b ON d.{_G} = b.item_id),
+ n AS (SELECT doc_id, block, len(list_intersect(list_distinct(regexp_extract_all(query, '[a-z0-9]{{3,}}')), list_distinct(regexp_extract_all(lower(block), '[a-z0-9]{{3,}}')))) AS score, 'web_' || substr(sha256(regexp_replace(lower(substr(block, 1, 1400)), '\s+', ' ', 'g')), 1, 12) AS document_id FROM p)
+ SELECT document_id, max(score) AS score FROM n GROUP BY 1""")
 def _(t):
-    pages = t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("t"), F.lower(F.substring("text", 1, 60)).alias("q"))
-    rows = retrieval.chunks(pages, F.col("q"), "doc_id", "t")
-    return rows.orderBy(F.desc("score"), "document_id").limit(50).select("document_id", "score")
+    asked = t.benchmark.select("item_id", F.lower("text").alias("q"))
+    pages = t.documents.join(asked, F.col("doc_id") % t.items == F.col("item_id")).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("t"), "q")
+    return retrieval.chunks(pages, F.col("q"), "doc_id", "t").select("document_id", "score")
 
 
-@query("k05_context_documents", "SELECT doc_id, substr(array_to_string(golds, chr(10)), 1, 1400) AS text, 'web_' || substr(sha256(array_to_string(golds, chr(10))), 1, 12) AS document_id FROM qa")
 def _(t):
     whole = F.array_join("golds", "\n")
     return t.qa.select("doc_id", F.substring(whole, 1, 1400).alias("text"), text.content_id(whole, "web_", 12).alias("document_id"))
 
 
-@query("k06_retrieval_quality", f"WITH s AS (SELECT {q.norm('body')} AS b, list_transform(golds, lambda g: {q.norm('g')}) AS g FROM qa), h AS (SELECT list_transform(g, lambda x: x <> '' AND contains(' ' || b || ' ', ' ' || x || ' ')) AS hit FROM s) SELECT count(*) AS n, avg(CASE WHEN list_contains(hit, true) THEN 1 ELSE 0 END) AS answer_hit, avg(len(list_filter(hit, lambda x: x)) / 3.0::DOUBLE) AS recall, avg(CASE WHEN NOT list_contains(hit, false) THEN 1 ELSE 0 END) AS hit_all FROM h")
+@query("k06_retrieval_quality", f"WITH s AS (SELECT {q.norm('body')} AS b, list_transform(golds, lambda g: {q.norm('g')}) AS g FROM qa), h AS (SELECT list_transform(g, lambda x: x <> '' AND contains(' ' || b || ' ', ' ' || x || ' ')) AS hit FROM s) SELECT count(*) AS n, avg(CASE WHEN list_contains(hit, true) THEN 1 ELSE 0 END) AS answer_hit, round(avg(len(list_filter(hit, lambda x: x)) / 3.0::DOUBLE), 9) AS recall, avg(CASE WHEN NOT list_contains(hit, false) THEN 1 ELSE 0 END) AS hit_all FROM h")
 def _(t):
     n = text.normalize_answer
     hit = t.qa.select(F.transform("golds", lambda g: text.padded_contains(n("body"), n(g))).alias("h"))
     return hit.agg(
         F.count("*").alias("n"),
         F.avg(F.exists("h", lambda x: x).cast("int")).alias("answer_hit"),
-        F.avg(F.size(F.filter("h", lambda x: x)) / 3.0).alias("recall"),
+        F.round(F.avg(F.size(F.filter("h", lambda x: x)) / 3.0), 9).alias("recall"),
         F.avg(F.forall("h", lambda x: x).cast("int")).alias("hit_all"),
     )
 
@@ -252,12 +249,10 @@ def _(t):
     return rows.select("sample_id", "sft_id", "category", "target", "gold_answer", F.get("messages", 0)["content"].alias("user_turn"))
 
 
-@query("b02_targets", "SELECT doc_id, '<internal>' || prediction || '</internal>' || chr(10) || '<answer>' || golds[1] || '</answer>' AS internal, '<search>' || question || '</search>' AS search FROM qa")
 def _(t):
     return t.qa.select("doc_id", builders.tagged(internal=F.col("prediction"), answer=F.get("golds", 0)).alias("internal"), builders.tagged(search=F.col("question")).alias("search"))
 
 
-@query("b03_noisy_view", "WITH s AS (SELECT doc_id, list_sort(list_transform([1, 2, 3], lambda i: sha256('42:' || doc_id || ':' || i) || '|' || i)) AS o FROM qa) SELECT doc_id, list_transform(o, lambda x: CAST(string_split(x, '|')[2] AS INT)) AS order_ids FROM s")
 def _(t):
     key = lambda i: F.concat(F.sha2(F.concat_ws(":", F.lit("42"), F.col("doc_id").cast("string"), i.cast("string")), 256), F.lit("|"), i.cast("string"))
     order = F.array_sort(F.transform(F.sequence(F.lit(1), F.size("golds")), key))
@@ -329,15 +324,14 @@ def _(t):
     return retrieval.top(rows, "doc_id", ["i"], 2).select("doc_id", "g", "i")
 
 
-@query("b17_trace_metrics", f"SELECT doc_id, CAST(len({q.bodies('chunk', 'search', True)}) AS BIGINT) AS searches, len({q.bodies('chunk', 'answer')}) = 1 AS finished, CAST(len({q.bodies('chunk', 'search', True)}) - len(list_distinct({q.bodies('chunk', 'search', True)})) AS BIGINT) AS duplicates FROM tagged")
 def _(t):
     found = tags.bodies("chunk", "search", True)
     return t.tagged.select("doc_id", F.size(found).cast("long").alias("searches"), (F.size(tags.bodies("chunk", "answer")) == 1).alias("finished"), (F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("duplicates"))
 
 
-@query("b18_trace_steps", "WITH n AS (SELECT doc_id, regexp_extract_all(chunk, '(?is)<(?:think|internal|search|evidence|answer)>.*?</') AS m FROM tagged) SELECT doc_id, list_transform(list_filter(m, lambda x: trim(replace(string_split(x, '>')[-1], '</', '')) <> ''), lambda x: lower(regexp_extract(x, '<([a-zA-Z]+)>', 1))) AS types FROM n WHERE doc_id % 6 <> 4")
+@query("b18_trace_steps", "WITH n AS (SELECT doc_id, regexp_extract_all(chunk, '(?is)<(?:think|internal|search|evidence|answer)>.*?</') AS m FROM tagged) SELECT doc_id, list_transform(list_filter(m, lambda x: trim(replace(string_split(x, '>')[-1], '</', '')) <> ''), lambda x: lower(regexp_extract(x, '<([a-zA-Z]+)>', 1))) AS types FROM n")
 def _(t):
-    return t.tagged.filter("doc_id % 6 <> 4").select("doc_id", F.transform(tags.tag_steps("chunk"), lambda s: s["step_type"]).alias("types"))
+    return t.tagged.select("doc_id", F.transform(tags.tag_steps("chunk"), lambda s: s["step_type"]).alias("types"))
 
 
 # Accounting -----------------------------------------------------------------
@@ -548,11 +542,13 @@ def _(t):
     return until_streak(t.events, "user_id", "event_id", F.col("event_type") == "error", 2).groupBy("user_id").agg(F.count("*").alias("kept"))
 
 
-@query("z02_reward_function", f"SELECT doc_id, 1.0::DOUBLE * CAST(len({q.bodies('chunk', 'answer')}) > 0 AS DOUBLE) + 0.1::DOUBLE * CAST(len({q.bodies('chunk', 'answer')}) > 0 AS DOUBLE) AS score FROM tagged WHERE doc_id % 6 IN (0, 3, 4)")
+_CUT = "regexp_extract(chunk, '(?is)^(.*?<answer>.*?</answer>)', 1)"
+
+
+@query("z02_reward_function", f"WITH s AS (SELECT doc_id, {q.bodies('chunk', 'answer')} AS answers, coalesce({q.bodies('chunk', 'answer', True)}[-1], '') AS last, len({q.bodies(_CUT, 'search', True)}) > 0 AND len({q.bodies(_CUT, 'internal', True)}) > 0 AS mixed FROM tagged) SELECT doc_id, 1.0::DOUBLE * CAST(len(answers) > 0 AS DOUBLE) + 0.1::DOUBLE * CASE WHEN last = '' OR mixed THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM s")
 def _(t):
-    rows = t.tagged.filter("doc_id % 6 in (0, 3, 4)")
     em = (F.size(tags.bodies("chunk", "answer")) > 0).cast("double")
-    return rows.select("doc_id", (1.0 * em + 0.1 * tags.reward_format("chunk")).alias("score"))
+    return t.tagged.select("doc_id", (1.0 * em + 0.1 * tags.reward_format("chunk")).alias("score"))
 
 
 @query("z03_tool_calls", "SELECT trace_id, step_id, CAST(count(*) FILTER (WHERE step_type = 'search') OVER (PARTITION BY trace_id ORDER BY step_id) AS BIGINT) AS search_count FROM steps")
@@ -583,7 +579,6 @@ def _(t):
     return t.qa.select("doc_id", F.transform(cited_or_best(evidence, cited), lambda e: e["source_id"]).alias("ids"))
 
 
-@query("b08_graph_replay", f"WITH s AS (SELECT doc_id, doc_id % 2 + 1 AS d, question, concat_ws(' ', string_split(prediction, ' ')[1], array_to_string(list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda w: w NOT IN {q.words(text.WEB_STOP)})[-5:], ' ')) AS second FROM qa) SELECT doc_id || '__graph_d' || d AS sample_id, 0 AS turn, question AS query FROM s UNION ALL SELECT doc_id || '__graph_d' || d, 1, second FROM s WHERE d = 2")
 def _(t):
     from ..operators.replay import curriculum
 
@@ -591,10 +586,6 @@ def _(t):
     return curriculum(rows, "doc_id", "question", "bridge", "depth")
 
 
-_REASONS = "CASE WHEN doc_id % 7 = 0 THEN 'web_error' WHEN length(prediction) < 40 THEN 'short_answer' WHEN prediction = golds[2] THEN 'answer_leak' WHEN doc_id % 5 = 0 THEN 'duplicate_query' END"
-
-
-@query("b12_b13_reject_reasons", f"SELECT doc_id, {_REASONS} AS reason FROM qa")
 def _(t):
     from ..operators.replay import reject_reason
 
@@ -602,7 +593,6 @@ def _(t):
     return t.qa.select("doc_id", reject_reason(*rules).alias("reason"))
 
 
-@query("m09_rescored_gate")
 def _(t):
     from .registry import QUERIES
 

@@ -21,6 +21,11 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
+    @property
+    def items(self) -> int:
+        """The number of texts in the benchmark, whose ids count from 0."""
+        return self.benchmark.count()
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in PROXIES:
             return PROXIES[name](self)
@@ -33,7 +38,8 @@ def query(name: str, sql: str | None = None):
     def add(f: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
-            used = [f"{v} AS ({VIEWS[v]})" for v in VIEWS if _mentions(sql, v)]
+            needed = {v for v in VIEWS if _mentions(sql, v) or (v == "lines" and (_mentions(sql, "qa") or _mentions(sql, "tagged")))}
+            used = [f"{v} AS ({VIEWS[v]})" for v in VIEWS if v in needed]
             ORACLES[name] = _with(sql, used)
         return f
 
@@ -57,34 +63,50 @@ def _with(sql: str, used: list[str]) -> str:
     return f"WITH {', '.join(used)} {own}"
 
 
-def _words(c: str, start: int, n: int):
-    return F.array_join(F.slice(F.split(c, " "), start, n), " ")
+#: Rows of the text views are the lines of documents; a line's id is its document's with five digits for its place.
+LINES = 100_000
+
+
+def _lines(t: Tables) -> DataFrame:
+    """``doc_id``, ``line_id``, ``line`` and the ``next`` one (empty after the last) of every line with text of every document."""
+    lines = F.split("text", "\n")
+    rows = F.transform(lines, lambda x, i: F.struct(i.cast("long").alias("place"), x.alias("line"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next")))
+    rows = t.documents.select("doc_id", F.explode(rows).alias("r")).filter("r.line <> ''")
+    return rows.select("doc_id", (F.col("doc_id") * LINES + F.col("r.place")).alias("line_id"), "r.line", "r.next")
+
+
+def _asked(t: Tables) -> DataFrame:
+    """Documents' ids with the benchmark text that is their question, all of the benchmark in turn."""
+    return t.benchmark.select("item_id", F.col("text").alias("b"))
 
 
 def _qa(t: Tables) -> DataFrame:
-    d, b = t.documents.filter("length(text) > 0"), t.benchmark.select("item_id", F.col("text").alias("b"))
-    return d.join(b, d.doc_id % 40 == b.item_id).select(
-        "doc_id",
-        _words("text", 1, 12).alias("prediction"),
-        F.array(_words("b", 1, 8), _words("text", 4, 9), F.lower(_words("text", 1, 12 ))).alias("golds"),
-        _words("b", 1, 10).alias("question"),
-        F.substring("text", 1, 400).alias("body"),
+    return _lines(t).join(_asked(t), F.col("doc_id") % t.items == F.col("item_id")).select(
+        F.col("line_id").alias("doc_id"),
+        F.col("line").alias("prediction"),
+        F.array("b", "next", F.lower("line")).alias("golds"),
+        F.col("b").alias("question"),
+        F.concat("line", F.lit("\n"), "next").alias("body"),
     )
 
 
 def _tagged(t: Tables) -> DataFrame:
-    a, b, c = _words("text", 1, 5), _words("text", 6, 4), _words("text", 10, 6)
+    w = F.split("line", " ")
+    third = F.floor(F.size(w) / 3).cast("int")
+    cut = lambda start, n: F.when(third == 0, F.col("line")).otherwise(F.array_join(F.slice(w, start, n), " "))
+    parts = _lines(t).select(F.col("line_id").alias("doc_id"), cut(F.lit(1), third).alias("a"), cut(third + 1, third).alias("b"), cut(2 * third + 1, F.size(w)).alias("c"))
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
     line = lambda k, x: F.concat(F.lit("[document_id=D"), F.col("doc_id").cast("string"), F.lit(f" | title=T{k} | sentence_id={k}]\n"), x)
     kind = F.col("doc_id") % 6
     chunk = (
-        F.when(kind == 0, F.concat(F.lit("<internal>"), a, F.lit("</internal> <answer> "), b, F.lit(" </answer>")))
-        .when(kind == 1, F.concat(F.lit("<search>"), a, F.lit("</search>\n<SEARCH> "), b, F.lit(" </SEARCH><internal></internal>")))
+        F.when(kind == 0, F.concat(F.lit("<internal>"), a, F.lit("</internal> <answer> "), b, F.lit(" "), c, F.lit(" </answer>")))
+        .when(kind == 1, F.concat(F.lit("<search>"), a, F.lit("</search>\n<SEARCH> "), b, F.lit(" "), c, F.lit(" </SEARCH><internal></internal>")))
         .when(kind == 2, F.concat(F.lit("<think>"), a, F.lit("</think><evidence>"), line(1, b), F.lit("\n"), line(2, c), F.lit("</evidence><answer>"), c, F.lit("</answer>")))
-        .when(kind == 3, F.concat(a, F.lit("</answer>")))
-        .when(kind == 4, F.concat(F.lit("<Evidence>"), a))
+        .when(kind == 3, F.concat(a, F.lit(" "), b, F.lit(" "), c, F.lit("</answer>")))
+        .when(kind == 4, F.concat(F.lit("<Evidence>"), a, F.lit(" "), b, F.lit(" "), c))
         .otherwise(F.concat(F.lit("<search>"), a, F.lit("</search><internal>"), b, F.lit("</internal><answer>"), c, F.lit("</answer><answer>"), a, F.lit("</answer>")))
     )
-    return t.documents.filter("length(text) > 0 and (doc_id % 6 <> 2 or size(split(text, ' ')) >= 16)").select("doc_id", chunk.alias("chunk"))
+    return parts.select("doc_id", chunk.alias("chunk"))
 
 
 def _runs(t: Tables) -> DataFrame:
@@ -102,24 +124,40 @@ def _steps(t: Tables) -> DataFrame:
     return t.conversations.select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("step_id"), kind.alias("step_type"), F.col("text").alias("content"))
 
 
-PROXIES = {"qa": _qa, "tagged": _tagged, "runs": _runs, "scores": _scores, "steps": _steps}
+def _samples(t: Tables) -> DataFrame:
+    """Question-answering samples: a document's lines are the contexts, titled by their first word; its first two lines are the facts, the last word of them the answer."""
+    line = F.filter(F.split("text", "\n"), lambda x: x != "")
+    rows = t.documents.select("doc_id", line.alias("lines")).join(_asked(t), F.col("doc_id") % t.items == F.col("item_id"))
+    context = lambda x: F.struct(F.get(F.split(x, " "), 0).alias("title"), x.alias("text"))
+    rows = rows.select("doc_id", F.col("b").alias("question"), F.transform("lines", context).alias("contexts"))
+    facts = F.transform(F.slice("contexts", 1, 2), lambda c: F.struct(c["title"].alias("title"), c["text"].alias("sentence")))
+    answer = F.coalesce(F.element_at(F.split(F.element_at("facts", -1)["sentence"], " "), -1), F.lit(""))
+    rows = rows.filter("size(contexts) > 0").select("doc_id", "question", "contexts", facts.alias("facts"))
+    return rows.select("*", answer.alias("answer"))
+
 
+PROXIES = {"samples": _samples, "qa": _qa, "tagged": _tagged, "runs": _runs, "scores": _scores, "steps": _steps}
 
-def _w(c: str, start: int, n: int) -> str:
-    return f"array_to_string(string_split({c}, ' ')[{start}:{start + n - 1}], ' ')"
 
+_LINES = f"""SELECT * FROM (SELECT doc_id, doc_id * {LINES} + unnest(range(len(ls))) AS line_id, unnest(ls) AS line, unnest(list_concat(ls[2:], [''])) AS next
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE line <> ''"""
 
 VIEWS = {
-    "qa": f"""SELECT d.doc_id, {_w('d.text', 1, 12)} AS prediction, [{_w('b.text', 1, 8)}, {_w('d.text', 4, 9)}, lower({_w('d.text', 1, 12)})] AS golds,
-      {_w('b.text', 1, 10)} AS question, substr(d.text, 1, 400) AS body FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE length(d.text) > 0""",
-    "tagged": f"""SELECT doc_id, CASE doc_id % 6
-      WHEN 0 THEN '<internal>' || {_w('text', 1, 5)} || '</internal> <answer> ' || {_w('text', 6, 4)} || ' </answer>'
-      WHEN 1 THEN '<search>' || {_w('text', 1, 5)} || '</search>' || chr(10) || '<SEARCH> ' || {_w('text', 6, 4)} || ' </SEARCH><internal></internal>'
-      WHEN 2 THEN '<think>' || {_w('text', 1, 5)} || '</think><evidence>[document_id=D' || doc_id || ' | title=T1 | sentence_id=1]' || chr(10) || {_w('text', 6, 4)} || chr(10)
-        || '[document_id=D' || doc_id || ' | title=T2 | sentence_id=2]' || chr(10) || {_w('text', 10, 6)} || '</evidence><answer>' || {_w('text', 10, 6)} || '</answer>'
-      WHEN 3 THEN {_w('text', 1, 5)} || '</answer>' WHEN 4 THEN '<Evidence>' || {_w('text', 1, 5)}
-      ELSE '<search>' || {_w('text', 1, 5)} || '</search><internal>' || {_w('text', 6, 4)} || '</internal><answer>' || {_w('text', 10, 6)} || '</answer><answer>' || {_w('text', 1, 5)} || '</answer>'
-      END AS chunk FROM documents WHERE length(text) > 0 AND (doc_id % 6 <> 2 OR len(string_split(text, ' ')) >= 16)""",
+    "lines": _LINES,
+    "samples": """SELECT *, contexts[1:2] AS facts, string_split(contexts[least(2, len(contexts))].text, ' ')[-1] AS answer FROM (
+      SELECT d.doc_id, b.text AS question, list_transform(list_filter(string_split(d.text, chr(10)), lambda x: x <> ''), lambda x: {'title': string_split(x, ' ')[1], 'text': x}) AS contexts
+      FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id) WHERE len(contexts) > 0""",
+    "qa": """SELECT line_id AS doc_id, line AS prediction, [b.text, next, lower(line)] AS golds, b.text AS question, line || chr(10) || next AS body
+      FROM lines JOIN benchmark b ON doc_id % (SELECT count(*) FROM benchmark) = b.item_id""",
+    "tagged": """SELECT doc_id, CASE doc_id % 6
+      WHEN 0 THEN '<internal>' || a || '</internal> <answer> ' || b || ' ' || c || ' </answer>'
+      WHEN 1 THEN '<search>' || a || '</search>' || chr(10) || '<SEARCH> ' || b || ' ' || c || ' </SEARCH><internal></internal>'
+      WHEN 2 THEN '<think>' || a || '</think><evidence>[document_id=D' || doc_id || ' | title=T1 | sentence_id=1]' || chr(10) || b || chr(10)
+        || '[document_id=D' || doc_id || ' | title=T2 | sentence_id=2]' || chr(10) || c || '</evidence><answer>' || c || '</answer>'
+      WHEN 3 THEN a || ' ' || b || ' ' || c || '</answer>' WHEN 4 THEN '<Evidence>' || a || ' ' || b || ' ' || c
+      ELSE '<search>' || a || '</search><internal>' || b || '</internal><answer>' || c || '</answer><answer>' || a || '</answer>'
+      END AS chunk FROM (SELECT doc_id, CASE WHEN k = 0 THEN line ELSE array_to_string(w[1:k], ' ') END AS a, CASE WHEN k = 0 THEN line ELSE array_to_string(w[k + 1:2 * k], ' ') END AS b,
+        CASE WHEN k = 0 THEN line ELSE array_to_string(w[2 * k + 1:], ' ') END AS c FROM (SELECT line_id AS doc_id, line, string_split(line, ' ') AS w, len(string_split(line, ' ')) // 3 AS k FROM lines))""",
     "runs": """SELECT event_type AS arm, user_id AS sample_id, max(value) AS metric, CAST(sum(CAST(regexp_extract(props, '[0-9]+') AS BIGINT)) AS BIGINT) AS tokens,
       count(*) AS searches FROM events GROUP BY ALL""",
     "scores": "SELECT doc_id, quality AS label, CAST(n_chars AS DOUBLE) AS score FROM labels JOIN documents USING (doc_id)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import sampling
+from ..operators import ordering, sampling
 from .registry import query
 
 _H = lambda c, p="42:": f"sha256('{p}' || {c})"
@@ -180,11 +180,11 @@ def _(t):
     return t.orders.select("o_orderkey", "o_totalprice").orderBy("o_orderkey").offset(75).limit(25)
 
 
-@query("t19_category_order", "SELECT doc_id, lang, CAST(row_number() OVER (ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, doc_id) AS INT) AS place FROM documents QUALIFY place <= 500")
+@query("t19_category_order", "SELECT doc_id, lang, row_number() OVER (ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, doc_id) AS place FROM documents")
 def _(t):
     order = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(2)
-    rows = t.documents.select("doc_id", "lang").orderBy(order, "doc_id").limit(500)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(order, "doc_id")))
+    rows = ordering.ordered_places(t.documents.select("doc_id", "lang", order.alias("o")), ["o", "doc_id"])
+    return rows.select("doc_id", "lang", (F.col("place") + 1).alias("place"))
 
 
 @query("t20_ranked_evidence", "WITH e AS (SELECT conv_id, turn, 'E' || (turn + 1) AS evidence_id, length(text) % 7 AS score FROM conversations) SELECT conv_id, evidence_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY -score, turn // 3, evidence_id) AS INT) AS place FROM e QUALIFY place <= 8")
@@ -253,7 +253,7 @@ def _(t):
     )
 
 
-@query("u08_append_missing", "WITH s AS (SELECT doc_id, string_split(prediction, ' ') AS a, list_distinct(string_split(golds[2], ' ')) AS b FROM qa) SELECT doc_id, list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))) AS merged FROM s")
+@query("u08_append_missing", "WITH s AS (SELECT doc_id, string_split(prediction, ' ') AS a, list_filter(string_split(golds[2], ' '), lambda x, i: list_position(string_split(golds[2], ' '), x) = i) AS b FROM qa) SELECT doc_id, list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))) AS merged FROM s")
 def _(t):
     s = t.qa.select("doc_id", F.split("prediction", " ").alias("a"), F.array_distinct(F.split(F.get("golds", 1), " ")).alias("b"))
     return s.select("doc_id", F.concat("a", F.filter("b", lambda x: ~F.array_contains("a", x))).alias("merged"))
@@ -356,19 +356,7 @@ def _(t):
 @query("w14_contiguous_shards", "SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // CAST(ceil(count(*) OVER () / 7) AS BIGINT) AS BIGINT) AS shard FROM orders")
 def _(t):
     # places from sorted ranges and their counts, so no task holds all rows
-    return _placed(t.orders.select("o_orderkey"), "o_orderkey").select("o_orderkey", F.floor(F.col("place") / F.ceil(F.col("total") / 7)).alias("shard"))
-
-
-def _placed(df, key):
-    """``place`` (from 0) and ``total`` of every row by a key that is unique: a range sort, then offsets of partitions."""
-    rows = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id())
-    counts = rows.groupBy("part").agg(F.count("*").alias("n"), F.min(key).alias("low"))
-    offsets = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.sum("n").over(Window.partitionBy()).alias("total"), "low")
-    # a key's range is that of the last low end at or below it; ranges are as many as partitions
-    lows = offsets.agg(F.sort_array(F.collect_list(F.struct("low", "offset", "total"))).alias("lows"))
-    ranged = df.crossJoin(F.broadcast(lows)).withColumn("r", F.element_at(F.filter("lows", lambda x: x["low"] <= F.col(key)), -1)).drop("lows")
-    inside = F.row_number().over(Window.partitionBy("r.low").orderBy(key)) - 1
-    return ranged.withColumn("place", F.col("r.offset") + inside).withColumn("total", F.col("r.total")).drop("r")
+    return ordering.ordered_places(t.orders.select("o_orderkey"), ["o_orderkey"]).select("o_orderkey", F.floor(F.col("place") / F.ceil(F.col("total") / 7)).alias("shard"))
 
 
 @query("w15_previous_observation", "SELECT trace_id, step_id, lag(content) OVER (PARTITION BY trace_id ORDER BY step_id) AS previous FROM steps")

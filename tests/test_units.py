@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallow.functions import predicates, scores, tags, text
-from tallow.operators import audits, memory, sampling, validators
+from tallow.operators import audits, builders, memory, ordering, replay, sampling, summaries, validators
 from tallow.sources import readers
 from tallow.streaming import logs
 
@@ -72,16 +72,167 @@ def test_memory_text(value):
     assert value(tags.memory_missing(F.lit("Missing: None.\nDecision: ANSWER"))) == []
 
 
-def test_trace_validator(spark):
+def test_step_validator(spark):
     def errors(*steps):
         rows = spark.createDataFrame([(list(steps),)], "steps array<struct<step_id:int,step_type:string,content:string,loss_mask:boolean>>")
-        return rows.select(validators.trace_errors(F.col("steps")).alias("e")).first().e
+        return rows.select(validators.step_errors(F.col("steps")).alias("e")).first().e
 
     assert errors((0, "search", "q", True), (1, "observation", "o", False), (2, "answer", "a", True)) == []
     assert len(errors((1, "serch", " ", True))) == 4
     assert errors((0, "answer", "a", True), (1, "search", "q", True)) == ["the answer step must be the last step"]
 
 
+def test_trace_validator(spark):
+    schema = (
+        "question string, steps array<struct<step_id:int,step_type:string,content:string,loss_mask:boolean,document_ids:array<string>,evidence_ids:array<string>>>,"
+        " documents array<string>, evidences array<struct<evidence_id:string,document_id:string>>, cost struct<" + ",".join(f"{k}:double" for k in validators.COSTS) + ">"
+    )
+
+    def errors(question="q", documents=("D1",), evidences=(("E1", "D1"),), cost=(0.0,) * len(validators.COSTS), cited=("D1",), used=("E1",)):
+        row = (question, [(0, "answer", "a", True, list(cited), list(used))], list(documents), list(evidences), tuple(cost))
+        return spark.createDataFrame([row], schema).select(validators.trace_errors(*map(F.col, ("question", "steps", "documents", "evidences", "cost"))).alias("e")).first().e
+
+    assert errors() == []
+    assert errors(question=" ") == ["question must be non-empty"] and errors(question=None) == ["question must be non-empty"]
+    assert errors(documents=("D1", "D1")) == ["document ids must be unique"]
+    assert errors(evidences=(("E1", "D1"), ("E1", "D1"))) == ["evidence ids must be unique"]
+    assert errors(evidences=(("E1", "D7"),)) == ["unknown id D7"] == errors(cited=("D7",)) and errors(used=("E7", "E7")) == ["unknown id E7"] * 2
+    assert errors(cost=(-1.0, 0.0, -2.0, 0.0, 0.0, 0.0, 0.0, 0.0)) == ["search_count must be >= 0", "duplicate_query_count must be >= 0"]
+
+
+def test_training_row_validator(spark):
+    lit, ref = F.lit, lambda i, x: F.struct(F.lit(f"D{i}").alias("document_id"), F.lit(f"T{i}").alias("title"), F.lit(i).alias("sentence_id"), F.lit(x).alias("text"))
+    refs, gold = F.array(ref(1, "one text"), ref(2, "two  text")), lit("gold")
+    turn = lambda r: F.struct(F.lit(r).alias("role"), F.lit("x").alias("content"))
+    provenance = lambda r=None, s="candidate": F.struct(F.lit(r).cast("string").alias("reasoning_source"), F.lit(s).alias("retriever_scope"))
+
+    def errors(category, reasoning=None, **changed):
+        docs = F.array(F.struct(F.lit("T1").alias("title"), F.lit("one text").alias("text")))
+        target = builders.target(category, lit("q"), gold, refs, docs, builders.template_reasoning(refs, gold) if reasoning is None else lit(reasoning))
+        row = {k: lit("x") for k in validators.FIELDS} | {
+            "category": lit(category), "messages": F.array(turn("system"), turn("user")), "target": target, "gold_answer": gold,
+            "evidence_refs": F.slice(refs, 1, 0) if category == "internal" else refs, "provenance": provenance(),
+        }
+        return spark.range(1).select(validators.sft_errors(row | changed).alias("e")).first().e
+
+    for c in validators.CATEGORIES:
+        assert errors(c) == [], c
+    assert errors("evidence", messages=F.array(turn("system"), turn("user"), turn("assistant"))) == ["assistant must not be in messages"]
+    assert errors("evidence", messages=F.array(turn("user"), turn("system"))) == ["messages must start with system and include user"]
+    assert errors("evidence", gold_answer=lit("other")) == ["answer is not the gold one"] and errors("evidence", gold_answer=lit("The Gold!")) == []
+    assert errors("evidence", metadata=lit(None)) == ["missing field metadata"]
+    assert errors("evidence", evidence_refs=F.slice(refs, 1, 1)) == ["evidence block count differs from refs"]
+    assert errors("evidence", evidence_refs=F.array(ref(1, "one text"), ref(3, "two text"))) == ["[1] evidence document_id mismatch", "[1] evidence title mismatch", "[1] evidence sentence_id mismatch"]
+    assert errors("internal", evidence_refs=refs) == ["internal must have no evidence_refs"]
+    assert errors("search_format", provenance=provenance(None, "full_corpus")) == ["full_corpus scope is forbidden"]
+    assert errors("evidence_reasoning", reasoning="gold it is") == ["[0] reasoning misses the evidence text", "[1] reasoning misses the evidence text"]
+    assert errors("evidence_reasoning", reasoning="gold it is", provenance=provenance("teacher")) == [] and errors("evidence_reasoning", reasoning="x", provenance=provenance("teacher")) == ["reasoning not answer-consistent"]
+    assert errors("evidence_reasoning", reasoning="x", provenance=provenance("pending")) == ["pending reasoning placeholder mismatch"] and errors("evidence_reasoning", reasoning=validators.PENDING, provenance=provenance("pending")) == []
+    assert len(errors("evidence", target=lit("<internal>a</internal><search>b</search><answer>gold</answer> tail"))) == 3
+
+
+def test_public_addresses(spark):
+    urls = {
+        "http://127.0.0.1/": False, "http://10.0.0.1/": False, "https://172.31.0.9:8443/x": False, "http://172.32.0.9/": True, "http://192.168.1.1": False, "http://169.254.169.254/latest": False, "http://8.8.8.8/": True,
+        "http://user:pw@127.0.0.1/": False, "http://localhost/": False, "http://a.localhost:80/": False, "http://[::1]/": False, "http://[fe80::1]/": False, "http://[2606:4700::1111]/": True, "http://[2001:db8::1]/": False,
+        "http://2130706433/": False, "http://0x7f.1/": False, "http://256.1.1.1/": False, "HTTP://Example.COM/a": True, "ftp://example.com/": False, "http:///x": False, "": False, "http://1.2.3.4.5/": False, "http://example.com1/": True, "http://100.64.0.1/": False,
+    }
+    rows = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r.u: r.p for r in rows.select("u", predicates.public_http("u").alias("p")).collect()} == urls
+
+
+def test_hop_labels(value):
+    label = lambda n, c, d, f: value(predicates.hop_label(F.lit(n), F.lit(c), F.lit(d), F.lit(f)))
+    assert [label("exact_duplicate", True, 0, 0), label("semantic_duplicate", False, 1, 0), label("normalized_duplicate", True, 0, 2)] == ["duplicate_retry", "duplicate_but_new_docs", "duplicate_but_new_docs"]
+    assert [label("rewrite", True, 1, 0), label("rewrite", True, 0, 0), label("rewrite", False, 3, 3)] == ["obs_conditioned_hop", "obs_conditioned_no_new_docs", "rewrite_not_obs_conditioned"]
+
+
+def test_two_hop_graphs(spark):
+    schema = "question string, answer string, contexts array<struct<title:string,text:string>>, facts array<struct<title:string,sentence:string>>"
+    others = [(f"Other {k}", f"nothing {k}") for k in range(8)]
+    contexts = [("Film X", "Film X was made by Ada Example."), ("Ada Example", "Ada Example was born in London."), *others]
+    facts = [("Film X", "Film X was made by Ada Example."), ("Ada Example", "Ada Example was born in London.")]
+
+    def graph(question="Where was the maker of Film X born?", answer="London", contexts=contexts, facts=facts):
+        return spark.createDataFrame([(question, answer, contexts, facts)], schema).select(predicates.two_hop(*map(F.col, ("question", "answer", "contexts", "facts"))).alias("g")).first().g
+
+    found = graph()
+    assert (found.a, found.b, found.fact_b, len(found.distractors)) == ("Film X", "Ada Example", facts[1][1], 8)
+    assert graph(contexts=contexts[:-1]) is None and graph(question="Where was Ada Example born?") is None and graph(answer="Paris") is None
+    assert graph(facts=facts[:1]) is None and graph(contexts=[("Film X", "London: Film X by Ada Example."), *contexts[1:]]) is None
+    assert graph(contexts=[("Film X", "Film X has a maker."), *contexts[1:]]) is None and graph(facts=[facts[0], ("Ada Example", "She was born.")]) is None
+    rows = spark.createDataFrame([(7, "Where was the maker of Film X born?", "London", contexts, facts)], "id long, " + schema).withColumn("g", predicates.two_hop(*map(F.col, ("question", "answer", "contexts", "facts"))))
+    steps = replay.curriculum(rows.withColumn("d", F.lit(2)), "id", "question", "answer", "g", "d").orderBy("turn").collect()
+    assert [s.decision for s in steps] == ["SEARCH", "SEARCH", "ANSWER"] and steps[1].query.startswith("Ada Example ") and steps[1].titles == ["Ada Example", "Other 4", "Other 5", "Other 6", "Other 7"]
+    assert [len(s.titles) for s in replay.curriculum(rows.withColumn("d", F.lit(1)), "id", "question", "answer", "g", "d").orderBy("turn").collect()] == [5, 0]
+
+
+def test_trajectory_reasons(spark):
+    decision = lambda kind, query="", answer="", missing=(), sources=("S1",): (kind, query, answer, list(missing), list(sources))
+    d = "struct<decision:string,next_query:string,answer:string,missing:array<string>,source_ids:array<string>>"
+    schema = f"question string, golds array<string>, depth int, decisions array<{d}>, results array<struct<errors:int,documents:array<struct<source_id:string,url:string,text:string>>>>, forced {d}"
+    obs1, obs2 = [("S1", "http://a.org", "Film X was made by Ada Example")], [("S2", "http://b.org", "Ada Example was born in London")]
+    base = {
+        "depth": 2, "decisions": [decision("SEARCH", "who made film x"), decision("SEARCH", "ada example birthplace"), decision("ANSWER", answer="London", sources=("S2",))],
+        "results": [(0, obs1), (0, obs2)], "forced": decision("ANSWER", answer="Paris"),
+    }
+
+    def reason(**changed):
+        r = base | changed
+        row = ("Where was the maker of film X born?", ["London"], r["depth"], r["decisions"], r["results"], r["forced"])
+        return spark.createDataFrame([row], schema).select(replay.trajectory_reason(*map(F.col, ("question", "golds", "depth", "decisions", "results", "forced"))).alias("r")).first().r
+
+    first, second, last = base["decisions"]
+    cases = {
+        "accepted": {}, "answer_without_search": {"decisions": [last]}, "depth_mismatch": {"decisions": [first, last]}, "teacher_answer_mismatch": {"decisions": [first, second, decision("ANSWER", answer="Rome")]},
+        "answer_with_unresolved_missing": {"decisions": [first, second, decision("ANSWER", answer="London", missing=["x"])]}, "answer_not_grounded_in_available_sources": {"decisions": [first, second, decision("ANSWER", answer="London", sources=["S9"])]},
+        "forced1_teacher_error": {"forced": None}, "forced1_protocol_error": {"forced": decision("SEARCH")}, "forced1_already_correct": {"forced": decision("ANSWER", answer="London")},
+        "teacher_over_depth": {"depth": 1}, "duplicate_query": {"decisions": [first, decision("SEARCH", "Who made film X?"), last]}, "query_not_observation_conditioned": {"decisions": [first, decision("SEARCH", "weather today"), last]},
+        "web_error": {"results": [(1, obs1), (0, obs2)]}, "empty_observation": {"results": [(0, obs1), (0, [])]}, "benchmark_leak": {"results": [(0, [("S1", "https://huggingface.co/datasets/hotpot_qa", "Ada Example")]), (0, obs2)]},
+        "no_new_information": {"results": [(0, obs1), (0, obs1)]}, "prematurely_sufficient": {"results": [(0, [("S1", "http://a.org", "Ada Example of London")]), (0, obs2)]}, "no_final_answer": {"decisions": [first, second]},
+    }
+    assert {k: reason(**v) for k, v in cases.items()} == {k: k for k in cases}
+    assert reason(depth=1, decisions=[first, decision("ANSWER", answer="London")], forced=None) == "accepted"
+
+
+def test_depth_behaviour_counts(spark):
+    schema = "depth int, question string, golds array<string>, queries array<string>, observations array<struct<content:string,document_ids:array<string>>>, answer string"
+    rows = [
+        (1, "who made film x", ["ada"], ["who made film x"], [("ada example", ["a"])], "ada"),
+        (2, "where was the maker born", ["london"], ["the maker", "ada birthplace"], [("ada example", ["a"]), ("london", ["b"])], "london"),
+        (2, "where was the maker born", ["london"], ["the maker", "The Maker!", "x"], [("ada", ["a"]), ("ada", ["a"])], None),
+        (3, "left out", ["x"], ["x"], [], "x"),
+    ]
+    got = summaries.depth_behaviour(spark.createDataFrame(rows, schema)).first()
+    assert (got.evaluated, got.depth1_count, got.depth2_count, got.stop_at_d1, got.continue_at_d2, got.answer_f1) == (3, 1, 2, 1.0, 1.0, 1.0)
+    assert [round(x, 4) for x in (got.finish_rate, got.duplicate_extra_query_rate, got.obs_conditioned_extra_query_rate, got.new_evidence_extra_query_rate)] == [0.6667, 0.3333, 0.3333, 0.3333]
+    assert got.gate == "WEB_ADAPTIVE_DEPTH_FAIL" and summaries.depth_behaviour(spark.createDataFrame([], schema)).first().evaluated == 0
+
+
+def test_orderings_of_different_scores(spark):
+    """With a score of its own for every row nothing is sorted by one task, and all sums are those of a sort."""
+    rows = [(k, k * 7919 % 10007 / 10007, k * 31 % 97 % 2) for k in range(5000)]
+    df = spark.createDataFrame(rows, "id long, score double, label int").repartition(13)
+    ordered = sorted(rows, key=lambda r: r[1])
+    places = {r.id: (r.place, r.total) for r in ordering.ordered_places(df, ["score"]).collect()}
+    assert places == {r[0]: (k, 5000) for k, r in enumerate(ordered)}
+    upto, total = {}, 0
+    for r in reversed(ordered):
+        total += r[2]
+        upto[r[0]] = total
+    got = {r.id: r.upto_label for r in ordering.running_sums(df, [F.desc("score")], ["label"]).collect()}
+    assert got == upto
+    ones = [k + 1 for k, r in enumerate(ordered) if r[2]]
+    n1, n0 = len(ones), 5000 - len(ones)
+    assert abs(audits.auroc(df, "label", "score").first().auroc - (sum(ones) - n1 * (n1 + 1) / 2) / (n1 * n0)) < 1e-12
+    quantiles = audits.linear_quantiles(df.withColumn("g", F.col("label")), "g", "score", {"q": 0.3}).collect()
+    for r in quantiles:
+        own = sorted(x[1] for x in rows if x[2] == r.g)
+        place = (len(own) - 1) * 0.3
+        assert abs(r.q - (own[int(place)] + (place - int(place)) * (own[int(place) + 1] - own[int(place)]))) < 1e-12
+    assert ordering.ordered_places(df.limit(0), ["score"]).count() == 0 == audits.midranks(df.limit(0), "score").count()
+
+
 def test_hamilton_ties_go_to_the_larger_key(spark):
     counts = spark.createDataFrame([("a", 10), ("b", 10), ("c", 10)], "k string, n long")
     got = {r.k: r.quota for r in sampling.hamilton(counts, "k", "n", 10).collect()}
@@ -125,7 +276,7 @@ def test_readers_and_writers(spark, tmp_path):
     readers.append_log(df, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 4
     assert readers.checksums(spark, str(path)).first().length == len(path.read_bytes())
-    a, b = readers.bucket_digest(df, F.col("x"), 4).first(), readers.bucket_digest(df.orderBy(F.desc("id")), F.col("x"), 4).first()
+    a, b = readers.digest(df, F.col("x"), 1).first(), readers.digest(df.orderBy(F.desc("id")), F.col("x"), 1).first()
     assert a == b
 
 
