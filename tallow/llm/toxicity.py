@@ -1,10 +1,11 @@
 """Toxicity: a counterfactually regularised classifier.
 
 A logistic regression on the presence of words, of word beginnings and of
-several different words with one beginning.  In the
-labelled sentences identity terms are swapped for the other terms of their
-group, and the squared change of the score's logit is a penalty of the loss,
-so that a neutral mention of a group can't raise the score.
+several different words with one beginning.  In every labelled sentence that
+holds an identity term the term is swapped for each other term of its group,
+and the squared change of the sentence's logit is a penalty of the loss, so
+that a neutral mention of a group can't raise the score.  Terms that no
+labelled sentence holds are swapped as sentences of one word.
 
 The fit uses a bounded sample of the labelled rows (``max_rows``, by hash);
 scoring reads every whole text.
@@ -61,21 +62,39 @@ def expanded(counts: Counter) -> set[int]:
     return {*counts, *(often(f, k) for f, n in counts.items() if n > 1 for k in (2, 3, 5) if n >= k)}
 
 
+def featured(words: set[str]) -> set[int]:
+    """The features of a text or a sentence from its different words."""
+    return expanded(Counter(f for w in words for f in features(w)))
+
+
+def swaps(text: str, groups) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """Of every sentence with a term and every other term of its group: the features that the swap adds, and those it takes away."""
+    out = []
+    for sentence in _SENTENCE.split(text):
+        words = set(_WORD.findall(sentence))
+        for group in groups:
+            for term in words.intersection(group):
+                own = featured(words)
+                for other in group:
+                    if other != term:
+                        new = featured((words - {term}) | {other})
+                        out.append((tuple(sorted(new - own)), tuple(sorted(own - new))))
+    return out
+
+
 def _sampled(groups):
     terms = {t for g in groups for t in g}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, seen = [], []
+            found, changed = [], []
             for text in batch.column(1):
                 text = (text.as_py() or "").lower()
                 words = set(_WORD.findall(text))
-                found.append(sorted(expanded(Counter(f for w in words for f in features(w)))))
-                hit = words & terms
-                seen.append([t for s in _SENTENCE.split(text) for t in hit.intersection(_WORD.findall(s))] if hit else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(seen, pa.list_(pa.string()))], ["toxic", "features", "terms"]
-            )
+                found.append(sorted(featured(words)))
+                changed.append([{"plus": p, "minus": m, "times": n} for (p, m), n in Counter(swaps(text, groups)).items()] if words & terms else [])
+            kind = pa.list_(pa.struct([("plus", pa.list_(pa.int32())), ("minus", pa.list_(pa.int32())), ("times", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(changed, kind)], ["toxic", "features", "swaps"])
 
     return run
 
@@ -110,12 +129,13 @@ def _selected(row, column, y, all_, one, positive: int, most: int, cover: int =
     return np.sort(np.array(chosen, int))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, terms: dict[str, int], groups=IDENTITY_GROUPS, selected: int = 4096, l2: float = 1e-4, fairness: float = 1.0, steps: int = 400) -> tuple[dict[int, float], float]:
+def fit(rows: list[np.ndarray], labels: np.ndarray, swapped: Counter | None = None, groups=IDENTITY_GROUPS, selected: int = 4096, l2: float = 1e-4, fairness: float = 1.0, steps: int = 400) -> tuple[dict[int, float], float]:
     """Weights of features and the intercept.
 
-    ``terms`` counts the labelled sentences that hold an identity term; a term
-    that none holds counts once.  Without rows of both labels, or without a
-    feature that tells them apart, the score is the (smoothed) share of label 1.
+    ``swapped`` counts the changes that swaps() found in labelled sentences;
+    each pair of terms of ``groups`` counts once more as a sentence of one
+    word.  Without rows of both labels, or without a feature that tells them
+    apart, the score is the (smoothed) share of label 1.
     """
     n, positive = len(labels), int(labels.sum())
     if not 0 < positive < n:
@@ -132,33 +152,27 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, terms: dict[str, int], group
     place[chosen] = np.arange(len(chosen))
     kept = place[column] >= 0
     row, column = row[kept], place[column[kept]]
-    swaps, weight = [], []
-    for group in groups:
-        for a in group:
-            for b in group:
-                if a != b:
-                    d = np.zeros(len(chosen))
-                    for term, sign in ((a, -1), (b, 1)):
-                        at = place[list(features(term))]
-                        d[at[at >= 0]] += sign
-                    if d.any():
-                        swaps.append(d)
-                        weight.append(max(1, terms.get(a, 0)))
-    swap = np.array(swaps).reshape(-1, len(chosen))
-    weight = np.array(weight, float) / max(1, sum(weight))
+    every = Counter(swapped or {}) + Counter(s for g in groups for t in g for s in swaps(t, (g,)))
+    # each swap is a row of +1 and -1 at the chosen features that it adds and takes away
+    cells = [(k, place[f], sign) for k, (plus, minus) in enumerate(every) for fs, sign in ((plus, 1.0), (minus, -1.0)) for f in fs if place[f] >= 0]
+    at, feature, sign = (np.array([c[k] for c in cells], t) for k, t in enumerate((int, int, float)))
+    weight = np.array(list(every.values()), float)
+    weight /= max(1.0, weight.sum())
     w, b = np.zeros(len(chosen)), float(np.log(positive / (n - positive)))
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, steps + 1):
         z = np.bincount(row, w[column], n) + b
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        g = np.append(np.bincount(column, error[row], len(chosen)) + l2 * w + fairness * 2 * ((swap @ w) * weight) @ swap, error.sum())
+        change = np.bincount(at, sign * w[feature], len(every))
+        penalty = np.bincount(feature, sign * (2 * fairness * weight * change)[at], len(chosen))
+        g = np.append(np.bincount(column, error[row], len(chosen)) + l2 * w + penalty, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
     return {int(f): float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-4}, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, groups=IDENTITY_GROUPS) -> tuple[dict[int, float], float]:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, groups=IDENTITY_GROUPS, fairness: float = 1.0) -> tuple[dict[int, float], float]:
     """Fit on at most ``max_rows`` of the labelled rows whose crc32(doc_id as text) mod 4 isn't 2.
 
     Rows with a null id or label are left out; an id with several labels has
@@ -167,16 +181,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, groups=IDENT
     usable = labels.filter("doc_id is not null and toxic is not null").filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    # at most max_rows rows of two numbers
+    # at most max_rows rows of two numbers; of texts only numbers of features go to the driver, at most 2 ** BITS a row
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    got = rows.mapInArrow(_sampled(groups), "toxic int, features array<int>, terms array<string>").toArrow()
+    got = rows.mapInArrow(_sampled(groups), "toxic int, features array<int>, swaps array<struct<plus:array<int>,minus:array<int>,times:int>>").toArrow()
     y = np.array([int(x > 0) for x in got.column(0).to_pylist()])
     parts = [np.asarray(x.values, np.int64) for x in got.column(1)]
-    terms: dict[str, int] = {}
+    changed: Counter = Counter()
     for held in got.column(2).to_pylist():
-        for t in held:
-            terms[t] = terms.get(t, 0) + 1
-    return fit(parts, y, terms, groups)
+        for x in held:
+            changed[tuple(x["plus"]), tuple(x["minus"])] += x["times"]
+    return fit(parts, y, changed, groups, fairness=fairness)
 
 
 class Scorer:
@@ -221,7 +235,12 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], id_col: str =
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 6000) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score``, ``predicted`` for every document; ``held_out`` is null for a null id."""
+    """``doc_id``, ``held_out``, ``score``, ``predicted`` for every document; ``held_out`` is null for a null id.
+
+    Null and empty texts score alike, very long ones are read whole, a score
+    at the threshold itself counts as 1, repeated rows give a row each, and
+    other columns are not read.
+    """
     scored = score(docs, train(docs, labels, max_rows))
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -44,8 +45,8 @@ def test_identity_terms_get_one_weight():
         rows.append(np.array(sorted({f for w in words for f in toxicity.features(w)})))
         y.append(int(bad))
     weigh = lambda model, word: sum(model[0].get(f, 0.0) for f in toxicity.features(word))
-    free = toxicity.fit(rows, np.array(y), {"muslim": 130, "christian": 270}, fairness=0.0)
-    fair = toxicity.fit(rows, np.array(y), {"muslim": 130, "christian": 270}, fairness=50.0)
+    free = toxicity.fit(rows, np.array(y), fairness=0.0)
+    fair = toxicity.fit(rows, np.array(y), fairness=50.0)
     gap = lambda m: abs(weigh(m, "muslim") - weigh(m, "christian"))
     assert gap(fair) <= 0.2 * gap(free) + 1e-6 and weigh(fair, "vile") > 1
 
@@ -61,3 +62,51 @@ def test_clean_keeps_all_columns(spark):
     df = spark.createDataFrame([(k, t, "x", k) for k, t in docs], "doc_id long, text string, score string, toxic long")
     got = toxicity.clean(df, labels)
     assert got.columns == df.columns and got.count() == 320 and {r.score for r in got.collect()} == {"x"}
+
+
+def slow_swaps(text):
+    """Swapped sentences by their texts: the sentence with another term in place of each, and its features against the sentence's."""
+    out = []
+    for sentence in re.split(r"[.!?\n]+", text):
+        for group in toxicity.IDENTITY_GROUPS:
+            for term in group:
+                if re.search(rf"\b{term}\b", sentence):
+                    for other in group:
+                        if other != term:
+                            a, b = (toxicity.featured(set(re.findall(r"\w+", x))) for x in (sentence, re.sub(rf"\b{term}\b", other, sentence)))
+                            out.append((tuple(sorted(b - a)), tuple(sorted(a - b))))
+    return out
+
+
+def test_swapped_sentences():
+    for text in ("", "no term here", "a muslim and a christian met. women, and women again!", "muslims muslim\nblack", "christian christianity"):
+        assert sorted(toxicity.swaps(text, toxicity.IDENTITY_GROUPS)) == sorted(slow_swaps(text))
+    assert len(toxicity.swaps("the jewish quarter", toxicity.IDENTITY_GROUPS)) == 5
+
+
+def test_neutral_mentions_are_not_toxic(spark, table):
+    """A planted bias: one group is named in toxic texts mostly.  Without the penalty neutral mentions of it are false positives."""
+    docs, labels = [], []
+    for k in range(1200):
+        bad = k % 4 == 0
+        name = "muslim" if (bad and k % 8) or k % 40 == 1 else "christian" if k % 3 == 0 else "people"
+        words = [f"word{(k * 7 + j) % 150}" for j in range(20)]
+        docs.append((k, " ".join([*words, f". the {name} family", *(["vilename"] if bad and k % 16 < 8 else [])])))
+        labels.append((k, 1, int(bad)))
+    neutral = [(5000 + k, f"word{k} word{k + 1}. the {term} family met") for k, term in enumerate(["muslim", "christian", "jewish", "hindu"] * 25)]
+    frame, given = table(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rate = {}
+    for fairness in (0.0, 1.0):
+        model = toxicity.train(frame, given, fairness=fairness)
+        scored = {r.doc_id: r.score for r in toxicity.score(table([*neutral, (9000, "the muslim family vilename")]), model).collect()}
+        rate[fairness] = sum(scored[i] >= 0.3 for i, _ in neutral) / len(neutral)
+        assert scored[9000] >= 0.3
+    assert rate[0.0] >= 0.25 and rate[1.0] == 0
+
+
+def test_long_texts_repeats_and_clashing_columns(spark):
+    docs, labels = labelled(spark)
+    long = "word1 " * 300_000 + "scumword idiotname"
+    df = spark.createDataFrame([*((k, t, "x", 1.0, True) for k, t in docs), (900, long, "x", 1.0, True), (900, long, "x", 1.0, True)], "doc_id long, text string, features string, score double, held_out boolean")
+    got = toxicity.toxicity(df, labels).filter("doc_id = 900").collect()
+    assert [r.predicted for r in got] == [1, 1]
