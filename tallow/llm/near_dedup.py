@@ -348,7 +348,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     signed = base.mapInArrow(_signed(words, chunks, width, errors), "id long, hash long, n long, node long, signature binary")
     signed = materialise(signed, "signatures")
     named = F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")
-    reps = signed.filter("node is not null").groupBy("node").agg(F.min(named).alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    reps = signed.filter("node is not null").groupBy("node").agg(F.min(named).alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.count("*").alias("rows"))
     reps = materialise(reps, "classes")
     keyed = reps.select("node", "signature").mapInArrow(_keyed(chunks, width, errors), "node long, key long")
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
@@ -366,8 +366,14 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     members = found.select(F.col("id").alias("node"), "root").unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     keepers = members.join(reps.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("keeper"))
     linked = members.join(keepers, "root").select("node", "keeper")
-    classes = reps.select("node", "rep").join(linked, "node", "left").select("node", F.coalesce("keeper", "rep").alias("keeper"))
-    return signed.select("id", "hash", "n", "node").join(classes, "node", "left").select("id", "hash", "n", "keeper")
+    classes = reps.select("node", "rep", "rows").join(linked, "node", "left").select("node", "rows", F.coalesce("keeper", "rep").alias("keeper"))
+    classes = materialise(classes, "keepers")
+    # classes of more than a thousandth of all rows are at most a thousand: they are broadcast, so no task gets one whole
+    many = F.col("rows") > max(1000, signed.count() // 1000)
+    large = F.broadcast(classes.filter(many).select("node", "keeper"))
+    rows = signed.select("id", "hash", "n", "node")
+    rest = rows.join(large, "node", "left_anti").join(classes.filter(~many).select("node", "keeper"), "node", "left")
+    return rows.join(large, "node").unionByName(rest).select("id", "hash", "n", "keeper")
 
 
 def near_duplicates(
