@@ -158,7 +158,8 @@ def _keyed(chunks: int, width: int, errors: int):
                 piece = batch.slice(low, 2048)
                 keys = minhash.keys(_matrix(piece.column(1)))
                 nodes = np.repeat(piece.column(0).to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(keys.ravel())], ["node", "key"])
+                masks = np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(masks), pa.array(keys.ravel())], ["node", "mask", "key"])
 
     return run
 
@@ -214,20 +215,27 @@ def _star(percent: int):
     return run
 
 
-def _apart(distance: int):
-    """Of rows (a, b, node, component, signature) of a pair of blocks: the nodes within the distance of one of another component."""
+def _apart(distance: int, chunks: int, width: int, errors: int):
+    """Of rows (a, b, mask, node, component, signature) of a pair of blocks of a key: the nodes within the distance of one of another component.
+
+    A pair that shares several keys counts in that of the first mask only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (a, b), rows in _grouped(batches, 2):
-            _, _, nodes, components, signatures = zip(*rows, strict=True)
-            x, c = np.frombuffer(b"".join(signatures), np.uint16).reshape(len(nodes), -1), np.array(components)
+        kept = MinHash(chunks, width, errors).kept
+        for (a, b, mask), rows in _grouped(batches, 3):
+            _, _, _, nodes, components, signatures = zip(*rows, strict=True)
+            x, c, place = np.frombuffer(b"".join(signatures), np.uint16).reshape(len(nodes), -1), np.array(components), np.arange(len(nodes))
             hit = np.zeros(len(nodes), bool)
             for low in range(0, len(nodes), 128):
                 differing = np.zeros((len(x[low : low + 128]), len(x)), np.uint8)
-                for place in range(x.shape[1]):
-                    differing += x[low : low + 128, None, place] != x[None, :, place]
-                near = (differing <= distance) & (c[low : low + 128, None] != c[None, :])
-                hit |= near.any(0)
+                for k in range(x.shape[1]):
+                    differing += x[low : low + 128, None, k] != x[None, :, k]
+                near = (differing <= distance) & (c[low : low + 128, None] != c[None, :]) & (place[low : low + 128, None] < place[None, :])
+                i, j = np.nonzero(near)
+                first = (x[low + i] == x[j])[:, kept].all(2).argmax(1) == mask
+                hit[low + i[first]] = True
+                hit[j[first]] = True
             out = np.array(nodes)[hit]
             names = (pa.array(np.full(len(out), n), pa.int64()) for n in (a, b))
             yield pa.RecordBatch.from_arrays([*names, pa.array(out, pa.int64())], ["a", "b", "node"])
@@ -235,7 +243,7 @@ def _apart(distance: int):
     return run
 
 
-def links(sets: list[np.ndarray], percent: int, cells: int = 1 << 23) -> np.ndarray:
+def links(sets: list[np.ndarray], percent: int, cells: int = 1 << 22) -> np.ndarray:
     """Exact matrix of 100 * |A and B| >= percent * |A or B|.
 
     Hashes of one set alone can't be shared and are dropped; the rest make
@@ -250,15 +258,19 @@ def links(sets: list[np.ndarray], percent: int, cells: int = 1 << 23) -> np.ndar
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     column = np.cumsum(np.r_[0, column[1:] != column[:-1]]) if len(column) else column
-    both = np.zeros((n, n), np.int64)
+    both = np.zeros((n, n), np.int32)
     step = max(1, cells // max(1, n))  # counts of a piece are far below 2 ** 24, where single precision is exact
     total = int(column[-1]) + 1 if len(column) else 0
     for low in range(0, total, step):
         a, b = np.searchsorted(column, [low, low + step])
         part = np.zeros((n, min(step, total - low)), np.float32)
         part[row[a:b], column[a:b] - low] = 1
-        both += (part @ part.T).astype(np.int64)
-    return 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        both += (part @ part.T).astype(np.int32)
+    linked = np.empty((n, n), bool)
+    for low in range(0, n, 256):
+        some = both[low : low + 256].astype(np.int64)
+        linked[low : low + 256] = 100 * some >= percent * (size[low : low + 256, None] + size[None, :] - some)
+    return linked
 
 
 def forest(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
@@ -292,6 +304,7 @@ def _confirm(percent: int):
 def _texts(base: DataFrame, reps: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """``node``, ``hashes`` of one text of each node."""
     wanted = reps.join(nodes, "node", "left_semi").select("node", F.col("rep.id").alias("_id"), F.col("rep.hash").alias("_hash"))
+    wanted = materialise(wanted, "wanted")  # so that its size is known, and texts are not shuffled where it is small
     # repeated rows of one id and text meet again in dropDuplicates, which combines before the shuffle
     rows = base.join(wanted, (F.col("hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "text")
     return rows.mapInArrow(_sets(words), "node long, hashes binary").dropDuplicates(["node"])
@@ -307,13 +320,13 @@ def _star_links(near: DataFrame, sets: DataFrame, percent: int, members: int) ->
     return rows.repartition("v", "salt").sortWithinPartitions("v", "salt", "role").mapInArrow(_star(percent), "u long, v long")
 
 
-def _rest_links(tied: DataFrame, reps: DataFrame, sets: DataFrame, first: DataFrame, percent: int, distance: int, block_bytes: int, block_rows: int) -> DataFrame | None:
+def _rest_links(tied: DataFrame, reps: DataFrame, sets: DataFrame, first: DataFrame, percent: int, apart, block_bytes: int, block_rows: int) -> DataFrame | None:
     """Links between different components of ``first`` that share a key; None if no key has two."""
     labels = first.select(F.col("id").alias("node"), "root")
-    rows = tied.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("component"))
-    many = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"), F.count("*").alias("n"))
-    # keys with the same classes do the same work: one of them stays
-    keys = materialise(many.filter("low < high").groupBy("mark", "n").agg(F.min("key").alias("key")).select("key"), "keys")
+    rows = tied.join(labels, "node", "left").select("key", "mask", "node", F.coalesce("root", "node").alias("component"))
+    many = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"), F.count("*").alias("n"), F.first("mask").alias("mask"))
+    # keys with the same classes do the same work: that of the first mask stays
+    keys = materialise(many.filter("low < high").groupBy("mark", "n").agg(F.min(F.struct("mask", "key")).alias("k")).select("k.key"), "keys")
     if keys.isEmpty():
         return None
     rows = materialise(rows.join(keys, "key", "left_semi").join(reps.select("node", "n", "signature"), "node"), "open")
@@ -324,18 +337,18 @@ def _rest_links(tied: DataFrame, reps: DataFrame, sets: DataFrame, first: DataFr
     large = F.col("own") > 1
     alone = F.when(large, F.col("component"))  # the component that a block is of, null for mixed blocks
     dealt = rows.join(own, ["key", "component"]).select(
-        "key", "node", "component", "signature", alone.alias("alone"),
+        "key", "mask", "node", "component", "signature", alone.alias("alone"),
         F.when(large, F.pmod(F.xxhash64("node"), F.col("own"))).otherwise(F.pmod(F.xxhash64("component"), F.col("others"))).alias("place"),
     )
-    dealt = dealt.select("key", F.xxhash64("key", "alone", "place").alias("block"), "alone", "node", "component", "signature")
+    dealt = dealt.select("key", "mask", F.xxhash64("key", "alone", "place").alias("block"), "alone", "node", "component", "signature")
     block = dealt.select("key", "block", "alone").distinct()
     x, y = block.alias("x"), block.alias("y")
     two = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")) & F.coalesce(F.col("x.alone") != F.col("y.alone"), F.lit(True))
     two = two & ~((F.col("x.block") == F.col("y.block")) & F.col("x.alone").isNotNull())
     pairs = x.join(y, two).select(F.col("x.block").alias("a"), F.col("y.block").alias("b"))
     sides = pairs.select(F.col("a").alias("block"), "a", "b").unionByName(pairs.filter("a <> b").select(F.col("b").alias("block"), "a", "b"))
-    met = dealt.join(sides, "block").select("a", "b", "node", "component", "signature")
-    met = met.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_apart(distance), "a long, b long, node long")
+    met = dealt.join(sides, "block").select("a", "b", "mask", "node", "component", "signature")
+    met = met.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(apart, "a long, b long, node long")
     sent = met.join(sets, "node").select("a", "b", "node", "hashes")
     return sent.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_confirm(percent), "u long, v long")
 
@@ -350,7 +363,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     named = F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")
     reps = signed.filter("node is not null").groupBy("node").agg(F.min(named).alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.count("*").alias("rows"))
     reps = materialise(reps, "classes")
-    keyed = reps.select("node", "signature").mapInArrow(_keyed(chunks, width, errors), "node long, key long")
+    keyed = reps.select("node", "signature").mapInArrow(_keyed(chunks, width, errors), "node long, mask int, key long")
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
     tied = materialise(keyed.join(shared, "key"), "tied")
     pairs = tied.filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
@@ -360,7 +373,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     # texts are read again, and sets are sent, for classes that share a key with another one only
     sets = materialise(_texts(base, reps, tied.select("node").distinct(), words), "sets")
     first = connected_components(_star_links(near, sets, percent, block_rows))
-    rest = _rest_links(tied, reps, sets, first, percent, distance, block_bytes, block_rows)
+    rest = _rest_links(tied, reps, sets, first, percent, _apart(distance, chunks, width, errors), block_bytes, block_rows)
     found = first if rest is None else connected_components(rest.unionByName(first.select(F.col("id").alias("u"), F.col("root").alias("v"))))
     discard(tied, near, sets)
     members = found.select(F.col("id").alias("node"), "root").unionByName(found.select(F.col("root").alias("node"), "root").distinct())
