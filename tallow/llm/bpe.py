@@ -73,7 +73,7 @@ class Memo(dict):
 class Codec:
     """Encodes and decodes texts in one Python worker."""
 
-    def __init__(self, model: str, pattern: str, remembered: int = 200_000) -> None:
+    def __init__(self, model: str, pattern: str, remembered: int = 100_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
@@ -174,8 +174,10 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of every whole text, encoded and decoded again.
 
-    Null texts count as empty.  A row in gives a row out; other columns are
-    not read, so none can clash.
+    Null texts count as empty; very long ones are encoded whole, in stretches
+    of pieces.  A row in gives a row out, repeated and null ids included;
+    pairs of one rank merge from the left.  Other columns are not read, so
+    none can clash.  No rows give no rows.
     """
     sent = _payload(docs, path, pattern)
 
