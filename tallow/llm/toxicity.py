@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, groups=IDENT
 class Scorer:
     """Scores whole texts; remembers a bounded number of words."""
 
-    def __init__(self, weights: dict[int, float], bias: float, remembered: int = 500_000) -> None:
+    def __init__(self, weights: dict[int, float], bias: float, remembered: int = 200_000) -> None:
         self.weights, self.bias, self.remembered, self.known = weights, bias, remembered, {}
 
     def __call__(self, text: str | None) -> float:
