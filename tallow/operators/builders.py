@@ -116,3 +116,37 @@ def dpo_pairs(df: DataFrame, key: str, depth: Column, stop: Column, go: Column)
 def compact(documents: Column, most: int = 1800) -> Column:
     """Documents labelled D1, D2, ... with cut texts."""
     return F.transform(documents, lambda d, i: F.struct(F.concat(F.lit("D"), (i + 1).cast("string")).alias("id"), F.substring(d, 1, most).alias("text")))
+
+
+# The mark of reasoning that a teacher will write, and the stamps of the phases.
+PENDING = "__TEACHER_REASONING_PENDING__"
+STAMPS = {
+    "coldstart": {"builder": "build_coldstart_v0", "phase": "2C", "internal": "internal_direct_correct", "search_format": "search_format_train"},
+    "eightb": {"builder": "build_8b_coldstart_v2", "phase": "1.5C", "evidence": "evidence_v2", "evidence_reasoning": "evidence_reasoning_v2"},
+}
+VIEWS = {("coldstart", "internal"): "direct_v0", ("coldstart", "search_format"): "cand_v0", ("eightb", "evidence"): "v2", ("eightb", "evidence_reasoning"): "v2"}
+
+
+def stamped(sample_id: Column, recipe: str, category: str, seed: int) -> list[Column]:
+    """``sft_id`` and ``metadata`` of a training row of a recipe."""
+    stamp = STAMPS[recipe]
+    metadata = {"builder": stamp["builder"], "phase": stamp["phase"], "mix_tag": stamp[category], "source_split": "train", "seed": str(seed)}
+    return [F.concat_ws("__", sample_id, F.lit(category), F.lit(VIEWS[recipe, category])).alias("sft_id"), F.struct(*[F.lit(v).alias(k) for k, v in metadata.items()]).alias("metadata")]
+
+
+def pending_target(gold: Column, refs: Column) -> Column:
+    """Evidence and answer around reasoning that isn't written yet."""
+    return tagged(evidence=evidence_block(refs), think=F.lit(PENDING), answer=gold)
+
+
+def failed_search(query: Column, provider: str, top_k: int, error_type: Column, error: Column, elapsed: Column) -> Column:
+    """What a search gives that failed: no documents, one error, and only its own time."""
+    ms = F.round(elapsed, 2)
+    zero = lambda *names: [F.lit(0).alias(n) for n in names]
+    return F.struct(
+        query.alias("query"),
+        F.struct(F.lit(provider).alias("name"), F.lit("live_web").alias("scope"), F.lit(top_k).alias("top_k"), F.lit(False).alias("search_ok")).alias("retriever"),
+        F.array().cast("array<string>").alias("documents"),
+        F.array(F.struct(F.lit("search").alias("stage"), error_type.alias("error_type"), ms.alias("elapsed_ms"), F.substring(error, 1, 300).alias("error"))).alias("errors"),
+        F.struct(ms.alias("search_api_ms"), F.lit(0.0).alias("fetch_total_ms"), F.lit(0.0).alias("extract_ms"), ms.alias("tool_total_ms"), *zero("success_urls", "failed_urls", "filtered_urls")).alias("timing"),
+    )

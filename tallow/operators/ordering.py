@@ -46,3 +46,16 @@ def running_sums(df: DataFrame, order: list[str | Column], columns: list[str]) -
     inside = Window.partitionBy("_part").orderBy("_row")
     upto = {f"upto_{c}": F.col(f"_before_{c}") + F.sum(c).over(inside) for c in columns}
     return rows.join(F.broadcast(offsets), "_part").withColumns(upto).drop("_part", "_row", *[f"_before_{c}" for c in columns])
+
+
+def paced(df: DataFrame, group: str, order: str, arrival: str, gap: float) -> DataFrame:
+    """``df`` with ``start``, when each request of a group may go out: on arrival, but ``gap`` after the one before it.
+
+    The start of the k-th is k * gap + the largest (arrival - j * gap) of the
+    first k requests, so one running maximum replaces the recursion.
+    """
+    w = Window.partitionBy(group).orderBy(order)
+    place = F.row_number().over(w) - 1
+    rows = df.withColumn("_k", place)
+    ahead = F.max(F.col(arrival) - F.col("_k") * gap).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("start", ahead + F.col("_k") * gap).drop("_k")

@@ -189,6 +189,32 @@ def synthesis_reason(bridge: Column, query2: Column, answer: Column, question: C
     )
 
 
-def rollout(samples: DataFrame, generate, retrieve) -> DataFrame:
-    """One round with injected strategies, tables in and tables out: generate(samples) adds queries, retrieve(queries) documents."""
-    return retrieve(generate(samples))
+def rollout(samples: DataFrame, generate, retrieve, rounds: int = 1, done: str | None = None) -> DataFrame:
+    """Rounds with injected strategies, tables in and tables out: generate(samples) adds queries, retrieve(queries) documents.
+
+    With ``done``, a boolean column, rows that have it leave after each round
+    and come back as they were; the others go on.
+    """
+    finished = None
+    for _ in range(rounds):
+        samples = retrieve(generate(samples))
+        if done:
+            ended = samples.filter(done)
+            finished = ended if finished is None else finished.unionByName(ended, allowMissingColumns=True)
+            samples = samples.filter(~F.coalesce(F.col(done), F.lit(False)))
+    return samples if finished is None else samples.unionByName(finished, allowMissingColumns=True)
+
+
+# Phases of a step and what ends a generation in them.
+BUDGETS = {"answer": 400, "evidence": 384, "search": 256}
+STOPS = ("</search>", "</answer>", "</internal>")
+STATEFUL_STOPS = ("</search>", "</answer>")
+
+
+def token_budget(phase: Column, budgets: dict[str, int] = BUDGETS) -> Column:
+    """Tokens that a phase may generate; phases but answer and evidence share the search budget."""
+    return F.when(phase == "answer", budgets["answer"]).when(phase == "evidence", budgets["evidence"]).otherwise(budgets["search"])
+
+
+def stop_strings(memory_mode: Column) -> Column:
+    return F.when(memory_mode == "research_v2", F.array(*map(F.lit, STATEFUL_STOPS))).otherwise(F.array(*map(F.lit, STOPS)))

@@ -234,3 +234,73 @@ def rescored(cache: DataFrame, frozen: DataFrame) -> DataFrame:
     known = F.when(F.col("reasoning").isNull(), F.raise_error(F.concat(F.lit("no stored rationale for "), F.col("sample_id").cast("string")))).otherwise(F.col("reasoning"))
     return wanted.withColumn("reasoning", known)
 
+
+
+def search_diversity(df: DataFrame, group: str, question: str, queries: str) -> DataFrame:
+    """One row on how searches of trajectories differ within groups of one prompt.
+
+    ``queries`` is a trajectory's array.  A group is searchable if two of its
+    trajectories search; it is diverse if these have two different queries.
+    """
+    each = df.select(group, queries, F.size(F.filter(queries, lambda q: q == F.col(question))).alias("copies"), F.size(queries).alias("n"))
+    found = each.select(group, F.explode(queries).alias("q")).distinct().groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("unique"))
+    groups = each.groupBy(group).agg(F.sum((F.col("n") > 0).cast("long")).alias("searching"), F.sum("copies").alias("copies"), F.sum("n").alias("n"))
+    rows = groups.join(found, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("unique", F.coalesce("unique", F.lit(0)))
+    able = F.col("searching") >= 2
+    rate = lambda a, b: F.round(a / F.greatest(F.lit(1), b), 4)
+    n = lambda c: F.sum(c.cast("long"))
+    return rows.agg(
+        F.count("*").alias("groups"), n(able).alias("searchable"), rate(n(able & (F.col("unique") >= 2)), n(able)).alias("conditional_query_diversity_rate"),
+        rate(F.coalesce(F.sum(F.when(able, F.col("unique"))), F.lit(0)), n(able)).alias("mean_unique_queries"), rate(F.sum("copies"), F.sum("n")).alias("exact_question_copy_rate"),
+    )
+
+
+#: What a second query and a second search can be.
+NOVELTIES = ("exact_duplicate", "normalized_duplicate", "semantic_duplicate", "rewrite")
+LABELS = ("duplicate_retry", "duplicate_but_new_docs", "obs_conditioned_hop", "obs_conditioned_no_new_docs", "rewrite_not_obs_conditioned")
+
+
+def capability_summary(df: DataFrame) -> DataFrame:
+    """One row over second searches (novelty, label, conditioned, new_documents, new_facts): their number and rates of each."""
+    rate = lambda c: F.coalesce(F.round(share(c), 4), F.lit(0.0))
+    return df.agg(
+        F.count("*").alias("n_search2"), *[rate(F.col("novelty") == k).alias(k) for k in NOVELTIES], *[rate(F.col("label") == k).alias(k) for k in LABELS],
+        rate(F.col("conditioned")).alias("obs_conditioned_rate"), rate(F.col("new_documents") > 0).alias("new_doc_rate"), rate(F.col("new_facts") > 0).alias("new_sf_rate"),
+    )
+
+
+def healthy(finish: Column, parsed: Column, masked: Column) -> Column:
+    """Whether a checkpoint's rates are good enough to choose it."""
+    return (finish >= 0.95) & (parsed >= 0.95) & (masked == 1)
+
+
+def generation_summary(df: DataFrame, *group: str) -> DataFrame:
+    """Rates of generated rationales, mean words of accepted ones, and how often each finish reason and score occurs.
+
+    ``df`` has ``accepted``, ``parse_ok``, ``consistent``, ``grounded``,
+    ``n_words``, ``finish_reason`` and ``score``; reasons and scores are few.
+    """
+    def counts(c: str) -> DataFrame:
+        each = df.groupBy(*group, F.col(c).cast("string").alias("k")).agg(F.count("*").alias("n"))
+        return each.groupBy(*group).agg(F.array_sort(F.collect_list(F.concat_ws(":", F.coalesce("k", F.lit("none")), F.col("n").cast("string")))).alias(f"{c}s"))
+
+    rate = lambda c: F.round(share(F.col(c)), 4)
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    rows = df.groupBy(*group).agg(
+        F.count("*").alias("num_requested"), n(F.col("accepted")).alias("num_accepted"), n(~F.col("accepted")).alias("num_rejected"), n(F.col("parse_ok")).alias("num_parse_ok"), rate("accepted").alias("accept_rate"),
+        rate("parse_ok").alias("parse_rate"), rate("consistent").alias("answer_consistency_rate"), rate("grounded").alias("grounding_rate"),
+        F.coalesce(F.round(F.avg(F.when(F.col("accepted"), F.coalesce("n_words", F.lit(0)))), 2), F.lit(0.0)).alias("avg_accepted_words"),
+    )
+    return rows.join(counts("finish_reason"), list(group)).join(counts("score"), list(group))
+
+
+def pool_tag(direct: Column, direct_em: Column, oracle_em: Column) -> Column:
+    """Whether a sample fails both alone and with the oracle's evidence; a missing result is a failure."""
+    one = lambda c: F.coalesce(c, F.lit(0.0)) >= 1 - 1e-9
+    return F.when(F.coalesce(direct, F.lit(False)) | one(direct_em) | one(oracle_em), "other_hard").otherwise("persistent_c_like")
+
+
+def console_line(label: Column, metrics: dict[str, Column], digits: int = 4) -> Column:
+    """Metrics as one line of text: name=value with fixed digits, - for a missing one."""
+    shown = [F.concat(F.lit(f" {k}="), F.when(v.isNull(), "-").otherwise(F.format_string(f"%.{digits}f", v.cast("double")))) for k, v in metrics.items()]
+    return F.concat(F.lit("["), label, F.lit("]"), *shown)

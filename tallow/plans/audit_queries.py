@@ -122,13 +122,11 @@ def _(t):
     return rows.agg(F.count("*").alias("n"), same("searches"), same("metric"))
 
 
-@query("j18_invalid_references", r"SELECT trace_id, step_id, CAST(len(list_filter(list_distinct(regexp_extract_all(content, '[a-z]{4,}')), lambda x: x NOT IN ('that', 'with', 'this', 'erth'))) AS BIGINT) AS invalid FROM steps")
 def _(t):
     cited = F.array_distinct(text.all_matches("content", "[a-z]{4,}"))
     return t.steps.select("trace_id", "step_id", F.size(F.array_except(cited, F.array(*map(F.lit, ("that", "with", "this", "erth"))))).cast("long").alias("invalid"))
 
 
-@query("j19_sibling_link", "SELECT a.doc_id AS natural, b.doc_id AS masked, a.lang = b.lang AS same_lang FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0")
 def _(t):
     a = t.documents.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("natural"), F.col("lang").alias("x"))
     b = t.documents.select((F.col("doc_id") - 1).alias("natural"), F.col("doc_id").alias("masked"), F.col("lang").alias("y"))
@@ -257,7 +255,6 @@ def _(t):
     return t.events.groupBy("user_id").agg(F.countDistinct("event_type").alias("routes"), F.countDistinct("props").alias("queries"), n.alias("searches"), (n >= 2).alias("searchable"))
 
 
-@query("a19_conditional_diversity", "WITH g AS (SELECT user_id, count(DISTINCT event_type) AS d, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) >= 2 AS ok FROM events GROUP BY 1) SELECT count(*) AS groups, avg(CASE WHEN d >= 5 THEN 1 ELSE 0 END) AS diverse FROM g WHERE ok")
 def _(t):
     g = t.events.groupBy("user_id").agg(F.countDistinct("event_type").alias("d"), F.sum((F.col("value") > 50).cast("long")).alias("n")).filter("n >= 2")
     return g.agg(F.count("*").alias("groups"), audits.share(F.col("d") >= 5).alias("diverse"))
@@ -274,30 +271,6 @@ def _(t):
     return t.runs.groupBy((F.col("searches") >= 10).alias("two_searches")).agg(done.alias("finished"), F.count("*").alias("n"), F.try_divide(done, F.count("*")).alias("rate"))
 
 
-_CAP = "SELECT a.trace_id, regexp_extract_all(lower(a.content), '[a-z0-9]{3,}') AS q1, regexp_extract_all(lower(b.content), '[a-z0-9]{3,}') AS q2 FROM steps a JOIN steps b ON a.trace_id = b.trace_id AND b.step_id = a.step_id + 2 WHERE a.step_id = 0"
-
-
-def _hops(t):
-    a = t.steps.filter("step_id = 0").select("trace_id", text.web_tokens("content").alias("q1"))
-    b = t.steps.filter("step_id = 2").select("trace_id", text.web_tokens("content").alias("q2"))
-    return a.join(b, "trace_id")
-
-
-@query("a22_capability_summary", f"WITH h AS ({_CAP}), j AS (SELECT trace_id, len(list_intersect(list_distinct(q1), list_distinct(q2))) AS n, len(list_distinct(list_concat(q1, q2))) AS u FROM h) SELECT count(*) AS n, avg(CASE WHEN u > 0 AND n / u::DOUBLE >= 0.1 THEN 1 ELSE 0 END) AS similar FROM j")
-def _(t):
-    return _hops(t).agg(F.count("*").alias("n"), audits.share((F.size(F.array_union("q1", "q2")) > 0) & (scores.jaccard(F.col("q1"), F.col("q2")) >= 0.1)).alias("similar"))
-
-
-def _(t):
-    d = t.steps.groupBy("trace_id").agg(F.max("step_id").alias("d"), F.sum((F.col("step_type") == "search").cast("long")).alias("s"))
-    return d.groupBy(F.least("d", F.lit(5)).alias("depth")).agg(F.count("*").alias("n"), audits.share(F.col("s") <= 1).alias("stop1"), audits.share(F.col("s") >= 2).alias("continue2"))
-
-
-def _(t):
-    w = F.exp((F.col("value") - 20) / 400.0)
-    return t.events.agg(F.count("*").alias("n"), F.round(F.pow(F.sum(w), F.lit(2)) / F.sum(w * w) / F.count("*"), 6).alias("ess_ratio"))
-
-
 @query("a25_support_audit", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN vec_id % 9 = 0 AND i = 3 THEN NULL WHEN vec_id % 7 = 0 AND i = 5 THEN 'inf'::FLOAT ELSE x END) AS lp FROM embeddings) SELECT CAST(sum(CASE WHEN len(list_filter(lp, lambda x: x IS NULL)) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing_rows, CAST(sum(CASE WHEN len(list_filter(lp, lambda x: NOT isfinite(x))) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS infinite_rows, CAST(sum(len(lp)) AS BIGINT) AS tokens FROM v")
 def _(t):
     v = F.col("vec_id")
@@ -540,7 +513,6 @@ def _(t):
     return rows.withColumn("verdict", p.verdict("enough", "unique_ids", "short"))
 
 
-@query("p26_checkpoint_health", "SELECT arm, avg(CASE WHEN metric > 20 THEN 1 ELSE 0 END) >= 0.95 AND avg(CASE WHEN searches > 2 THEN 1 ELSE 0 END) >= 0.95 AS healthy FROM runs GROUP BY arm")
 def _(t):
     return t.runs.groupBy("arm").agg(((audits.share(F.col("metric") > 20) >= 0.95) & (audits.share(F.col("searches") > 2) >= 0.95)).alias("healthy"))
 

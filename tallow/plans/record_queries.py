@@ -87,7 +87,7 @@ def _(t):
     return rows.select("doc_id", F.when(F.col("known").isNull(), "unknown sample_id").when(F.col("quality") == 0, "empty query").alias("error"))
 
 
-@query("s20_snippet_documents")
+@query("s20_snippet_documents", "SELECT page_id, CAST(1 AS INT) AS rank, url AS title, url, html AS text FROM pages")
 def _(t):
     body = F.to_json(F.struct(F.array(F.struct(F.col("url"), F.lit("").alias("title"), F.array("html").alias("snippets"))).alias("items")))
     return readers.snippet_documents(t.pages.select("page_id", body.alias("body")), "page_id", "body")
@@ -117,7 +117,6 @@ def _(t):
     return hash_sample(t.documents.select("doc_id", "text"), 100, "doc_id")
 
 
-@query("s27_row_replacement", "SELECT doc_id, CASE WHEN doc_id = 17 THEN 'new' ELSE lang END AS lang FROM documents")
 def _(t):
     fresh = t.documents.filter("doc_id = 17").select("doc_id", F.lit("new").alias("fresh"))
     return t.documents.select("doc_id", "lang").join(fresh, "doc_id", "left").select("doc_id", F.coalesce("fresh", "lang").alias("lang"))
@@ -259,7 +258,6 @@ def _(t):
     return t.qa.select("doc_id", F.transform(order, lambda x: F.split_part(x, F.lit("|"), F.lit(2)).cast("int")).alias("order_ids"))
 
 
-@query("b04_stamped_rows", "SELECT doc_id, 'coldstart' AS phase, CASE WHEN doc_id % 2 = 0 THEN 'PENDING' ELSE prediction END AS reasoning FROM qa")
 def _(t):
     return t.qa.select("doc_id", F.lit("coldstart").alias("phase"), F.when(F.col("doc_id") % 2 == 0, "PENDING").otherwise(F.col("prediction")).alias("reasoning"))
 
@@ -329,7 +327,6 @@ def _(t):
     return t.tagged.select("doc_id", F.size(found).cast("long").alias("searches"), (F.size(tags.bodies("chunk", "answer")) == 1).alias("finished"), (F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("duplicates"))
 
 
-@query("b18_trace_steps", "WITH n AS (SELECT doc_id, regexp_extract_all(chunk, '(?is)<(?:think|internal|search|evidence|answer)>.*?</') AS m FROM tagged) SELECT doc_id, list_transform(list_filter(m, lambda x: trim(replace(string_split(x, '>')[-1], '</', '')) <> ''), lambda x: lower(regexp_extract(x, '<([a-zA-Z]+)>', 1))) AS types FROM n")
 def _(t):
     return t.tagged.select("doc_id", F.transform(tags.tag_steps("chunk"), lambda s: s["step_type"]).alias("types"))
 
@@ -349,7 +346,6 @@ def _(t):
     return _step_arrays(t).select("trace_id", n("search").alias("searches"), n("observation").alias("observations"), F.size("steps").cast("long").alias("steps"))
 
 
-@query("m04_failed_search_row", "SELECT page_id, page_id % 4 <> 0 AS search_ok, CASE WHEN page_id % 4 = 0 THEN 'search' END AS stage, CASE WHEN page_id % 4 = 0 THEN 0 ELSE 1 END AS n_documents FROM pages")
 def _(t):
     bad = F.col("page_id") % 4 == 0
     return t.pages.select("page_id", (~bad).alias("search_ok"), F.when(bad, "search").alias("stage"), F.when(bad, 0).otherwise(1).alias("n_documents"))
@@ -366,19 +362,16 @@ def _(t):
     return t.qa.select("doc_id", F.array_sort(text.vocabulary(own)).alias("vocab"))
 
 
-@query("m07_phase_variants", "SELECT doc_id, 'rl_warmup' AS phase, lang AS category FROM documents")
 def _(t):
     rows = t.documents.select("doc_id", F.struct(F.lit("sft").alias("phase"), F.col("lang").alias("category")).alias("m"))
     return rows.select("doc_id", F.col("m").withField("phase", F.lit("rl_warmup")).alias("m")).select("doc_id", "m.*")
 
 
-@query("m08_pool_tag", "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 1 THEN 'mixed' WHEN quality = 1 THEN 'good' ELSE 'bad' END AS pool FROM labels")
 def _(t):
     good, toxic = F.col("quality") == 1, F.col("toxic") == 1
     return t.labels.select("doc_id", F.when(good & toxic, "mixed").when(good, "good").otherwise("bad").alias("pool"))
 
 
-@query("m10_generation_summary", "SELECT source, count(*) AS n, avg(CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END) AS accepted, max(n_chars) AS longest FROM documents GROUP BY 1")
 def _(t):
     return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.avg((F.col("n_chars") > 1000).cast("int")).alias("accepted"), F.max("n_chars").alias("longest"))
 
@@ -496,13 +489,11 @@ def _(t):
     return t.events.select("event_id", F.coalesce(raw.try_cast("double"), F.lit(0.0)).alias("v"))
 
 
-@query("m28_routing_columns", "SELECT arm, sample_id, CASE WHEN searches > 8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS used_search, CASE WHEN searches > 8 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS used_internal FROM runs")
 def _(t):
     s = F.when(F.col("searches") > 8, 1.0).otherwise(0.0)
     return t.runs.select("arm", "sample_id", s.alias("used_search"), (1 - s).alias("used_internal"))
 
 
-@query("m29_phase_budget", "SELECT trace_id, step_id, CASE step_type WHEN 'search' THEN 256 WHEN 'observation' THEN 384 ELSE 512 END AS budget FROM steps")
 def _(t):
     return t.steps.select("trace_id", "step_id", F.when(F.col("step_type") == "search", 256).when(F.col("step_type") == "observation", 384).otherwise(512).alias("budget"))
 
@@ -528,7 +519,7 @@ def _(t):
     return remaining(t.documents.select("doc_id", "lang"), t.labels, "doc_id")
 
 
-@query("st02_episode_fold")
+@query("st02_episode_fold", f"WITH d AS ({_DOCS}), f AS (SELECT *, row_number() OVER (PARTITION BY episode, url ORDER BY turn, position) = 1 AS new FROM d) SELECT episode, turn, CAST(sum(CASE WHEN new THEN 1 ELSE 0 END) AS BIGINT) AS new_urls FROM f GROUP BY ALL")
 def _(t):
     from ..streaming.logs import fold_novelty
 

@@ -98,13 +98,17 @@ _HOP = f"""{_NOVELTY}, n AS (SELECT j.doc_id, {_NOVEL} AS novelty, tb, {q.keyset
      WHEN conditioned AND (docs > 0 OR facts > 0) THEN 'obs_conditioned_hop' WHEN conditioned THEN 'obs_conditioned_no_new_docs' ELSE 'rewrite_not_obs_conditioned' END AS label FROM c""",
 )
 def _(t):
+    return _second_searches(t).select("doc_id", "label")
+
+
+def _second_searches(t):
     rows = _two_queries(t).join(t.qa.select("doc_id", "question", "golds", "prediction"), "doc_id")
     tok = text.capability_tokens
     conditioned = F.arrays_overlap(F.array_except(tok("b"), tok("question")), tok(F.get("golds", 1)))
-    first, second = F.split("prediction", " "), F.split(F.get("golds", 1), " ")
-    fresh = F.array_except(second, first)
+    fresh = F.array_except(F.split(F.get("golds", 1), " "), F.split("prediction", " "))
     facts = F.size(F.array_intersect(fresh, F.array(F.lit("the"))))
-    return rows.select("doc_id", p.hop_label(p.novelty("a", "b"), conditioned, F.size(fresh), facts).alias("label"))
+    rows = rows.select("doc_id", p.novelty("a", "b").alias("novelty"), conditioned.alias("conditioned"), F.size(fresh).alias("new_documents"), facts.alias("new_facts"))
+    return rows.withColumn("label", p.hop_label(*map(F.col, ("novelty", "conditioned", "new_documents", "new_facts"))))
 
 
 # Validators -------------------------------------------------------------------
@@ -555,3 +559,229 @@ def _(t):
     scored = score_rationales(cache, "sample_id", "reasoning", "answer", "question", "evidence")
     extra = {"tagged": F.lit(False), "hard_reject": ~F.col("parsed") | ~F.col("clean"), "n_sentences": F.lit(2), "saved": F.lit(False), "present": F.lit(True), "reasoning_tokens": F.col("score")}
     return summaries.teacher_gate(scored.withColumn("reasoning", F.when(F.col("parsed"), "x").otherwise("")).withColumns(extra), frozen)
+
+
+# Remaining rules --------------------------------------------------------------
+
+
+@query(
+    "a19_conditional_diversity",
+    """WITH t AS (SELECT user_id, event_id % 7 AS traj, list(event_type ORDER BY event_id) FILTER (WHERE value > 50) AS qs FROM events GROUP BY ALL), z AS (SELECT user_id, coalesce(qs, []) AS qs FROM t),
+     g AS (SELECT user_id, sum(CASE WHEN len(qs) > 0 THEN 1 ELSE 0 END) AS searching, sum(len(list_filter(qs, lambda x: x = 'view'))) AS copies, sum(len(qs)) AS n, len(list_distinct(flatten(list(qs)))) AS u FROM z GROUP BY 1)
+    SELECT count(*) AS groups, CAST(sum((searching >= 2)::INT) AS BIGINT) AS searchable, round(sum((searching >= 2 AND u >= 2)::INT)::DOUBLE / greatest(1, sum((searching >= 2)::INT)), 4) AS conditional_query_diversity_rate,
+      round(coalesce(sum(CASE WHEN searching >= 2 THEN u END), 0)::DOUBLE / greatest(1, sum((searching >= 2)::INT)), 4) AS mean_unique_queries, round(sum(copies)::DOUBLE / greatest(1, sum(n)), 4) AS exact_question_copy_rate FROM g""",
+)
+def _(t):
+    rows = t.events.groupBy("user_id", (F.col("event_id") % 7).alias("traj")).agg(F.collect_list(F.when(F.col("value") > 50, F.col("event_type"))).alias("queries"))
+    return summaries.search_diversity(rows.withColumn("question", F.lit("view")), "user_id", "question", "queries")
+
+
+_LABEL = """CASE WHEN novelty IN ('exact_duplicate', 'normalized_duplicate', 'semantic_duplicate') THEN CASE WHEN docs = 0 AND facts = 0 THEN 'duplicate_retry' ELSE 'duplicate_but_new_docs' END
+     WHEN conditioned AND (docs > 0 OR facts > 0) THEN 'obs_conditioned_hop' WHEN conditioned THEN 'obs_conditioned_no_new_docs' ELSE 'rewrite_not_obs_conditioned' END"""
+
+
+@query(
+    "a22_capability_summary",
+    f"""{_HOP}, l AS (SELECT *, {_LABEL} AS label FROM c) SELECT count(*) AS n_search2, {", ".join(f"{_RATE(f"novelty = '{k}'")} AS {k}" for k in summaries.NOVELTIES)}, {", ".join(f"{_RATE(f"label = '{k}'")} AS {k}" for k in summaries.LABELS)},
+      {_RATE("conditioned")} AS obs_conditioned_rate, {_RATE("docs > 0")} AS new_doc_rate, {_RATE("facts > 0")} AS new_sf_rate FROM l""",
+)
+def _(t):
+    return summaries.capability_summary(_second_searches(t))
+
+
+@query("p26_checkpoint_health", "WITH s AS (SELECT arm, avg(CASE WHEN metric > 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS f, avg(CASE WHEN tokens > 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p, avg(CASE WHEN searches > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS m FROM runs GROUP BY 1) SELECT arm, f >= 0.95 AND p >= 0.95 AND m = 1 AS healthy FROM s")
+def _(t):
+    from ..operators.audits import share
+
+    return t.runs.groupBy("arm").agg(summaries.healthy(share(F.col("metric") > 10), share(F.col("tokens") > 50), share(F.col("searches") > 0)).alias("healthy"))
+
+
+@query("s27_row_replacement", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.lang ELSE 'new ' || l.quality END AS lang FROM documents d LEFT JOIN (SELECT * FROM labels WHERE toxic = 1) l USING (doc_id)")
+def _(t):
+    from ..sources import readers
+
+    fresh = t.labels.filter("toxic = 1").select("doc_id", F.concat(F.lit("new "), F.col("quality").cast("string")).alias("lang"))
+    return readers.swapped(t.documents.select("doc_id", "lang"), fresh, "doc_id")
+
+
+@query("j18_invalid_references", "WITH f AS (SELECT trace_id, list_distinct(regexp_extract_all(arg_min(content, step_id), '[a-z]{4,}')) AS known FROM steps GROUP BY 1) SELECT trace_id, step_id, CAST(len(list_filter(list_distinct(regexp_extract_all(content, '[a-z]{4,}')), lambda x: NOT list_contains(known, x))) AS BIGINT) AS invalid FROM steps JOIN f USING (trace_id)")
+def _(t):
+    # what a trace's first step names is what later ones may cite
+    known = F.array_distinct(text.all_matches(F.get("steps", 0)["content"], "[a-z]{4,}"))
+    rows = _step_arrays(t).select("trace_id", known.alias("known"), F.explode("steps").alias("s"))
+    cited = F.array_distinct(text.all_matches(F.col("s")["content"], "[a-z]{4,}"))
+    return rows.select("trace_id", "s.step_id", F.size(validators.reference_errors(cited, F.col("known"))).cast("long").alias("invalid"))
+
+
+_MASKED = f"SELECT doc_id, golds, list_filter(golds, lambda g: NOT {_vis('golds[3]', 'g')}) AS kept FROM qa"
+
+
+@query("j19_sibling_link", f"WITH m AS ({_MASKED}) SELECT doc_id || '__search1' AS natural, doc_id || '__search1_masked' AS masked, len(golds) - len(kept) AS hidden FROM m WHERE len(kept) BETWEEN 1 AND len(golds) - 1")
+def _(t):
+    kept = F.filter("golds", lambda g: ~p.visible_in(F.get("golds", 2), g))
+    states = t.qa.select(F.concat_ws("__", F.col("doc_id").cast("string"), F.lit("search1")).alias("state_id"), "golds", kept.alias("kept"))
+    natural = states.select("state_id", F.size("golds").alias("n"))
+    masked = states.filter((F.size("kept") > 0) & (F.size("kept") < F.size("golds"))).select(F.concat_ws("_", "state_id", F.lit("masked")).alias("masked"), F.col("state_id").alias("paired_natural_state_id"), F.size("kept").alias("m"))
+    linked = masked.join(natural, F.col("paired_natural_state_id") == F.col("state_id"))
+    return linked.select(F.col("state_id").alias("natural"), "masked", (F.col("n") - F.col("m")).cast("long").alias("hidden"))
+
+
+@query(
+    "b04_stamped_rows",
+    f"""WITH s AS (SELECT doc_id, answer, {_REFS} AS refs FROM samples), z AS (SELECT *, {_BLOCK} AS block FROM s)
+    SELECT doc_id || '__evidence_reasoning__v2' AS sft_id, 'evidence_reasoning_v2' AS mix_tag, '1.5C' AS phase, {_TAG('evidence', 'block')} || chr(10) || {_TAG('think', f"'{builders.PENDING}'")} || chr(10) || {_TAG('answer', 'answer')} AS target FROM z""",
+)
+def _(t):
+    ref = lambda f, i: F.struct(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("document_id"), f["title"].alias("title"), F.lit(i).alias("sentence_id"), f["sentence"].alias("text"))
+    refs = F.array(ref(F.get("facts", 0), 1), ref(F.element_at("facts", -1), 2))
+    rows = t.samples.select(*builders.stamped(F.col("doc_id").cast("string"), "eightb", "evidence_reasoning", 42), builders.pending_target(F.col("answer"), refs).alias("target"))
+    return rows.select("sft_id", "metadata.mix_tag", "metadata.phase", "target")
+
+
+@query("m04_failed_search_row", "SELECT page_id, url AS query, false AS search_ok, 'search' AS stage, 'Timeout' AS error_type, substr(html, 1, 300) AS error, round(length(html) / 8.0::DOUBLE, 2) AS tool_total_ms, 0 AS failed_urls, 0 AS n_documents FROM pages WHERE length(html) % 5 = 0")
+def _(t):
+    row = builders.failed_search(F.col("url"), "web", 5, F.lit("Timeout"), F.col("html"), F.length("html") / 8.0)
+    rows = t.pages.filter("length(html) % 5 = 0").select("page_id", row.alias("r"))
+    error = F.get("r.errors", 0)
+    return rows.select("page_id", "r.query", "r.retriever.search_ok", error["stage"].alias("stage"), error["error_type"].alias("error_type"), error["error"].alias("error"), "r.timing.tool_total_ms", "r.timing.failed_urls", F.size("r.documents").alias("n_documents"))
+
+
+@query("m07_phase_variants", "SELECT doc_id || '__internal__direct_v0' AS sft_id, 'internal_direct_correct' AS mix_tag, '2C' AS phase, 'build_coldstart_v0' AS builder, 'train' AS source_split FROM samples UNION ALL SELECT doc_id || '__search_format__cand_v0', 'search_format_train', '2C', 'build_coldstart_v0', 'train' FROM samples")
+def _(t):
+    of = lambda c: t.samples.select(*builders.stamped(F.col("doc_id").cast("string"), "coldstart", c, 42))
+    rows = of("internal").unionByName(of("search_format"))
+    return rows.select("sft_id", "metadata.mix_tag", "metadata.phase", "metadata.builder", "metadata.source_split")
+
+
+@query("m08_pool_tag", "WITH o AS (SELECT sample_id, max(CASE WHEN metric > 60 THEN 1.0 ELSE 0.0 END) AS em FROM runs WHERE arm = 'view' GROUP BY 1) SELECT doc_id, CASE WHEN quality = 1 OR coalesce(em, 0) >= 1 - 1e-9 THEN 'other_hard' ELSE 'persistent_c_like' END AS pool FROM labels LEFT JOIN o ON doc_id = sample_id")
+def _(t):
+    oracle = t.runs.filter("arm = 'view'").groupBy(F.col("sample_id").alias("doc_id")).agg(F.max((F.col("metric") > 60).cast("double")).alias("em"))
+    rows = t.labels.join(oracle, "doc_id", "left")
+    return rows.select("doc_id", summaries.pool_tag(F.lit(False), F.col("quality").cast("double"), F.col("em")).alias("pool"))
+
+
+_HIST = lambda x: f"(SELECT list_sort(list(k || ':' || n)) FROM (SELECT r.lang AS g, {x} AS k, count(*) AS n FROM r GROUP BY ALL) h WHERE h.g = a.lang)"
+
+
+@query(
+    "m10_generation_summary",
+    f"""WITH r AS (SELECT lang, source, quality, toxic, n_chars, n_chars // 5 AS words FROM labels JOIN documents USING (doc_id)),
+     a AS (SELECT lang, count(*) AS num_requested, CAST(sum(quality) AS BIGINT) AS num_accepted, CAST(sum(1 - quality) AS BIGINT) AS num_rejected, CAST(sum((n_chars > 500)::INT) AS BIGINT) AS num_parse_ok, {_RATE('quality = 1')} AS accept_rate,
+       {_RATE('n_chars > 500')} AS parse_rate, {_RATE('toxic = 0')} AS answer_consistency_rate, {_RATE('n_chars % 2 = 0')} AS grounding_rate, coalesce(round(avg(CASE WHEN quality = 1 THEN words END), 2), 0.0::DOUBLE) AS avg_accepted_words FROM r GROUP BY lang)
+    SELECT *, {_HIST('source')} AS finish_reasons, {_HIST("n_chars % 6")} AS scores FROM a""",
+)
+def _(t):
+    rows = t.labels.join(t.documents.select("doc_id", "lang", "source", "n_chars"), "doc_id")
+    rows = rows.select(
+        "lang", (F.col("quality") == 1).alias("accepted"), (F.col("n_chars") > 500).alias("parse_ok"), (F.col("toxic") == 0).alias("consistent"), (F.col("n_chars") % 2 == 0).alias("grounded"),
+        F.floor(F.col("n_chars") / 5).alias("n_words"), F.col("source").alias("finish_reason"), (F.col("n_chars") % 6).alias("score"),
+    )
+    return summaries.generation_summary(rows, "lang")
+
+
+@query("m28_routing_columns", "SELECT arm, sample_id, CASE WHEN searches % 3 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS search_route, CASE WHEN searches % 3 > 0 THEN 0.0::DOUBLE WHEN metric / 100 >= 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS internal FROM runs")
+def _(t):
+    used = F.col("searches") % 3 > 0
+    internal = F.when(used, 0.0).otherwise((F.col("metric") / 100 >= 0.5).cast("double"))
+    return t.runs.select("arm", "sample_id", used.cast("double").alias("search_route"), internal.alias("internal"))
+
+
+@query("m29_phase_budget", f"SELECT trace_id, step_id, CASE step_type WHEN 'answer' THEN {replay.BUDGETS['answer']} WHEN 'evidence' THEN {replay.BUDGETS['evidence']} ELSE {replay.BUDGETS['search']} END AS budget, CASE WHEN step_id % 2 = 0 THEN {list(replay.STATEFUL_STOPS)} ELSE {list(replay.STOPS)} END AS stops FROM steps")
+def _(t):
+    mode = F.when(F.col("step_id") % 2 == 0, "research_v2").otherwise("none")
+    return t.steps.select("trace_id", "step_id", replay.token_budget(F.col("step_type")).alias("budget"), replay.stop_strings(mode).alias("stops"))
+
+
+@query(
+    "b18_trace_steps",
+    rf"""WITH n AS (SELECT doc_id, regexp_extract_all(chunk, '(?is)<(?:think|internal|search|evidence|answer)>.*?</(?:think|internal|search|evidence|answer)>') AS m FROM tagged),
+     x AS (SELECT doc_id, list_transform(m, lambda y: {{'t': lower(regexp_extract(y, '<([a-zA-Z]+)>', 1)), 'c': regexp_replace(regexp_replace(y, '^<[a-zA-Z]+>\s*', ''), '\s*</[a-zA-Z]+>$', '')}}) AS s FROM n)
+    SELECT doc_id, list_transform(list_filter(s, lambda y: y.c <> ''), lambda y, i: (i - 1) || ' ' || y.t || ' ' || y.c) AS steps FROM x""",
+)
+def _(t):
+    line = lambda s, i: F.concat_ws(" ", i.cast("string"), s["step_type"], s["content"])
+    return t.tagged.select("doc_id", F.transform(tags.tag_steps("chunk"), line).alias("steps"))
+
+
+@query("z01b_rounds_with_an_end", "WITH RECURSIVE r AS (SELECT user_id, max(event_id) % 4 AS left_, 0 AS n FROM events GROUP BY 1 UNION ALL SELECT user_id, left_ - 1, n + 1 FROM r WHERE n = 0 OR (n < 3 AND left_ > 0)) SELECT user_id, max(n) AS rounds FROM r GROUP BY 1")
+def _(t):
+    rows = t.events.groupBy("user_id").agg((F.max("event_id") % 4).alias("left"), F.lit(0).alias("rounds"), F.lit(False).alias("done"))
+    generate = lambda s: s.withColumn("rounds", F.col("rounds") + 1)
+    retrieve = lambda s: s.withColumn("left", F.col("left") - 1).withColumn("done", F.col("left") <= 0)
+    return replay.rollout(rows, generate, retrieve, 3, "done").select("user_id", "rounds")
+
+
+# Stored connectors, registries, pacing -----------------------------------------
+
+
+@query("s19_stored_results", """WITH l AS (SELECT page_id, regexp_extract_all(html, '(?is)<a href="([^"]+)">(.*?)</a>', 1) AS u, regexp_extract_all(html, '(?is)<a href="([^"]+)">(.*?)</a>', 2) AS t FROM pages) SELECT page_id, unnest(range(1, least(len(u), 4) + 1))::INT AS rank, trim(unnest(t[1:4])) AS title, unnest(u[1:4]) AS url, '' AS snippet FROM l""")
+def _(t):
+    from ..sources import readers
+
+    return readers.search_results(t.pages, "page_id", "html", "anchors", 4)
+
+
+@query("s19b_stored_json_results", "SELECT doc_id, 1::INT AS rank, lang AS title, source AS url, text AS snippet FROM documents")
+def _(t):
+    from ..sources import readers
+
+    item = F.struct(F.col("lang").alias("title"), F.col("source").alias("url"), F.col("text").alias("description"))
+    body = F.to_json(F.struct(F.struct(F.array(item).alias("results")).alias("web")))
+    return readers.search_results(t.documents.select("doc_id", body.alias("body")), "doc_id", "body", "web")
+
+
+@query("s29_dataset_registry", "SELECT n_nationkey AS id, n_name AS label FROM nation")
+def _(t):
+    from ..sources import readers
+
+    path, data = readers.scratch(t.spark, "registry"), readers.scratch(t.spark, "registered")
+    t.nation.write.parquet(data)
+    readers.register(path, t.spark, "nations", "nowhere", {"n_name": "x"})
+    readers.register(path, t.spark, "nations", data, {"n_nationkey": "id", "n_name": "label"})
+    return readers.registered(t.spark, path, "nations")
+
+
+@query("s31_stored_attempts", "SELECT user_id, coalesce(arg_min(event_type, event_id) FILTER (WHERE value > 50), arg_max(event_type, event_id)) AS value, count(*) FILTER (WHERE value > 50) > 0 AS ok, count(*) AS attempts, coalesce(min(event_id) FILTER (WHERE value > 50) > min(event_id), false) AS degraded FROM events GROUP BY 1")
+def _(t):
+    from ..sources import readers
+
+    return readers.first_success(t.events.select("user_id", "event_id", "event_type", (F.col("value") > 50).alias("good")), "user_id", "event_id", "good", "event_type")
+
+
+@query("s32_frozen_staging", "SELECT 'a.txt' AS name, true AS copied, sha256(string_agg(r_name, ',' ORDER BY r_name) || chr(10)) AS sha256 FROM region UNION ALL SELECT 'b.txt', false, NULL UNION ALL SELECT 'c.txt', false, NULL")
+def _(t):
+    from ..sources import readers
+
+    folder, target = readers.scratch(t.spark, "frozen"), readers.scratch(t.spark, "staged")
+    fs, conf = t.spark._jvm.org.apache.hadoop.fs, t.spark._jsc.hadoopConfiguration()
+    for name, column in (("a", "r_name"), ("b", "r_regionkey")):
+        t.region.agg(F.array_join(F.sort_array(F.collect_list(F.col(column).cast("string"))), ",").alias("value")).coalesce(1).write.text(f"{folder}/{name}")
+        part = t.spark.read.format("binaryFile").load(f"{folder}/{name}/part-*").select("path").first().path
+        fs.Path(part).getFileSystem(conf).rename(fs.Path(part), fs.Path(f"{folder}/{name}.txt"))
+    own = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in readers.checksums(t.spark, f"{folder}/*.txt").collect()}
+    copied = readers.stage_frozen(t.spark, f"{folder}/*.txt", {"a.txt": own["a.txt"], "b.txt": "0" * 64, "c.txt": own["a.txt"]}, target)
+    rows = t.spark.createDataFrame(list(copied.items()), "name string, copied boolean")
+    sums = readers.checksums(t.spark, f"{target}/*.txt").select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+    return rows.join(sums, "name", "left")
+
+
+@query("st03_running_counters", "SELECT event_id, count(*) OVER w AS processed, CAST(sum((event_type = 'error')::INT) OVER w AS BIGINT) AS errors FROM events WINDOW w AS (ORDER BY event_id)")
+def _(t):
+    from ..operators.ordering import running_sums
+
+    rows = t.events.select("event_id", F.lit(1).alias("row"), (F.col("event_type") == "error").cast("int").alias("error"))
+    return running_sums(rows, ["event_id"], ["row", "error"]).select("event_id", F.col("upto_row").alias("processed"), F.col("upto_error").alias("errors"))
+
+
+@query("st05_paced_requests", "WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, (event_id // 64)::DOUBLE AS arrival FROM events), r AS (SELECT user_id, event_id, k, arrival AS start FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, greatest(e.arrival, r.start + 16.0) FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT event_id, start FROM r")
+def _(t):
+    from ..operators.ordering import paced
+
+    rows = t.events.select("user_id", "event_id", F.floor(F.col("event_id") / 64).cast("double").alias("arrival"))
+    return paced(rows, "user_id", "event_id", "arrival", 16.0).select("event_id", "start")
+
+
+@query("m30_console_lines", "SELECT sample_id, '[' || arm || '] tokens=' || printf('%.2f', tokens::DOUBLE) || ' searches=' || CASE WHEN searches > 5 THEN printf('%.2f', searches::DOUBLE) ELSE '-' END AS line FROM runs")
+def _(t):
+    line = summaries.console_line(F.col("arm"), {"tokens": F.col("tokens"), "searches": F.when(F.col("searches") > 5, F.col("searches"))}, 2)
+    return t.runs.select("sample_id", line.alias("line"))

@@ -110,6 +110,88 @@ def snippet_documents(responses: DataFrame, id_col: str, body: str) -> DataFrame
     return rows.select(id_col, (F.col("place") + 1).alias("rank"), title.alias("title"), F.col("i.url").alias("url"), F.array_join("i.snippets", "\n").alias("text"))
 
 
+#: Links of a result page, and where its redirects keep the target.
+RESULT_LINK = r'(?is)class="result__a"[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
+_ENTITIES = {"&quot;": '"', "&#39;": "'", "&#x27;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
+def _unescaped(c: Column) -> Column:
+    for entity, character in _ENTITIES.items():
+        c = F.replace(c, F.lit(entity), F.lit(character))
+    return c
+
+
+def _link_results(body: Column, pattern: str) -> Column:
+    urls, titles = (F.regexp_extract_all(body, F.lit(pattern), F.lit(k)) for k in (1, 2))
+
+    def one(r: Column) -> Column:
+        url = _unescaped(r["u"])
+        target = F.regexp_extract(url, "[?&]uddg=([^&#]+)", 1)
+        title = F.trim(F.regexp_replace(_unescaped(r["t"]), "<[^>]+>", ""))
+        return F.struct(title.alias("title"), F.when(target != "", F.try_url_decode(target)).otherwise(url).alias("url"), F.lit("").alias("snippet"))
+
+    return F.transform(F.arrays_zip(urls.alias("u"), titles.alias("t")), one)
+
+
+def _json_results(path: str, snippet: str):
+    def parse(body: Column) -> Column:
+        rows = F.from_json(F.get_json_object(body, path), f"array<struct<title:string,url:string,{snippet}:string>>")
+        filled = lambda x: F.coalesce(x, F.lit(""))
+        return F.transform(rows, lambda r: F.struct(filled(r["title"]).alias("title"), filled(r["url"]).alias("url"), filled(r[snippet]).alias("snippet")))
+
+    return parse
+
+
+#: Parsers of stored search responses by the form of the provider's answer.
+RESULTS = {"links": lambda body: _link_results(body, RESULT_LINK), "anchors": lambda body: _link_results(body, r'(?is)<a href="([^"]+)">(.*?)</a>'), "web": _json_results("$.web.results", "description"), "list": _json_results("$.results", "content")}
+
+
+def search_results(responses: DataFrame, id_col: str, body: str, form: str, count: int = 10) -> DataFrame:
+    """``id_col``, ``rank``, ``title``, ``url``, ``snippet`` of the first ``count`` results of stored search responses."""
+    if form not in RESULTS:
+        raise ValueError(f"unknown form {form}; known are {sorted(RESULTS)}")
+    rows = responses.select(id_col, F.posexplode(F.slice(RESULTS[form](F.col(body)), 1, count)).alias("place", "r"))
+    return rows.select(id_col, (F.col("place") + 1).alias("rank"), "r.*")
+
+
+def register(path: str, spark: SparkSession, name: str, file: str, columns: dict[str, str]) -> None:
+    """Add a dataset to a registry (JSON lines): its file, and the names that its columns get.  The last entry of a name counts."""
+    entry = spark.createDataFrame([(name, file, columns)], "name string, file_name string, columns map<string,string>")
+    entry.withColumn("at", F.unix_micros(F.current_timestamp())).coalesce(1).write.mode("append").json(path)
+
+
+def registered(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A dataset of a registry, with its columns under their registered names."""
+    entries = spark.read.schema("name string, file_name string, columns map<string,string>, at long").json(path).filter(F.col("name") == name)
+    entry = entries.agg(F.max_by(F.struct("file_name", "columns"), "at").alias("e")).first().e
+    if entry is None:
+        raise ValueError(f"unknown dataset {name}")
+    rows = spark.read.parquet(entry.file_name)
+    return rows.select(*[F.col(own).alias(given) for own, given in sorted(entry.columns.items())])
+
+
+def stage_frozen(spark: SparkSession, folder: str, manifest: dict[str, str], target: str) -> dict[str, bool]:
+    """Copy files of a folder to another one, each only if its SHA-256 is the manifest's; whether each was copied."""
+    found = {r.path.rsplit("/", 1)[-1]: (r.path, r.sha256) for r in checksums(spark, folder).collect()}  # one row a file of the manifest's folder
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    out = {}
+    for name, wanted in sorted(manifest.items()):
+        path, own = found.get(name, (None, None))
+        out[name] = own == wanted
+        if out[name]:
+            a, b = fs.Path(path), fs.Path(f"{target.rstrip('/')}/{name}")
+            fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+    return out
+
+
+def first_success(attempts: DataFrame, key: str, order: str, ok: str, value: str) -> DataFrame:
+    """Of stored attempts at each key the first that succeeded, else the last: ``key``, ``value``, ``ok``, ``attempts``, ``degraded`` (a later one had to do)."""
+    good = F.min(F.when(F.col(ok), F.struct(order, value)))
+    rows = attempts.groupBy(key).agg(good.alias("good"), F.max(F.struct(order, value)).alias("last"), F.min(order).alias("first"), F.count("*").alias("attempts"))
+    done = F.col("good").isNotNull()
+    return rows.select(key, F.when(done, F.col("good")[value]).otherwise(F.col("last")[value]).alias("value"), done.alias("ok"), "attempts", (done & (F.col("good")[order] > F.col("first"))).alias("degraded"))
+
+
 class _Visible(HTMLParser):
     HIDDEN, BREAKS = frozenset(("script", "style", "noscript", "svg")), frozenset("p div br li h1 h2 h3 h4 h5 h6 tr section article".split())
 
@@ -148,6 +230,17 @@ def visible_text(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return pages.select(F.col(id_col).alias("id"), html_col).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
 
 
+def swapped(df: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """``df`` with each row whose key ``fresh`` has (once) given way to that row; others, and rows without a key, stay.
+
+    A new table is written from it, the old one stays as it is.  Fresh rows
+    whose key isn't there add nothing.
+    """
+    new = fresh.select(F.col(key).alias("_key"), F.struct(*df.columns).alias("_row"))
+    rows = df.select(F.struct(*df.columns).alias("_old")).join(new, F.col(f"_old.{key}") == F.col("_key"), "left")
+    return rows.select(F.coalesce("_row", "_old").alias("r")).select("r.*")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``; in a local one only where none is set and Spark is local."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -53,3 +53,30 @@ def stream_novelty(stream: DataFrame) -> DataFrame:
     return stream.groupBy("episode").applyInPandasWithState(
         update, "episode long, turn long, new_urls long", "urls array<string>", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def stream_until_streak(stream: DataFrame, group: str, order: str, bad: str, streak: int) -> DataFrame:
+    """until_streak() as a stateful stream: ``group``, ``order`` and ``bad`` of each row up to the end of the first run of ``streak`` bad ones.
+
+    A group's state is the length of its current run and whether the breaker
+    has opened; rows that come later are dropped.  Rows of a batch are taken by
+    ``order``; batches must follow each other in it.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        run, opened = state.get if state.exists else (0, False)
+        rows = pd.concat(list(frames)).sort_values(order)
+        kept = []
+        for place, is_bad in zip(rows[order], rows[bad], strict=True):
+            if opened:
+                break
+            kept.append((key[0], place, bool(is_bad)))
+            run = run + 1 if is_bad else 0
+            opened = run >= streak
+        state.update((run, opened))
+        yield pd.DataFrame(kept, columns=[group, order, bad])
+
+    kinds = dict(stream.dtypes)
+    return stream.select(group, order, bad).groupBy(group).applyInPandasWithState(
+        update, f"{group} {kinds[group]}, {order} {kinds[order]}, {bad} boolean", "run int, opened boolean", "append", GroupStateTimeout.NoTimeout
+    )

@@ -294,6 +294,42 @@ def test_stream_fold_equals_batch_fold(spark, tmp_path):
     assert got == sorted(tuple(r) for r in logs.fold_novelty(docs).collect())
 
 
+def test_stream_breaker_equals_batch_breaker(spark, tmp_path):
+    rows = [(g, k, (g * 7 + k * 5) % 3 == 0 or k in (4, 5)) for g in range(5) for k in range(12)]
+    df = spark.createDataFrame(rows, "g long, k long, bad boolean")
+    for part in range(3):  # batches follow each other in the order of k
+        df.filter(f"k div 4 = {part}").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
+    want = sorted(tuple(r) for r in logs.until_streak(df, "g", "k", F.col("bad"), 2).select("g", "k", "bad").collect())
+    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    query = logs.stream_until_streak(stream, "g", "k", "bad", 2).writeStream.format("memory").queryName("breaker").outputMode("append").start()
+    try:
+        query.processAllAvailable()
+        got = sorted(tuple(r) for r in spark.table("breaker").collect())
+    finally:
+        query.stop()
+    assert got == want and len(want) < len(rows)
+
+
+def test_stored_results_and_attempts(spark):
+    page = '<a class="result__a" rel=x href="//d.com/l/?uddg=https%3A%2F%2Fe.org%2Fa%3Fb&amp;rut=1">A &amp; <b>B</b></a><a class="result__a" href="http://f.org">F</a><a href="http://no">n</a>'
+    rows = spark.createDataFrame([(1, page), (2, None), (3, "x")], "id long, body string")
+    got = [tuple(r) for r in readers.search_results(rows, "id", "body", "links").collect()]
+    assert got == [(1, 1, "A & B", "https://e.org/a?b", ""), (1, 2, "F", "http://f.org", "")]
+    listed = spark.createDataFrame([(1, '{"results": [{"title": "t", "url": "u"}, {"content": "c"}]}'), (2, "no json")], "id long, body string")
+    assert [tuple(r) for r in readers.search_results(listed, "id", "body", "list").collect()] == [(1, 1, "t", "u", ""), (1, 2, "", "", "c")]
+    with pytest.raises(ValueError, match="unknown form"):
+        readers.search_results(rows, "id", "body", "x")
+    tries = spark.createDataFrame([("a", 1, False, "x"), ("a", 2, True, "y"), ("a", 3, True, "z"), ("b", 1, False, "p"), ("b", 2, False, "q"), ("c", 1, True, "r")], "k string, n int, ok boolean, v string")
+    assert sorted(tuple(r) for r in readers.first_success(tries, "k", "n", "ok", "v").collect()) == [("a", "y", True, 3, True), ("b", "q", False, 2, False), ("c", "r", True, 1, False)]
+
+
+def test_rescoring_needs_every_stored_rationale(spark):
+    cache = spark.createDataFrame([(1, "x"), (2, "y")], "sample_id long, reasoning string")
+    assert summaries.rescored(cache, cache.filter("sample_id = 1")).count() == 1
+    with pytest.raises(Exception, match="no stored rationale for 3"):
+        summaries.rescored(cache, spark.createDataFrame([(3,)], "sample_id long")).collect()
+
+
 def test_entry(spark):
     import __spark_entry__
 
