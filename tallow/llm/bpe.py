@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import released
+
 #: Unicode's White_Space, which the pattern's \s means.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -150,7 +152,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             )
 
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return out.mapInArrow(run, "id long, ids array<int>, starts array<int>, ends array<int>").withColumnRenamed("id", id_col)
+    return out.mapInArrow(released(run), "id long, ids array<int>, starts array<int>, ends array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -168,7 +170,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     out = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids"))
-    return out.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return out.mapInArrow(released(run), "id long, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,4 +193,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             )
 
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return out.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return out.mapInArrow(released(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

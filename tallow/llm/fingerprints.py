@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dedup import mix64
+from .store import released
 
 LEVELS, KEPT, FEW, _STEP = 3, 64, 16, np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.array([(x & -x).bit_length() - 1 if x else 0 for x in range(256)], np.uint8)
@@ -230,15 +231,15 @@ def fingerprint_documents(
     keys = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"))
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
-    bounds = sorted((r.id, r.tie) for r in keys.repartitionByRange(ranges, F.asc_nulls_first("id"), "tie").mapInArrow(_first, "id long, tie long").collect())
+    bounds = sorted((r.id, r.tie) for r in keys.repartitionByRange(ranges, F.asc_nulls_first("id"), "tie").mapInArrow(released(_first), "id long, tie long").collect())
     out = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not bounds:
         return spark.createDataFrame([], out).withColumnRenamed("id", id_col)
     return (
         docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-        .mapInArrow(_dealt(bounds), "part int, ahead int, id long, tie long, packed binary")
+        .mapInArrow(released(_dealt(bounds)), "part int, ahead int, id long, tie long, packed binary")
         .repartitionById(len(bounds), "part")
         .sortWithinPartitions("part", "ahead", "id", "tie")
-        .mapInArrow(_fingerprinted(quarter, levels, kept, piece), out)
+        .mapInArrow(released(_fingerprinted(quarter, levels, kept, piece)), out)
         .withColumnRenamed("id", id_col)
     )

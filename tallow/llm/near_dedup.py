@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import discard, materialise
+from .store import discard, materialise, released
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -188,7 +188,8 @@ def _sets(words: int):
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
     """Rows of sorted batches by their first ``keys`` columns."""
-    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    pieces = (batch.slice(low, 128) for batch in batches for low in range(0, batch.num_rows, 128))
+    rows = (row for piece in pieces for row in zip(*(c.to_pylist() for c in piece.columns), strict=True))
     return groupby(rows, lambda r: r[:keys])
 
 
@@ -307,7 +308,7 @@ def _texts(base: DataFrame, reps: DataFrame, nodes: DataFrame, words: int) -> Da
     wanted = materialise(wanted, "wanted")  # so that its size is known, and texts are not shuffled where it is small
     # repeated rows of one id and text meet again in dropDuplicates, which combines before the shuffle
     rows = base.join(wanted, (F.col("hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "text")
-    return rows.mapInArrow(_sets(words), "node long, hashes binary").dropDuplicates(["node"])
+    return rows.mapInArrow(released(_sets(words)), "node long, hashes binary").dropDuplicates(["node"])
 
 
 def _star_links(near: DataFrame, sets: DataFrame, percent: int, members: int) -> DataFrame:
@@ -317,7 +318,7 @@ def _star_links(near: DataFrame, sets: DataFrame, percent: int, members: int) ->
     around = near.join(salts, "v").select("v", salt, F.lit(1).alias("role"), F.col("u").alias("node"))
     hubs = salts.select("v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("v").alias("node"))
     rows = around.unionByName(hubs).join(sets, "node").select("v", "salt", "role", "node", "hashes")
-    return rows.repartition("v", "salt").sortWithinPartitions("v", "salt", "role").mapInArrow(_star(percent), "u long, v long")
+    return rows.repartition("v", "salt").sortWithinPartitions("v", "salt", "role").mapInArrow(released(_star(percent)), "u long, v long")
 
 
 def _rest_links(tied: DataFrame, reps: DataFrame, sets: DataFrame, first: DataFrame, percent: int, apart, block_bytes: int, block_rows: int) -> DataFrame | None:
@@ -348,9 +349,9 @@ def _rest_links(tied: DataFrame, reps: DataFrame, sets: DataFrame, first: DataFr
     pairs = x.join(y, two).select(F.col("x.block").alias("a"), F.col("y.block").alias("b"))
     sides = pairs.select(F.col("a").alias("block"), "a", "b").unionByName(pairs.filter("a <> b").select(F.col("b").alias("block"), "a", "b"))
     met = dealt.join(sides, "block").select("a", "b", "mask", "node", "component", "signature")
-    met = met.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(apart, "a long, b long, node long")
+    met = met.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(released(apart), "a long, b long, node long")
     sent = met.join(sets, "node").select("a", "b", "node", "hashes")
-    return sent.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_confirm(percent), "u long, v long")
+    return sent.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(released(_confirm(percent)), "u long, v long")
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, chunks: int, width: int, errors: int, distance: int | None, block_bytes: int, block_rows: int) -> DataFrame:
@@ -358,18 +359,18 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     if distance is None:
         distance = farthest(chunks * width, percent)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
-    signed = base.mapInArrow(_signed(words, chunks, width, errors), "id long, hash long, n long, node long, signature binary")
+    signed = base.mapInArrow(released(_signed(words, chunks, width, errors)), "id long, hash long, n long, node long, signature binary")
     signed = materialise(signed, "signatures")
     named = F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")
     reps = signed.filter("node is not null").groupBy("node").agg(F.min(named).alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.count("*").alias("rows"))
     reps = materialise(reps, "classes")
-    keyed = reps.select("node", "signature").mapInArrow(_keyed(chunks, width, errors), "node long, mask int, key long")
+    keyed = reps.select("node", "signature").mapInArrow(released(_keyed(chunks, width, errors)), "node long, mask int, key long")
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
     tied = materialise(keyed.join(shared, "key"), "tied")
     pairs = tied.filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
     signature = lambda n: reps.select(F.col("node").alias(n), F.col("signature").alias(f"s{n}"))
     near = pairs.join(signature("u"), "u").join(signature("v"), "v").select("u", "v", "su", "sv")
-    near = materialise(near.mapInArrow(_within(distance), "u long, v long"), "near")
+    near = materialise(near.mapInArrow(released(_within(distance)), "u long, v long"), "near")
     # texts are read again, and sets are sent, for classes that share a key with another one only
     sets = materialise(_texts(base, reps, tied.select("node").distinct(), words), "sets")
     first = connected_components(_star_links(near, sets, percent, block_rows))

@@ -11,9 +11,12 @@ result sweeps the rest, as corpus_pipeline.run does after each stage.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -70,3 +73,22 @@ def sweep(spark: SparkSession, keep: set[str], *tables: DataFrame) -> None:
     keep = keep | {t._tallow_path for t in tables}
     for path in [p for p in _written(spark) if p not in keep]:
         _delete(spark, path)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow() that gives its memory back when it ends.
+
+    Spark keeps Python workers for later stages, and both allocators keep what
+    was freed, so the idle workers of one stage would count against the next.
+    """
+
+    def freeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return freeing

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import materialise, released
 from .urls import host_of
 
 #: Elements without content, whose content is no text, that end a block, and that are no part of an article.
@@ -456,7 +456,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", sup
     has as many as its templates differ.
     """
     rows = pages.select(host_of(F.coalesce(F.col(url_col), F.lit(""))).alias("host"), F.col(html_col).alias("html"))
-    seen = materialise(rows.mapInArrow(_seen, "host string, shape string, path long, content long, pages long, chars long"), "seen")
+    seen = materialise(rows.mapInArrow(released(_seen), "host string, shape string, path long, content long, pages long, chars long"), "seen")
     shapes = seen.filter("shape is not null").select("host", F.col("shape").alias("wrapper")).distinct()
     some = shapes.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(64))).groupBy("host", "salt").applyInArrow(_merged, "host string, wrapper string")
     whole = some.groupBy("host").applyInArrow(_merged, "host string, wrapper string")
@@ -500,9 +500,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     broadcast under its threshold and by sorted merge beyond.
     """
     regions = wrappers(pages, url_col, html_col, support, agreement).select("host", "wrapper", "slots")
-    regions = materialise(regions.mapInArrow(_regions, "host string, labels string, constant map<long,long>"), "regions")
+    regions = materialise(regions.mapInArrow(released(_regions), "host string, labels string, constant map<long,long>"), "regions")
     kind = dict(pages.dtypes)[id_col]
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.withColumn("host", host_of(F.coalesce(F.col("url"), F.lit(""))))
     joined = rows.join(regions, "host", "left").select("id", "url", "html", "labels", "constant")
-    return joined.mapInArrow(_extracted, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
+    return joined.mapInArrow(released(_extracted), f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
