@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import released
+
 #: Groups of interchangeable identity terms.
 IDENTITY_GROUPS = (
     ("women", "men"),
@@ -43,18 +45,17 @@ IDENTITY_GROUPS = (
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?\n]+")
-BITS = 18
 
 
 def features(word: str) -> tuple[int, ...]:
     """Hashed features of a lower-cased word: itself and its beginnings of 4 to 7 characters."""
     names = [f"w{word}", *(f"{n}{word[:n]}" for n in (4, 5, 6, 7) if len(word) >= n)]
-    return tuple(xxhash.xxh32_intdigest(n) & ((1 << BITS) - 1) for n in names)
+    return tuple(xxhash.xxh32_intdigest(n) for n in names)
 
 
 def often(feature: int, times: int) -> int:
     """The feature that ``times`` different words of a text share ``feature``."""
-    return (feature * 2654435761 + times * 40503) >> 7 & ((1 << BITS) - 1)
+    return (feature * 2654435761 + times * 40503) >> 7 & 0xFFFFFFFF
 
 
 def expanded(counts: Counter) -> set[int]:
@@ -93,8 +94,8 @@ def _sampled(groups):
                 words = set(_WORD.findall(text))
                 found.append(sorted(featured(words)))
                 changed.append([{"plus": p, "minus": m, "times": n} for (p, m), n in Counter(swaps(text, groups)).items()] if words & terms else [])
-            kind = pa.list_(pa.struct([("plus", pa.list_(pa.int32())), ("minus", pa.list_(pa.int32())), ("times", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(changed, kind)], ["toxic", "features", "swaps"])
+            kind = pa.list_(pa.struct([("plus", pa.list_(pa.int64())), ("minus", pa.list_(pa.int64())), ("times", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(changed, kind)], ["toxic", "features", "swaps"])
 
     return run
 
@@ -144,17 +145,19 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, swapped: Counter | None = No
     size = np.array([len(r) for r in rows])
     row, column = np.repeat(np.arange(n), size), np.concatenate(rows)
     y = labels.astype(np.float64)
-    all_, one = np.bincount(column, minlength=1 << BITS), np.bincount(column, y[row], 1 << BITS)
+    names, column = np.unique(column, return_inverse=True)
+    all_, one = np.bincount(column), np.bincount(column, y[row])
     chosen = _selected(row, column, y, all_, one, positive, selected)
     if not len(chosen):
         return {}, float(np.log(positive / (n - positive)))
-    place = np.full(1 << BITS, -1)
-    place[chosen] = np.arange(len(chosen))
-    kept = place[column] >= 0
-    row, column = row[kept], place[column[kept]]
+    at = np.full(len(names), -1)
+    at[chosen] = np.arange(len(chosen))
+    kept = at[column] >= 0
+    row, column = row[kept], at[column[kept]]
+    place = {int(names[f]): k for k, f in enumerate(chosen)}
     every = Counter(swapped or {}) + Counter(s for g in groups for t in g for s in swaps(t, (g,)))
     # each swap is a row of +1 and -1 at the chosen features that it adds and takes away
-    cells = [(k, place[f], sign) for k, (plus, minus) in enumerate(every) for fs, sign in ((plus, 1.0), (minus, -1.0)) for f in fs if place[f] >= 0]
+    cells = [(k, place[f], sign) for k, (plus, minus) in enumerate(every) for fs, sign in ((plus, 1.0), (minus, -1.0)) for f in fs if f in place]
     at, feature, sign = (np.array([c[k] for c in cells], t) for k, t in enumerate((int, int, float)))
     weight = np.array(list(every.values()), float)
     weight /= max(1.0, weight.sum())
@@ -169,7 +172,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, swapped: Counter | None = No
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
-    return {int(f): float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-4}, float(b)
+    return {int(names[f]): float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-4}, float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, groups=IDENTITY_GROUPS, fairness: float = 1.0) -> tuple[dict[int, float], float]:
@@ -181,9 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, groups=IDENT
     usable = labels.filter("doc_id is not null and toxic is not null").filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    # at most max_rows rows of two numbers; of texts only numbers of features go to the driver, at most 2 ** BITS a row
+    # at most max_rows rows of two numbers; of texts only numbers of features go to the driver, as many as its different words and beginnings
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    got = rows.mapInArrow(_sampled(groups), "toxic int, features array<int>, swaps array<struct<plus:array<int>,minus:array<int>,times:int>>").toArrow()
+    got = rows.mapInArrow(released(_sampled(groups)), "toxic int, features array<long>, swaps array<struct<plus:array<long>,minus:array<long>,times:int>>").toArrow()
     y = np.array([int(x > 0) for x in got.column(0).to_pylist()])
     parts = [np.asarray(x.values, np.int64) for x in got.column(1)]
     changed: Counter = Counter()
@@ -231,7 +234,7 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], id_col: str =
     rows give a row each; other columns are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(_scored(*model), "id long, score double").withColumnRenamed("id", id_col)
+    return base.mapInArrow(released(_scored(*model)), "id long, score double").withColumnRenamed("id", id_col)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 6000) -> DataFrame:
@@ -256,4 +259,4 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows:
         for batch in batches:
             yield batch.filter(pa.array([scorer(text.as_py()) < threshold for text in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
