@@ -201,3 +201,12 @@ def test_spdx_expressions_and_prose(spark):
     rows = [(1, "SPDX-License-Identifier: (MIT OR Apache-2.0)", "", "", 0), (2, "the GNU General Public License and the ISC license were compared", "", "", 0), (3, "SPDX-License-Identifier: GPL-2.0-or-later", "", "", 0), (1, "SPDX-License-Identifier: (MIT OR Apache-2.0)", "", "", 0)]
     got = sorted((r.doc_id, tuple(r.licenses)) for r in licenses.scan(spark.createDataFrame(rows, schema)).collect())
     assert got == [(1, ("Apache-2.0", "MIT")), (1, ("Apache-2.0", "MIT")), (2, ()), (3, ("GPL-2.0",))]
+
+
+def test_urls_that_are_long_repeated_or_without_an_id(spark):
+    long = "https://long.org/" + "a/" * 100_000
+    rows = [(1, long, "h", 1), (1, long, "h", 1), (None, "http://x.com/a", "h", 1), (2, "http://x.com/a", "h", 1), (3, None, "h", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, text string, chunk int")
+    got = sorted((r.page_id or 0, len(r.path), r.rule or "", r.verdict) for r in urls.judge(pages).collect())
+    assert [g[:3] for g in got] == [(0, 2, "com/"), (1, 200_001, ""), (1, 200_001, ""), (2, 2, "com/"), (3, 0, "")] and got[1] == got[2]
+    assert urls.judge(spark.createDataFrame([], pages.schema)).collect() == []
