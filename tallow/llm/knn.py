@@ -4,8 +4,10 @@ With data vectors v lifted to (v, sqrt(M^2 - |v|^2)), M the largest length,
 and queries to (q, 0), the nearest data vectors are those with the largest
 inner product.
 
-1. Pivots, about sqrt(n) data vectors picked by hash, make cells; data and
-   queries each go to the cell of their nearest pivot.
+1. Pivots, about 2 * sqrt(n) data vectors, make cells; data and queries each
+   go to the cell of their nearest pivot.  They are chosen from a sample by
+   hash, each the farthest from those before it, so that clusters have their
+   own; the result doesn't depend on the choice.
 2. Summaries of the cells (number of rows, least and largest distance to the
    pivot, the k + 1 smallest ones; radius of the queries) give for every query
    cell i a bound B_i within which all its queries have their k nearest: the
@@ -81,6 +83,15 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * (x @ pivots.T)))
 
 
+def spread(x: np.ndarray, wanted: int) -> np.ndarray:
+    """Up to ``wanted`` different rows, each the farthest from those before it."""
+    chosen, left = [0], _distances(x, x[:1])[:, 0]
+    while len(chosen) < wanted and left.max() > 0:
+        chosen.append(int(left.argmax()))
+        left = np.minimum(left, ((x - x[chosen[-1]]) ** 2).sum(1) ** 0.5)
+    return x[chosen]
+
+
 def _points(vectors: list[bytes], width: int, most: float, lift: bool) -> np.ndarray:
     x = _matrix(vectors, width)
     return _lifted(x, most) if lift else np.column_stack([x, np.zeros(len(x))])
@@ -225,8 +236,8 @@ def top_k(
     one, in the order of the exact products (of their doubles across blocks).
     Other columns are not read.  No rows, or no queries, give no rows.
 
-    The driver holds the pivots, by default sqrt(n) between 16 and 1024, and
-    k + 4 numbers of each cell, at any size.  On vectors without clusters
+    The driver holds a sample of 8 rows a pivot, of which there are by default
+    2 * sqrt(n), 16 to 1024, and k + 4 numbers of each cell, at any size.  On vectors without clusters
     nothing can be pruned: each row then goes to every block of queries.
     """
     spark = vectors.sparkSession
@@ -237,9 +248,9 @@ def top_k(
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not n:
         return none
-    wanted = pivots or int(min(1024, max(16, np.ceil(np.sqrt(n)))))
-    picked = data.orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect()
-    p = np.unique(_lifted(_matrix([bytes(r.v) for r in picked], width), most), axis=0)
+    wanted = pivots or int(min(1024, max(16, 2 * np.ceil(np.sqrt(n)))))
+    picked = data.orderBy(F.xxhash64("id"), "id").limit(8 * wanted).select("v").collect()
+    p = spread(_lifted(_matrix([bytes(r.v) for r in picked], width), most), wanted)
     cells = "id long, v binary, cell int, d double"
     placed = materialise(data.select("id", "v").mapInArrow(_assigned(p, most, True), cells), "placed")
     queries = materialise(data.filter(F.col("id") % every == 0).select("id", "v").mapInArrow(_assigned(p, most, False), cells), "queries")
