@@ -305,7 +305,6 @@ def _confirm(percent: int):
 def _texts(base: DataFrame, reps: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """``node``, ``hashes`` of one text of each node."""
     wanted = reps.join(nodes, "node", "left_semi").select("node", F.col("rep.id").alias("_id"), F.col("rep.hash").alias("_hash"))
-    wanted = materialise(wanted, "wanted")  # so that its size is known, and texts are not shuffled where it is small
     # repeated rows of one id and text meet again in dropDuplicates, which combines before the shuffle
     rows = base.join(wanted, (F.col("hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "text")
     return rows.mapInArrow(released(_sets(words)), "node long, hashes binary").dropDuplicates(["node"])
