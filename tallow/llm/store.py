@@ -12,6 +12,7 @@ result sweeps the rest, as corpus_pipeline.run does after each stage.
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,10 +70,12 @@ def mark(spark: SparkSession) -> set[str]:
 
 
 def sweep(spark: SparkSession, keep: set[str], *tables: DataFrame) -> None:
-    """Remove the session's tables but those in ``keep`` and ``tables``; for callers that have written their result."""
+    """Remove the session's tables but those in ``keep`` and ``tables``, and have Spark clean up; for callers that have written their result."""
     keep = keep | {t._tallow_path for t in tables}
     for path in [p for p in _written(spark) if p not in keep]:
         _delete(spark, path)
+    gc.collect()  # plans that Python still refers to keep their shuffle files
+    spark._jvm.System.gc()  # Spark removes shuffle files when the driver's collector finds their plans gone
 
 
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
