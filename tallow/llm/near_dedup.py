@@ -306,7 +306,8 @@ def _texts(base: DataFrame, reps: DataFrame, nodes: DataFrame, words: int) -> Da
     """``node``, ``hashes`` of one text of each node."""
     wanted = reps.join(nodes, "node", "left_semi").select("node", F.col("rep.id").alias("_id"), F.col("rep.hash").alias("_hash"))
     # repeated rows of one id and text meet again in dropDuplicates, which combines before the shuffle
-    rows = base.join(wanted, (F.col("hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "text")
+    # a merge join at every size: what it shuffles grows with the texts, not by steps
+    rows = base.join(wanted.hint("merge"), (F.col("hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "text")
     return rows.mapInArrow(released(_sets(words)), "node long, hashes binary").dropDuplicates(["node"])
 
 
