@@ -8,6 +8,7 @@ the rules share, which is computed once a row.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,6 +98,11 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
+def _any(conditions: list[Column]) -> Column:
+    """Whether a condition holds; those after the first that does aren't evaluated, null is false."""
+    return reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in conditions])
+
+
 def squeezed(c: Column) -> Column:
     """A text of ASCII words without blanks and marks."""
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
@@ -121,7 +127,7 @@ ATTESTS: dict[str, Callable[[Column, Column], Column]] = {
     "verbatim": lambda n, s: F.contains(s["seen"], n["content"]),
     "words": lambda n, s: F.forall(n["words"], lambda w: F.array_contains(s["vocabulary"], w) | F.coalesce(F.array_contains(s["vocabulary"], F.try_element_at(_variants(), w)), F.lit(False))),
     "calendar": lambda n, s: n["name"].isin(*CALENDAR) | n["content"].isin(*CALENDAR),
-    "family": lambda n, s: F.array_max(F.array(*[_of_family(n, s, f) for f in FAMILIES])),
+    "family": lambda n, s: _any([_of_family(n, s, f) for f in FAMILIES]),
 }
 
 
@@ -146,7 +152,7 @@ def novel_names(rationale: Column, sources: Column, folded: Column) -> Column:
 
     def unattested(s: Column) -> Column:
         names = F.filter(F.transform(all_matches(rationale, PROPER, 1), _name), lambda n: n["telling"])
-        missing = F.filter(names, lambda n: ~F.array_max(F.array(*[rule(n, s) for rule in ATTESTS.values()])))
+        missing = F.filter(names, lambda n: ~_any([rule(n, s) for rule in ATTESTS.values()]))
         return F.transform(missing, lambda n: n["found"])
 
     return let(own, unattested)
@@ -233,4 +239,4 @@ def arrives(rationale: Column, answer: Column, question: Column, evidence: Colum
         F.trim(answer).alias("answer"), gold.alias("gold"), said.alias("said"), rationale.alias("text"), normalize_answer(question).alias("asked"), evidence.alias("evidence"),
         tokens(gold).alias("tokens"), name_tokens(answer).alias("name"), near.alias("near"),
     )
-    return let(row, lambda r: F.coalesce(F.array_max(F.array(*[F.coalesce(rule(r), F.lit(False)) for rule in ARRIVES.values()])), F.lit(False)))
+    return let(row, lambda r: _any([rule(r) for rule in ARRIVES.values()]))

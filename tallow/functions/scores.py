@@ -22,9 +22,18 @@ def answer_tokens(c: Column) -> Column:
 
 
 def overlap(p: Column, g: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
+    """Size of the multiset intersection of two token arrays.
+
+    Each common token counts once, by hashing; only tokens that repeat on both
+    sides, which neighbours of the sorted arrays show, are counted out.
+    """
+
+    def repeated(a: Column) -> Column:
+        return let(F.array_sort(a), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1)))))
+
     times = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    return F.aggregate(F.array_distinct(p), F.lit(0), lambda n, x: n + F.least(times(p, x), times(g, x)))
+    more = F.aggregate(F.array_intersect(repeated(p), repeated(g)), F.lit(0), lambda n, x: n + F.least(times(p, x), times(g, x)) - 1)
+    return F.size(F.array_intersect(p, g)) + more
 
 
 def bag_prf(p: Column, g: Column) -> Column:
