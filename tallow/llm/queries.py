@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, knn, licenses, mixing, near_dedup, pii, toxicity, urls, wrappers
+from . import bpe, codes, fingerprints, knn, lattice, licenses, mixing, near_dedup, pii, toxicity, urls, whitening, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of near-duplicate vectors."""
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of all vectors."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -80,12 +95,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_main_text": op9_main_text,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_vector_dedup": op11_vector_dedup,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
     "op3_license_scan": licenses.scan_sql(),
     "op5_source_mix": mixing.SQL,
     "op6_top_k": knn.SQL,
+    "op11_vector_dedup": lattice.SQL,
+    "op12_vector_codes": codes.sql(),
     "op1_near_dedup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
