@@ -106,8 +106,8 @@ def _assigned(pivots: np.ndarray, most: float, lift: bool):
                 piece = batch.slice(low, 2048)
                 d = _distances(_points(piece.column(1).to_pylist(), pivots.shape[1] - 1, most, lift), pivots)
                 cell = d.argmin(1)
-                columns = [*piece.columns[:2], pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "v", "cell", "d"])
+                columns = [*piece.columns[:3], pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "v", "row", "cell", "d"])
 
     return run
 
@@ -153,15 +153,15 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
 
 
 def _sent(plan: Plan, blocks: dict[int, tuple[int, int]]):
-    """Each data row to the blocks of the groups that may need it: (block of queries, block of data, id, vector)."""
+    """Each data row to the blocks of the groups that may need it: (block of queries, block of data, id, vector, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["g", "q", "s", "id", "v"]
+        names = ["g", "q", "s", "id", "v", "row"]
         for batch in batches:
             for low in range(0, batch.num_rows, 4096):
                 piece = batch.slice(low, 4096)
-                ids, vectors = piece.column(0).to_numpy(), piece.column(1).to_pylist()
-                cell, d = piece.column(2).to_numpy(), piece.column(3).to_numpy()
+                rows, vectors = piece.column(2).to_numpy(), piece.column(1).to_pylist()
+                cell, d = piece.column(3).to_numpy(), piece.column(4).to_numpy()
                 points = _points(vectors, plan.pivots.shape[1] - 1, plan.most, True)
                 for g, members in plan.members.items():
                     least, largest = plan.ring[g]
@@ -170,8 +170,8 @@ def _sent(plan: Plan, blocks: dict[int, tuple[int, int]]):
                         far = _distances(points[at], plan.pivots[np.array(plan.active)[members]])
                         at = at[(far <= plan.radius[members] + plan.bound[members]).any(1)]
                     if len(at):
-                        block = (_mixed(ids[at]) % np.uint64(blocks[g][1])).astype(np.int32)
-                        taken = piece.select([0, 1]).take(pa.array(at))
+                        block = (_mixed(rows[at]) % np.uint64(blocks[g][1])).astype(np.int32)
+                        taken = piece.select([0, 1, 2]).take(pa.array(at))
                         for q in range(blocks[g][0]):
                             same = [pa.array(np.full(len(at), x, np.int32)) for x in (g, q)]
                             yield pa.RecordBatch.from_arrays([*same, pa.array(block), *taken.columns], names)
@@ -192,24 +192,26 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _solved(k: int, width: int):
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        q_ids, d_ids = (t.column("id").to_numpy() for t in (asked, held))
+        d_ids = held.column("id").to_numpy()
+        q_rows, d_rows = (t.column("row").to_numpy() for t in (asked, held))
         a, b = (_matrix(t.column("v").to_pylist(), width) for t in (asked, held))
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for low in range(0, len(a), 128):
             scores = _products(a[low : low + 128], b)
-            for one, score in zip(q_ids[low : low + 128], scores, strict=True):
-                other = np.flatnonzero(d_ids != one)
+            for one, row, score in zip(asked.column("id").slice(low, 128).to_pylist(), q_rows[low : low + 128], scores, strict=True):
+                other = np.flatnonzero(d_rows != row)
                 score = score[other]
                 if len(other) > k:
                     least = np.partition(score, len(score) - k)[len(score) - k]
                     other, score = other[score >= least], score[score >= least]
                 best = sorted(zip((-score).tolist(), d_ids[other].tolist(), strict=True))[:k]
+                out[4] += [row] * len(best)
                 out[0] += [one] * len(best)
                 out[1] += [i for _, i in best]
                 out[2] += [min(max(-s, -(2**63)), 2**63 - 1) for s, _ in best]
                 out[3] += [float(-s) for s, _ in best]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["query_id", "vec_id", "score", "size"])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["query_id", "vec_id", "score", "size", "row"])
 
     return run
 
@@ -228,11 +230,11 @@ def top_k(
     """``query_id``, ``rank``, ``vec_id``, ``score`` of each query's ``k`` largest integer inner products.
 
     Vectors become floor(scale * x).  Queries are the rows whose id is
-    divisible by ``every``; candidates all rows of another id; ties go to the
+    divisible by ``every``; candidates are all other rows; ties go to the
     smaller id.  Null ids, null vectors and vectors with null or non-finite
-    components take no part; shorter vectors count as ending in zeros.
-    ``id_col`` is a key: of several rows of one id the one with the least
-    packed bytes counts.  Scores that no bigint holds come out as the nearest
+    components take no part; shorter vectors count as ending in zeros.  Rows
+    that share an id are rows of their own: each is a candidate, of the other
+    ones too, and each query among them has its ``k`` rows.  Scores that no bigint holds come out as the nearest
     one, in the order of the exact products (of their doubles across blocks).
     Other columns are not read.  No rows, or no queries, give no rows.
 
@@ -243,17 +245,17 @@ def top_k(
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     packed = base.mapInArrow(_packed(scale), "id long, v binary, square double, width int")
-    data = materialise(packed.groupBy("id").agg(F.min(F.struct("v", "square", "width")).alias("x")).select("id", "x.*"), "vectors")
+    data = materialise(packed.withColumn("row", F.monotonically_increasing_id()), "vectors")  # numbered once, as it is written
     n, most, width = data.agg(F.count("*"), F.max("square"), F.max("width")).first()
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not n:
         return none
     wanted = pivots or int(min(1024, max(16, 2 * np.ceil(np.sqrt(n)))))
-    picked = data.orderBy(F.xxhash64("id"), "id").limit(8 * wanted).select("v").collect()
+    picked = data.orderBy(F.xxhash64("id"), "id", "v").limit(8 * wanted).select("v").collect()
     p = spread(_lifted(_matrix([bytes(r.v) for r in picked], width), most), wanted)
-    cells = "id long, v binary, cell int, d double"
-    placed = materialise(data.select("id", "v").mapInArrow(_assigned(p, most, True), cells), "placed")
-    queries = materialise(data.filter(F.col("id") % every == 0).select("id", "v").mapInArrow(_assigned(p, most, False), cells), "queries")
+    cells = "id long, v binary, row long, cell int, d double"
+    placed = materialise(data.select("id", "v", "row").mapInArrow(_assigned(p, most, True), cells), "placed")
+    queries = materialise(data.filter(F.col("id") % every == 0).select("id", "v", "row").mapInArrow(_assigned(p, most, False), cells), "queries")
     summary = {r.cell: (r.n, r.low, r.high) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect()}
     first = F.row_number().over(Window.partitionBy("cell").orderBy("d"))
     smallest: dict[int, list[float]] = {}
@@ -266,21 +268,21 @@ def top_k(
     blocks = {g: (-(-plan.asked[g] // query_rows), max(1, -(-plan.rows[g] // data_rows))) for g in plan.members}
     table = spark.createDataFrame([(c, g, *blocks[g]) for c, g in plan.group.items()], "cell int, g int, qs int, ss int")  # a row a cell
     rows = queries.join(F.broadcast(table), "cell")
-    rows = rows.select("g", F.pmod(F.xxhash64("id"), F.col("qs")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("ss") - 1)).alias("s"), "id", "v")
-    sent = placed.mapInArrow(_sent(plan, blocks), "g int, q int, s int, id long, v binary")
+    rows = rows.select("g", F.pmod(F.xxhash64("row"), F.col("qs")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("ss") - 1)).alias("s"), "id", "v", "row")
+    sent = placed.mapInArrow(_sent(plan, blocks), "g int, q int, s int, id long, v binary, row long")
     keys = ["g", "q", "s"]
-    scored = rows.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_solved(k, width), "query_id long, vec_id long, score long, size double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("size"), "vec_id"))
+    scored = rows.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_solved(k, width), "query_id long, vec_id long, score long, size double, row long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), F.desc("size"), "vec_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = r"""
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+  SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 20 = 0
 )
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s
 QUALIFY rank <= 20
 """

@@ -36,7 +36,7 @@ def test_few_rows_and_none(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0])]
     assert run(spark, rows) == {(0, 1, 1, 0)}
     assert run(spark, [(1, [1.0])]) == set() and run(spark, []) == set()
-    assert run(spark, [(0, [1.0]), (0, [1.0]), (2, [2.0])]) == {(0, 1, 2, 64 * 128)}
+    assert run(spark, [(0, [1.0]), (0, [1.0]), (2, [2.0])]) == {(0, 1, 2, 64 * 128), (0, 2, 0, 64 * 64)}
 
 
 def test_large_components_stay_exact(spark):
@@ -50,8 +50,16 @@ def test_large_components_stay_exact(spark):
 
 
 def test_several_rows_of_one_id(spark):
-    rows = [(0, [1.0]), (5, [3.0]), (5, [2.0]), (5, [2.0])]
-    assert run(spark, rows) == run(spark, rows[::-1]) and len(run(spark, rows)) == 1
+    """Each row is a candidate, also for another row of its id, and each query has its own rows."""
+    rows = [(0, [1.0]), (5, [3.0]), (5, [2.0]), (5, [2.0]), (0, [1.5])]
+    scores = lambda q, others: [(r + 1, i, s) for r, (s, i) in enumerate(sorted(((int(64 * q * 64 * v), i) for i, v in others), key=lambda x: (-x[0], x[1])))]
+    frame = lambda x: spark.createDataFrame(x, "vec_id long, embedding array<float>")
+    want = sorted(scores(1.0, [(5, 3.0), (5, 2.0), (5, 2.0), (0, 1.5)]) + scores(1.5, [(5, 3.0), (5, 2.0), (5, 2.0), (0, 1.0)]))
+    for order in (rows, rows[::-1]):
+        got = top_k(frame(order)).collect()
+        assert sorted((r["rank"], r.vec_id, r.score) for r in got) == want and {r.query_id for r in got} == {0}
+    same = top_k(frame([(20, [1.0])] * 3), k=1).collect()
+    assert [tuple(r) for r in same] == [(20, 1, 20, 4096)] * 3
 
 
 def test_clusters_are_pruned():
