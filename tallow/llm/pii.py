@@ -3,7 +3,8 @@
 Base spans come from four regular expressions with checks.  They are the seeds
 of a bootstrap over the whole corpus.  Its instances are runs of
 identifier-like tokens (with a digit, an at sign or a bracketed "at"), spaces
-included, so a phone number or a card in groups is one instance.  The words on
+included, so a phone number or a card in groups is one instance; tokens with
+an at sign stand alone and a plus begins a new one.  The words on
 both sides of an instance, or the end of the text, make a lexical pattern; on
 the graph of patterns and instances confidence is passed back and forth; and
 the patterns that end above the bar add the instances they stand around.  An
@@ -33,6 +34,7 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 _NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": "\\+[0-9]"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_BLOCK = 1024
 _SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
@@ -57,26 +59,48 @@ def valid(kind: str, text: Column) -> Column:
     }[kind]
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, combine) -> Column:
+    """``combine`` of each place and all before it, in log2(n) passes over the array: nothing grows from place to place."""
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def step(state: Column, k: Column) -> Column:
+        shift = F.pow(F.lit(2), k).cast("int")
+        return F.transform(state, lambda x, at: F.when(at >= shift, combine(x, F.get(state, at - shift))).otherwise(x))
+
+    return F.aggregate(passes, F.transform(values, lambda x: F.when(x.isNotNull(), x)), step)
+
+
+def _starts(found: Column, gaps: Column) -> Column:
+    """Where each match begins, from the matches and the lengths of the pieces around them."""
+    steps = F.zip_with(gaps, F.concat(F.array(F.lit(0)), F.transform(found, F.length)), lambda gap, n: gap + n)
+    return F.slice(running(steps, lambda x, y: x + y), F.lit(1), F.size(found))
+
+
 def matches(text: Column, kind: str) -> Column:
     """Spans of a kind's valid matches in a non-null text."""
     pattern = PATTERNS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast(_SPAN).alias("out"))
 
-    def add(state: Column, one: Column) -> Column:
-        low = state["at"] + F.get(gaps, state["k"])
-        span = F.struct(low.alias("start"), (low + F.length(one)).alias("end"), one.alias("text"))
-        return F.struct((low + F.length(one)).alias("at"), (state["k"] + 1).alias("k"), F.concat(state["out"], F.array(span)).alias("out"))
+    def placed(both: Column) -> Column:
+        pairs = F.arrays_zip(both["found"].alias("text"), _starts(both["found"], both["gaps"]).alias("start"))
+        good = F.filter(pairs, lambda m: valid(kind, m["text"]))
+        return F.transform(good, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["text"])).alias("end"), m["text"].alias("text")))
 
-    spans = F.aggregate(found, start, add, lambda s: s["out"])
-    spans = F.filter(spans, lambda s: valid(kind, s["text"]))
+    spans = _let(F.struct(found.alias("found"), gaps.alias("gaps")), placed)
     return F.when(text.rlike(_NEEDS[kind]), spans).otherwise(F.array().cast(_SPAN))
 
 
-#: Identifier-like tokens with one blank between each two; possessive, so the time is linear in the text.
+#: Identifier-like tokens with one blank between each two.  A token with an at sign stands alone, one that begins with a
+#: plus begins an instance, so that identifiers in a row are instances of their own.  Possessive: the time is linear.
 _MARK = r"(?=[^\s]*?(?:[0-9@]|[\[({]at[\])}]))"
-_RUN = rf"(?<!\S){_MARK}\S++(?:[ \t]{_MARK}\S++)*+"
+_ALONE = r"[^\s@]*+@\S*+"
+_RUN = rf"(?<!\S)(?:{_ALONE}|{_MARK}\S++(?:[ \t](?![(]?\+|{_ALONE}){_MARK}\S++)*+)"
 _LEAD, _TAIL = r"^[^\p{L}\p{N}+(]+", r"[^\p{L}\p{N}]+$"
 _BLANKS = " \t\n\x0b\x0c\r"
 _ITEM = "array<struct<start:int,end:int,core:string,left:string,right:string>>"
@@ -95,19 +119,26 @@ def _contexts(text: Column) -> Column:
     it and the end of the text or another instance, an instance has ^ or $ there.
     """
     found = F.regexp_extract_all(text, F.lit(_RUN), F.lit(0))
-    gaps = F.split(text, _RUN, -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast(_ITEM).alias("out"))
 
-    def add(state: Column, one: Column) -> Column:
-        before, after = F.get(gaps, state["k"]), F.get(gaps, state["k"] + 1)
-        low = state["at"] + F.length(before)
-        lead = F.length(F.regexp_extract(one, _LEAD, 0))
-        core = F.regexp_replace(F.regexp_replace(one, _LEAD, ""), _TAIL, "")
-        left, right = F.coalesce(F.nullif(_word(before, True), F.lit("")), F.lit("^")), F.coalesce(F.nullif(_word(after, False), F.lit("")), F.lit("$"))
-        item = F.struct((low + lead).alias("start"), (low + lead + F.length(core)).alias("end"), core.alias("core"), left.alias("left"), right.alias("right"))
-        return F.struct((low + F.length(one)).alias("at"), (state["k"] + 1).alias("k"), F.concat(state["out"], F.array(item)).alias("out"))
+    def placed(both: Column) -> Column:
+        gaps, n = both["gaps"], F.size(both["found"])
+        each = F.arrays_zip(
+            both["found"].alias("one"),
+            _starts(both["found"], F.transform(gaps, F.length)).alias("low"),
+            F.slice(gaps, F.lit(1), n).alias("before"),
+            F.slice(gaps, F.lit(2), n).alias("after"),
+        )
+
+        def item(e: Column) -> Column:
+            low = e["low"] + F.length(F.regexp_extract(e["one"], _LEAD, 0))
+            core = F.regexp_replace(F.regexp_replace(e["one"], _LEAD, ""), _TAIL, "")
+            left, right = F.coalesce(F.nullif(_word(e["before"], True), F.lit("")), F.lit("^")), F.coalesce(F.nullif(_word(e["after"], False), F.lit("")), F.lit("$"))
+            return F.struct(low.alias("start"), (low + F.length(core)).alias("end"), core.alias("core"), left.alias("left"), right.alias("right"))
 
-    return F.when(text.rlike(r"[0-9@]|[\[({]at[\])}]"), F.aggregate(found, start, add, lambda s: s["out"])).otherwise(F.array().cast(_ITEM))
+        return F.transform(each, item)
+
+    items = _let(F.struct(found.alias("found"), F.split(text, _RUN, -1).alias("gaps")), placed)
+    return F.when(text.rlike(r"[0-9@]|[\[({]at[\])}]"), items).otherwise(F.array().cast(_ITEM))
 
 
 def shape(token: Column) -> Column:
@@ -171,21 +202,20 @@ def base_spans(text: Column) -> Column:
 
 def _kind_in(core: Column) -> Column:
     """The first kind with a base span in an instance; null for none."""
-    kind = F.lit(None).cast("string")
-    for k in reversed(KINDS):
-        kind = F.when(F.size(matches(core, k)) > 0, F.lit(k)).otherwise(kind)
-    return kind
 
+    def held(kind: str) -> Column:
+        found = F.regexp_extract_all(core, F.lit(PATTERNS[kind]), F.lit(0))
+        return core.rlike(_NEEDS[kind]) & F.exists(found, lambda x: valid(kind, x))
 
-def _added(docs: DataFrame, id_col: str, text_col: str, rounds: int, support: int, bar: float, tokens: int) -> DataFrame:
-    """Spans that the bootstrap adds: one row for an id and text hash, with ``added``.
+    return F.coalesce(*[F.when(held(k), F.lit(k)) for k in KINDS])
 
-    Runs of more than ``tokens`` tokens are tables of numbers, not identifiers.
-    """
+
+def _added(docs: DataFrame, id_col: str, text_col: str, rounds: int, support: int, bar: float) -> DataFrame:
+    """Spans that the bootstrap adds: one row for an id and text hash, with ``added``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.explode(_contexts(text)).alias("c")).select("id", "hash", "c.*")
-    rows = rows.filter((F.col("core") != "") & (F.size(F.split("core", r"[ \t]")) <= tokens))
-    rows = rows.select("id", "hash", "start", "end", "left", "right", F.xxhash64("core").alias("token"), shape(F.col("core")).alias("shape"), _kind_in(F.col("core")).alias("kind"))
+    rows = rows.filter(F.col("core") != "")
+    rows = rows.select("id", "hash", "start", "end", "left", "right", F.xxhash64("core").alias("token"), F.xxhash64(shape(F.col("core"))).alias("shape"), _kind_in(F.col("core")).alias("kind"))
     instances = materialise(rows, "instances")
     patterns, shapes = bootstrap(instances, rounds, support, bar)
     hits = believed(instances.filter("kind is null").drop("kind").join(patterns, ["left", "right"]), shapes).filter(F.col("confidence") >= bar)
@@ -204,15 +234,29 @@ def _with_added(rows: DataFrame, added: DataFrame, most: int = 32 << 20) -> Data
 
 
 def _merged(base: Column, added: Column) -> Column:
-    """All spans in the order of kinds, then starts; added ones that overlap a base span go."""
+    """All spans in the order of kinds, then starts; added ones that overlap a base span go.
+
+    An added span overlaps one if the base spans that start before its end
+    reach beyond its start: a running maximum over all spans in order.
+    """
     order = F.array(*[F.lit(k) for k in KINDS])
-    fresh = F.filter(added, lambda s: ~F.exists(base, lambda x: (x["start"] < s["end"]) & (x["end"] > s["start"])))
-    both = F.concat(base, F.coalesce(fresh, F.array().cast("array<struct<kind:string,start:int,end:int>>")))
-    ranked = F.array_sort(F.transform(both, lambda s: F.struct(F.array_position(order, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
+    def event(is_base: bool):
+        at = (lambda s: s["start"]) if is_base else (lambda s: s["end"])
+        reach = (lambda s: s["end"]) if is_base else (lambda s: F.lit(0))
+        return lambda s: F.struct(at(s).alias("at"), F.lit(is_base).alias("base"), reach(s).alias("reach"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 5, bar: float = 0.9, tokens: int = 8) -> DataFrame:
+    def kept(events: Column) -> Column:
+        reached = F.zip_with(events, running(F.transform(events, lambda e: e["reach"]), F.greatest), lambda e, r: F.struct(e.alias("e"), r.alias("r")))
+        fresh = F.filter(reached, lambda x: x["e"]["base"] | (x["r"] <= x["e"]["start"]))
+        ranked = F.array_sort(F.transform(fresh, lambda x: F.struct(F.array_position(order, x["e"]["kind"]).alias("rank"), x["e"]["start"].alias("start"), x["e"]["end"].alias("end"), x["e"]["kind"].alias("kind"))))
+        return F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+    both = F.array_sort(F.concat(F.transform(base, event(True)), F.transform(added, event(False))))
+    return F.when(F.size(F.coalesce(added, F.array())) > 0, _let(both, kept)).otherwise(base)
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 5, bar: float = 0.9) -> DataFrame:
     """Per row: ``id_col``, ``base`` and ``spans``, arrays of (kind, start, end) in the order of kinds, then starts.
 
     ``base`` has the spans of the base patterns; ``spans`` has them and those
@@ -223,7 +267,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     Of patterns with the same confidence in two kinds the later name wins.
     Other columns are not read.  No rows give no rows.
     """
-    added = _added(docs, id_col, text_col, rounds, support, bar, tokens)
+    added = _added(docs, id_col, text_col, rounds, support, bar)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = _with_added(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), base_spans(text).alias("base")), added)
     return rows.select(F.col("id").alias(id_col), "base", _merged(F.col("base"), F.col("added")).alias("spans"))
@@ -239,27 +283,34 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 5, bar: float = 0.9, tokens: int = 8) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 5, bar: float = 0.9) -> DataFrame:
     """``docs`` with every span of find() replaced by its kind in brackets, as in ``[EMAIL]``.
 
     Overlapping spans are replaced together, under the kind of the one that
     starts first.  All rows and columns stay, whatever their names; null texts
     stay null.
     """
-    added = _added(docs, id_col, text_col, rounds, support, bar, tokens)
+    added = _added(docs, id_col, text_col, rounds, support, bar)
     text = F.col("row").getField(text_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.withColumns({"id": F.col("row").getField(id_col), "hash": F.xxhash64(F.coalesce(text, F.lit("")))})
     rows = _with_added(rows.withColumn("base", base_spans(F.coalesce(text, F.lit("")))), added).withColumn("spans", _merged(F.col("base"), F.col("added")))
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def cut(state: Column, s: Column) -> Column:
-        kept = F.substr(text, state["at"] + 1, s["start"] - state["at"])
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        out = F.when(s["start"] >= state["at"], F.concat(state["out"], kept, mark)).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
-
-    changed = F.aggregate(ordered, first, cut, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
+    def cut(piece: Column, low: Column, n: Column) -> Column:
+        """A substring; from blocks of the text, as substr() walks from the beginning each time."""
+        first = F.floor(low / _BLOCK).cast("int")
+        near = F.array_join(F.slice(piece, first + 1, F.floor((low + n) / _BLOCK).cast("int") - first + 1), "")
+        return F.substr(near, low - first * _BLOCK + 1, n)
+
+    def replaced(x: Column) -> Column:
+        # a span goes under its own mark if it starts where all before it have ended
+        ends = F.concat(F.array(F.lit(0)), running(F.transform(x["spans"], lambda s: s["end"]), F.greatest))
+        pairs = F.filter(F.arrays_zip(x["spans"].alias("s"), F.slice(ends, F.lit(1), F.size(x["spans"])).alias("at")), lambda p: p["s"]["start"] >= p["at"])
+        parts = F.transform(pairs, lambda p: F.concat(cut(x["blocks"], p["at"], p["s"]["start"] - p["at"]), F.lit("["), F.upper(p["s"]["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), F.substr(text, F.element_at(ends, -1) + 1))
+
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    changed = _let(F.struct(ordered.alias("spans"), blocks.alias("blocks")), replaced)
     whole = F.when(F.size("spans") > 0, changed).otherwise(text)
     return rows.select(*[(whole if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
