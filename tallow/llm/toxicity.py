@@ -16,15 +16,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import released
+from .store import discard, materialise, released
 
 #: Groups of interchangeable identity terms.
 IDENTITY_GROUPS = (
@@ -83,117 +84,184 @@ def swaps(text: str, groups) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
     return out
 
 
-def _sampled(groups):
+def _featured_rows(groups):
+    """(row, toxic, features, swaps) of the sampled texts."""
     terms = {t for g in groups for t in g}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("plus", pa.list_(pa.int64())), ("minus", pa.list_(pa.int64())), ("times", pa.int64())]))
         for batch in batches:
-            found, changed = [], []
-            for text in batch.column(1):
-                text = (text.as_py() or "").lower()
+            for k in range(batch.num_rows):  # a text may have any number of features
+                text = batch.column(2)[k].as_py().lower()
                 words = set(_WORD.findall(text))
-                found.append(sorted(featured(words)))
-                changed.append([{"plus": p, "minus": m, "times": n} for (p, m), n in Counter(swaps(text, groups)).items()] if words & terms else [])
-            kind = pa.list_(pa.struct([("plus", pa.list_(pa.int64())), ("minus", pa.list_(pa.int64())), ("times", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(changed, kind)], ["toxic", "features", "swaps"])
+                changed = [{"plus": p, "minus": m, "times": n} for (p, m), n in Counter(swaps(text, groups)).items()] if words & terms else []
+                columns = [*(c.slice(k, 1) for c in batch.columns[:2]), pa.array([sorted(featured(words))], pa.list_(pa.int64())), pa.array([changed], kind)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "toxic", "features", "swaps"])
 
     return run
 
 
-def _selected(row, column, y, all_, one, positive: int, most: int, cover: int = 12) -> np.ndarray:
-    """Features that speak for label 1, best-supported first, until they cover every such row ``cover`` times.
+def wilson(one: Column, all_: Column) -> Column:
+    """The lower end of the 95 % Wilson interval of one / all."""
+    z2 = 1.96 * 1.96
+    share = one / all_
+    spread = 1.96 * F.sqrt(share * (1 - share) / all_ + z2 / (4 * all_ * all_))
+    return (share + z2 / (2 * all_) - spread) / (1 + z2 / all_)
 
-    A feature counts if the lower end of the 95 % Wilson interval of its
-    precision is 0.55 or more; as long as a fifth of the rows are without
-    one, 0.45 and 0.35 do.  Words that only copies of a few rows share come
-    last and add no cover.
+
+def covering(low: np.ndarray, held: list[np.ndarray], positive: int, most: int, cover: int = 12, bars: tuple[float, ...] = (0.55, 0.45, 0.35)) -> list[int]:
+    """Places of the features that speak for label 1, taken best-supported first until they cover every such row ``cover`` times.
+
+    ``low`` has the lower ends of their precision and ``held`` the rows of
+    label 1 that have them, best-supported first.  A feature counts from the
+    first bar on; as long as a fifth of the rows are without one, the next bar
+    does.  Words that only copies of a few rows share come last and add no
+    cover.
     """
-    share, z = one / np.maximum(all_, 1), 1.96
-    centre = share + z * z / (2 * np.maximum(all_, 1))
-    spread = z * np.sqrt(share * (1 - share) / np.maximum(all_, 1) + (z / (2 * np.maximum(all_, 1))) ** 2)
-    low = np.where(all_ > 0, (centre - spread) / (1 + z * z / np.maximum(all_, 1)), 0)
-    covered, chosen, taken = np.zeros(len(y), int), [], np.zeros(len(all_), bool)
-    for bar in (0.55, 0.45, 0.35):
-        able = (low >= bar) & ~taken
-        mine = able[column] & (y[row] > 0)
-        order = np.argsort(column[mine], kind="stable")
-        r, c = row[mine][order], column[mine][order]
-        candidates = np.flatnonzero(able)
-        for f in candidates[np.argsort(-one[candidates], kind="stable")]:
-            held = r[np.searchsorted(c, f) : np.searchsorted(c, f, "right")]
-            if len(chosen) < most and (covered[held] < cover).sum() >= min(len(held), max(3, positive // 100)):
+    covered, chosen, taken = np.zeros(positive, int), [], set()
+    for bar in bars:
+        for f in np.flatnonzero(low >= bar).tolist():
+            if f not in taken and len(chosen) < most and (covered[held[f]] < cover).sum() >= min(len(held[f]), max(3, positive // 100)):
                 chosen.append(f)
-                taken[f] = True
-                covered[held] += 1
-        if (covered[y > 0] > 0).mean() >= 0.8:
+                taken.add(f)
+                covered[held[f]] += 1
+        if (covered > 0).mean() >= 0.8:
             break
-    return np.sort(np.array(chosen, int))
+    return sorted(chosen)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, swapped: Counter | None = None, groups=IDENTITY_GROUPS, selected: int = 4096, l2: float = 1e-4, fairness: float = 1.0, steps: int = 400) -> tuple[dict[int, float], float]:
-    """Weights of features and the intercept.
+def _changes(place: dict[int, int]):
+    """Sums of products of the signs with which swaps change the chosen features: (i, j, value), and the number of swaps at (-1, -1)."""
 
-    ``swapped`` counts the changes that swaps() found in labelled sentences;
-    each pair of terms of ``groups`` counts once more as a sentence of one
-    word.  Without rows of both labels, or without a feature that tells them
-    apart, the score is the (smoothed) share of label 1.
-    """
-    n, positive = len(labels), int(labels.sum())
-    if not 0 < positive < n:
-        share = (positive + 0.5) / (n + 1) if n else 0.05
-        return {}, float(np.log(share / (1 - share)))
-    size = np.array([len(r) for r in rows])
-    row, column = np.repeat(np.arange(n), size), np.concatenate(rows)
-    y = labels.astype(np.float64)
-    names, column = np.unique(column, return_inverse=True)
-    all_, one = np.bincount(column), np.bincount(column, y[row])
-    chosen = _selected(row, column, y, all_, one, positive, selected)
-    if not len(chosen):
-        return {}, float(np.log(positive / (n - positive)))
-    at = np.full(len(names), -1)
-    at[chosen] = np.arange(len(chosen))
-    kept = at[column] >= 0
-    row, column = row[kept], at[column[kept]]
-    place = {int(names[f]): k for k, f in enumerate(chosen)}
-    every = Counter(swapped or {}) + Counter(s for g in groups for t in g for s in swaps(t, (g,)))
-    # each swap is a row of +1 and -1 at the chosen features that it adds and takes away
-    cells = [(k, place[f], sign) for k, (plus, minus) in enumerate(every) for fs, sign in ((plus, 1.0), (minus, -1.0)) for f in fs if f in place]
-    at, feature, sign = (np.array([c[k] for c in cells], t) for k, t in enumerate((int, int, float)))
-    weight = np.array(list(every.values()), float)
-    weight /= max(1.0, weight.sum())
-    w, b = np.zeros(len(chosen)), float(np.log(positive / (n - positive)))
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            for held in batch.column(0).to_pylist():
+                for x in held:
+                    total.update(products(place, x["plus"], x["minus"], x["times"]))
+        rows = [(i, j, n) for (i, j), n in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64()))], ["i", "j", "value"])
+
+    return run
+
+
+def products(place: dict[int, int], plus: Iterable[int], minus: Iterable[int], times: int) -> Counter:
+    """What a swap that happens ``times`` times adds to the sums of _changes()."""
+    signs = [(place[f], sign) for fs, sign in ((plus, 1), (minus, -1)) for f in fs if f in place]
+    out = Counter({(-1, -1): times})
+    for i, a in signs:
+        for j, b in signs:
+            out[i, j] += a * b * times
+    return out
+
+
+@dataclass(frozen=True)
+class Problem:
+    """What the descent works on: the chosen features of the rows, the labels, and the penalty as a sparse matrix."""
+
+    row: np.ndarray
+    column: np.ndarray
+    y: np.ndarray
+    size: int
+    i: np.ndarray
+    j: np.ndarray
+    value: np.ndarray  # of the mean over the swaps of the outer product of a swap's signs
+
+    def gradient(self, w: np.ndarray, b: float, l2: float, fairness: float) -> tuple[np.ndarray, float]:
+        """Of mean log loss + l2 / 2 * |w|^2 + fairness * mean squared change of the logit by a swap."""
+        n = len(self.y)
+        z = np.bincount(self.row, w[self.column], n) + b
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - self.y) / n
+        penalty = 2 * fairness * np.bincount(self.i, self.value * w[self.j], self.size)
+        return np.bincount(self.column, error[self.row], self.size) + l2 * w + penalty, float(error.sum())
+
+
+def descend(problem: Problem, l2: float, fairness: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept after ``steps`` steps of Adam."""
+    k, share = problem.size, problem.y.mean()
+    w, b = np.zeros(k), float(np.log(share / (1 - share)))
+    m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, steps + 1):
-        z = np.bincount(row, w[column], n) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        change = np.bincount(at, sign * w[feature], len(every))
-        penalty = np.bincount(feature, sign * (2 * fairness * weight * change)[at], len(chosen))
-        g = np.append(np.bincount(column, error[row], len(chosen)) + l2 * w + penalty, error.sum())
+        g = np.append(*problem.gradient(w, b, l2, fairness))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
-    return {int(names[f]): float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-4}, float(b)
-
-
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, groups=IDENTITY_GROUPS, fairness: float = 1.0) -> tuple[dict[int, float], float]:
-    """Fit on at most ``max_rows`` of the labelled rows whose crc32(doc_id as text) mod 4 isn't 2.
+    return w, float(b)
+
+
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    max_rows: int = 6000,
+    groups=IDENTITY_GROUPS,
+    fairness: float = 1.0,
+    selected: int = 4096,
+    candidates: int = 1 << 14,
+    l2: float = 1e-4,
+    steps: int = 400,
+) -> tuple[dict[int, float], float]:
+    """Weights of features and the intercept, fitted on at most ``max_rows`` of the labelled rows whose crc32(doc_id as text) mod 4 isn't 2.
 
     Rows with a null id or label are left out; an id with several labels has
-    the largest.  The sample is the first rows by a hash of the id.
+    the largest, one with several texts the least.  The sample is the first
+    rows by a hash of the id.  Without rows of both labels, or without a
+    feature that tells them apart, the score is the (smoothed) share of label 1.
+
+    Features are counted, and the ``candidates`` with the most rows of label 1
+    are picked, in Spark.  The driver holds those with the rows they are in as
+    bits, at most ``max_rows * selected`` pairs of a row and a chosen feature,
+    and sums for at most ``selected ** 2`` pairs of features that one swap
+    changes: none of it grows with the texts.
     """
+    spark = docs.sparkSession
     usable = labels.filter("doc_id is not null and toxic is not null").filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    # at most max_rows rows of two numbers; of texts only numbers of features go to the driver, as many as its different words and beginnings
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    got = rows.mapInArrow(released(_sampled(groups)), "toxic int, features array<long>, swaps array<struct<plus:array<long>,minus:array<long>,times:int>>").toArrow()
-    y = np.array([int(x > 0) for x in got.column(0).to_pylist()])
-    parts = [np.asarray(x.values, np.int64) for x in got.column(1)]
-    changed: Counter = Counter()
-    for held in got.column(2).to_pylist():
-        for x in held:
-            changed[tuple(x["plus"]), tuple(x["minus"])] += x["times"]
-    return fit(parts, y, changed, groups, fairness=fairness)
+    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
+    # rows of label 1 have the first numbers
+    named = [(k, r.doc_id, int(r.toxic > 0)) for k, r in enumerate(sorted(sample, key=lambda r: r.toxic <= 0))]
+    table = spark.createDataFrame(named, "row int, doc_id long, toxic int")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(table), "doc_id").groupBy("row", "toxic").agg(F.min("text").alias("text"))
+    schema = "row int, toxic int, features array<long>, swaps array<struct<plus:array<long>,minus:array<long>,times:long>>"
+    seen = materialise(texts.mapInArrow(released(_featured_rows(groups)), schema), "features")
+    there = dict(seen.select("row", "toxic").collect())
+    n, positive = len(there), sum(there.values())
+    if not 0 < positive < n:
+        share = (positive + 0.5) / (n + 1) if n else 0.05
+        discard(seen)
+        return {}, float(np.log(share / (1 - share)))
+    each = seen.select("row", "toxic", F.explode("features").alias("feature"))
+    counts = each.groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("one")).withColumn("low", wilson(F.col("one"), F.col("n")))
+    best = counts.filter("low >= 0.35").orderBy(F.desc("one"), "feature").limit(candidates).select("feature", "low").collect()
+    wanted = F.broadcast(spark.createDataFrame([(r.feature, k) for k, r in enumerate(best)], "feature long, k int"))
+    marks = each.filter("toxic = 1").join(wanted, "feature").groupBy("k", F.bitmap_bucket_number(F.col("row") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("row") + 1)).alias("rows"))
+    held: list[np.ndarray] = [np.empty(0, np.int64)] * len(best)
+    for r in marks.orderBy("k", "bucket").collect():
+        bits = np.unpackbits(np.frombuffer(bytes(r["rows"]), np.uint8), bitorder="little")
+        held[r.k] = np.append(held[r.k], np.flatnonzero(bits) + (r.bucket - 1) * len(bits))
+    size = 1 + max((k for k, y in there.items() if y), default=0)
+    chosen = covering(np.array([r.low for r in best]), held, size, selected)
+    if not chosen:
+        discard(seen)
+        return {}, float(np.log(positive / (n - positive)))
+    place = {best[k].feature: at for at, k in enumerate(chosen)}
+    kept = F.broadcast(spark.createDataFrame(list(place.items()), "feature long, at int"))
+    cells = each.join(kept, "feature").select("row", "at").toArrow()
+    total: Counter = Counter()
+    for r in seen.filter("size(swaps) > 0").select("swaps").mapInArrow(released(_changes(place)), "i int, j int, value long").groupBy("i", "j").agg(F.sum("value").alias("value")).collect():
+        total[r.i, r.j] += r["value"]
+    for g in groups:  # terms that no sentence holds are sentences of one word
+        for t in g:
+            for plus, minus in swaps(t, (g,)):
+                total.update(products(place, plus, minus, 1))
+    discard(seen)
+    every = max(1, total.pop((-1, -1), 0))
+    numbers = {row: k for k, row in enumerate(sorted(there))}
+    rows = np.array([numbers[k] for k in cells.column(0).to_pylist()], np.int64)
+    y = np.array([there[k] for k in sorted(there)], float)
+    pairs = np.array([(i, j, v / every) for (i, j), v in sorted(total.items()) if v] or np.empty((0, 3)))
+    problem = Problem(rows, cells.column(1).to_numpy().astype(np.int64), y, len(chosen), pairs[:, 0].astype(int), pairs[:, 1].astype(int), pairs[:, 2])
+    w, b = descend(problem, l2, fairness, steps)
+    return {f: float(w[at]) for f, at in place.items() if abs(w[at]) > 1e-4}, b
 
 
 class Scorer:

@@ -1,5 +1,7 @@
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -37,18 +39,95 @@ def test_held_out_labels_are_not_used(spark, table):
     assert toxicity.train(table(docs), labels) == toxicity.train(table(docs), flipped)
 
 
-def test_identity_terms_get_one_weight():
-    rows, y = [], []
-    for k in range(400):
+def slow_train(docs, labels, fairness=1.0, l2=1e-4, steps=400):
+    """The fit by its definition: a dense matrix of all features, swapped sentences one by one."""
+    rows = sorted((k, t) for k, t in docs if k in labels and zlib.crc32(str(k).encode()) % 4 != 2)
+    words = [toxicity.featured(set(re.findall(r"\w+", (t or "").lower()))) for _, t in rows]
+    y = np.array([labels[k] for k, _ in rows], float)
+    one = Counter(f for fs, label in zip(words, y, strict=True) if label for f in fs)
+    n = Counter(f for fs in words for f in fs)
+
+    def low(f):
+        p, z2 = one[f] / n[f], 1.96**2
+        return (p + z2 / (2 * n[f]) - 1.96 * math.sqrt(p * (1 - p) / n[f] + z2 / (4 * n[f] ** 2))) / (1 + z2 / n[f])
+
+    order = sorted((f for f in one if low(f) >= 0.35), key=lambda f: (-one[f], f))
+    positive = [k for k, label in enumerate(y) if label]
+    covered, chosen = Counter(), []
+    for bar in (0.55, 0.45, 0.35):
+        for f in order:
+            held = [k for k in positive if f in words[k]]
+            if low(f) >= bar and f not in chosen and sum(covered[k] < 12 for k in held) >= min(len(held), max(3, len(positive) // 100)):
+                chosen.append(f)
+                covered.update(held)
+        if sum(covered[k] > 0 for k in positive) >= 0.8 * len(positive):
+            break
+    x = np.array([[float(f in fs) for f in chosen] for fs in words])
+    changes = [c for _, t in rows for c in slow_swaps((t or "").lower())] + [c for g in toxicity.IDENTITY_GROUPS for t in g for c in toxicity.swaps(t, (g,))]
+    d = np.array([[float(f in plus) - float(f in minus) for f in chosen] for plus, minus in changes])
+
+    def loss(w, b):
+        z = x @ w + b
+        return np.mean(np.logaddexp(0, z) - y * z) + l2 / 2 * w @ w + fairness * np.mean((d @ w) ** 2)
+
+    def gradient(w, b):
+        error = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        return np.append(x.T @ error + l2 * w + 2 * fairness * d.T @ (d @ w) / len(d), error.sum())
+
+    at = np.append(np.linspace(-1, 1, len(chosen)), 0.3)
+    steps_ = 1e-6 * np.eye(len(at))
+    numeric = np.array([(loss((at + e)[:-1], (at + e)[-1]) - loss((at - e)[:-1], (at - e)[-1])) / 2e-6 for e in steps_])
+    assert np.abs(numeric - gradient(at[:-1], at[-1])).max() < 1e-6  # the gradient is that of the loss
+    w = np.append(np.zeros(len(chosen)), np.log(y.mean() / (1 - y.mean())))
+    m, v = np.zeros(len(w)), np.zeros(len(w))
+    for step in range(1, steps + 1):
+        g = gradient(w[:-1], w[-1])
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    return {f: c for f, c in zip(chosen, w[:-1], strict=True) if abs(c) > 1e-4}, w[-1]
+
+
+def biased(n=240):
+    """Texts in which one of two groups is named in toxic ones mostly, with other toxic words."""
+    docs = []
+    for k in range(n):
         bad = k % 4 == 0
-        words = [f"w{k % 60}", "muslim" if bad or k % 9 == 0 else "christian", *(["vile"] if bad else [])]
-        rows.append(np.array(sorted({f for w in words for f in toxicity.features(w)})))
-        y.append(int(bad))
+        name = "muslim" if bad or k % 9 == 0 else "christian"
+        docs.append((k, " ".join([f"w{(k * 7 + j) % 60}" for j in range(6)]) + f". A {name} neighbour" + (" vile viler" if bad and k % 8 else "")))
+    return docs, {k: int(k % 4 == 0) for k in range(n)}
+
+
+def test_fit_and_scores_match_brute_force(spark, table):
+    docs, labels = biased()
+    given = spark.createDataFrame([(k, 1, t) for k, t in labels.items()], "doc_id long, quality int, toxic int")
+    for fairness in (0.0, 1.0):
+        weights, bias = toxicity.train(table(docs), given, fairness=fairness)
+        slow, b = slow_train(docs, labels, fairness)
+        assert weights.keys() == slow.keys() and len(weights) > 3
+        assert all(abs(weights[f] - slow[f]) < 1e-6 for f in slow) and abs(bias - b) < 1e-6
+        got = {r.doc_id: r.score for r in toxicity.score(table(docs), (weights, bias)).collect()}
+        for k, text in docs:
+            z = b + sum(slow.get(f, 0.0) for f in toxicity.featured(set(re.findall(r"\w+", text.lower()))))
+            assert abs(got[k] - 1 / (1 + math.exp(-z))) < 1e-6
+
+
+def test_identity_terms_get_one_weight(spark, table):
+    docs, labels = biased()
+    given = spark.createDataFrame([(k, 1, t) for k, t in labels.items()], "doc_id long, quality int, toxic int")
     weigh = lambda model, word: sum(model[0].get(f, 0.0) for f in toxicity.features(word))
-    free = toxicity.fit(rows, np.array(y), fairness=0.0)
-    fair = toxicity.fit(rows, np.array(y), fairness=50.0)
+    free = toxicity.train(table(docs), given, fairness=0.0)
+    fair = toxicity.train(table(docs), given, fairness=50.0)
     gap = lambda m: abs(weigh(m, "muslim") - weigh(m, "christian"))
-    assert gap(fair) <= 0.2 * gap(free) + 1e-6 and weigh(fair, "vile") > 1
+    assert gap(fair) <= 0.2 * gap(free) + 1e-6 and gap(free) > 0.5 and weigh(fair, "vile") > 1
+
+
+def test_repeated_rows_and_long_texts_in_the_sample(spark, table):
+    docs, labels = labelled(spark)
+    plain = toxicity.train(table(docs), labels)
+    again = toxicity.train(table(docs + docs[:50] * 3), labels)
+    assert plain == again
+    long = [(k, t + "".join(f" x{k}y{j}" for j in range(20_000))) if k < 5 else (k, t) for k, t in docs]
+    assert toxicity.train(table(long), labels)[0]
 
 
 def test_without_labels_and_without_rows(spark, table):
