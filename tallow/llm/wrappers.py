@@ -14,8 +14,10 @@ nor the partitions of pages matter.
 The main region is an article or main element of the wrapper, or else the
 element that holds most of the variable text outside of menus, forms and the
 like.  A page's main text is the region's, without its constant slots.  Names
-of classes only break the tie for elements with variable text that tags and
-slots can't tell from an article's: adverts, comments, share buttons.
+of classes are looked at last, for what tags and slots can't tell from an
+article: adverts, comments, share buttons.  Elements with such a name go if
+the rest of the wrapper has a quarter of their variable text or more; an
+element that holds nearly all of it is the article, whatever its name.
 """
 
 from __future__ import annotations
@@ -23,14 +25,15 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise, released
+from .store import discard, materialise, released
 from .urls import host_of
 
 #: Elements without content, whose content is no text, that end a block, and that are no part of an article.
@@ -109,7 +112,10 @@ _DIGITS = re.compile("[0-9]+")
 
 
 def tree(page: str) -> Element:
-    """A tolerant parse: children are elements and texts, which are still escaped."""
+    """A tolerant parse: children are elements and texts, which are still escaped.
+
+    Labels of elements whose names say that they are no main text begin with "!".
+    """
     root = Element("", "", False, 0)
     stack, at = [root], 0
     #: Where in the stack the open elements of a tag are, and the open blocks.
@@ -162,9 +168,9 @@ def tree(page: str) -> Element:
         marks = {a.lower(): (x or y or z) for a, x, y, z in _ATTRIBUTE.findall(rest)} if rest else {}
         inside = last("article") or last("main")
         outside = tag in OUTSIDE or (tag == "header" and not inside) or (tag in CONTROLS and stack[blocks[-1]].tag not in SENTENCES)
-        if marks and tag not in ("html", "body", "article", "main"):
-            outside = outside or any(marked(v) for v in marks.values() if v)
         label = f"{tag}.{_DIGITS.sub('#', marks['class'].split()[0])}" if marks.get("class", "").split() else tag
+        if marks and tag not in ("html", "body", "article", "main") and any(marked(v) for v in marks.values() if v):
+            label = f"!{label}"
         own = Element(tag, label, outside, below(stack[-1].path, label))
         stack[-1].children.append(own)
         if tag not in VOID and not rest.endswith("/"):
@@ -214,8 +220,19 @@ def folded(children: list[list]) -> list[list]:
     return _run(_folded(children)) if len(children) > 1 else children
 
 
-def _folded(children: list[list], longest: int = 6):
-    """Neighbours of one label become one repeated child, then stretches of up to ``longest`` labels that come again repeated groups."""
+def _tandem(names: list[tuple], start: int) -> int:
+    """The least period from ``start`` on with which a stretch comes again at once; 0 for none."""
+    kinds: dict[tuple, int] = {}
+    a = np.array([kinds.setdefault(n, len(kinds)) for n in names], np.int32)
+    for period in range(start, len(a) // 2 + 1):
+        breaks = np.flatnonzero(a[:-period] != a[period:])
+        if np.diff(breaks, prepend=-1, append=len(a) - period).max() > period:
+            return period
+    return 0
+
+
+def _folded(children: list[list]):
+    """Neighbours of one label become one repeated child, then stretches of labels that come again repeated groups, short ones first."""
     out: list[list] = []
     for c in children:
         if out and _names(out[-1]) == _names(c):
@@ -223,13 +240,14 @@ def _folded(children: list[list], longest: int = 6):
             out[-1][1] |= 2
         else:
             out.append(c)
-    for period in range(2, longest + 1):
-        if len(out) < 2 * period:
-            break
-        names, made, k = [_names(c) for c in out], [], 0
+    # groups are of plain labels: a group already made is like no other child
+    plain = lambda: [n if len(n) == 1 else (k,) for k, n in enumerate(map(_names, out))]
+    period = _tandem(plain(), 2)
+    while period:
+        names, made, k = plain(), [], 0
         while k < len(out):
             same = names[k : k + period]
-            if len(same) == period and names[k + period : k + 2 * period] == same and all(len(n) == 1 for n in same):
+            if len(same) == period and names[k + period : k + 2 * period] == same:
                 group = ["", 2, out[k : k + period]]
                 k += period
                 while names[k : k + period] == same:
@@ -240,6 +258,7 @@ def _folded(children: list[list], longest: int = 6):
                 made.append(out[k])
                 k += 1
         out = made
+        period = _tandem(plain(), period + 1)
     return out
 
 
@@ -248,56 +267,67 @@ def aligned(a: list, b: list) -> list:
     return _run(_aligned(a, b))
 
 
-def _aligned(a: list, b: list, cells: int = 1 << 18):
+def _aligned(a: list, b: list):
     x, y = a[2], b[2]
     names, others = [_names(c) for c in x], [_names(c) for c in y]
     children: list[list] = []
-    if names == others:
-        for c, d in zip(x, y, strict=True):
-            children.append((yield c, d))
-        return [a[0], a[1] | b[1], children]
-    # what begins and what ends alike is aligned without a table
-    n, m, front, back = len(x), len(y), 0, 0
-    while front < min(n, m) and names[front] == others[front]:
-        front += 1
-    while back < min(n, m) - front and names[n - 1 - back] == others[m - 1 - back]:
-        back += 1
-    for c, d in zip(x[:front], y[:front], strict=True):
-        children.append((yield c, d))
-    p, q = x[front : n - back], y[front : m - back]
-    if len(p) * len(q) > cells:
-        # too many children without any period: each of their labels is one optional repeated child, in the order of appearance
-        kinds: dict[tuple, list] = {}
-        for c in (*p, *q):
-            kind = _names(c)
-            kinds[kind] = (yield kinds[kind], c) if kind in kinds else c
-        children += [[c[0], c[1] | 3, c[2]] for c in kinds.values()]
-    else:
-        i, j = 0, 0
-        best = _longest([_names(c) for c in p], [_names(c) for c in q])
-        while i < len(p) or j < len(q):
-            if i < len(p) and j < len(q) and _names(p[i]) == _names(q[j]):
-                children.append((yield p[i], q[j]))
-                i, j = i + 1, j + 1
-            elif j == len(q) or (i < len(p) and best[i + 1][j] >= best[i][j + 1]):
-                children.append([p[i][0], p[i][1] | 1, p[i][2]])
-                i += 1
-            else:
-                children.append([q[j][0], q[j][1] | 1, q[j][2]])
-                j += 1
-    for c, d in zip(x[n - back :], y[m - back :], strict=True):
-        children.append((yield c, d))
-    children = yield from _folded(children)
+    i = j = 0
+    for k, m in [*common(names, others), (len(x), len(y))]:
+        children += [[c[0], c[1] | 1, c[2]] for c in (*x[i:k], *y[j:m])]
+        if k < len(x):
+            children.append((yield x[k], y[m]))
+        i, j = k + 1, m + 1
+    if names != others:
+        children = yield from _folded(children)
     return [a[0], a[1] | b[1], children]
 
 
-def _longest(p: list[tuple], q: list[tuple]) -> list[list[int]]:
-    """Lengths of the longest common subsequences of the ends."""
-    best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-    for i in range(len(p) - 1, -1, -1):
-        for j in range(len(q) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if p[i] == q[j] else max(best[i + 1][j], best[i][j + 1])
-    return best
+def _lengths(p: list, q: list) -> np.ndarray:
+    """Lengths of the longest common subsequences of p and each beginning of q.
+
+    A row of the table is a whole number with a bit for each place of q, so a
+    step is a few operations on it: n * m / 64 word operations and m bits.
+    """
+    places: dict = {}
+    for k, c in enumerate(q):
+        places[c] = places.get(c, 0) | 1 << k
+    full = (1 << len(q)) - 1
+    row = full
+    for c in p:
+        hit = row & places.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(q) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(q)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common(p: list, q: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in memory linear in the lengths (Hirschberg's division)."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(p), 0, len(q))]
+    while todo:
+        low, high, left, right = todo.pop()
+        back: list[tuple[int, int]] = []
+        while low < high and left < right and p[low] == q[left]:
+            out.append((low, left))
+            low, left = low + 1, left + 1
+        while low < high and left < right and p[high - 1] == q[right - 1]:
+            high, right = high - 1, right - 1
+            back.append((high, right))
+        if low == high or left == right:
+            pass
+        elif high - low == 1:
+            at = next((k for k in range(left, right) if q[k] == p[low]), None)
+            if at is not None:
+                out.append((low, at))
+        else:
+            mid = (low + high) // 2
+            begins = _lengths(p[low:mid], q[left:right])
+            ends = _lengths(p[mid:high][::-1], q[left:right][::-1])[::-1]
+            cut = left + int((begins + ends).argmax())
+            todo.append((mid, high, cut, right))
+            todo.append((low, mid, left, cut))
+        out += back
+    return sorted(out)
 
 
 def packed(node: list) -> str:
@@ -318,18 +348,34 @@ def unpacked(text: str) -> list:
     return nodes[0]
 
 
-def region(wrapper: list, chars: dict[int, int]) -> list[str]:
-    """Labels from the root down to the main region of a wrapper; ``chars`` are the variable characters of each path's slot."""
+def region(wrapper: list, chars: dict[int, int]) -> tuple[list[str], set[int]]:
+    """Labels from the root down to the main region of a wrapper, and the paths of elements that stay in spite of their names.
+
+    ``chars`` are the variable characters of each path's slot.
+    """
     order: list[tuple[list, int, int]] = []
     todo = [(wrapper, -1, 0)]
     while todo:
         node, parent, path = todo.pop()
         todo.extend((c, len(order), below(path, c[0]) if c[0] else path) for c in reversed(node[2]))
         order.append((node, parent, path))
-    masses = [chars.get(path, 0) if node[0] or parent < 0 else 0 for node, parent, path in order]
-    for k in range(len(order) - 1, 0, -1):
-        masses[order[k][1]] += masses[k]
-    mains = [k for k, (node, _, _) in enumerate(order) if node[0].split(".")[0] in ("article", "main")]
+    own = [chars.get(path, 0) if node[0] or parent < 0 else 0 for node, parent, path in order]
+    excused: set[int] = set()
+    while True:
+        inside = [0] * len(order)  # the outermost element with a name that hasn't been excused
+        held: dict[int, int] = {}
+        for k, (node, parent, path) in enumerate(order):
+            inside[k] = (inside[parent] if parent >= 0 else 0) or (k if node[0].startswith("!") and path not in excused else 0)
+            held[inside[k]] = held.get(inside[k], 0) + own[k]
+        masses = [0 if k else n for k, n in zip(inside, own, strict=True)]
+        for k in range(len(order) - 1, 0, -1):
+            masses[order[k][1]] += masses[k]
+        mains = [k for k, (node, _, _) in enumerate(order) if not inside[k] and node[0].split(".")[0] in ("article", "main")]
+        rest = held.pop(0)
+        largest = max(held, key=lambda k: (held[k], -k), default=0)
+        if not largest or held[largest] <= 4 * rest or any(masses[k] for k in mains):
+            break
+        excused.add(order[largest][2])
     best = max(mains, key=lambda k: (masses[k], -k), default=0)
     labels: list[str] = []
     while best:
@@ -337,13 +383,13 @@ def region(wrapper: list, chars: dict[int, int]) -> list[str]:
             labels.append(order[best][0][0])
         best = order[best][1]
     if labels:
-        return labels[::-1]
+        return labels[::-1], excused
     mass = {id(node): m for (node, _, _), m in zip(order, masses, strict=True)}
     node = wrapper
     while True:
         inner = max(node[2], key=lambda c: mass[id(c)], default=None)
-        if inner is None or inner[1] & 2 or mass[id(inner)] < 0.6 * max(1, mass[id(node)]) or inner[0].split(".")[0] not in BLOCK:
-            return labels
+        if inner is None or inner[1] & 2 or not mass[id(inner)] or mass[id(inner)] < 0.6 * mass[id(node)] or inner[0].removeprefix("!").split(".")[0] not in BLOCK - SENTENCES:
+            return labels, excused
         node = inner
         labels.append(inner[0])
 
@@ -356,12 +402,18 @@ def located(root: Element, labels: list[str]) -> list[Element]:
     return found
 
 
-def blocks(elements: list[Element]) -> list[tuple[int, str, str]]:
-    """Path, tag and text of the blocks of elements, in page order; a block is of the nearest block element."""
+def blocks(elements: list[Element], excused: Container[int] | None = None) -> list[tuple[int, str, str]]:
+    """Path, tag and text of the blocks of elements, in page order; a block is of the nearest block element.
+
+    Elements with the name of no main text are left out unless their path is excused; without ``excused`` all are there.
+    """
     out: list[tuple[int, str, str]] = []
     open_: list[str] = []
     owners: list[Element] = []
 
+    def out_of(e: Element) -> bool:
+        return e.outside or (excused is not None and e.label[0] == "!" and e.path not in excused)
+
     def end() -> None:
         text = " ".join(html.unescape("".join(open_)).split())
         if text:
@@ -380,11 +432,11 @@ def blocks(elements: list[Element]) -> list[tuple[int, str, str]]:
                 open_.append(e)
             elif e.tag in BLOCK:
                 end()
-                if not e.outside:
+                if not out_of(e):
                     owners.append(e)
                     todo.append(None)
                     todo.extend(reversed(e.children))
-            elif not e.outside:
+            elif not out_of(e):
                 if e.tag == "br":
                     open_.append(" ")
                 todo.extend(reversed(e.children))
@@ -399,7 +451,7 @@ def slots(found: list[tuple[int, str, str]]) -> dict[int, tuple[int, int]]:
     return {p: (xxhash.xxh3_64_intdigest("\n".join(t).encode("utf-8", "surrogatepass")) - (1 << 63), sum(map(len, t))) for p, t in texts.items()}
 
 
-def main_text(page: str, labels: list[str], constant: dict[int, int] | None = None) -> str:
+def main_text(page: str, labels: list[str], constant: dict[int, int] | None = None, excused: Container[int] = frozenset()) -> str:
     """The text at a path of labels without constant slots; if the page has nothing there, that of its own main region.
 
     A slot is dropped if it holds what ``constant`` says.  Headings stay, and
@@ -407,11 +459,11 @@ def main_text(page: str, labels: list[str], constant: dict[int, int] | None = No
     article, not of a template.
     """
     root = tree(page)
-    found = blocks(located(root, labels)) if labels else []
+    found = blocks(located(root, labels), excused) if labels else []
     if not found:
-        whole = blocks([root])
-        own = slots(whole)
-        found = blocks(located(root, region(skeleton(root), {p: n for p, (h, n) in own.items() if (constant or {}).get(p) != h})))
+        own = slots(blocks([root]))
+        labels, excused = region(skeleton(root), {p: n for p, (h, n) in own.items() if (constant or {}).get(p) != h})
+        found = blocks(located(root, labels), excused)
     if constant:
         held = slots(found)
         same = {p for p, (h, _) in held.items() if constant.get(p) == h}
@@ -446,20 +498,24 @@ def _merged(group: pa.Table) -> pa.Table:
     return pa.table({"host": [group.column("host")[0].as_py()], "wrapper": [packed(total)]}, schema=pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", support: int = 5, agreement: float = 0.95) -> DataFrame:
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", support: int = 5, agreement: float = 0.95, fan: int = 64) -> DataFrame:
     """``host``, ``wrapper`` (JSON of the expression) and ``slots``, an array of (path, chars, constant), from all pages.
 
     A slot is constant if at least ``support`` pages of the host have it and
     ``agreement`` of them hold the same there; ``constant`` is then a hash of
-    that, else null.  A host's different expressions meet in its task, in 64
-    groups by their hash before; digits in class names don't count, so a host
-    has as many as its templates differ.
+    that, else null.  A host's different expressions meet in a tree: groups of
+    about ``fan`` by their hash, then groups of what these became.
     """
     rows = pages.select(host_of(F.coalesce(F.col(url_col), F.lit(""))).alias("host"), F.col(html_col).alias("html"))
     seen = materialise(rows.mapInArrow(released(_seen), "host string, shape string, path long, content long, pages long, chars long"), "seen")
-    shapes = seen.filter("shape is not null").select("host", F.col("shape").alias("wrapper")).distinct()
-    some = shapes.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(64))).groupBy("host", "salt").applyInArrow(_merged, "host string, wrapper string")
-    whole = some.groupBy("host").applyInArrow(_merged, "host string, wrapper string")
+    whole = materialise(seen.filter("shape is not null").select("host", F.col("shape").alias("wrapper")).distinct(), "shapes")
+    most = whole.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    while most > 1:
+        sizes = whole.groupBy("host").agg(F.ceil(F.count("*") / fan).cast("int").alias("groups"))
+        dealt = whole.join(sizes, "host").withColumn("group", F.pmod(F.xxhash64("wrapper"), F.col("groups")))
+        merged = materialise(dealt.groupBy("host", "group").applyInArrow(_merged, "host string, wrapper string"), "shapes")
+        discard(whole)
+        whole, most = merged, merged.groupBy("host").count().agg(F.max("count")).first()[0]
     held = seen.filter("path is not null").groupBy("host", "path", "content").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
     slot = held.groupBy("host", "path").agg(F.sum("pages").alias("n"), F.sum("chars").alias("chars"), F.max(F.struct("pages", "content")).alias("top"))
     steady = (F.col("n") >= support) & (F.col("top.pages") >= agreement * F.col("n"))
@@ -468,20 +524,23 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", sup
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The path to each wrapper's main region, and its constant slots."""
+    """The path to each wrapper's main region, its constant slots, and what stays in spite of its name."""
     for batch in batches:
-        labels, constant = [], []
+        labels, constant, excused = [], [], []
         for wrapper, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            labels.append(" ".join(region(unpacked(wrapper), {s["path"]: s["chars"] for s in held or [] if s["constant"] is None})))
+            path, stays = region(unpacked(wrapper), {s["path"]: s["chars"] for s in held or [] if s["constant"] is None})
+            labels.append(" ".join(path))
+            excused.append(sorted(stays))
             constant.append([(s["path"], s["constant"]) for s in held or [] if s["constant"] is not None])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(constant, pa.map_(pa.int64(), pa.int64()))], ["host", "labels", "constant"])
+        columns = [batch.column(0), pa.array(labels, pa.string()), pa.array(constant, pa.map_(pa.int64(), pa.int64())), pa.array(excused, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "labels", "constant", "excused"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [
-            main_text(page.as_py() or "", labels.split(" ") if labels else [], dict(constant or []))
-            for page, labels, constant in zip(batch.column(2), *(batch.column(k).to_pylist() for k in (3, 4)), strict=True)
+            main_text(page.as_py() or "", labels.split(" ") if labels else [], dict(constant or []), frozenset(excused or ()))
+            for page, labels, constant, excused in zip(batch.column(2), *(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True)
         ]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"]
@@ -500,9 +559,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     broadcast under its threshold and by sorted merge beyond.
     """
     regions = wrappers(pages, url_col, html_col, support, agreement).select("host", "wrapper", "slots")
-    regions = materialise(regions.mapInArrow(released(_regions), "host string, labels string, constant map<long,long>"), "regions")
+    regions = materialise(regions.mapInArrow(released(_regions), "host string, labels string, constant map<long,long>, excused array<long>"), "regions")
     kind = dict(pages.dtypes)[id_col]
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.withColumn("host", host_of(F.coalesce(F.col("url"), F.lit(""))))
-    joined = rows.join(regions, "host", "left").select("id", "url", "html", "labels", "constant")
+    joined = rows.join(regions, "host", "left").select("id", "url", "html", "labels", "constant", "excused")
     return joined.mapInArrow(released(_extracted), f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

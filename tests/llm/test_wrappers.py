@@ -125,3 +125,68 @@ def test_elements_below_any_depth_keep_their_place(spark):
     assert got == {k: f"before\ninner {k}\nafter" for k in range(3)}
     one = w.skeleton(w.tree(page(deep)))
     assert w.packed(w.unpacked(w.packed(one))) == w.packed(one)
+
+
+def slow_common(p, q):
+    """The length of a longest common subsequence, by the table."""
+    best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+    for i, x in enumerate(p):
+        for j, y in enumerate(q):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_common_subsequence_by_brute_force():
+    rnd = random.Random(4)
+    for _ in range(300):
+        p, q = ("".join(rnd.choices("abcd", k=rnd.randint(0, 40))) for _ in range(2))
+        got = w.common(list(p), list(q))
+        assert all(p[i] == q[j] for i, j in got) and len(got) == slow_common(p, q)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:], strict=False))
+
+
+def test_alignment_is_the_same_at_any_size():
+    """Children that differ become optional ones, never repeated ones, however many there are."""
+    names = lambda k, n: "".join(f"<{t}>x</{t}>" for t in random.Random(k).choices([f"x{i}" for i in range(2000)], k=n))
+    for n, m in ((600, 400), (600, 600), (3000, 2500)):
+        a, b = (w.skeleton(w.tree(f"<article>{names(k, x)}</article>"))[2][0] for k, x in ((1, n), (2, m)))
+        both = w.aligned(a, b)
+        assert all(c[0] for c in both[2]) and {c[1] & 1 for c in both[2]} == {0, 1}, (n, m)
+        kept = slow_common([c[0] for c in a[2]], [c[0] for c in b[2]]) if n * m < 500_000 else len(w.common([(c[0],) for c in a[2]], [(c[0],) for c in b[2]]))
+        n, m = len(a[2]), len(b[2])  # neighbours of one name are one child
+        assert sum(not c[1] & 1 for c in both[2]) == kept and len(both[2]) == n + m - kept
+
+
+def test_groups_of_any_number_of_labels_are_folded():
+    for period in (2, 7, 40):
+        row = "".join(f"<i{k}>x</i{k}>" for k in range(period))
+        div = w.skeleton(w.tree(f"<div><b0>x</b0>{row * 5}<b1>x</b1></div>"))[2][0]
+        assert [c[0] for c in div[2]] == ["b0", "", "b1"] and len(div[2][1][2]) == period and div[2][1][1] & 2
+
+
+def test_names_are_looked_at_after_the_slots(spark):
+    """An article in an element named like a share bar stays; comments and adverts beside an article go, though their texts vary."""
+    body = lambda k: f"<div class='social'><h2>T{k}</h2><p>{f'long story {k} ' * 30}</p><div class='ad-slot'>buy {k}</div></div><p>by {k}</p>"
+    plain = lambda k: f"<div class='story'><p>{f'short {k} ' * 5}</p></div><div class='comments'><p>{f'rude {k} ' * 15}</p></div>"
+    tagged = lambda k: f"<article><p>few {k}</p></article><div class='comments'><p>{f'rude {k} ' * 50}</p></div>"
+    rows = [(100 * n + k, f"http://{n}.org/{k}", page(f(k))) for n, f in enumerate((body, plain, tagged)) for k in range(6)] + [(900, "http://one.org/x", page(body(900)))]
+    got = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(6):
+        assert got[k].startswith(f"T{k}\nlong story {k} long") and "buy" not in got[k], got[k]
+        assert got[100 + k] == (f"short {k} " * 5).strip() and got[200 + k] == f"few {k}"
+    assert got[900].startswith("T900\nlong story")
+
+
+def test_many_different_pages_of_a_host_meet_in_a_tree(spark):
+    rnd = random.Random(6)
+    rows = [(k, "http://a.org/x", page("<article>" + "".join(f"<{t}>w{k}</{t}>" for t in rnd.choices(["p", "ul", "h2", "pre"], k=8)) + "</article>")) for k in range(150)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = w.wrappers(frame, fan=4).collect()
+    assert len(found) == 1
+    got = {r.page_id: r.text for r in w.extract(frame).collect()}
+    assert all(got[k].split("\n") == [f"w{k}"] * 8 for k in range(150))
+
+
+def test_columns_with_names_of_the_operator(spark):
+    frame = spark.createDataFrame([(1, "http://a.org/1", page("<article><p>Only</p></article>"), "h", "l", "c", 5, "s")], "page_id long, url string, html string, host string, labels string, constant string, id int, shape string")
+    assert [tuple(r) for r in w.extract(frame).collect()] == [(1, "http://a.org/1", "Only", 4)]
