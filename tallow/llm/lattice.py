@@ -33,7 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -170,7 +170,7 @@ def _captured(half: float, kind: type):
     return run
 
 
-def balls(classes: DataFrame, lattice: Lattice, half: float, kind: type, rounds: int = 3) -> DataFrame:
+def balls(classes: DataFrame, lattice: Lattice, half: float, kind: type, rounds: int = 2) -> DataFrame:
     """(c, ball, angle) of the classes in balls of more than one; a ball is named by its leader, at angle 0.
 
     A round deals the classes that are left into the cells of another table.
@@ -384,24 +384,25 @@ def _open_links(pairs: DataFrame, members: DataFrame, info: DataFrame, limit: fl
 def _links(classes: DataFrame, lattice: Lattice, limit: float, kind: type, block: int) -> tuple[DataFrame, DataFrame]:
     """(c, ball, n_links) of all classes, and the links (u, v) between balls."""
     captured = balls(classes, lattice, math.acos(limit) / 2, kind)
-    members = classes.join(captured, "c", "left").select("c", "label", "v", "n", F.coalesce("ball", "c").alias("ball"), F.coalesce("angle", F.lit(0.0)).alias("angle"))
+    members = classes.join(captured, "c", "left").select("c", "label", "v", "n", F.coalesce("ball", "c").alias("ball"), F.coalesce("angle", F.lit(0.0)).alias("angle"), F.col("ball").isNotNull().alias("many"))
     members = materialise(members, "members")
     info = members.groupBy("ball").agg(
         F.max("angle").alias("radius"), F.sum("n").alias("total"), F.count("*").alias("size"), F.max("label").alias("label"), F.max(F.when(F.col("c") == F.col("ball"), F.col("v"))).alias("v")
     )
     info = materialise(info, "info")
-    keys = members.select("ball", "label", "v").mapInArrow(released(_keys(lattice, kind)), "key long, ball long, home boolean")
-    cells = materialise(keys.groupBy("key", "ball").agg(F.max("home").alias("home")), "cells")
-    live = cells.groupBy("key").agg(F.min("ball").alias("low"), F.max("ball").alias("high"), F.max("home").alias("home"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    live = live.filter("low < high and home").select("key", "blocks")
-    rows = cells.join(live, "key").join(info, "ball").withColumn("own", _dealt("ball", "blocks"))
+    keys = lambda some: some.select("ball", "label", "v").mapInArrow(released(_keys(lattice, kind)), "key long, ball long, home boolean")
+    # a class has no cell twice, the members of a ball share most of theirs
+    cells = keys(members.filter("not many")).unionByName(keys(members.filter("many")).groupBy("key", "ball").agg(F.max("home").alias("home")))
+    cell = Window.partitionBy("key")
+    live = cells.withColumns({"n": F.count("*").over(cell), "lived": F.max("home").over(cell)}).filter("n > 1 and lived")
+    rows = live.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).join(info, "ball").withColumn("own", _dealt("ball", "blocks"))
     # block b meets the pairs (i, j), i <= j, that hold it
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"))))
     rows = rows.withColumn("unit", pair).select("key", "unit.i", "unit.j", "ball", "label", "home", ((F.col("unit.i") < F.col("unit.j")) & (F.col("own") == F.col("unit.j"))).alias("side"), "radius", "size", "total", "v")
     units = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     met = materialise(units.mapInArrow(released(_met(lattice, limit, kind)), "a long, b long, state int, n long"), "met")
     whole, part = (materialise(met.filter(F.col("state") == k).select("a", "b").distinct(), name) for k, name in ((2, "whole"), (3, "part")))
-    opened = _open_links(part, members, info, limit, kind, block)
+    opened = _open_links(part, members, info, limit, kind, block) if not part.isEmpty() else members.select("c", "ball", F.col("ball").alias("other"), "n").limit(0)
     total = info.select("ball", "total")
     added = [met.filter("state = 0").select(F.col("a").alias("ball"), "n")]
     for one, two in (("a", "b"), ("b", "a")):
@@ -452,6 +453,10 @@ def near_vectors(
     usable = rows.filter("v is not null").select("id", "label", "v", named)
     classes = usable.groupBy("h", "label", "v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     classes = materialise(classes.withColumn("c", F.monotonically_increasing_id()), "classes")  # numbered once, as it is written
+    alone = rows.filter("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    finish = lambda some: some.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    if classes.isEmpty():
+        return finish(alone)
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     size, coarse, many = next((b, w, t) for n, b, w, t in SIZES if n is None or most <= n)
     lattice = Lattice(max(1, width), math.acos(limit), blocks or size, tables or many, probes, coarse)
@@ -462,8 +467,7 @@ def near_vectors(
     least = joined.groupBy("root").agg(F.min("id").alias("component_id"))
     by_class = joined.join(least, "root").select("h", "n_links", "component_id")
     out = usable.select("id", "h").join(by_class, "h").select("id", "n_links", "component_id")
-    alone = rows.filter("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return out.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return finish(out.unionByName(alone))
 
 
 #: DuckDB SQL for near_vectors() over ``embeddings``: all pairs of a label.
