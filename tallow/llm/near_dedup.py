@@ -440,6 +440,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     whole = whole.select("row", F.col("row").getField(id_col).cast("long").alias("id"), F.xxhash64(F.col("row").getField(text_col)).alias("hash"))
     same = (F.col("hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))
-    once = whole.join(marks, same, "left_anti").select("row")
-    one = whole.join(marks.filter("mine"), same, "left_semi").groupBy("id", "hash").agg(F.first("row").alias("row")).select("row")
+    # merge joins at every size, as are those that read texts again; both use one shuffle of the rows
+    once = whole.join(marks.hint("merge"), same, "left_anti").select("row")
+    one = whole.join(marks.filter("mine").hint("merge"), same, "left_semi").groupBy("id", "hash").agg(F.first("row").alias("row")).select("row")
     return once.unionByName(one).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
