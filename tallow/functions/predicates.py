@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scores import jaccard, let
+from .scores import let
 from .text import capability_tokens, loose_query, normalize_answer, padded_contains, query_key, state_words, text
 
 
@@ -154,13 +154,24 @@ def unfinished(observations: Column, last: Column, tokens: Column) -> Column:
     )
 
 
-def novelty(a, b) -> Column:
-    return (
-        F.when(F.trim(text(a)) == F.trim(text(b)), "exact_duplicate")
-        .when(loose_query(a) == loose_query(b), "normalized_duplicate")
-        .when(jaccard(capability_tokens(a), capability_tokens(b)) >= 0.85, "semantic_duplicate")
+def query_forms(c) -> dict[str, Column]:
+    """What novelty() compares of a query: trimmed, loose form, tokens; to be worked out in a projection of its own."""
+    return {"whole": F.trim(text(c)), "loose": loose_query(c), "tokens": capability_tokens(c)}
+
+
+def with_novelty(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``df`` with the ``novelty`` of query b after query a, and b's ``tokens``.  Forms are columns, so none is worked out twice."""
+    forms = {f"_{side}_{k}": v for side, c in (("a", a), ("b", b)) for k, v in query_forms(c).items()}
+    rows = df.withColumns(forms).withColumn("_shared", F.size(F.array_intersect("_a_tokens", "_b_tokens")))
+    union = F.size("_a_tokens") + F.size("_b_tokens") - F.col("_shared")  # both are sets
+    like = F.when(union == 0, 1.0).otherwise(F.col("_shared") / union)
+    label = (
+        F.when(F.col("_a_whole") == F.col("_b_whole"), "exact_duplicate")
+        .when(F.col("_a_loose") == F.col("_b_loose"), "normalized_duplicate")
+        .when(like >= 0.85, "semantic_duplicate")
         .otherwise("rewrite")
     )
+    return rows.withColumns({"novelty": label, "tokens": F.col("_b_tokens")}).drop(*forms, "_shared")
 
 
 def hop_label(novel: Column, conditioned: Column, new_documents: Column, new_facts: Column) -> Column:

@@ -21,53 +21,67 @@ def answer_tokens(c: Column) -> Column:
     return tokens(normalize_answer(c))
 
 
-def overlap(p: Column, g: Column) -> Column:
-    """Size of the multiset intersection of two token arrays.
+def bag(tokens_: Column) -> Column:
+    """A multiset of tokens as a set: the second and further occurrences of a token carry their number.
 
-    Each common token counts once, by hashing; only tokens that repeat on both
-    sides, which neighbours of the sorted arrays show, are counted out.
+    Worked out once a text, it makes the overlap with any other text one
+    intersection by hashing.
     """
 
-    def repeated(a: Column) -> Column:
-        return let(F.array_sort(a), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1)))))
+    def numbered(t: Column, s: Column) -> Column:
+        again = F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1))))
+        return let(again, lambda r: F.when(F.size(r) == 0, t).otherwise(F.concat(F.array_distinct(t), F.flatten(F.transform(r, lambda x: further(t, x))))))
+
+    def further(t: Column, x: Column) -> Column:
+        times = F.size(F.filter(t, lambda y: y == x))
+        return F.transform(F.sequence(F.lit(2), times), lambda k: F.concat(x, F.lit(" "), k.cast("string")))  # tokens hold no blank
+
+    return let(tokens_, lambda t: let(F.array_sort(t), lambda s: numbered(t, s)))
+
 
-    times = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    more = F.aggregate(F.array_intersect(repeated(p), repeated(g)), F.lit(0), lambda n, x: n + F.least(times(p, x), times(g, x)) - 1)
-    return F.size(F.array_intersect(p, g)) + more
+def answer_bag(c: Column) -> Column:
+    return bag(answer_tokens(c))
+
+
+def overlap(p: Column, g: Column) -> Column:
+    """Size of the multiset intersection of two bags."""
+    return F.size(F.array_intersect(p, g))
 
 
 def bag_prf(p: Column, g: Column) -> Column:
-    """Struct (f1, precision, recall) of two token arrays, which should be variables or columns."""
-    counts = F.struct(overlap(p, g).alias("n"), F.size(p).alias("p"), F.size(g).alias("g"))
-    return let(counts, lambda c: prf(c["n"], c["p"], c["g"]))
+    """Struct (f1, precision, recall) of two bags, which should be variables or columns."""
+    return prf(overlap(p, g), F.size(p), F.size(g))
 
 
 def token_prf(prediction: Column, gold: Column) -> Column:
     """Struct (f1, precision, recall) of two texts; two empty ones give 1."""
-    both = F.struct(answer_tokens(prediction).alias("p"), answer_tokens(gold).alias("g"))
+    both = F.struct(answer_bag(prediction).alias("p"), answer_bag(gold).alias("g"))
     return let(both, lambda s: bag_prf(s["p"], s["g"]))
 
 
 def prf(common: Column, n_p: Column, n_g: Column) -> Column:
-    precision = F.when(n_p > 0, common / n_p).otherwise(0.0)
-    recall = F.when(n_g > 0, common / n_g).otherwise(0.0)
-    f1 = F.when(common > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    one, zero = (F.struct(*[F.lit(v).alias(n) for n in ("f1", "precision", "recall")]) for v in (1.0, 0.0))
-    own = F.struct(f1.alias("f1"), precision.alias("precision"), recall.alias("recall"))
-    return F.when((n_p == 0) & (n_g == 0), one).when((n_p == 0) | (n_g == 0), zero).otherwise(own)
+    def of(n: Column) -> Column:
+        precision = F.when(n["p"] > 0, n["n"] / n["p"]).otherwise(0.0)
+        recall = F.when(n["g"] > 0, n["n"] / n["g"]).otherwise(0.0)
+        f1 = F.when(n["n"] > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+        one, zero = (F.struct(*[F.lit(v).alias(k) for k in ("f1", "precision", "recall")]) for v in (1.0, 0.0))
+        own = F.struct(f1.alias("f1"), precision.alias("precision"), recall.alias("recall"))
+        return F.when((n["p"] == 0) & (n["g"] == 0), one).when((n["p"] == 0) | (n["g"] == 0), zero).otherwise(own)
 
+    return let(F.struct(common.alias("n"), n_p.alias("p"), n_g.alias("g")), of)
 
-def best_prf(prediction: Column, golds: Column) -> Column:
-    """The first gold's scores with the largest F1; zeros without golds."""
-    bags = F.struct(answer_tokens(prediction).alias("p"), F.transform(golds, lambda g: answer_tokens(g)).alias("gs"))
-
-    def best(s: Column) -> Column:
-        scored = F.transform(s["gs"], lambda g, i: F.struct(bag_prf(s["p"], g).alias("s"), i.alias("i")))
-        ranked = F.array_max(F.transform(scored, lambda x: F.struct(x["s"]["f1"].alias("f1"), (-x["i"]).alias("i"), x["s"].alias("s"))))
-        return ranked["s"]
 
+def best_of(p: Column, gs: Column) -> Column:
+    """The first bag's scores with the largest F1 of an array of bags; zeros without any."""
+    scored = F.transform(gs, lambda g, i: let(bag_prf(p, g), lambda s: F.struct(s["f1"].alias("f1"), (-i).alias("i"), s.alias("s"))))
     zero = F.struct(*[F.lit(0.0).alias(n) for n in ("f1", "precision", "recall")])
-    return F.coalesce(let(bags, best), zero)
+    return F.coalesce(F.array_max(scored)["s"], zero)
+
+
+def best_prf(prediction: Column, golds: Column) -> Column:
+    """The first gold's scores with the largest F1; zeros without golds."""
+    bags = F.struct(answer_bag(prediction).alias("p"), F.transform(golds, lambda g: answer_bag(g)).alias("gs"))
+    return let(bags, lambda s: best_of(s["p"], s["gs"]))
 
 
 def exact_match(prediction: Column, golds: Column) -> Column:
@@ -94,11 +108,13 @@ def joint(a: Column, b: Column) -> Column:
 def acceptance_f1(prediction: Column, golds: Column) -> Column:
     """Best F1 with ordinals spelled out; 1 for one or two tokens that are a subset of a gold's."""
     bags = F.struct(
-        answer_tokens(expand_ordinals(prediction)).alias("p"), F.transform(golds, lambda g: answer_tokens(expand_ordinals(g))).alias("gs")
+        answer_bag(expand_ordinals(prediction)).alias("p"), F.transform(golds, lambda g: answer_bag(expand_ordinals(g))).alias("gs")
     )
 
     def accept(s: Column) -> Column:
-        subset = lambda g: F.size(s["p"]).between(1, 2) & (F.size(F.array_except(s["p"], g)) == 0)
+        # a token that comes twice in a prediction of two is there once
+        once = F.filter(s["p"], lambda x: ~x.contains(" "))
+        subset = lambda g: F.size(s["p"]).between(1, 2) & (F.size(F.array_except(once, g)) == 0)
         each = F.transform(s["gs"], lambda g: F.when(subset(g), 1.0).otherwise(bag_prf(s["p"], g)["f1"]))
         return F.coalesce(F.array_max(each), F.lit(0.0))
 

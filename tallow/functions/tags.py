@@ -17,6 +17,12 @@ def bodies(c, tag: str, empty: bool = False) -> Column:
     return found if empty else F.filter(found, lambda b: b != "")
 
 
+def closed(c, tag: str) -> Column:
+    """The number of closed tags, empty ones too: one regular expression, no array."""
+    name = "(?:reasoning|think)" if tag == "reasoning" else tag
+    return F.regexp_count(text(c), F.lit(f"(?is)<{name}>.*?</{name}>"))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -80,7 +86,7 @@ def tag_steps(c) -> Column:
 def reward_format(c) -> Column:
     """1 if there is an answer and not both search and internal up to the end of the first one."""
     cut = F.regexp_extract(text(c), r"(?is)^(.*?<answer>.*?</answer>)", 1)
-    both = (F.size(bodies(cut, "search", True)) > 0) & (F.size(bodies(cut, "internal", True)) > 0)
+    both = (closed(cut, "search") > 0) & (closed(cut, "internal") > 0)
     return F.when(F.coalesce(last_body(c, "answer"), F.lit("")) == "", 0.0).when(both, 0.0).otherwise(1.0)
 
 

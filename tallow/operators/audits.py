@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import ordered_places, running_sums
+from .quantiles import linear_quantiles, nearest_ranks  # noqa: F401
 
 
 def share(condition: Column) -> Column:
@@ -18,34 +19,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.sum(a) / F.greatest(F.lit(1), F.sum(b))
 
 
-def _ranked_values(df: DataFrame, group: str, value: str) -> DataFrame:
-    """``group``, ``value``, ``upto`` (rows of the group up to and with the value) and the group's ``total``: a row for each different value."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    summed = running_sums(counts, [group, value], ["n"])
-    base = summed.groupBy(F.col(group).alias("_g")).agg(F.min(F.col("upto_n") - F.col("n")).alias("base"), F.sum("n").alias("total"))
-    return summed.join(base, F.col(group).eqNullSafe(F.col("_g"))).select(group, value, (F.col("upto_n") - F.col("base")).alias("upto"), "total")
-
-
-def nearest_ranks(df: DataFrame, group: str, value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Percentiles by sorted[round((n - 1) * q)], rounding half to even: ``group`` and a column for each name.
-
-    Counts by value are summed in ranges, so that no task holds a group's rows, however many different values it has.
-    """
-    at = {k: F.min(F.when(F.col("upto") > F.bround((F.col("total") - 1) * F.lit(q)), F.col(value))).alias(k) for k, q in quantiles.items()}
-    return _ranked_values(df, group, value).groupBy(group).agg(*at.values())
-
-
-def linear_quantiles(df: DataFrame, group: str, value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Percentiles between the two nearest ranks in proportion, in the same way."""
-    out = []
-    for name, q in quantiles.items():
-        place = (F.col("total") - 1) * F.lit(float(q))
-        low, high = (F.min(F.when(F.col("upto") > f(place), F.col(value))) for f in (F.floor, F.ceil))
-        part = F.max(place - F.floor(place))
-        out.append((low + part * (high - low)).alias(name))
-    return _ranked_values(df, group, value).groupBy(group).agg(*out)
-
-
 def placed(df: DataFrame, score: str, order: list, descending: bool = False) -> DataFrame:
     """``place`` (from 0) of each row by score, then by ``order``."""
     return ordered_places(df, [F.desc(score) if descending else F.asc(score), *order]).drop("total")

@@ -39,6 +39,20 @@ def ordered_places(df: DataFrame, order: list[str | Column]) -> DataFrame:
     return rows.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_before_n") + F.col("_row")).drop("_part", "_row", "_before_n")
 
 
+def grouped_places(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """``df`` with ``place`` (from 0) in its group by an order, and the group's ``total``; a group may be of any size.
+
+    Rows are sorted in ranges of group and order; a range adds a group's rows
+    in the ranges before it, one number for each range that the group is in.
+    """
+    rows = _sorted(df, [*[F.col(g) for g in group], *order])
+    parts = rows.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    w = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*group, "_part", (before - F.col("_first")).alias("_shift"), F.sum("_n").over(w).alias("total"))
+    return rows.join(parts, [*group, "_part"]).withColumn("place", F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
+
+
 def running_sums(df: DataFrame, order: list[str | Column], columns: list[str]) -> DataFrame:
     """``df`` with ``upto_x``, the sum of column x up to and with each row by an order, and ``total_x``."""
     rows = _sorted(df, order)

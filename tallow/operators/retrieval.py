@@ -7,31 +7,39 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import benchmark_url, public_http
 from ..functions.text import bm25_terms, content_id, sentences, web_tokens
+from .index import Index, idf, impact
 
 
 def bm25(candidates: DataFrame, queries: DataFrame, group: str, candidate: str, terms: str = "terms", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``group``, ``candidate``, ``score`` of every candidate for its group's query.
+    """``group``, ``candidate``, ``score`` of the candidates that share a term with their group's query.
 
     ``candidates`` has (group, candidate, terms), ``queries`` (group, terms).
     Frequencies and lengths are of the group; a term that a query repeats
-    counts each time.  Terms are counted once a candidate and shuffled by
-    group and term; texts never are.
+    counts each time.  Of the candidates' terms only those that the query has
+    are counted and shuffled; texts and other terms never are.  with_zeros()
+    adds candidates without a common term where a ranking needs them.
     """
-    counted = candidates.select(group, candidate, F.size(terms).alias("dl"), F.explode_outer(terms).alias("term"))
-    # all statistics derive from term counts of candidates, not from texts
-    all_ = counted.groupBy(group, candidate, "dl", "term").agg(F.count("term").alias("tf"))
-    each = all_.groupBy(group, candidate).agg(F.max("dl").alias("dl"))
-    stats = each.groupBy(group).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = all_.filter("term is not null")
-    df = tf.groupBy(group, "term").agg(F.count("*").alias("df"))
     asked = queries.select(group, F.explode(terms).alias("term")).groupBy(group, "term").agg(F.count("*").alias("qf"))
-    rated = asked.join(df, [group, "term"]).join(stats, group)
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rated = rated.select(group, "term", "qf", "avgdl", idf.alias("idf"))
-    length = 1 - b + b * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl"))
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
-    hits = tf.join(rated, [group, "term"]).groupBy(group, candidate).agg(F.sum(part).alias("score"))
-    return each.select(group, candidate).join(hits, [group, candidate], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    stats = candidates.groupBy(group).agg(F.count("*").alias("n"), F.avg(F.size(terms)).alias("avgdl"))
+    each = candidates.select(group, candidate, F.size(terms).alias("dl"), F.explode(terms).alias("term")).join(asked, [group, "term"])
+    tf = each.groupBy(group, "term", candidate, "dl", "qf").agg(F.count("*").alias("tf"))
+    df = tf.groupBy(group, "term").agg(F.count("*").alias("df"))
+    rated = tf.join(df, [group, "term"]).join(stats, group)
+    part = F.col("qf") * idf(F.col("n"), F.col("df")) * impact(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+    return rated.groupBy(group, candidate).agg(F.sum(part).alias("score"))
+
+
+def with_zeros(ranked: DataFrame, candidates: DataFrame, group: str, candidate: str, k: int, order: list) -> DataFrame:
+    """The ranked rows (``rank`` from 1) with candidates that share no term after them, up to ``k`` a group.
+
+    Only groups with fewer than ``k`` are read again; ``order`` is that of
+    candidates with one score.
+    """
+    short = candidates.select(group).distinct().join(ranked.groupBy(group).agg(F.count("*").alias("have")), group, "left").fillna(0, ["have"]).filter(F.col("have") < k)
+    rest = candidates.select(group, candidate).join(short, group).join(ranked.select(group, candidate), [group, candidate], "left_anti")
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    rest = rest.withColumn("place", place).filter(F.col("place") <= k - F.col("have"))  # the limit of a row number is taken before the shuffle
+    return ranked.select(group, candidate, "score", "rank").unionByName(rest.select(group, candidate, F.lit(0.0).alias("score"), (F.col("have") + F.col("place")).cast("int").alias("rank")))
 
 
 def top(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
@@ -70,25 +78,22 @@ def context_documents(responses: DataFrame, id_col: str, query: str, items: str,
     return rows.select(id_col, "rank", content_id(F.concat_ws("\n", "url", "text"), "web_", 12).alias("document_id"), "title", "url", "text", score.alias("score"))
 
 
-def requests(asked: DataFrame, index: DataFrame, request: str, topk: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Retrieval requests (``request``, sample_id, query, topk) against an index of (sample_id, candidate, terms).
+def requests(asked: DataFrame, index: Index, request: str, topk: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Retrieval requests (``request``, sample_id, query, topk) against an index whose groups are sample ids.
 
     Gives the errors, a row a request (null for none), and the ranked hits of
     requests without one.  An id or a query that is blank is an error before
     an id that the index lacks; ``topk`` of null or 0 is the default.
     """
-    known = index.select("sample_id").distinct().withColumn("known", F.lit(True))
+    known = index.groups.select(F.col("group").alias("sample_id"), F.lit(True).alias("known"))
     sample, query = F.trim(F.coalesce("sample_id", F.lit(""))), F.trim(F.coalesce("query", F.lit("")))
     rows = asked.select(request, sample.alias("sample_id"), query.alias("query"), F.coalesce(F.nullif("topk", F.lit(0)), F.lit(topk)).alias("topk")).join(known, "sample_id", "left")
     blank = (F.col("sample_id") == "") | (F.col("query") == "")
     error = F.when(blank, "sample_id and query required").when(F.col("known").isNull(), F.concat(F.lit("unknown sample_id: "), "sample_id"))
     rows = rows.withColumn("error", error)
-    good = rows.filter("error is null")
-    candidates = good.select(request, "sample_id").join(index, "sample_id").select(request, "candidate", "terms")
     terms = F.transform(F.regexp_extract_all("query", F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
-    scored = bm25(candidates, good.select(request, terms.alias("terms")), request, "candidate", k1=1.5).withColumn("score", F.round("score", 8))
-    rank = F.row_number().over(Window.partitionBy(request).orderBy(F.desc("score"), "candidate"))
-    hits = scored.withColumn("rank", rank).join(good.select(request, "topk"), request).filter("rank <= topk").select(request, "rank", "candidate", "score")
+    good = rows.filter("error is null").select(F.col(request).alias("query"), F.col("sample_id").alias("group"), terms.alias("terms"), F.col("topk").alias("k"))
+    hits = index.top(good).select(F.col("query").alias(request), "rank", "candidate", "score")
     return rows.select(request, "error"), hits
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.text import query_key, state_words
-from .audits import linear_quantiles, nearest_ranks, share
+from ..sources.readers import scratch
+from .audits import share
+from .quantiles import at_places
 from .validators import trace_errors
 
 # Metrics of a run's rows, and the digits of their means.
@@ -162,16 +164,25 @@ def importance(df: DataFrame, id_col: str, new: str, old: str, mask: str) -> Dat
     token = rows.select(id_col, F.explode(F.arrays_zip(F.col(new).alias("pi"), F.col(old).alias("mu"), F.col(mask).alias("m"))).alias("t")).filter("t.m = 1")
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     token = token.select(id_col, F.when(finite(F.col("t.pi")) & finite(F.col("t.mu")), F.col("t.pi").cast("double") - F.col("t.mu").cast("double")).alias("d"))
-    good = token.filter("d is not null").select(F.lit(0).alias("g"), F.abs("d").alias("delta"), F.exp("d").alias("rho"))
-    deltas = linear_quantiles(good, "g", "delta", {"median_abs_dlogp": 0.5}).join(nearest_ranks(good, "g", "delta", {"p95_abs_dlogp": 0.95, "p99_abs_dlogp": 0.99}), "g")
-    rhos = nearest_ranks(good, "g", "rho", {f"rho_p{k:02}": k / 100 for k in (1, 5, 50, 95, 99)})
+    path = scratch(df.sparkSession, "tokens")
+    token.write.parquet(path)  # once; everything below reads it
+    token = df.sparkSession.read.schema(token.schema).parquet(path)
+    good = token.filter("d is not null").select(F.lit(0).alias("g"), F.abs("d").alias("delta"), F.exp("d").alias("rho"), "d")
+    # both columns are refined in the same passes
+    both = good.select(F.explode(F.array(F.struct(F.lit("delta").alias("of"), F.col("delta").alias("x")), F.struct(F.lit("rho").alias("of"), F.col("rho").alias("x")))).alias("v")).select("v.*")
+    shares = {"p95_abs_dlogp": 0.95, "p99_abs_dlogp": 0.99, **{f"rho_p{k:02}": k / 100 for k in (1, 5, 50, 95, 99)}}
+    places = lambda n: {"low": F.floor((n - 1) * 0.5), "high": F.ceil((n - 1) * 0.5), **{k: F.bround((n - 1) * F.lit(q)) for k, q in shares.items()}}
+    own = lambda k, of: F.max(F.when((F.col("name") == k) & (F.col("of") == of), F.col("value")))
+    ranks = at_places(both, "of", "x", places).groupBy(F.lit(0).alias("g")).agg(
+        ((own("low", "delta") + own("high", "delta")) / 2).alias("median_abs_dlogp"), *[own(k, "rho" if k.startswith("rho") else "delta").alias(k) for k in shares]
+    )
     sums = good.groupBy("g").agg(
         F.count("*").alias("n_delta_tokens"), F.avg("delta").alias("mean_abs_dlogp"), F.max("delta").alias("max_abs_dlogp"), F.avg("rho").alias("rho_mean"), F.stddev_pop("rho").alias("rho_std"),
         F.max("rho").alias("rho_max"), (F.pow(F.sum("rho"), F.lit(2)) / F.sum(F.col("rho") * F.col("rho"))).alias("ess_token"),
     )
     bad = token.agg(F.sum(F.col("d").isNull().cast("long")).alias("trainer_nonfinite_tokens"), F.lit(0).alias("g"))
     weights = token.filter("d is not null").groupBy(id_col).agg(F.exp(F.sum("d")).alias("w")).agg(F.count("*").alias("n_seq_weights"), F.max("w").alias("max_seq_weight"), F.lit(0).alias("g"))
-    out = sums.join(deltas, "g").join(rhos, "g").join(bad, "g").join(weights, "g").withColumn("ess_ratio_token", F.col("ess_token") / F.col("n_delta_tokens"))
+    out = sums.join(ranks, "g").join(bad, "g").join(weights, "g").withColumn("ess_ratio_token", F.col("ess_token") / F.col("n_delta_tokens"))
     mild = (F.col("trainer_nonfinite_tokens") == 0) & (F.col("ess_ratio_token") >= 0.2)
     whole = ("n_delta_tokens", "trainer_nonfinite_tokens", "n_seq_weights")
     shown = [F.col(c) if c in whole else F.round(c, 6).alias(c) for c in out.columns if c != "g"]

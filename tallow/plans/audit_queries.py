@@ -475,23 +475,18 @@ def _(t):
 
 _NOVEL = f"CASE WHEN trim(a) = trim(b) THEN 'exact_duplicate' WHEN {q.collapse(f"regexp_replace(lower(a), '{q.PUNCT}', ' ', 'g')")} = {q.collapse(f"regexp_replace(lower(b), '{q.PUNCT}', ' ', 'g')")} THEN 'normalized_duplicate' WHEN j >= 0.85 THEN 'semantic_duplicate' ELSE 'rewrite' END"
 _CAPTOK = lambda x: q.keyset(f"lower({x})", "[a-z0-9]+(?:''[a-z0-9]+)?", text.CAPABILITY_STOP, 3)
-_NOVELTY = f"WITH s AS (SELECT doc_id, prediction AS a, CASE doc_id % 4 WHEN 0 THEN prediction WHEN 1 THEN '  ' || prediction || '!' WHEN 2 THEN prediction || ' zz' ELSE question END AS b FROM qa), k AS (SELECT *, {_CAPTOK('a')} AS ta, {_CAPTOK('b')} AS tb FROM s), j AS (SELECT *, CASE WHEN len(ta) + len(tb) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb)))::DOUBLE END AS j FROM k)"
+_NOVELTY = f"WITH s AS MATERIALIZED (SELECT doc_id, prediction AS a, CASE doc_id % 4 WHEN 0 THEN prediction WHEN 1 THEN '  ' || prediction || '!' WHEN 2 THEN prediction || ' zz' ELSE question END AS b FROM qa), k AS MATERIALIZED (SELECT *, {_CAPTOK('a')} AS ta, {_CAPTOK('b')} AS tb FROM s), j AS MATERIALIZED (SELECT *, CASE WHEN len(ta) + len(tb) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb)))::DOUBLE END AS j FROM k)"
 
 
 def _two_queries(t):
     k = F.col("doc_id") % 4
     b = F.when(k == 0, F.col("prediction")).when(k == 1, F.concat(F.lit("  "), "prediction", F.lit("!"))).when(k == 2, F.concat("prediction", F.lit(" zz"))).otherwise(F.col("question"))
-    return t.qa.select("doc_id", F.col("prediction").alias("a"), b.alias("b"), "body")
+    return t.qa.select("doc_id", F.col("prediction").alias("a"), b.alias("b"), "question", F.get("golds", 1).alias("next"))
 
 
 @query("p21_query_novelty", f"{_NOVELTY} SELECT doc_id, {_NOVEL} AS novelty FROM j")
 def _(t):
-    return _two_queries(t).select("doc_id", p.novelty("a", "b").alias("novelty"))
-
-
-def _(t):
-    rows = _two_queries(t).select("doc_id", p.novelty("a", "b").alias("novelty"))
-    return rows.select("doc_id", p.hop_label(F.col("novelty"), F.col("doc_id") % 3 == 0, F.col("doc_id") % 3 != 2).alias("label"))
+    return p.with_novelty(_two_queries(t), "a", "b").select("doc_id", "novelty")
 
 
 @query("p23_capability_quadrant", "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'direct_ok_oracle_ok' WHEN quality = 1 THEN 'direct_ok_oracle_err' WHEN toxic = 0 THEN 'direct_err_oracle_ok' ELSE 'direct_err_oracle_err' END AS quadrant FROM labels")

@@ -86,5 +86,5 @@ def _(t):
 @query("k02b_paragraph_candidates")
 def _(t):
     asked = t.benchmark.select("item_id", F.lower("text").alias("q"))
-    pages = t.documents.join(asked, F.col("doc_id") % t.items == F.col("item_id")).select("doc_id", "text", "q")
+    pages = t.item_of(t.documents).join(asked, "item_id").select("doc_id", "text", "q")
     return retrieval.chunks(pages, F.col("q"), "doc_id", "text", most=600)

@@ -147,7 +147,7 @@ _BM = f"""WITH s AS (SELECT {_G} AS g, doc_id, unnest(ss) AS sentence, unnest(ra
 
 
 def _sentences(t):
-    d = t.documents.select((F.col("doc_id") % t.items).alias("g"), "doc_id", "text")
+    d = t.item_of(t.documents).select(F.col("item_id").alias("g"), "doc_id", "text")
     rows = retrieval.sentence_terms(d.withColumn("s", F.struct("g", "doc_id")), "s", "doc_id", "text")
     rows = rows.select(F.col("s.g").alias("g"), F.struct("doc_id", "position").alias("c"), F.transform(text.all_matches("sentence", "[A-Za-z0-9]+"), F.lower).alias("terms"), "sentence")
     asked = t.benchmark.select(F.col("item_id").alias("g"), F.transform(text.all_matches("text", "[A-Za-z0-9]+"), F.lower).alias("terms"))
@@ -157,8 +157,12 @@ def _sentences(t):
 @query("k01_sentence_bm25", f"{_BM}, r AS (SELECT t.g, t.doc_id, t.position, coalesce(score, 0) AS score FROM t LEFT JOIN sc USING (g, doc_id, position)), c AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY g, doc_id ORDER BY round(score, 8) DESC, position) <= 2) SELECT g, doc_id, CAST(position AS INT) AS position, round(score, 8) AS score FROM c QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(score, 8) DESC, doc_id, position) <= 8")
 def _(t):
     rows, asked = _sentences(t)
-    scored = retrieval.bm25(rows, asked, "g", "c").select("g", "c.doc_id", "c.position", F.round("score", 8).alias("score"))
-    two = scored.withColumn("n", F.row_number().over(Window.partitionBy("g", "doc_id").orderBy(F.desc("score"), "position"))).filter("n <= 2").drop("n")
+    hits = retrieval.bm25(rows, asked, "g", "c").select("g", "c", F.round("score", 8).alias("score"))
+    # a document's first two sentences, too, while fewer than 8 others share a term
+    capped = lambda df: df.withColumn("n", F.row_number().over(Window.partitionBy("g", "c.doc_id").orderBy(F.desc("score"), "c.position"))).filter("n <= 2").drop("n")
+    few = t.benchmark.select(F.col("item_id").alias("g")).join(capped(hits).groupBy("g").agg(F.count("*").alias("have")), "g", "left").filter("coalesce(have, 0) < 8").select("g")
+    zeros = rows.select("g", "c").join(few, "g", "left_semi").join(hits.select("g", "c"), ["g", "c"], "left_anti").withColumn("score", F.lit(0.0))
+    two = capped(hits.unionByName(zeros)).select("g", "c.doc_id", "c.position", "score")
     return retrieval.top(two, "g", [F.desc("score"), "doc_id", "position"], 8).select("g", "doc_id", "position", "score")
 
 
@@ -172,10 +176,23 @@ _CBM = f"""WITH t AS (SELECT {_G} AS g, doc_id, {_TERMS("text")} AS terms FROM d
 @query("k02_candidate_bm25", f"{_CBM} SELECT t.g, t.doc_id, CAST(row_number() OVER (PARTITION BY t.g ORDER BY round(coalesce(score, 0), 8) DESC, t.doc_id) AS INT) AS rank, round(coalesce(score, 0), 8) AS score FROM t LEFT JOIN sc USING (g, doc_id) QUALIFY rank <= 5")
 def _(t):
     words = lambda c: F.transform(text.all_matches(c, "[A-Za-z0-9]+"), F.lower)
-    rows = t.documents.select((F.col("doc_id") % t.items).alias("g"), "doc_id", words("text").alias("terms"))
+    rows = t.item_of(t.documents).select(F.col("item_id").alias("g"), "doc_id", words("text").alias("terms"))
     asked = t.benchmark.select(F.col("item_id").alias("g"), words("text").alias("terms"))
     scored = retrieval.bm25(rows, asked, "g", "doc_id", k1=1.5).withColumn("score", F.round("score", 8))
-    return retrieval.top(scored, "g", [F.desc("score"), "doc_id"], 5).select("g", "doc_id", "rank", "score")
+    best = retrieval.top(scored, "g", [F.desc("score"), "doc_id"], 5)
+    return retrieval.with_zeros(best, rows, "g", "doc_id", 5, ["doc_id"]).select("g", "doc_id", "rank", "score")
+
+
+@query("k03b_index_top_k", f"{_CBM} SELECT t.g, t.doc_id, CAST(row_number() OVER (PARTITION BY t.g ORDER BY round(coalesce(score, 0), 8) DESC, t.doc_id) AS INT) AS rank, round(coalesce(score, 0), 8) AS score FROM t LEFT JOIN sc USING (g, doc_id) QUALIFY rank <= 5")
+def _(t):
+    from ..operators.index import Index
+    from ..sources.readers import scratch
+
+    words = lambda c: F.transform(text.all_matches(c, "[A-Za-z0-9]+"), F.lower)
+    rows = t.item_of(t.documents).select(F.col("item_id").alias("group"), F.col("doc_id").alias("candidate"), words("text").alias("terms"))
+    index = Index.build(rows, scratch(t.spark, "index"))
+    asked = t.benchmark.select(F.col("item_id").alias("query"), F.col("item_id").alias("group"), words("text").alias("terms"), F.lit(5).alias("k"))
+    return index.top(asked.join(index.groups.select("group"), "group", "left_semi")).select(F.col("query").alias("g"), F.col("candidate").alias("doc_id"), "rank", "score")
 
 
 @query("k03_index_lookup", "SELECT l.id, CASE WHEN q.doc_id IS NULL THEN 'unknown sample_id: ' || l.id END AS error, coalesce(len(golds), 0) AS n FROM (SELECT doc_id * 2 AS id FROM labels) l LEFT JOIN qa q ON q.doc_id = l.id")
@@ -190,7 +207,7 @@ def _(t):
  SELECT document_id, max(score) AS score FROM n GROUP BY 1""")
 def _(t):
     asked = t.benchmark.select("item_id", F.lower("text").alias("q"))
-    pages = t.documents.join(asked, F.col("doc_id") % t.items == F.col("item_id")).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("t"), "q")
+    pages = t.item_of(t.documents).join(asked, "item_id").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("t"), "q")
     return retrieval.chunks(pages, F.col("q"), "doc_id", "t").select("document_id", "score")
 
 
@@ -547,18 +564,28 @@ def _(t):
     return t.steps.select("trace_id", "step_id", F.count(F.when(F.col("step_type") == "search", 1)).over(Window.partitionBy("trace_id").orderBy("step_id")).alias("search_count"))
 
 
-@query("e01_evaluation_summary", "SELECT count(*) AS n, avg(CASE WHEN list_contains(golds, prediction) THEN 1 ELSE 0 END) AS literal_match FROM qa")
+_ACTION = f"CASE WHEN len({q.bodies('chunk', 'answer')}) > 0 THEN 'answer' WHEN len({q.bodies('chunk', 'search')}) > 0 THEN 'search' WHEN len({q.bodies('chunk', 'internal')}) > 0 THEN 'internal' END"
+
+
+@query(
+    "e01_evaluation_summary",
+    f"""WITH n AS MATERIALIZED (SELECT doc_id, {q.toks('prediction')} AS p, unnest(list_transform(golds, lambda gg: {q.toks('gg')})) AS g FROM qa), c AS (SELECT *, {q.common('p', 'g')} AS n FROM n),
+     b AS (SELECT doc_id, max({q.f1('n', 'len(p)', 'len(g)')}) AS f1, CAST(bool_or(p = g) AS DOUBLE) AS em FROM c GROUP BY doc_id),
+     s AS (SELECT em, f1, {_ACTION} AS route, len({q.bodies('chunk', 'search')})::DOUBLE AS n, CASE WHEN coalesce({q.bodies('chunk', 'answer', True)}[-1], '') = '' THEN 0.0::DOUBLE
+       WHEN len({q.bodies(_CUT, 'search', True)}) > 0 AND len({q.bodies(_CUT, 'internal', True)}) > 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS fmt FROM b JOIN tagged USING (doc_id))
+    SELECT route, count(*) AS n, round(avg(em), 9) AS mean_em, round(avg(f1), 9) AS mean_f1, round(avg(fmt), 9) AS mean_fmt, round(avg(1.0::DOUBLE * em + 0.5::DOUBLE * f1 + 0.1::DOUBLE * fmt), 9) AS mean_reward FROM s GROUP BY route""",
+)
 def _(t):
-    return t.qa.agg(F.count("*").alias("n"), F.avg(F.array_contains("golds", F.col("prediction")).cast("int")).alias("literal_match"))
+    return evaluation_summary(t)
 
 
 def evaluation_summary(t):
     """The flagship: answers scored against golds and evidence, a reward for each, one summary row for each route."""
-    best = scores.best_prf(F.col("prediction"), F.col("golds"))
-    rows = t.qa.select("doc_id", scores.exact_match(F.col("prediction"), F.col("golds")).alias("em"), best.alias("s")).join(t.tagged, "doc_id")
+    best = scores.best_of(F.col("p"), F.col("golds"))
+    rows = t.qa_bags.select("doc_id", F.array_contains("texts", F.col("answer")).cast("double").alias("em"), best.alias("s")).join(t.tagged, "doc_id")
     rows = rows.select("em", "s.f1", tags.reward_format("chunk").alias("fmt"), tags.first_action("chunk").alias("route"), F.size(tags.bodies("chunk", "search")).alias("n"))
     rows = rows.withColumn("reward", scores.reward(F.col("em"), F.col("f1"), F.col("fmt"), F.col("n"), F.lit(0)))
-    return rows.groupBy("route").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in ("em", "f1", "fmt", "reward")])
+    return rows.groupBy("route").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 9).alias(f"mean_{c}") for c in ("em", "f1", "fmt", "reward")])
 
 
 @query("j17_cited_evidence", "WITH s AS (SELECT doc_id, list_transform(golds, lambda g, i: {'id': 'S' || i, 'score': length(g), 'i': i}) AS e FROM qa), c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['S2'] ELSE list_transform(list_sort(list_transform(e, lambda x: (-x.score, x.id)))[1:2], lambda x: x[2]) END AS ids FROM s) SELECT * FROM c")

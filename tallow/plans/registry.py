@@ -11,6 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scores import bag, tokens
+from ..functions.text import normalize_answer
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -21,10 +24,10 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
-    @property
-    def items(self) -> int:
-        """The number of texts in the benchmark, whose ids count from 0."""
-        return self.benchmark.count()
+    def item_of(self, df: DataFrame, doc_id: str = "doc_id", name: str = "item_id") -> DataFrame:
+        """``df`` with the benchmark's text that is a document's question: all of them in turn, as their ids count from 0."""
+        items = self.benchmark.agg(F.count("*")).scalar()
+        return df.withColumn(name, F.col(doc_id) % items)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in PROXIES:
@@ -63,16 +66,17 @@ def _with(sql: str, used: list[str]) -> str:
     return f"WITH {', '.join(used)} {own}"
 
 
-#: Rows of the text views are the lines of documents; a line's id is its document's with five digits for its place.
-LINES = 100_000
+#: Rows of the text views are the lines with text of documents.  A line's id is its document's with 30 bits for its place
+#: among them: a text has fewer than 2^31 bytes, and a line with its end has two or more.  Ids beyond 2^33 are an error.
+LINES = 1 << 30
 
 
 def _lines(t: Tables) -> DataFrame:
     """``doc_id``, ``line_id``, ``line`` and the ``next`` one (empty after the last) of every line with text of every document."""
     lines = F.split("text", "\n")
-    rows = F.transform(lines, lambda x, i: F.struct(i.cast("long").alias("place"), x.alias("line"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next")))
-    rows = t.documents.select("doc_id", F.explode(rows).alias("r")).filter("r.line <> ''")
-    return rows.select("doc_id", (F.col("doc_id") * LINES + F.col("r.place")).alias("line_id"), "r.line", "r.next")
+    rows = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next")))
+    rows = t.documents.select("doc_id", F.posexplode(F.filter(rows, lambda r: r["line"] != "")).alias("place", "r"))
+    return rows.select("doc_id", (F.col("doc_id") * LINES + F.col("place")).alias("line_id"), "r.line", "r.next")
 
 
 def _asked(t: Tables) -> DataFrame:
@@ -81,7 +85,7 @@ def _asked(t: Tables) -> DataFrame:
 
 
 def _qa(t: Tables) -> DataFrame:
-    return _lines(t).join(_asked(t), F.col("doc_id") % t.items == F.col("item_id")).select(
+    return t.item_of(_lines(t)).join(_asked(t), "item_id").select(
         F.col("line_id").alias("doc_id"),
         F.col("line").alias("prediction"),
         F.array("b", "next", F.lower("line")).alias("golds"),
@@ -90,6 +94,18 @@ def _qa(t: Tables) -> DataFrame:
     )
 
 
+def _qa_bags(t: Tables) -> DataFrame:
+    """The answers of ``qa`` in normal form, as texts (``answer``, ``texts``) and as bags of tokens (``p``, ``golds``).
+
+    A question's are worked out once, not once a line; all in projections.
+    """
+    asked = t.benchmark.select("item_id", normalize_answer("text").alias("tb")).withColumn("b", bag(tokens(F.col("tb"))))
+    lines = t.item_of(_lines(t)).withColumns({"tp": normalize_answer("line"), "tn": normalize_answer("next"), "tl": normalize_answer(F.lower("line"))})
+    lines = lines.withColumns({x: bag(tokens(F.col(f"t{x}"))) for x in "pnl"}).drop("line", "next")
+    rows = lines.join(asked, "item_id")
+    return rows.select(F.col("line_id").alias("doc_id"), F.col("tp").alias("answer"), F.array("tb", "tn", "tl").alias("texts"), "p", F.array("b", "n", "l").alias("golds"))
+
+
 def _tagged(t: Tables) -> DataFrame:
     w = F.split("line", " ")
     third = F.floor(F.size(w) / 3).cast("int")
@@ -127,7 +143,7 @@ def _steps(t: Tables) -> DataFrame:
 def _samples(t: Tables) -> DataFrame:
     """Question-answering samples: a document's lines are the contexts, titled by their first word; its first two lines are the facts, the last word of them the answer."""
     line = F.filter(F.split("text", "\n"), lambda x: x != "")
-    rows = t.documents.select("doc_id", line.alias("lines")).join(_asked(t), F.col("doc_id") % t.items == F.col("item_id"))
+    rows = t.item_of(t.documents.select("doc_id", line.alias("lines"))).join(_asked(t), "item_id")
     context = lambda x: F.struct(F.get(F.split(x, " "), 0).alias("title"), x.alias("text"))
     rows = rows.select("doc_id", F.col("b").alias("question"), F.transform("lines", context).alias("contexts"))
     facts = F.transform(F.slice("contexts", 1, 2), lambda c: F.struct(c["title"].alias("title"), c["text"].alias("sentence")))
@@ -136,11 +152,12 @@ def _samples(t: Tables) -> DataFrame:
     return rows.select("*", answer.alias("answer"))
 
 
-PROXIES = {"samples": _samples, "qa": _qa, "tagged": _tagged, "runs": _runs, "scores": _scores, "steps": _steps}
+PROXIES = {"samples": _samples, "qa": _qa, "qa_bags": _qa_bags, "tagged": _tagged, "runs": _runs, "scores": _scores, "steps": _steps}
 
 
-_LINES = f"""SELECT * FROM (SELECT doc_id, doc_id * {LINES} + unnest(range(len(ls))) AS line_id, unnest(ls) AS line, unnest(list_concat(ls[2:], [''])) AS next
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE line <> ''"""
+_LINES = f"""SELECT doc_id, doc_id * {LINES} + unnest(range(len(rs))) AS line_id, unnest(rs).a AS line, unnest(rs).b AS next
+  FROM (SELECT doc_id, list_filter(list_transform(list_zip(ls, list_concat(ls[2:], [''])), lambda z: {{'a': z[1], 'b': z[2]}}), lambda z: z.a <> '') AS rs
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"""
 
 VIEWS = {
     "lines": _LINES,

@@ -87,9 +87,13 @@ def _(t):
     return rows.select("event_id", p.public_http("url").alias("public"))
 
 
-_HOP = f"""{_NOVELTY}, n AS (SELECT j.doc_id, {_NOVEL} AS novelty, tb, {q.keyset("lower(question)", "[a-z0-9]+(?:''[a-z0-9]+)?", text.CAPABILITY_STOP, 3)} AS asked, {q.keyset("lower(golds[2])", "[a-z0-9]+(?:''[a-z0-9]+)?", text.CAPABILITY_STOP, 3)} AS seen,
-   string_split(qa.prediction, ' ') AS ids1, string_split(golds[2], ' ') AS ids2 FROM j JOIN qa USING (doc_id)),
- c AS (SELECT doc_id, novelty, len(list_filter(tb, lambda x: NOT list_contains(asked, x) AND list_contains(seen, x))) > 0 AS conditioned, len(list_filter(ids2, lambda x: NOT list_contains(ids1, x))) AS docs, CASE WHEN list_contains(ids2, 'the') AND NOT list_contains(ids1, 'the') THEN 1 ELSE 0 END AS facts FROM n)"""
+_SET = lambda x: q.keyset(f"lower({x})", "[a-z0-9]+(?:''[a-z0-9]+)?", text.CAPABILITY_STOP, 3)
+# novelty, tokens and differences of lists are worked out once a row, in materialised steps
+_HOP = f"""{_NOVELTY}, v AS MATERIALIZED (SELECT doc_id, {_NOVEL} AS novelty, tb FROM j),
+ n AS MATERIALIZED (SELECT doc_id, {_SET("question")} AS asked, {_SET("golds[2]")} AS seen, list_distinct(string_split(prediction, ' ')) AS ids1, list_distinct(string_split(golds[2], ' ')) AS ids2 FROM qa),
+ w AS (SELECT n.doc_id, novelty, len(list_intersect(tb, seen)) - len(list_intersect(list_intersect(tb, seen), asked)) AS hits, len(ids2) - len(list_intersect(ids2, ids1)) AS docs,
+   list_contains(ids2, 'the') AND NOT list_contains(ids1, 'the') AS fact FROM v JOIN n USING (doc_id)),
+ c AS MATERIALIZED (SELECT doc_id, novelty, hits > 0 AS conditioned, docs, CASE WHEN fact THEN 1 ELSE 0 END AS facts FROM w)"""
 
 
 @query(
@@ -102,12 +106,11 @@ def _(t):
 
 
 def _second_searches(t):
-    rows = _two_queries(t).join(t.qa.select("doc_id", "question", "golds", "prediction"), "doc_id")
-    tok = text.capability_tokens
-    conditioned = F.arrays_overlap(F.array_except(tok("b"), tok("question")), tok(F.get("golds", 1)))
-    fresh = F.array_except(F.split(F.get("golds", 1), " "), F.split("prediction", " "))
-    facts = F.size(F.array_intersect(fresh, F.array(F.lit("the"))))
-    rows = rows.select("doc_id", p.novelty("a", "b").alias("novelty"), conditioned.alias("conditioned"), F.size(fresh).alias("new_documents"), facts.alias("new_facts"))
+    rows = p.with_novelty(_two_queries(t), "a", "b")
+    rows = rows.withColumns({"asked": text.capability_tokens("question"), "seen": text.capability_tokens("next"), "fresh": F.array_except(F.split("next", " "), F.split("a", " "))})
+    conditioned = F.arrays_overlap(F.array_except("tokens", "asked"), F.col("seen"))
+    facts = F.array_contains("fresh", "the").cast("int")
+    rows = rows.select("doc_id", "novelty", conditioned.alias("conditioned"), F.size("fresh").alias("new_documents"), facts.alias("new_facts"))
     return rows.withColumn("label", p.hop_label(*map(F.col, ("novelty", "conditioned", "new_documents", "new_facts"))))
 
 
@@ -470,13 +473,13 @@ _COUNT = {k: f"length(chunk) % {i + 2}" for i, k in enumerate(summaries.COUNTERS
 
 @query(
     "b17_trace_metrics",
-    f"""WITH s AS (SELECT t.doc_id, chunk, golds, {q.bodies('chunk', 'search', True)} AS qs, coalesce({q.bodies('chunk', 'answer')}[-1], '') AS said,
+    f"""WITH s AS MATERIALIZED (SELECT t.doc_id, chunk, golds, {q.bodies('chunk', 'search', True)} AS qs, coalesce({q.bodies('chunk', 'answer')}[-1], '') AS said,
        list_filter(string_split(coalesce({q.bodies('chunk', 'evidence', True)}[1], ''), '[document_id='), lambda x: x <> '') AS lines FROM tagged t JOIN qa USING (doc_id)),
-     g AS (SELECT doc_id, {q.toks('said')} AS p, unnest(list_transform(golds, lambda g: {q.toks('g')})) AS g, unnest([0, 1, 2]) AS i FROM s), n AS (SELECT *, {q.common('p', 'g')} AS n FROM g),
-     b AS (SELECT doc_id, {q.f1('n', 'len(p)', 'len(g)')} AS f1, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0::DOUBLE WHEN len(p) = 0 OR len(g) = 0 THEN 0.0::DOUBLE ELSE n::DOUBLE / len(p) END AS precision,
+     g AS MATERIALIZED (SELECT doc_id, {q.toks('said')} AS p, unnest(list_transform(golds, lambda g: {q.toks('g')})) AS g, unnest([0, 1, 2]) AS i FROM s), n AS MATERIALIZED (SELECT *, {q.common('p', 'g')} AS n FROM g),
+     b AS MATERIALIZED (SELECT doc_id, bool_or(p = g) OVER (PARTITION BY doc_id) AS exact, {q.f1('n', 'len(p)', 'len(g)')} AS f1, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0::DOUBLE WHEN len(p) = 0 OR len(g) = 0 THEN 0.0::DOUBLE ELSE n::DOUBLE / len(p) END AS precision,
        CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0::DOUBLE WHEN len(p) = 0 OR len(g) = 0 THEN 0.0::DOUBLE ELSE n::DOUBLE / len(g) END AS recall FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY f1 DESC, i) = 1),
      m AS (SELECT s.*, CASE WHEN said = '' THEN 0.0::DOUBLE ELSE f1 END AS token_f1, CASE WHEN said = '' THEN 0.0::DOUBLE ELSE precision END AS token_precision, CASE WHEN said = '' THEN 0.0::DOUBLE ELSE recall END AS token_recall,
-       CASE WHEN said <> '' AND list_contains(list_transform(golds, lambda g: {q.norm('g')}), {q.norm('said')}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS exact_match,
+       CASE WHEN said <> '' AND exact THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS exact_match,
        CASE WHEN len(lines) > 0 THEN round(1.0::DOUBLE / len(lines), 4) ELSE 0.0::DOUBLE END AS evidence_precision, CASE WHEN len(lines) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS evidence_recall,
        CASE WHEN len(lines) > 0 THEN round({q.f1('1', 'len(lines)', '1')}, 4) ELSE 0.0::DOUBLE END AS evidence_f1 FROM s JOIN b USING (doc_id)),
      e AS (SELECT *, CASE WHEN evidence_precision >= 1 AND evidence_recall >= 1 AND evidence_f1 >= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS evidence_em, token_precision * evidence_precision AS jp, token_recall * evidence_recall AS jr FROM m)
@@ -512,33 +515,51 @@ def _(t):
     return retrieval.context_documents(t.qa.select("doc_id", "question", items.alias("items")), "doc_id", "question", "items").drop("title")
 
 
-_ASKED = "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN ' ' ELSE CAST(user_id AS VARCHAR) END AS sample_id, CASE WHEN event_id % 10 = 0 THEN '' ELSE event_type END AS query FROM events"
+#: Requests: a document's beginning asks among the candidates of an id; some are blank or unknown.
+_ASKED = """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE CAST(doc_id % (7 + (SELECT count(*) FROM benchmark)) AS VARCHAR) END AS sample_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE substr(text, 1, 60) END AS query FROM documents JOIN labels USING (doc_id)"""
+_KNOWN = "(SELECT CAST(doc_id % (SELECT count(*) FROM benchmark) AS VARCHAR) FROM documents)"
 
 
 @query(
     "s18_retrieval_requests",
-    f"""SELECT event_id, CASE WHEN trim(sample_id) = '' OR trim(query) = '' THEN 'sample_id and query required' WHEN sample_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) THEN 'unknown sample_id: ' || sample_id END AS error FROM ({_ASKED})""",
+    f"""SELECT doc_id, CASE WHEN trim(sample_id) = '' OR trim(query) = '' THEN 'sample_id and query required' WHEN sample_id NOT IN {_KNOWN} THEN 'unknown sample_id: ' || sample_id END AS error FROM ({_ASKED})""",
 )
 def _(t):
-    return retrieval.requests(_requests(t), _index(t), "event_id")[0]
+    return retrieval.requests(_requests(t), _index(t), "doc_id")[0]
 
 
 def _requests(t):
-    e = F.col("event_id")
-    return t.events.select("event_id", F.when(e % 9 == 0, " ").otherwise(F.col("user_id").cast("string")).alias("sample_id"), F.when(e % 10 == 0, "").otherwise(F.col("event_type")).alias("query"), F.lit(0).alias("topk"))
+    items, d = t.benchmark.agg(F.count("*")).scalar(), F.col("doc_id")
+    rows = t.documents.join(t.labels.select("doc_id"), "doc_id").withColumn("k", d % (items + 7))
+    return rows.select("doc_id", F.when(d % 9 == 0, " ").otherwise(F.col("k").cast("string")).alias("sample_id"), F.when(d % 10 == 0, "").otherwise(F.substring("text", 1, 60)).alias("query"), F.lit(0).alias("topk"))
 
 
 def _index(t):
-    return t.labels.select(F.col("doc_id").cast("string").alias("sample_id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("candidate"), F.array(F.lit("view"), F.lit("click")).alias("terms"))
+    """The stored index of all documents, by the question that they are candidates of."""
+    from ..operators.index import Index
+    from ..sources.readers import scratch
+
+    terms = F.transform(text.all_matches("text", "[A-Za-z0-9]+"), F.lower)
+    rows = t.item_of(t.documents).select(F.col("item_id").cast("string").alias("group"), F.col("doc_id").alias("candidate"), terms.alias("terms"))
+    return Index.build(rows, scratch(t.spark, "index"))
+
+
+_W = lambda x: f"list_transform(regexp_extract_all({x}, '[A-Za-z0-9]+'), lambda w: lower(w))"
 
 
 @query(
     "s18b_retrieval_hits",
-    f"""WITH a AS ({_ASKED}), g AS (SELECT * FROM a WHERE trim(sample_id) <> '' AND trim(query) <> '' AND sample_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels))
-    SELECT event_id, unnest([1, 2])::INT AS rank, unnest(['a', 'b']) AS candidate, CASE WHEN query IN ('view', 'click') THEN round(ln(1 + 0.5::DOUBLE / 2.5::DOUBLE), 8) ELSE 0.0::DOUBLE END AS score FROM g""",
+    f"""WITH a AS ({_ASKED}), q AS MATERIALIZED (SELECT doc_id, sample_id, {_W('query')} AS terms FROM a WHERE trim(sample_id) <> '' AND trim(query) <> '' AND sample_id IN {_KNOWN}),
+     d AS MATERIALIZED (SELECT CAST(doc_id % (SELECT count(*) FROM benchmark) AS VARCHAR) AS g, doc_id AS candidate, {_W('text')} AS terms FROM documents),
+     tf AS MATERIALIZED (SELECT g, candidate, len(terms) AS dl, term, count(*) AS tf FROM (SELECT *, unnest(terms) AS term FROM d) GROUP BY ALL),
+     st AS (SELECT g, count(*) AS n, avg(len(terms)) AS avgdl FROM d GROUP BY g), df AS (SELECT g, term, count(*) AS df FROM tf GROUP BY ALL),
+     qt AS (SELECT doc_id, sample_id AS g, term, count(*) AS qf FROM (SELECT doc_id, sample_id, unnest(terms) AS term FROM q) GROUP BY ALL),
+     sc AS (SELECT qt.doc_id, tf.candidate, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(1.0, avgdl)))) AS score FROM qt JOIN tf USING (g, term) JOIN df USING (g, term) JOIN st USING (g) GROUP BY ALL),
+     r AS (SELECT q.doc_id, d.candidate, round(coalesce(score, 0), 8) AS score FROM q JOIN d ON d.g = q.sample_id LEFT JOIN sc ON sc.doc_id = q.doc_id AND sc.candidate = d.candidate)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, candidate) AS INT) AS rank, candidate, score FROM r QUALIFY rank <= 5""",
 )
 def _(t):
-    return retrieval.requests(_requests(t), _index(t), "event_id")[1]
+    return retrieval.requests(_requests(t), _index(t), "doc_id")[1]
 
 
 @query("s22_fetch_cache", "WITH c AS (SELECT DISTINCT url FROM pages WHERE length(html) % 3 = 0) SELECT 'hit' AS kind, sha256(url) AS key, count(*) AS n FROM pages WHERE url IN (SELECT url FROM c) AND url LIKE 'http%://_%' GROUP BY 2 UNION ALL SELECT DISTINCT 'miss', sha256(url), 1 FROM pages WHERE url NOT IN (SELECT url FROM c) AND url LIKE 'http%://_%'")
@@ -638,10 +659,10 @@ def _(t):
     return rows.select("sft_id", "metadata.mix_tag", "metadata.phase", "target")
 
 
-@query("m04_failed_search_row", "SELECT page_id, url AS query, false AS search_ok, 'search' AS stage, 'Timeout' AS error_type, substr(html, 1, 300) AS error, round(length(html) / 8.0::DOUBLE, 2) AS tool_total_ms, 0 AS failed_urls, 0 AS n_documents FROM pages WHERE length(html) % 5 = 0")
+@query("m04_failed_search_row", "SELECT page_id, url AS query, false AS search_ok, 'search' AS stage, 'Timeout' AS error_type, substr(html, 1, 300) AS error, round(length(html) / 8.0::DOUBLE, 2) AS tool_total_ms, 0 AS failed_urls, 0 AS n_documents FROM pages")
 def _(t):
     row = builders.failed_search(F.col("url"), "web", 5, F.lit("Timeout"), F.col("html"), F.length("html") / 8.0)
-    rows = t.pages.filter("length(html) % 5 = 0").select("page_id", row.alias("r"))
+    rows = t.pages.select("page_id", row.alias("r"))
     error = F.get("r.errors", 0)
     return rows.select("page_id", "r.query", "r.retriever.search_ok", error["stage"].alias("stage"), error["error_type"].alias("error_type"), error["error"].alias("error"), "r.timing.tool_total_ms", "r.timing.failed_urls", F.size("r.documents").alias("n_documents"))
 
@@ -730,6 +751,48 @@ def _(t):
     return readers.search_results(t.documents.select("doc_id", body.alias("body")), "doc_id", "body", "web")
 
 
+#: Every third page takes two attempts, every seventh never succeeds; a page's results are one response of the stored provider.
+_RESPONSES = """SELECT page_id, html, CASE WHEN page_id % 7 = 3 THEN 4 WHEN page_id % 3 = 1 THEN 2 ELSE 1 END AS n, page_id % 7 <> 3 AS ok FROM pages"""
+_CONNECTED = f"""WITH r AS ({_RESPONSES}), l AS (SELECT *, regexp_extract_all(html, '(?is)<a href="([^"]+)">(.*?)</a>', 1)[1:4] AS u, regexp_extract_all(html, '(?is)<a href="([^"]+)">(.*?)</a>', 2)[1:4] AS t FROM r WHERE ok)
+    SELECT CAST(page_id AS VARCHAR) AS request, unnest(range(1, len(u) + 1))::INT AS rank, trim(unnest(t)) AS title, unnest(u) AS url, n::INT AS attempts, n > 1 AS degraded, CAST(NULL AS VARCHAR) AS error FROM l
+    UNION ALL SELECT CAST(page_id AS VARCHAR), 0, NULL, NULL, n, true, 'HTTP 503' FROM r WHERE NOT ok"""
+
+
+def _stored(t):
+    from ..sources import connectors, readers
+
+    n = F.when(F.col("page_id") % 7 == 3, 5).when(F.col("page_id") % 3 == 1, 2).otherwise(1)
+    rows = t.pages.select("page_id", "html", F.posexplode(F.sequence(F.lit(1), n)).alias("k", "attempt"))
+    last = (F.col("page_id") % 7 != 3) & ((F.col("attempt") == 2) | (F.col("page_id") % 3 != 1))
+    rows = rows.select(
+        F.col("page_id").alias("seq"), F.col("page_id").cast("string").alias("request"), F.lit("stored").alias("provider"), F.lit(1).alias("page"), "attempt",
+        F.when(last, 200).otherwise(503).alias("status"), F.when(last, F.col("html")).alias("body"),
+    )
+    path = readers.scratch(t.spark, "responses")
+    connectors.store(rows, path)
+    return path
+
+
+_RESULT = ("request", "rank", "title", "url", "attempts", "degraded", "error")
+
+
+@query("s19c_search_connector", _CONNECTED)
+def _(t):
+    from ..sources import connectors
+
+    connectors.register(t.spark)
+    return t.spark.read.format("stored_search").options(count=4).load(_stored(t)).filter("provider = 'stored'").select(*_RESULT)
+
+
+@query("st05b_admitted_stream", _CONNECTED)
+def _(t):
+    from ..sources import connectors, readers
+
+    target, n = readers.scratch(t.spark, "admitted"), t.pages.count()
+    connectors.admitted(t.spark, _stored(t), target, admit=max(1000, n // 4), count=4)
+    return t.spark.read.schema(connectors.SCHEMA).parquet(target).select(*_RESULT)
+
+
 @query("s29_dataset_registry", "SELECT n_nationkey AS id, n_name AS label FROM nation")
 def _(t):
     from ..sources import readers
@@ -785,3 +848,55 @@ def _(t):
 def _(t):
     line = summaries.console_line(F.col("arm"), {"tokens": F.col("tokens"), "searches": F.when(F.col("searches") > 5, F.col("searches"))}, 2)
     return t.runs.select("sample_id", line.alias("line"))
+
+
+# The table function ------------------------------------------------------------
+
+
+@query(
+    "b18b_split_steps",
+    rf"""WITH n AS (SELECT doc_id, regexp_extract_all(chunk, '(?is)<(?:think|internal|search|evidence|answer)>.*?</(?:think|internal|search|evidence|answer)>') AS m FROM tagged),
+     x AS (SELECT doc_id, list_filter(list_transform(m, lambda y: {{'t': lower(regexp_extract(y, '<([a-zA-Z]+)>', 1)), 'c': regexp_replace(regexp_replace(y, '^<[a-zA-Z]+>\s*', ''), '\s*</[a-zA-Z]+>$', '')}}), lambda y: y.c <> '') AS s FROM n)
+    SELECT CAST(doc_id AS VARCHAR) AS id, unnest(range(len(s)))::INT AS step, unnest(s).t AS step_type, unnest(s).c AS content FROM x""",
+)
+def _(t):
+    from ..functions.steps import split_steps
+
+    return split_steps(t.tagged.withColumn("turn", F.lit(0)), "doc_id", "turn", "chunk").select("id", "step", "step_type", "content")
+
+
+@query("z03b_tool_searches", "SELECT CAST(trace_id AS VARCHAR) AS id, step_id AS turn, count(*) FILTER (WHERE step_type = 'search') OVER (PARTITION BY trace_id ORDER BY step_id) AS search_count FROM steps WHERE step_type <> 'observation'")
+def _(t):
+    from ..functions.steps import split_steps
+
+    rows = t.steps.filter("step_type <> 'observation'").withColumn("text", F.concat(F.lit("<"), "step_type", F.lit(">"), F.lit("q "), F.sha2("content", 256), F.lit("</"), "step_type", F.lit(">")))
+    return split_steps(rows, "trace_id", "step_id", "text").select("id", "turn", "search_count")
+
+
+# Tables that are rewritten in part ---------------------------------------------
+
+
+@query("s27b_committed_rewrite", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.lang ELSE 'new ' || l.quality END AS lang FROM documents d LEFT JOIN (SELECT * FROM labels WHERE toxic = 1) l USING (doc_id)")
+def _(t):
+    from ..sources import readers
+    from ..sources.versions import Versioned
+
+    table = Versioned.create(t.documents.select("doc_id", "lang"), readers.scratch(t.spark, "versions"))
+    fresh = t.labels.filter("toxic = 1").select("doc_id", F.concat(F.lit("new "), F.col("quality").cast("string")).alias("lang"))
+    return table.replace_rows(fresh, "doc_id").read()
+
+
+@query("s08b_digest_of_parts", "SELECT true AS equal_in_any_order, true AS sum_of_parts, true AS differs_without_a_row")
+def _(t):
+    from ..sources.digests import combined, row_digest
+
+    row = F.to_json(F.struct("doc_id", "lang", "n_chars"))
+    whole, other = row_digest(t.documents, row), row_digest(t.documents.orderBy(F.desc("doc_id")), row)
+    a, b = (row_digest(t.documents.filter(F.col("doc_id") % 2 == k), row) for k in (0, 1))
+    less = row_digest(t.documents.join(t.documents.agg(F.max("doc_id").alias("doc_id")), "doc_id", "left_anti"), row)
+    made = [("whole", whole), ("other", other), ("sum", combined(a, b)), ("less", less)]
+    one = None
+    for name, d in made:
+        d = d.select(F.col("digest").alias(name), F.lit(0).alias("k"))
+        one = d if one is None else one.join(d, "k")
+    return one.select((F.col("whole") == F.col("other")).alias("equal_in_any_order"), (F.col("whole") == F.col("sum")).alias("sum_of_parts"), (F.col("whole") != F.col("less")).alias("differs_without_a_row"))

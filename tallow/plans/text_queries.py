@@ -124,12 +124,12 @@ _BEST = f"""WITH each_gold AS (SELECT doc_id, {_P} AS p, unnest(list_transform(g
 
 @query("x12_token_f1", f"{_BEST} SELECT doc_id, f1, precision, recall FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY f1 DESC, i) = 1")
 def _(t):
-    return t.qa.select("doc_id", scores.best_prf(F.col("prediction"), F.col("golds")).alias("s")).select("doc_id", "s.*")
+    return t.qa_bags.select("doc_id", scores.best_of(F.col("p"), F.col("golds")).alias("s")).select("doc_id", "s.*")
 
 
 @query("x13_exact_match", f"SELECT doc_id, CAST(list_contains(list_transform(golds, lambda g: {q.norm('g')}), {q.norm('prediction')}) AS DOUBLE) AS em FROM qa")
 def _(t):
-    return t.qa.select("doc_id", scores.exact_match(F.col("prediction"), F.col("golds")).alias("em"))
+    return t.qa_bags.select("doc_id", F.array_contains("texts", F.col("answer")).cast("double").alias("em"))
 
 
 _SETS = "WITH s AS (SELECT doc_id, {a} AS a, {b} AS b FROM qa), n AS (SELECT *, len(list_intersect(a, b)) AS n FROM s)".format(
@@ -155,8 +155,8 @@ def _(t):
     SELECT doc_id, pa * pb AS precision, ra * rb AS recall, CASE WHEN pa * pb + ra * rb > 0 THEN 2 * (pa * pb) * (ra * rb) / (pa * pb + ra * rb) ELSE 0.0::DOUBLE END AS f1 FROM w""",
 )
 def _(t):
-    a, b = (scores.token_prf(F.col("prediction"), F.get("golds", k)) for k in (0, 1))
-    rows = t.qa.select("doc_id", a.alias("a"), b.alias("b"))
+    a, b = (scores.bag_prf(F.col("p"), F.get("golds", k)) for k in (0, 1))
+    rows = t.qa_bags.select("doc_id", a.alias("a"), b.alias("b"))
     return rows.select("doc_id", scores.joint(F.col("a"), F.col("b")).alias("s")).select("doc_id", "s.*")
 
 
@@ -201,7 +201,7 @@ _HAS = {x: f"len({q.bodies('chunk', x, True)}) > 0" for x in ("internal", "searc
     ({_HAS['internal']}) <> ({_HAS['search']}) AS exclusive_route FROM tagged""",
 )
 def _(t):
-    has = {x: F.size(tags.bodies("chunk", x, True)) > 0 for x in _HAS}
+    has = {x: tags.closed("chunk", x) > 0 for x in _HAS}
     return t.tagged.select(
         "doc_id",
         has["answer"].alias("answer_tag"),
@@ -219,7 +219,7 @@ def _(t):
       WHEN {_HAS['search']} THEN 'both' ELSE 'none' END AS route FROM tagged""",
 )
 def _(t):
-    has = {x: F.size(tags.bodies("chunk", x, True)) > 0 for x in _HAS}
+    has = {x: tags.closed("chunk", x) > 0 for x in _HAS}
     route = (
         F.when(has["internal"] & ~has["search"], "internal").when(has["search"] & ~has["internal"], "search").when(has["search"], "both").otherwise("none")
     )
@@ -252,10 +252,10 @@ def _(t):
       1.0::DOUBLE * em + 0.5::DOUBLE * ev + 0.1::DOUBLE * fmt - 0.25::DOUBLE * n - 0.5::DOUBLE * n AS costly FROM s""",
 )
 def _(t):
-    has = {x: (F.size(tags.bodies("chunk", x, True)) > 0).cast("double") for x in _HAS}
-    n = F.size(tags.bodies("chunk", "search", True)).cast("double")
-    own = (has["answer"], has["evidence"], has["reasoning"], n, n)
-    return t.tagged.select("doc_id", scores.reward(*own).alias("reward"), scores.reward(*own, (1.0, 0.5, 0.1, 0.25, 0.5)).alias("costly"))
+    has = {x: (tags.closed("chunk", x) > 0).cast("double") for x in _HAS}
+    rows = t.tagged.select("doc_id", *[has[x].alias(x) for x in ("answer", "evidence", "reasoning")], tags.closed("chunk", "search").cast("double").alias("n"))
+    own = tuple(F.col(x) for x in ("answer", "evidence", "reasoning", "n", "n"))
+    return rows.select("doc_id", scores.reward(*own).alias("reward"), scores.reward(*own, (1.0, 0.5, 0.1, 0.25, 0.5)).alias("costly"))
 
 
 @query(
@@ -264,7 +264,7 @@ def _(t):
 )
 def _(t):
     a, b = F.when(F.col("doc_id") % 3 == 0, F.lit(7)), F.when(F.col("doc_id") % 3 == 1, F.lit(8))
-    return t.tagged.select("doc_id", F.coalesce(a, b, F.size(tags.bodies("chunk", "search", True))).cast("long").alias("searches"))
+    return t.tagged.select("doc_id", F.coalesce(a, b, tags.closed("chunk", "search")).cast("long").alias("searches"))
 
 
 _GLUE = "the and of to in is was for on with that this by as at from it be are".split()

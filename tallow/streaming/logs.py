@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -37,46 +39,161 @@ def fold_novelty(documents: DataFrame) -> DataFrame:
     return documents.withColumn("new", first.cast("long")).groupBy("episode", "turn").agg(F.sum("new").alias("new_urls"))
 
 
-def stream_novelty(stream: DataFrame) -> DataFrame:
-    """The same as a stateful stream: an episode's state is its URLs so far, which its search budget bounds."""
+def _keyed_states(spark: SparkSession) -> None:
+    """Lists, maps and timers of keyed state live in RocksDB, which spills; states of other queries stay as they are set."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = set(state.get[0]) if state.exists else set()
-        rows = pd.concat(list(frames)).sort_values(["turn", "position"])
-        counts: dict[int, int] = {}
-        for turn, url in zip(rows["turn"], rows["url"], strict=True):
-            counts[turn] = counts.get(turn, 0) + (url not in seen)
-            seen.add(url)
-        state.update((sorted(seen),))
-        yield pd.DataFrame({"episode": [key[0]] * len(counts), "turn": list(counts), "new_urls": list(counts.values())})
 
-    return stream.groupBy("episode").applyInPandasWithState(
-        update, "episode long, turn long, new_urls long", "urls array<string>", "append", GroupStateTimeout.NoTimeout
-    )
+class _Idle(StatefulProcessor):
+    """State that goes when its key has had no rows for ``idle`` milliseconds; each batch with rows puts the timer off."""
 
+    def __init__(self, idle: int) -> None:
+        self.idle = idle
 
-def stream_until_streak(stream: DataFrame, group: str, order: str, bad: str, streak: int) -> DataFrame:
-    """until_streak() as a stateful stream: ``group``, ``order`` and ``bad`` of each row up to the end of the first run of ``streak`` bad ones.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.start(handle)
 
-    A group's state is the length of its current run and whether the breaker
-    has opened; rows that come later are dropped.  Rows of a batch are taken by
-    ``order``; batches must follow each other in it.
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def touched(self, timers) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _Novelty(_Idle):
+    """An episode's URLs so far as a map: of a batch only its different URLs are looked up, the map is never read whole."""
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.urls = handle.getMapState("urls", "url string", "seen boolean")
+
+    def forget(self) -> None:
+        self.urls.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, int] = {}
+        for frame in rows:
+            first = frame.sort_values(["turn", "position"]).drop_duplicates("url")
+            fresh = [not self.urls.containsKey((u,)) for u in first["url"]]
+            for url in first["url"][fresh]:
+                self.urls.updateValue((url,), (True,))
+            counts = first["turn"][fresh].value_counts()
+            for turn in frame["turn"].unique():
+                new[int(turn)] = new.get(int(turn), 0) + int(counts.get(turn, 0))
+        self.touched(timerValues)
+        yield pd.DataFrame({"episode": [key[0]] * len(new), "turn": list(new), "new_urls": list(new.values())})
+
+
+def stream_novelty(stream: DataFrame, idle: int = 3_600_000) -> DataFrame:
+    """fold_novelty() as a stream with keyed state; an episode is forgotten after ``idle`` milliseconds without rows.
+
+    A turn's rows come in one batch, turns in their order; a batch of an
+    episode may arrive in several frames.
     """
+    _keyed_states(stream.sparkSession)
+    rows = stream.select("episode", "turn", "position", "url").groupBy("episode")
+    return rows.transformWithStateInPandas(_Novelty(idle), "episode long, turn long, new_urls long", "Append", "ProcessingTime")
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, opened = state.get if state.exists else (0, False)
-        rows = pd.concat(list(frames)).sort_values(order)
+
+class _Breaker(_Idle):
+    """The length of the current run of bad rows, and whether the breaker has opened."""
+
+    def __init__(self, group: str, order: str, bad: str, streak: int, idle: int) -> None:
+        super().__init__(idle)
+        self.names, self.streak = (group, order, bad), streak
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "length int, opened boolean")
+
+    def forget(self) -> None:
+        self.run.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        _, order, bad = self.names
+        length, opened = self.run.get() if self.run.exists() else (0, False)
         kept = []
-        for place, is_bad in zip(rows[order], rows[bad], strict=True):
+        for frame in rows:
             if opened:
-                break
-            kept.append((key[0], place, bool(is_bad)))
-            run = run + 1 if is_bad else 0
-            opened = run >= streak
-        state.update((run, opened))
-        yield pd.DataFrame(kept, columns=[group, order, bad])
-
+                continue
+            frame = frame.sort_values(order)
+            wrong = frame[bad].to_numpy(bool)
+            # the run that a row ends: rows since the last good one, with the run before where there is none
+            place = np.arange(len(wrong))
+            last = np.maximum.accumulate(np.where(wrong, -1, place))
+            runs = np.where(wrong, np.where(last < 0, place + 1 + length, place - last), 0)
+            open_ = np.flatnonzero(runs >= self.streak)
+            end = int(open_[0]) + 1 if len(open_) else len(wrong)
+            length, opened = int(runs[end - 1]), bool(len(open_))
+            kept.append(frame.iloc[:end])
+        self.run.update((length, opened))
+        self.touched(timerValues)
+        for frame in kept:
+            yield frame[list(self.names)]
+
+
+def stream_until_streak(stream: DataFrame, group: str, order: str, bad: str, streak: int, idle: int = 3_600_000) -> DataFrame:
+    """until_streak() as a stream with keyed state: ``group``, ``order`` and ``bad`` of each row up to the end of the first run of ``streak`` bad ones.
+
+    Rows after the run are dropped until the group has had none for ``idle``
+    milliseconds: then its state goes and the breaker is closed again.
+    Batches must follow each other in ``order``.
+    """
+    _keyed_states(stream.sparkSession)
     kinds = dict(stream.dtypes)
-    return stream.select(group, order, bad).groupBy(group).applyInPandasWithState(
-        update, f"{group} {kinds[group]}, {order} {kinds[order]}, {bad} boolean", "run int, opened boolean", "append", GroupStateTimeout.NoTimeout
-    )
+    schema = f"{group} {kinds[group]}, {order} {kinds[order]}, {bad} boolean"
+    return stream.select(group, order, bad).groupBy(group).transformWithStateInPandas(_Breaker(group, order, bad, streak, idle), schema, "Append", "ProcessingTime")
+
+
+class OnceLog:
+    """A result log that a stream writes and that holds each key once, whatever is replayed.
+
+    A batch goes to a folder of its own, which a replay overwrites, and counts
+    from the moment that its file in ``commits`` is there; that file is made by
+    one rename.  A batch that is committed already is skipped, and keys of
+    other batches are left out.  Readers see committed folders only.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: str) -> None:
+        self.spark, self.path, self.key, self.schema = spark, path.rstrip("/"), key, schema
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._path = hadoop.Path
+        self._fs = hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def committed(self) -> list[int]:
+        folder = self._path(f"{self.path}/commits")
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """The committed rows; of batches before one, if it is given."""
+        folders = [f"{self.path}/data/{k}" for k in self.committed() if before is None or k < before]
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        """For foreachBatch()."""
+        if batch_id in self.committed():
+            return
+        fresh = remaining(batch.dropDuplicates([self.key]), self.read(batch_id), self.key)
+        fresh.write.mode("overwrite").parquet(f"{self.path}/data/{batch_id}")
+        self.commit(batch_id)
+
+    def commit(self, batch_id: int) -> None:
+        target, made = self._path(f"{self.path}/commits/{batch_id}"), self._path(f"{self.path}/commits/.{batch_id}-{uuid.uuid4().hex}")
+        self._fs.create(made, False).close()
+        self._fs.rename(made, target)
+
+    def start(self, stream: DataFrame):
+        """The running query."""
+        return stream.writeStream.foreachBatch(self.write).option("checkpointLocation", f"{self.path}/checkpoint").start()
