@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..functions.text import query_key, state_words
+from ..functions.grounding import TAGS
+from ..functions.text import query_key, sentence_count, state_words
 from ..sources.readers import scratch
 from .audits import share
 from .quantiles import at_places
@@ -247,6 +248,29 @@ def rescored(cache: DataFrame, frozen: DataFrame) -> DataFrame:
 
 
 
+def rescored_gate(stored: DataFrame, samples: DataFrame, frozen: DataFrame) -> DataFrame:
+    """The gate over stored rationales that are scored again; nothing is generated.
+
+    ``stored`` has ``sample_id`` and ``value``, a JSON object with reasoning,
+    reasoning_content_saved, reasoning_content_present and
+    usage.reasoning_tokens; ``samples`` has ``sample_id``, ``question``,
+    ``answer`` and ``evidence``.  An id of ``frozen`` without a stored
+    rationale is an error.
+    """
+    from .rationale import score_rationales
+
+    kept = F.from_json("value", "reasoning string, reasoning_content_saved boolean, reasoning_content_present boolean, usage struct<reasoning_tokens:long>")
+    cache = stored.select("sample_id", kept.alias("r")).select(
+        "sample_id", F.coalesce("r.reasoning", F.lit("")).alias("reasoning"), F.coalesce("r.reasoning_content_saved", F.lit(False)).alias("saved"),
+        F.coalesce("r.reasoning_content_present", F.lit(False)).alias("present"), F.coalesce("r.usage.reasoning_tokens", F.lit(0).cast("long")).alias("reasoning_tokens"),
+    )
+    rows = rescored(cache, frozen).join(samples.select("sample_id", "question", "answer", "evidence"), "sample_id")
+    scored = score_rationales(rows.withColumn("raw", F.to_json(F.struct("reasoning"))), "sample_id", "raw", "answer", "question", "evidence")
+    both = scored.join(rows.select("sample_id", "reasoning", "saved", "present", "reasoning_tokens"), "sample_id")
+    own = {"tagged": F.col("reasoning").rlike(TAGS), "n_sentences": sentence_count("reasoning"), "hard_reject": ~F.col("parsed") | ~F.col("clean")}
+    return teacher_gate(both.withColumns(own), frozen)
+
+
 def search_diversity(df: DataFrame, group: str, question: str, queries: str) -> DataFrame:
     """One row on how searches of trajectories differ within groups of one prompt.
 

@@ -570,16 +570,32 @@ def _(t):
     return counted.unionByName(misses.select(F.lit("miss").alias("kind"), "key", F.lit(1).cast("long").alias("n")))
 
 
+def _rescored(t):
+    """Every sample's facts as its stored rationale, with what a teacher's response carried."""
+    d = F.col("doc_id")
+    reasoning = F.array_join(F.transform("facts", lambda f: f["sentence"]), " ")
+    value = F.to_json(F.struct(reasoning.alias("reasoning"), (d % 50 == 0).alias("reasoning_content_saved"), (d % 2 == 0).alias("reasoning_content_present"), F.struct((F.length("question") % 200).alias("reasoning_tokens")).alias("usage")))
+    rows = t.samples.withColumn("sample_id", d)
+    samples = rows.select("sample_id", "question", "answer", F.transform("facts", lambda f: f["sentence"]).alias("evidence"))
+    return summaries.rescored_gate(rows.select("sample_id", value.alias("value")), samples, rows.select("sample_id"))
+
+
 @query("m09_rescored_gate")
 def _(t):
-    from ..operators.rationale import score_rationales
+    return _rescored(t)
+
 
-    rows = t.samples.select(F.col("doc_id").alias("sample_id"), F.to_json(F.struct(F.array_join(F.transform("facts", lambda f: f["sentence"]), " ").alias("reasoning"))).alias("reasoning"), "answer", "question", F.transform("facts", lambda f: f["sentence"]).alias("evidence"))
-    frozen = t.samples.select(F.col("doc_id").alias("sample_id"))
-    cache = summaries.rescored(rows, frozen)
-    scored = score_rationales(cache, "sample_id", "reasoning", "answer", "question", "evidence")
-    extra = {"tagged": F.lit(False), "hard_reject": ~F.col("parsed") | ~F.col("clean"), "n_sentences": F.lit(2), "saved": F.lit(False), "present": F.lit(True), "reasoning_tokens": F.col("score")}
-    return summaries.teacher_gate(scored.withColumn("reasoning", F.when(F.col("parsed"), "x").otherwise("")).withColumns(extra), frozen)
+@query(
+    "m09b_rescored_counts",
+    rf"""WITH r AS (SELECT doc_id, question, array_to_string(list_transform(facts, lambda f: f.text), ' ') AS r FROM samples),
+     n AS (SELECT *, len(list_filter(regexp_split_to_array(r, '[.!?]+'), lambda x: trim(x) <> '')) AS k FROM r)
+    SELECT count(*) AS n_input, count(*) AS n_success, count(DISTINCT doc_id) AS "unique", 0::BIGINT AS sample_id_delta, 0::BIGINT AS pending, CAST(sum((trim(r) = '')::INT) AS BIGINT) AS empty_rationale,
+      CAST(sum(regexp_matches(r, '(?i)</?(?:search|observation|evidence|think|answer|internal)')::INT) AS BIGINT) AS xml_leak, {_RATE('k BETWEEN 2 AND 6')} AS len_2to6_rate,
+      CAST(sum((doc_id % 50 = 0)::INT) AS BIGINT) AS reasoning_content_saved, {_RATE('doc_id % 2 = 0')} AS reasoning_content_present_rate, round(avg(length(question) % 200), 1) AS mean_reasoning_tokens FROM n""",
+)
+def _(t):
+    counted = ("n_input", "n_success", "unique", "sample_id_delta", "pending", "empty_rationale", "xml_leak", "len_2to6_rate", "reasoning_content_saved", "reasoning_content_present_rate", "mean_reasoning_tokens")
+    return _rescored(t).select(*counted)
 
 
 # Remaining rules --------------------------------------------------------------

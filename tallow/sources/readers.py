@@ -58,18 +58,6 @@ def harvest(lines: DataFrame, pattern: str) -> DataFrame:
     return lines.select(F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("id")).distinct()
 
 
-def digest(df: DataFrame, row: Column, digits: int = 3) -> DataFrame:
-    """One digest of a table's rows whatever their order: SHA-256 of sorted SHA-256, in two levels.
-
-    Rows meet in buckets by the first ``digits`` hexadecimal digits of their
-    hash, so no task sorts more than a bucket; take a digit more for 16 times
-    the rows.
-    """
-    own = df.select(F.sha2(row, 256).alias("h"))
-    whole = F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256)
-    return own.groupBy(F.substring("h", 1, digits).alias("b")).agg(whole.alias("h")).agg(whole.alias("digest"))
-
-
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
