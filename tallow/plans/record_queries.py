@@ -542,20 +542,48 @@ def _(t):
     return remaining(t.documents.select("doc_id", "lang"), t.labels, "doc_id")
 
 
-@query("st02_episode_fold", f"WITH d AS ({_DOCS}), f AS (SELECT *, row_number() OVER (PARTITION BY episode, url ORDER BY turn, position) = 1 AS new FROM d) SELECT episode, turn, CAST(sum(CASE WHEN new THEN 1 ELSE 0 END) AS BIGINT) AS new_urls FROM f GROUP BY ALL")
+_FOLD = f"WITH d AS ({_DOCS}), f AS (SELECT *, row_number() OVER (PARTITION BY episode, url ORDER BY turn, position) = 1 AS new FROM d) SELECT episode, turn, CAST(sum(CASE WHEN new THEN 1 ELSE 0 END) AS BIGINT) AS new_urls FROM f GROUP BY ALL"
+
+
+@query("st02_episode_fold", _FOLD)
 def _(t):
     from ..streaming.logs import fold_novelty
 
     return fold_novelty(_episode_documents(t).select("episode", "turn", "position", "url"))
 
 
-@query("st04_circuit_breaker", "WITH e AS (SELECT event_id, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island, user_id FROM events), s AS (SELECT user_id, event_id, bad, CASE WHEN bad THEN row_number() OVER (PARTITION BY user_id, island, bad ORDER BY event_id) ELSE 0 END AS streak FROM e), a AS (SELECT user_id, min(event_id) AS stop FROM s WHERE streak >= 2 GROUP BY 1) SELECT s.user_id, count(*) AS kept FROM s LEFT JOIN a USING (user_id) WHERE stop IS NULL OR event_id <= stop GROUP BY 1")
+_STREAK = "WITH e AS (SELECT event_id, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island, user_id FROM events), s AS (SELECT user_id, event_id, bad, CASE WHEN bad THEN row_number() OVER (PARTITION BY user_id, island, bad ORDER BY event_id) ELSE 0 END AS streak FROM e), a AS (SELECT user_id, min(event_id) AS stop FROM s WHERE streak >= 2 GROUP BY 1) SELECT s.user_id, count(*) AS kept FROM s LEFT JOIN a USING (user_id) WHERE stop IS NULL OR event_id <= stop GROUP BY 1"
+
+
+@query("st04_circuit_breaker", _STREAK)
 def _(t):
     from ..streaming.logs import until_streak
 
     return until_streak(t.events, "user_id", "event_id", F.col("event_type") == "error", 2).groupBy("user_id").agg(F.count("*").alias("kept"))
 
 
+@query("st02b_stream_fold", _FOLD)
+def _(t):
+    from ..streaming import logs
+
+    path, rows = readers.scratch(t.spark, "episodes"), _episode_documents(t).select("episode", "turn", "position", "url")
+    rows.write.parquet(path)
+    fold = logs.stream_novelty(t.spark.readStream.schema(rows.schema).parquet(path), idle=None)
+    return logs.drained(fold, readers.scratch(t.spark, "folded"), "episode long, turn long, new_urls long")
+
+
+@query("st04b_stream_breaker", _STREAK)
+def _(t):
+    from ..streaming import logs
+
+    path, rows = readers.scratch(t.spark, "calls"), t.events.select("user_id", "event_id", (F.col("event_type") == "error").alias("bad"))
+    rows.write.parquet(path)
+    kept = logs.stream_until_streak(t.spark.readStream.schema(rows.schema).parquet(path), "user_id", "event_id", "bad", 2, idle=None)
+    kinds = dict(rows.dtypes)
+    out = logs.drained(kept, readers.scratch(t.spark, "kept"), f"user_id {kinds['user_id']}, event_id {kinds['event_id']}, bad boolean")
+    return out.groupBy("user_id").agg(F.count("*").alias("kept"))
+
+
 _CUT = "regexp_extract(chunk, '(?is)^(.*?<answer>.*?</answer>)', 1)"
 
 

@@ -827,6 +827,16 @@ def _(t):
     return readers.first_success(t.events.select("user_id", "event_id", "event_type", (F.col("value") > 50).alias("good")), "user_id", "event_id", "good", "event_type")
 
 
+@query("s31b_attempt_costs", """WITH f AS (SELECT user_id, coalesce(min(event_id) FILTER (WHERE value > 50), max(event_id)) AS stop FROM events GROUP BY 1)
+    SELECT user_id, CAST(sum(length(props)) AS BIGINT) AS tokens, round(sum(value), 6) AS cost, count(*) AS made FROM events JOIN f USING (user_id) WHERE event_id <= stop GROUP BY 1""")
+def _(t):
+    from ..sources import readers
+
+    rows = t.events.select("user_id", "event_id", "event_type", (F.col("value") > 50).alias("good"), F.length("props").cast("long").alias("tokens"), F.col("value").alias("cost"), F.lit(1).cast("long").alias("made"))
+    spent = readers.first_success(rows, "user_id", "event_id", "good", "event_type", ("tokens", "cost", "made"))
+    return spent.select("user_id", "tokens", F.round("cost", 6).alias("cost"), "made")
+
+
 @query("s32_frozen_staging", "SELECT 'a.txt' AS name, true AS copied, sha256(string_agg(r_name, ',' ORDER BY r_name) || chr(10)) AS sha256 FROM region UNION ALL SELECT 'b.txt', false, NULL UNION ALL SELECT 'c.txt', false, NULL")
 def _(t):
     from ..sources import readers

@@ -172,12 +172,21 @@ def stage_frozen(spark: SparkSession, folder: str, manifest: dict[str, str], tar
     return out
 
 
-def first_success(attempts: DataFrame, key: str, order: str, ok: str, value: str) -> DataFrame:
-    """Of stored attempts at each key the first that succeeded, else the last: ``key``, ``value``, ``ok``, ``attempts``, ``degraded`` (a later one had to do)."""
+def first_success(attempts: DataFrame, key: str, order: str, ok: str, value: str, costs: tuple[str, ...] = ()) -> DataFrame:
+    """Of stored attempts at each key the first that succeeded, else the last: ``key``, ``value``, ``ok``, ``attempts``, ``degraded`` (a later one had to do).
+
+    ``costs`` are columns of tokens, time or money that every attempt up to the one that counts has cost; their sums come last.
+    """
     good = F.min(F.when(F.col(ok), F.struct(order, value)))
     rows = attempts.groupBy(key).agg(good.alias("good"), F.max(F.struct(order, value)).alias("last"), F.min(order).alias("first"), F.count("*").alias("attempts"))
     done = F.col("good").isNotNull()
-    return rows.select(key, F.when(done, F.col("good")[value]).otherwise(F.col("last")[value]).alias("value"), done.alias("ok"), "attempts", (done & (F.col("good")[order] > F.col("first"))).alias("degraded"))
+    if costs:
+        # attempts after the first success were never made
+        end = rows.select(F.col(key).alias("_key"), F.coalesce(F.col("good")[order], F.col("last")[order]).alias("_end"))
+        made = attempts.join(end, F.col(key).eqNullSafe(F.col("_key"))).filter(F.col(order) <= F.col("_end"))
+        spent = made.groupBy(F.col(key).alias("_key")).agg(*[F.sum(c).alias(c) for c in costs])
+        rows = rows.join(spent, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    return rows.select(key, F.when(done, F.col("good")[value]).otherwise(F.col("last")[value]).alias("value"), done.alias("ok"), "attempts", (done & (F.col("good")[order] > F.col("first"))).alias("degraded"), *costs)
 
 
 class _Visible(HTMLParser):

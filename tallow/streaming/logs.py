@@ -44,10 +44,15 @@ def _keyed_states(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def _mode(idle: int | None) -> str:
+    """With timers a stream runs batches without rows, too, and so has always something to process."""
+    return "None" if idle is None else "ProcessingTime"
+
+
 class _Idle(StatefulProcessor):
-    """State that goes when its key has had no rows for ``idle`` milliseconds; each batch with rows puts the timer off."""
+    """State that goes when its key has had no rows for ``idle`` milliseconds; each batch with rows puts the timer off.  None keeps it."""
 
-    def __init__(self, idle: int) -> None:
+    def __init__(self, idle: int | None) -> None:
         self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -61,6 +66,8 @@ class _Idle(StatefulProcessor):
         raise NotImplementedError
 
     def touched(self, timers) -> None:
+        if self.idle is None:
+            return
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle)
@@ -83,34 +90,32 @@ class _Novelty(_Idle):
         self.urls.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, int] = {}
-        for frame in rows:
-            first = frame.sort_values(["turn", "position"]).drop_duplicates("url")
-            fresh = [not self.urls.containsKey((u,)) for u in first["url"]]
-            for url in first["url"][fresh]:
-                self.urls.updateValue((url,), (True,))
-            counts = first["turn"][fresh].value_counts()
-            for turn in frame["turn"].unique():
-                new[int(turn)] = new.get(int(turn), 0) + int(counts.get(turn, 0))
+        batch = pd.concat(list(rows))
+        first = batch.sort_values(["turn", "position"]).drop_duplicates("url")
+        fresh = np.array([not self.urls.containsKey((u,)) for u in first["url"]], bool)
+        for url in first["url"][fresh]:
+            self.urls.updateValue((url,), (True,))
+        counts = first["turn"][fresh].value_counts()
+        turns = [int(t) for t in batch["turn"].unique()]
         self.touched(timerValues)
-        yield pd.DataFrame({"episode": [key[0]] * len(new), "turn": list(new), "new_urls": list(new.values())})
+        yield pd.DataFrame({"episode": [key[0]] * len(turns), "turn": turns, "new_urls": [int(counts.get(t, 0)) for t in turns]})
 
 
-def stream_novelty(stream: DataFrame, idle: int = 3_600_000) -> DataFrame:
+def stream_novelty(stream: DataFrame, idle: int | None = 3_600_000) -> DataFrame:
     """fold_novelty() as a stream with keyed state; an episode is forgotten after ``idle`` milliseconds without rows.
 
-    A turn's rows come in one batch, turns in their order; a batch of an
-    episode may arrive in several frames.
+    A turn's rows come in one micro-batch, and turns in their order.  Of an
+    episode a task holds the rows of a batch, never those before.
     """
     _keyed_states(stream.sparkSession)
     rows = stream.select("episode", "turn", "position", "url").groupBy("episode")
-    return rows.transformWithStateInPandas(_Novelty(idle), "episode long, turn long, new_urls long", "Append", "ProcessingTime")
+    return rows.transformWithStateInPandas(_Novelty(idle), "episode long, turn long, new_urls long", "Append", _mode(idle))
 
 
 class _Breaker(_Idle):
     """The length of the current run of bad rows, and whether the breaker has opened."""
 
-    def __init__(self, group: str, order: str, bad: str, streak: int, idle: int) -> None:
+    def __init__(self, group: str, order: str, bad: str, streak: int, idle: int | None) -> None:
         super().__init__(idle)
         self.names, self.streak = (group, order, bad), streak
 
@@ -123,27 +128,22 @@ class _Breaker(_Idle):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         _, order, bad = self.names
         length, opened = self.run.get() if self.run.exists() else (0, False)
-        kept = []
-        for frame in rows:
-            if opened:
-                continue
-            frame = frame.sort_values(order)
-            wrong = frame[bad].to_numpy(bool)
-            # the run that a row ends: rows since the last good one, with the run before where there is none
-            place = np.arange(len(wrong))
-            last = np.maximum.accumulate(np.where(wrong, -1, place))
-            runs = np.where(wrong, np.where(last < 0, place + 1 + length, place - last), 0)
-            open_ = np.flatnonzero(runs >= self.streak)
-            end = int(open_[0]) + 1 if len(open_) else len(wrong)
-            length, opened = int(runs[end - 1]), bool(len(open_))
-            kept.append(frame.iloc[:end])
-        self.run.update((length, opened))
         self.touched(timerValues)
-        for frame in kept:
-            yield frame[list(self.names)]
-
-
-def stream_until_streak(stream: DataFrame, group: str, order: str, bad: str, streak: int, idle: int = 3_600_000) -> DataFrame:
+        if opened:
+            return
+        batch = pd.concat(list(rows)).sort_values(order)
+        wrong = batch[bad].to_numpy(bool)
+        # the run that a row ends: rows since the last good one, with the run before where there is none
+        place = np.arange(len(wrong))
+        last = np.maximum.accumulate(np.where(wrong, -1, place))
+        runs = np.where(wrong, np.where(last < 0, place + 1 + length, place - last), 0)
+        over = np.flatnonzero(runs >= self.streak)
+        end = int(over[0]) + 1 if len(over) else len(wrong)
+        self.run.update((int(runs[end - 1]), bool(len(over))))
+        yield batch.iloc[:end][list(self.names)]
+
+
+def stream_until_streak(stream: DataFrame, group: str, order: str, bad: str, streak: int, idle: int | None = 3_600_000) -> DataFrame:
     """until_streak() as a stream with keyed state: ``group``, ``order`` and ``bad`` of each row up to the end of the first run of ``streak`` bad ones.
 
     Rows after the run are dropped until the group has had none for ``idle``
@@ -153,7 +153,14 @@ def stream_until_streak(stream: DataFrame, group: str, order: str, bad: str, str
     _keyed_states(stream.sparkSession)
     kinds = dict(stream.dtypes)
     schema = f"{group} {kinds[group]}, {order} {kinds[order]}, {bad} boolean"
-    return stream.select(group, order, bad).groupBy(group).transformWithStateInPandas(_Breaker(group, order, bad, streak, idle), schema, "Append", "ProcessingTime")
+    return stream.select(group, order, bad).groupBy(group).transformWithStateInPandas(_Breaker(group, order, bad, streak, idle), schema, "Append", _mode(idle))
+
+
+def drained(stream: DataFrame, target: str, schema: str) -> DataFrame:
+    """What a stream gives for all that is there now, as a table in a new folder; its checkpoint is beside it."""
+    query = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", f"{target}-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(schema).parquet(target)
 
 
 class OnceLog:

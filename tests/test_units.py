@@ -283,7 +283,7 @@ def test_stream_fold_equals_batch_fold(spark, tmp_path):
     docs = spark.createDataFrame(rows, "episode long, turn long, position long, url string")
     docs.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
-    query = logs.stream_novelty(stream).writeStream.format("memory").queryName("novelty").outputMode("append").start()
+    query = logs.stream_novelty(stream, None).writeStream.format("memory").queryName("novelty").outputMode("append").start()
     try:
         query.processAllAvailable()
         got = sorted(tuple(r) for r in spark.table("novelty").select("episode", "turn", "new_urls").collect())
@@ -299,7 +299,7 @@ def test_stream_breaker_equals_batch_breaker(spark, tmp_path):
         df.filter(f"k div 4 = {part}").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
     want = sorted(tuple(r) for r in logs.until_streak(df, "g", "k", F.col("bad"), 2).select("g", "k", "bad").collect())
     stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
-    query = logs.stream_until_streak(stream, "g", "k", "bad", 2).writeStream.format("memory").queryName("breaker").outputMode("append").start()
+    query = logs.stream_until_streak(stream, "g", "k", "bad", 2, None).writeStream.format("memory").queryName("breaker").outputMode("append").start()
     try:
         query.processAllAvailable()
         got = sorted(tuple(r) for r in spark.table("breaker").collect())
