@@ -151,9 +151,11 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _homes(lattice: Lattice, table: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = lattice.cells(_units(batch.column(2), kind), batch.column(1).to_numpy(), table, False)[:, 0]
-            order = _mixed(batch.column(0).to_numpy().astype(np.uint64) + np.uint64(table)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(order), *batch.columns], ["key", "order", "c", "label", "v"])
+            for low in range(0, batch.num_rows, 2048):
+                piece = batch.slice(low, 2048)
+                own = lattice.cells(_units(piece.column(2), kind), piece.column(1).to_numpy(), table, False)[:, 0]
+                order = _mixed(piece.column(0).to_numpy().astype(np.uint64) + np.uint64(table)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(order), *piece.columns], ["key", "order", "c", "label", "v"])
 
     return run
 
@@ -163,9 +165,11 @@ def _captured(half: float, kind: type):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            angle = np.arccos(_cosines(_units(batch.column(1), kind), _units(batch.column(3), kind)))
-            at = pa.array(np.flatnonzero(angle <= half - _ROOM))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(angle).take(at)], ["c", "ball", "angle"])
+            for low in range(0, batch.num_rows, 2048):
+                piece = batch.slice(low, 2048)
+                angle = np.arccos(_cosines(_units(piece.column(1), kind), _units(piece.column(3), kind)))
+                at = pa.array(np.flatnonzero(angle <= half - _ROOM))
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(at), piece.column(2).take(at), pa.array(angle).take(at)], ["c", "ball", "angle"])
 
     return run
 
@@ -197,8 +201,8 @@ def _keys(lattice: Lattice, kind: type):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                piece = batch.slice(low, 1024)
+            for low in range(0, batch.num_rows, 512):
+                piece = batch.slice(low, 512)
                 x, labels, ball = _units(piece.column(2), kind), piece.column(1).to_numpy(), piece.column(0).to_numpy()
                 for table in range(lattice.tables):
                     cells = lattice.cells(x, labels, table)
@@ -237,7 +241,7 @@ def _grouped(keys: list[str], solve: Callable[[pa.Table, list[int]], Iterator[pa
     return run
 
 
-def _pieces(i: np.ndarray, j: np.ndarray, size: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pieces(i: np.ndarray, j: np.ndarray, size: int = 1 << 12) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for low in range(0, len(i), size):
         yield i[low : low + size], j[low : low + size]
 
