@@ -115,6 +115,11 @@ def mix(
     as do rows that share an id.  Very long texts count whole.  Other columns
     are not read, so none can clash.  No rows give no rows.
 
+    The extra copy is drawn at a threshold that is the nearest of 4096 to the
+    target for the draws at hand, so its probability is the rate's fraction but
+    for what the draws of the source's n documents miss it by, in the order of
+    1 / sqrt(n).
+
     Texts are read once, to write sizes and draws.
     """
     sizes = materialise(_sized(docs, seed, id_col, text_col, source_col), "sizes")
