@@ -1,4 +1,5 @@
 import os
+import signal
 import sys
 
 import pytest
@@ -21,3 +22,19 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def time_limit(request, seconds=400):
+    """A test that hangs fails by itself, and its jobs end, so that the rest of the suite runs."""
+
+    def stop(*_):
+        if "spark" in request.fixturenames:
+            request.getfixturevalue("spark").sparkContext.cancelAllJobs()
+        raise TimeoutError(f"{request.node.name} took more than {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(seconds)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
