@@ -36,7 +36,7 @@ def bag(tokens_: Column) -> Column:
         times = F.size(F.filter(t, lambda y: y == x))
         return F.transform(F.sequence(F.lit(2), times), lambda k: F.concat(x, F.lit(" "), k.cast("string")))  # tokens hold no blank
 
-    return let(tokens_, lambda t: let(F.array_sort(t), lambda s: numbered(t, s)))
+    return let(tokens_, lambda t: let(F.sort_array(t), lambda s: numbered(t, s)))
 
 
 def answer_bag(c: Column) -> Column:
