@@ -49,6 +49,27 @@ def test_index_gives_the_best_and_skips_blocks(spark, tmp_path):
     assert again.folders == 4 and again.postings.count() == index.postings.count()
 
 
+def test_index_searches_by_shards_and_shuffles_no_pairs(spark, tmp_path, monkeypatch):
+    from tallow.operators import index as module
+
+    monkeypatch.setattr(module, "SHARD", 50)
+    monkeypatch.setattr(module, "CHUNK", 2)
+    rnd = random.Random(3)
+    words = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(2000)]
+    docs = {d: rnd.choices(words, k=rnd.randint(0, 30)) for d in range(600)}
+    index = Index.build(spark.createDataFrame([(1, d, ws) for d, ws in docs.items()], "group long, candidate long, terms array<string>"), str(tmp_path / "index"), block=8, folders=4)
+    assert index.groups.first().shards == 12
+    assert index.postings.groupBy("shard", "term").agg(F.sum(F.size("entries")).alias("n")).agg(F.max("n")).first()[0] <= 100  # no list grows with the group
+    queries = {q: rnd.choices(words, k=rnd.randint(0, 6)) for q in range(9)}
+    asked = spark.createDataFrame([(q, 1, ws, 5) for q, ws in queries.items()], "query long, group long, terms array<string>, k int")
+    got = {}
+    for r in index.top(asked).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = (r.score, r.candidate)
+    assert {q: [own[i + 1] for i in range(5)] for q, own in got.items()} == {q: slow_bm25(docs, ws, 5) for q, ws in queries.items()}
+    # what leaves a shard are its best, not all candidates that share a term
+    assert index._by_shard(asked, 8).groupBy("query").count().agg(F.max("count")).first()[0] <= 5 * 12
+
+
 # Quantiles --------------------------------------------------------------------
 
 
