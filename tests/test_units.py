@@ -278,6 +278,21 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.checksums(spark, str(path)).first().length == len(path.read_bytes())
 
 
+def test_row_digest_is_of_all_sorted_hashes(spark):
+    import hashlib
+
+    from tallow.plans import QUERIES
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    buckets: dict = {}
+    for h in sorted(sha(f"{r.doc_id}:{r.text}") for r in rows if r.text is not None):
+        buckets.setdefault(h[:3], []).append(h)
+    assert QUERIES["s08_row_digest"](spark, "/root/testdata/sf0.001").first().asDict() == {"digest": sha("".join(sorted(sha("".join(b)) for b in buckets.values())))}
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "id long, x string")
+    assert readers.digest(df, F.col("x"), 1).first() == readers.digest(df.orderBy(F.desc("id")), F.col("x"), 1).first()
+
+
 def test_stream_fold_equals_batch_fold(spark, tmp_path):
     rows = [(e, t, p, f"u{(e + t * p) % 3}") for e in range(4) for t in range(3) for p in range(3)]
     docs = spark.createDataFrame(rows, "episode long, turn long, position long, url string")
