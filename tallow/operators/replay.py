@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates, scores, tags
-from ..functions.text import query_key, short_query
+from ..functions.text import normalize_answer, padded_contains, query_key, short_query
 
 
 def phases(chunks: Column, cap: int) -> Column:
@@ -166,26 +166,31 @@ def beam_reason(first_documents: Column, decision: Column, branches: Column) ->
     )
 
 
-def synthesis_reason(bridge: Column, query2: Column, answer: Column, question: Column, source_a: Column, source_b: Column, errors: dict[str, Column], fresh: Column) -> Column:
+def synthesis_reason(bridge: Column, query2: Column, answer: Column, question: Column, source_a: Column, source_b: Column, errors: dict[str, Column], fresh: Column, normal: dict[str, Column] | None = None) -> Column:
     """Why a synthesised two-hop question is rejected; null if it isn't.
 
     ``source_a`` and ``source_b`` are (url, text), null if unknown; ``errors``
     tells by 'a', 'b' and 'fresh' whether a search failed or found nothing;
     ``fresh`` is the text that a search of the question itself finds.
+    ``normal`` has the normal forms of the three texts ('a', 'b', 'fresh') if
+    they are known.
     """
+    own = {"a": source_a["text"], "b": source_b["text"], "fresh": fresh}
+    own = {k: normalize_answer(v) for k, v in own.items()} | (normal or {})
+    shows = lambda needle, hay: F.coalesce(padded_contains(own[hay], normalize_answer(needle)), F.lit(False))
     sees = lambda needle, hay: F.coalesce(predicates.visible_in(needle, hay), F.lit(False))
     return reject_reason(
         (errors["a"], "source_a_web_error"),
-        ((bridge == "") | (query2 == "") | source_a.isNull() | ~sees(bridge, source_a["text"]), "invalid_grounded_bridge"),
+        ((bridge == "") | (query2 == "") | source_a.isNull() | ~shows(bridge, "a"), "invalid_grounded_bridge"),
         (~sees(bridge, query2), "query2_missing_bridge"),
         (errors["b"], "source_b_web_error"),
-        ((answer == "") | (question == "") | source_b.isNull() | ~sees(answer, source_b["text"]), "invalid_grounded_answer"),
-        (sees(answer, source_a["text"]), "answer_visible_in_source_a"),
+        ((answer == "") | (question == "") | source_b.isNull() | ~shows(answer, "b"), "invalid_grounded_answer"),
+        (shows(answer, "a"), "answer_visible_in_source_a"),
         (sees(answer, question) | sees(bridge, question), "question_leaks_bridge_or_answer"),
         (source_a["url"] == source_b["url"], "same_source_url"),
         (errors["fresh"], "fresh_search1_web_error"),
-        (~sees(bridge, fresh), "fresh_search1_bridge_missing"),
-        (sees(answer, fresh), "fresh_search1_answer_visible"),
+        (~shows(bridge, "fresh"), "fresh_search1_bridge_missing"),
+        (shows(answer, "fresh"), "fresh_search1_answer_visible"),
     )
 
 
