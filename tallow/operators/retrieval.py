@@ -10,7 +10,7 @@ from ..functions.text import bm25_terms, content_id, sentences, web_tokens
 from .index import Index, idf, impact
 
 
-def bm25(candidates: DataFrame, queries: DataFrame, group: str, candidate: str, terms: str = "terms", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(candidates: DataFrame, queries: DataFrame, group: str, candidate: str, terms: str = "terms", k1: float = 1.2, b: float = 0.75, length: str | None = None) -> DataFrame:
     """``group``, ``candidate``, ``score`` of the candidates that share a term with their group's query.
 
     ``candidates`` has (group, candidate, terms), ``queries`` (group, terms).
@@ -18,10 +18,13 @@ def bm25(candidates: DataFrame, queries: DataFrame, group: str, candidate: str,
     counts each time.  Of the candidates' terms only those that the query has
     are counted and shuffled; texts and other terms never are.  with_zeros()
     adds candidates without a common term where a ranking needs them.
+    ``length`` names the number of a candidate's terms where those that no
+    query has are left out.
     """
+    dl = F.col(length) if length else F.size(terms)
     asked = queries.select(group, F.explode(terms).alias("term")).groupBy(group, "term").agg(F.count("*").alias("qf"))
-    stats = candidates.groupBy(group).agg(F.count("*").alias("n"), F.avg(F.size(terms)).alias("avgdl"))
-    each = candidates.select(group, candidate, F.size(terms).alias("dl"), F.explode(terms).alias("term")).join(asked, [group, "term"])
+    stats = candidates.groupBy(group).agg(F.count("*").alias("n"), F.avg(dl).alias("avgdl"))
+    each = candidates.select(group, candidate, dl.alias("dl"), F.explode(terms).alias("term")).join(asked, [group, "term"])
     tf = each.groupBy(group, "term", candidate, "dl", "qf").agg(F.count("*").alias("tf"))
     df = tf.groupBy(group, "term").agg(F.count("*").alias("df"))
     rated = tf.join(df, [group, "term"]).join(stats, group)

@@ -30,3 +30,7 @@ def test_traces_and_summaries_read_each_line_once(spark):
     assert _plan(plans.QUERIES["m02_evidence_keys"](spark, DATA)).count("<evidence>") == _plan(registry.Tables(spark, DATA).tagged).count("<evidence>") + 1
     for name in ("p14_answer_visible", "p15_loose_containment", "p16_depth_label", "k06_retrieval_quality"):
         assert _plan(plans.QUERIES[name](spark, DATA)).count("(a|an|the)") == 3, name  # of a line, the next one and a question
+
+
+def test_sentences_are_cut_once(spark):
+    assert "regexp_extract_all" not in _plan(plans.QUERIES["k01_sentence_bm25"](spark, DATA))  # what ranks reads the staged terms only
