@@ -34,3 +34,20 @@ def test_traces_and_summaries_read_each_line_once(spark):
 
 def test_sentences_are_cut_once(spark):
     assert "regexp_extract_all" not in _plan(plans.QUERIES["k01_sentence_bm25"](spark, DATA))  # what ranks reads the staged terms only
+
+
+def test_samples_are_read_once_for_the_rescored_gate(spark):
+    assert _plan(plans.QUERIES["m09b_rescored_counts"](spark, DATA)).count("split(text") == 0
+
+
+def test_long_batches_become_objects_in_pieces():
+    import pyarrow as pa
+
+    from tallow.operators.rationale import PIECE, _spelled
+
+    n = 2 * PIECE + 5
+    batch = pa.RecordBatch.from_pydict({"id": list(range(n)), "words": [["london"]] * n, "text": [f"in london {k}" for k in range(n)], "sources": [[f"a{k}", None] for k in range(n)]})
+    out = list(_spelled(iter([batch])))
+    assert [b.num_rows for b in out] == [PIECE, PIECE, 5]
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [(r["id"], r["near"], r["letters"]) for r in rows] == [(k, ["london"], f"a{k}") for k in range(n)]
