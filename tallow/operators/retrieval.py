@@ -81,19 +81,28 @@ def context_documents(responses: DataFrame, id_col: str, query: str, items: str,
     return rows.select(id_col, "rank", content_id(F.concat_ws("\n", "url", "text"), "web_", 12).alias("document_id"), "title", "url", "text", score.alias("score"))
 
 
-def requests(asked: DataFrame, index: Index, request: str, topk: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Retrieval requests (``request``, sample_id, query, topk) against an index whose groups are sample ids.
+def checked(asked: DataFrame, known: DataFrame, request: str, topk: int = 5) -> DataFrame:
+    """Retrieval requests (``request``, sample_id, query, topk), trimmed, with their ``error`` (null for none).
 
-    Gives the errors, a row a request (null for none), and the ranked hits of
-    requests without one.  An id or a query that is blank is an error before
-    an id that the index lacks; ``topk`` of null or 0 is the default.
+    ``known`` has the sample ids that can be asked, each once.  An id or a
+    query that is blank is an error before an id that isn't known; ``topk`` of
+    null or 0 is the default.
     """
-    known = index.groups.select(F.col("group").alias("sample_id"), F.lit(True).alias("known"))
     sample, query = F.trim(F.coalesce("sample_id", F.lit(""))), F.trim(F.coalesce("query", F.lit("")))
-    rows = asked.select(request, sample.alias("sample_id"), query.alias("query"), F.coalesce(F.nullif("topk", F.lit(0)), F.lit(topk)).alias("topk")).join(known, "sample_id", "left")
+    rows = asked.select(request, sample.alias("sample_id"), query.alias("query"), F.coalesce(F.nullif("topk", F.lit(0)), F.lit(topk)).alias("topk"))
+    rows = rows.join(known.select("sample_id", F.lit(True).alias("known")), "sample_id", "left")
     blank = (F.col("sample_id") == "") | (F.col("query") == "")
     error = F.when(blank, "sample_id and query required").when(F.col("known").isNull(), F.concat(F.lit("unknown sample_id: "), "sample_id"))
-    rows = rows.withColumn("error", error)
+    return rows.withColumn("error", error)
+
+
+def requests(asked: DataFrame, index: Index, request: str, topk: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Retrieval requests against an index whose groups are sample ids, by the rules of checked().
+
+    Gives the errors, a row a request (null for none), and the ranked hits of
+    requests without one.  Errors alone need no index: checked() does with the ids.
+    """
+    rows = checked(asked, index.groups.select(F.col("group").alias("sample_id")), request, topk)
     terms = F.transform(F.regexp_extract_all("query", F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
     good = rows.filter("error is null").select(F.col(request).alias("query"), F.col("sample_id").alias("group"), terms.alias("terms"), F.col("topk").alias("k"))
     hits = index.top(good).select(F.col("query").alias(request), "rank", "candidate", "score")

@@ -40,6 +40,15 @@ def test_samples_are_read_once_for_the_rescored_gate(spark):
     assert _plan(plans.QUERIES["m09b_rescored_counts"](spark, DATA)).count("split(text") == 0
 
 
+def test_errors_of_requests_need_no_index(spark, monkeypatch):
+    from tallow.operators.index import Index
+
+    monkeypatch.setattr(Index, "build", None)
+    got = plans.QUERIES["s18_retrieval_requests"](spark, DATA)
+    assert "regexp_extract_all" not in _plan(got)  # no text is cut into terms
+    assert {e.error and e.error.split(":")[0] for e in got.select("error").distinct().collect()} == {None, "sample_id and query required", "unknown sample_id"}
+
+
 def test_long_batches_become_objects_in_pieces():
     import pyarrow as pa
 
