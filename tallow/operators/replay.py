@@ -172,25 +172,25 @@ def synthesis_reason(bridge: Column, query2: Column, answer: Column, question: C
     ``source_a`` and ``source_b`` are (url, text), null if unknown; ``errors``
     tells by 'a', 'b' and 'fresh' whether a search failed or found nothing;
     ``fresh`` is the text that a search of the question itself finds.
-    ``normal`` has the normal forms of the three texts ('a', 'b', 'fresh') if
-    they are known.
+    ``normal`` has the normal forms of these texts ('a', 'b', 'fresh') and of
+    'bridge', 'query2', 'answer' and 'question', as far as they are known;
+    they should be columns, as each is met in several rules.
     """
-    own = {"a": source_a["text"], "b": source_b["text"], "fresh": fresh}
+    own = {"a": source_a["text"], "b": source_b["text"], "fresh": fresh, "bridge": bridge, "query2": query2, "answer": answer, "question": question}
     own = {k: normalize_answer(v) for k, v in own.items()} | (normal or {})
-    shows = lambda needle, hay: F.coalesce(padded_contains(own[hay], normalize_answer(needle)), F.lit(False))
-    sees = lambda needle, hay: F.coalesce(predicates.visible_in(needle, hay), F.lit(False))
+    shows = lambda needle, hay: F.coalesce(padded_contains(own[hay], own[needle]), F.lit(False))
     return reject_reason(
         (errors["a"], "source_a_web_error"),
-        ((bridge == "") | (query2 == "") | source_a.isNull() | ~shows(bridge, "a"), "invalid_grounded_bridge"),
-        (~sees(bridge, query2), "query2_missing_bridge"),
+        ((bridge == "") | (query2 == "") | source_a.isNull() | ~shows("bridge", "a"), "invalid_grounded_bridge"),
+        (~shows("bridge", "query2"), "query2_missing_bridge"),
         (errors["b"], "source_b_web_error"),
-        ((answer == "") | (question == "") | source_b.isNull() | ~shows(answer, "b"), "invalid_grounded_answer"),
-        (shows(answer, "a"), "answer_visible_in_source_a"),
-        (sees(answer, question) | sees(bridge, question), "question_leaks_bridge_or_answer"),
+        ((answer == "") | (question == "") | source_b.isNull() | ~shows("answer", "b"), "invalid_grounded_answer"),
+        (shows("answer", "a"), "answer_visible_in_source_a"),
+        (shows("answer", "question") | shows("bridge", "question"), "question_leaks_bridge_or_answer"),
         (source_a["url"] == source_b["url"], "same_source_url"),
         (errors["fresh"], "fresh_search1_web_error"),
-        (~shows(bridge, "fresh"), "fresh_search1_bridge_missing"),
-        (shows(answer, "fresh"), "fresh_search1_answer_visible"),
+        (~shows("bridge", "fresh"), "fresh_search1_bridge_missing"),
+        (shows("answer", "fresh"), "fresh_search1_answer_visible"),
     )
 
 

@@ -40,6 +40,11 @@ def test_samples_are_read_once_for_the_rescored_gate(spark):
     assert _plan(plans.QUERIES["m09b_rescored_counts"](spark, DATA)).count("split(text") == 0
 
 
+def test_a_line_is_brought_into_normal_form_once_for_reasons(spark):
+    # of a line, a question, the bridge, the answer and two queries; the next line's is that line's own
+    assert _plan(plans.QUERIES["b13_synthesis_reasons"](spark, DATA)).count("(a|an|the)") == 6
+
+
 def test_errors_of_requests_need_no_index(spark, monkeypatch):
     from tallow.operators.index import Index
 
