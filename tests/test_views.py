@@ -45,6 +45,10 @@ def test_a_line_is_brought_into_normal_form_once_for_reasons(spark):
     assert _plan(plans.QUERIES["b13_synthesis_reasons"](spark, DATA)).count("(a|an|the)") == 6
 
 
+def test_a_line_is_brought_into_normal_form_once_for_metrics(spark):
+    assert _plan(plans.QUERIES["b17_trace_metrics"](spark, DATA)).count("(a|an|the)") == 3  # of a line, a question and what was said
+
+
 def test_errors_of_requests_need_no_index(spark, monkeypatch):
     from tallow.operators.index import Index
 
