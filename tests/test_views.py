@@ -49,6 +49,11 @@ def test_a_line_is_brought_into_normal_form_once_for_metrics(spark):
     assert _plan(plans.QUERIES["b17_trace_metrics"](spark, DATA)).count("(a|an|the)") == 3  # of a line, a question and what was said
 
 
+def test_a_target_is_read_once_a_tag(spark):
+    plan = _plan(plans.QUERIES["p28_sft_validation"](spark, DATA))
+    assert plan.count("<evidence>(.*?)") == plan.count("<internal>(.*?)") == 1
+
+
 def test_errors_of_requests_need_no_index(spark, monkeypatch):
     from tallow.operators.index import Index
 
