@@ -51,6 +51,25 @@ def two_hop(question: Column, answer: Column, contexts: Column, facts: Column, d
     return F.when(known & (F.size(showing) == 1), let(F.get(showing, 0), graph))
 
 
+def title_hits(title: Column, body: Column) -> Column:
+    """A title's different words, in order, whose query keys the body's key holds; none without a key.
+
+    A word that stands in the body has its key in the body's.  So a body that
+    holds the title as it is has all its words; else those that are words of the
+    body, too, are told by hashing, and only the rest is searched for.
+    """
+    # most words begin with a letter: only others need the pattern
+    keyed = lambda w: ((w >= "a") & (w < "{")) | ((w >= "A") & (w < "[")) | F.lower(w).rlike("[a-z0-9]")
+    search = lambda ws: let(query_key(body), lambda b: F.filter(ws, lambda w: ~F.contains(b, query_key(w))))
+
+    def missing(ws: Column) -> Column:
+        own = F.split(F.replace(body, F.lit("\n"), F.lit(" ")), " ")
+        return let(F.array_except(ws, own), lambda rest: F.when(F.size(rest) == 0, rest).otherwise(search(rest)))
+
+    found = lambda ws: F.when(body.endswith(title) | body.contains(title), ws).otherwise(F.array_except(ws, missing(ws)))
+    return F.sort_array(F.filter(let(F.array_distinct(F.split(title, " ")), found), keyed))
+
+
 def covered(gold: Column, got: Column) -> Column:
     return (F.size(gold) > 0) & (F.size(F.array_except(gold, got)) == 0)
 

@@ -1,8 +1,12 @@
 """Fixture cases and edge cases of functions and operators."""
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from tallow import plans
 from tallow.functions import predicates, scores, tags, text
 from tallow.operators import audits, builders, memory, ordering, replay, sampling, summaries, validators
 from tallow.sources import readers
@@ -41,6 +45,32 @@ def test_empty_evidence_differs_between_evaluation_and_reward(value):
     assert value(scores.set_prf(none, none))["f1"] == 1.0 and value(scores.evidence_reward(none, none)) == 0.0
 
 
+def test_title_hits_are_those_of_a_search_word_by_word(spark):
+    key = lambda x: re.sub("[^a-z0-9]+", " ", x.lower()).strip(" ")
+    want = lambda title, body: sorted({w for w in title.split(" ") if key(w) and key(w) in key(body)})
+    titles = ("", " ", "the Cat", "Cat  the the", "é -- ñ", "foo-bar --foo, BAR!", "x\ny z", "in ca", "9 -9 q", "ÑA Ωσς", "un-seen words", "\u212a k")
+    bodies = ("", "a Cat.\nThe cat", "cat\nthe", "foo bar", "so: un seen\nfoo-bar é", "x y, z 9", "ωσσ ña in\ncat", "k \u212a --")
+    rows = [(t, b) for t in titles for own in bodies for b in (own, own + "\n" + t, t + own)]
+    got = spark.createDataFrame(rows, "t string, b string").select("t", "b", predicates.title_hits(F.col("t"), F.col("b")).alias("h")).collect()
+    assert [(r.t, r.b, r.h) for r in got] == [(t, b, want(t, b)) for t, b in rows]
+    assert {len(r.h) for r in got} >= {0, 1, 2}
+
+
+def test_hits_of_a_long_title_take_no_search_a_word(spark, tmp_path):
+    # 60,000 words in a line of 0.5 MB: a search for each word would compare 1.5e10 bytes
+    words = [f"word{k:05}" for k in range(60_000)]
+    frame = lambda x, schema, name: spark.createDataFrame(x, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    frame([(1, "first\n" + " ".join(words))], "doc_id long, text string", "documents")
+    frame([(0, "asked")], "item_id long, text string", "benchmark")
+    began = time.perf_counter()
+    got = plans.QUERIES["m16_title_hits"](spark, str(tmp_path)).collect()
+    assert [r.hits for r in got] == [words, []] and time.perf_counter() - began < 8
+    began = time.perf_counter()
+    body = F.concat(F.array_join(F.reverse("w"), "\n"), F.lit(" end"))  # in another order: told by hashing
+    rows = spark.createDataFrame([(words,)], "w array<string>").select(F.array_join("w", " ").alias("t"), body.alias("b"))
+    assert rows.select(predicates.title_hits(F.col("t"), F.col("b")).alias("h")).first().h == words and time.perf_counter() - began < 8
+
+
 def test_depth_labels(value):
     n = text.normalize_answer
     seen = text.padded_contains(n(F.lit("Ada Example was born in London.")), n(F.lit("London")))
