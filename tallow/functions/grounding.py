@@ -80,7 +80,9 @@ META = (
     r"\breference answer\b", r"\bhidden (reasoning|chain|cot)\b", r"\bgrading\b", r"\bi (will|need to|should|must)\b",
     r"\bmy (task|goal|job) is\b", r"\bstep[- ]by[- ]step\b", r"\b<think\b", r"\b</think\b", r"\b<answer\b", r"\b<evidence\b",
 )
-CONNECTIVE = r"\b(therefore|thus|hence|because|since|so|which means|this (implies|shows|indicates|connects)|comparing|compared|whereas|while|both)\b"
+CONNECTIVE = r"(?=[thbswc])\b(therefore|thus|hence|because|since|so|which means|this (implies|shows|indicates|connects)|comparing|compared|whereas|while|both)\b"
+#: One of META; what may begin one is looked at first, and the boundary once.
+TALK = r"(?=[atwlgrhims<])\b(?:" + "|".join(x.removeprefix(r"\b") for x in META) + ")"
 YES = r"\b(yes|same|both|share[ds]?|match(?:es|ed|ing)?|understand|equivalent|affirmative|one (is )?(natural|man[- ]made))\b"
 NO = r"\b(no|not|neither|different|do not|does not|did not)\b"
 TAGS = r"(?i)</?(?:search|observation|evidence|think|answer|internal)\b"
@@ -115,47 +117,69 @@ def _variants() -> Column:
     return F.create_map(*[F.lit(x) for a, b in MORPHOLOGY for x in (a, b, b, a)])
 
 
+def _keys(*families: tuple[str, ...]) -> list[str]:
+    return sorted({x.replace(" ", "") for family in families for x in family})
+
+
 def _of_family(n: Column, s: Column, family: tuple[str, ...]) -> Column:
-    keys = sorted({x.replace(" ", "") for x in family})
-    member = F.arrays_overlap(n["keys"], _listed(keys)) | n["name"].isin(*family) | n["content"].isin(*family)
+    keys = _keys(family)
+    member = F.arrays_overlap(n["keys"], _listed(keys))  # a name or content of the family is one of the keys without its blanks
     seen = F.exists(_listed(keys), lambda k: F.contains(s["folded"], k)) | F.arrays_overlap(s["vocabulary"], _listed(family))
     return member & seen
 
 
-#: What attests a name: n is the name (name, content, words, keys), s the sources (seen, folded, vocabulary).
+#: What attests a name: n is the name (name, content, words, keys), s the sources (seen, folded, vocabulary) and the names' words that they don't have (strange).
 ATTESTS: dict[str, Callable[[Column, Column], Column]] = {
     "verbatim": lambda n, s: F.contains(s["seen"], n["content"]),
-    "words": lambda n, s: F.forall(n["words"], lambda w: F.array_contains(s["vocabulary"], w) | F.coalesce(F.array_contains(s["vocabulary"], F.try_element_at(_variants(), w)), F.lit(False))),
+    "words": lambda n, s: ~F.exists(n["words"], lambda w: F.array_contains(s["strange"], w)),
     "calendar": lambda n, s: n["name"].isin(*CALENDAR) | n["content"].isin(*CALENDAR),
-    "family": lambda n, s: _any([_of_family(n, s, f) for f in FAMILIES]),
+    "family": lambda n, s: F.exists(n["keys"], lambda k: k.isin(*_keys(*FAMILIES))) & _any([_of_family(n, s, f) for f in FAMILIES]),
 }
 
 
 def _name(found: Column) -> Column:
-    """A proper noun of the text without the function words that lead it; content and words have three letters and more."""
-    parts = F.split(F.lower(found), r"\s+")
-    first = F.array_min(F.filter(F.transform(parts, lambda t, i: F.when(~F.array_contains(_listed(LEADS), t), i)), lambda i: i.isNotNull()))
-    rest = F.when(first.isNull(), _none()).otherwise(F.slice(parts, first + 1, F.size(parts)))
-    words = F.filter(rest, lambda t: F.length(t) >= 3)
-    keys = F.concat(F.transform(rest, squeezed), F.array(squeezed(F.array_join(words, "")), squeezed(found)), F.transform(parts, squeezed))
-    telling = (F.size(words) > 0) & ~F.forall(rest, lambda t: F.array_contains(_listed(FUNCTION), t))
-    return F.struct(found.alias("found"), F.lower(found).alias("name"), F.array_join(words, " ").alias("content"), words.alias("words"), keys.alias("keys"), telling.alias("telling"))
+    """A proper noun of the text without the function words that lead it; content and words have three letters and more.
+
+    A proper noun is of ASCII letters and blanks, so its parts are squeezed.
+    """
+
+    def read(name: Column, parts: Column, rest: Column, words: Column) -> Column:
+        keys = F.concat(parts, F.array(F.array_join(words, ""), F.array_join(parts, "")))
+        telling = (F.size(words) > 0) & ~F.forall(rest, lambda t: t.isin(*FUNCTION))
+        return F.struct(found.alias("found"), name.alias("name"), F.array_join(words, " ").alias("content"), words.alias("words"), keys.alias("keys"), telling.alias("telling"))
+
+    def led(name: Column, parts: Column) -> Column:
+        first = F.array_min(F.filter(F.transform(parts, lambda t, i: F.when(~t.isin(*LEADS), i)), lambda i: i.isNotNull()))
+        rest = let(first, lambda k: F.when(k.isNull(), _none()).otherwise(F.slice(parts, k + 1, F.size(parts))))
+        return let(rest, lambda r: let(F.filter(r, lambda t: F.length(t) >= 3), lambda words: read(name, parts, r, words)))
+
+    return let(F.lower(found), lambda name: let(F.split(name, r"\s+"), lambda parts: led(name, parts)))
+
+
+def _strange(names: Column, known: Column) -> Column:
+    """Words of names that are no glue and that a vocabulary has in no form; told by hashing."""
+    other = lambda w: F.coalesce(F.array_contains(known, F.try_element_at(_variants(), w)), F.lit(False))
+    return F.filter(F.array_except(F.flatten(F.transform(names, lambda n: n["words"])), known), lambda w: ~w.isin(*GLUE) & ~other(w))
 
 
 def novel_names(rationale: Column, sources: Column, folded: Column) -> Column:
-    """Proper nouns of a rationale that no rule attests; ``folded`` are the sources' letters and digits without accents."""
-    own = F.struct(
-        F.array_join(F.transform(sources, lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))), " ").alias("seen"),
-        folded.alias("folded"),
-        F.array_union(vocabulary(sources), _listed(GLUE)).alias("vocabulary"),
-    )
+    """Proper nouns of a rationale that no rule attests; ``folded`` are the sources' letters and digits without accents.
 
-    def unattested(s: Column) -> Column:
-        names = F.filter(F.transform(all_matches(rationale, PROPER, 1), _name), lambda n: n["telling"])
-        missing = F.filter(names, lambda n: ~_any([rule(n, s) for rule in ATTESTS.values()]))
-        return F.transform(missing, lambda n: n["found"])
+    A name is read and judged once, however often it comes; what the rules
+    share is worked out once a row, and only where there is a name.
+    """
+    seen = F.array_join(F.transform(sources, lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))), " ")
 
-    return let(own, unattested)
+    def unattested(names: Column) -> Column:
+        own = let(vocabulary(F.array_distinct(sources)), lambda v: F.struct(seen.alias("seen"), folded.alias("folded"), v.alias("vocabulary"), _strange(names, v).alias("strange")))
+        missing = let(own, lambda s: F.filter(names, lambda n: ~_any([rule(n, s) for rule in ATTESTS.values()])))
+        return F.transform(F.when(F.size(names) > 0, missing).otherwise(names), lambda n: n["found"])
+
+    def judged(found: Column) -> Column:
+        names = F.filter(F.transform(F.array_distinct(found), _name), lambda n: n["telling"])
+        return let(let(names, unattested), lambda missing: F.filter(found, lambda f: F.array_contains(missing, f)))
+
+    return let(all_matches(rationale, PROPER, 1), judged)
 
 
 # Answers ---------------------------------------------------------------------
@@ -188,9 +212,10 @@ FORMS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def aliases(answer: Column) -> Column:
-    """All other forms of an answer that aren't empty."""
-    return F.filter(F.array_distinct(F.concat(*[form(answer, normalize_answer(answer)) for form in FORMS.values()])), lambda x: x != "")
+def aliases(answer: Column, gold: Column | None = None) -> Column:
+    """All other forms of an answer that aren't empty; ``gold`` is its normalized form, if that is at hand."""
+    gold = normalize_answer(answer) if gold is None else gold
+    return F.filter(F.array_distinct(F.concat(*[form(answer, gold) for form in FORMS.values()])), lambda x: x != "")
 
 
 def _long(a: Column) -> Column:
@@ -204,7 +229,7 @@ def _conclusion(said: Column) -> Column:
     return F.when(said.rlike(after), F.regexp_extract(said, after, 1)).otherwise(F.array_join(F.slice(words, F.greatest(F.size(words) - 11, F.lit(1)), F.lit(12)), " "))
 
 
-def _surname(r: Column) -> Column:
+def _surname(r: dict[str, Column]) -> Column:
     """The last telling token of a name in the conclusion, the first one (or its short form) said, or the name attested elsewhere."""
     telling = F.when(F.size(_long(r["name"])) > 0, _long(r["name"])).otherwise(_long(r["tokens"]))
 
@@ -218,11 +243,14 @@ def _surname(r: Column) -> Column:
     return able & let(telling, lambda t: F.when(F.size(t) > 0, held(t)).otherwise(False))
 
 
-#: How a rationale can arrive at an answer: r has answer, gold, said, text, asked, evidence, tokens, name and near.
-ARRIVES: dict[str, Callable[[Column], Column]] = {
-    "stated": lambda r: (r["gold"] != "") & F.contains(r["said"], r["gold"]),
+def stated(gold: Column, said: Column) -> Column:
+    return (gold != "") & F.contains(said, gold)
+
+
+#: How else than by stating it a rationale can arrive at an answer: r has answer, gold, said, text, asked, evidence, tokens, name and near.
+ARRIVES: dict[str, Callable[[dict[str, Column]], Column]] = {
     "short": lambda r: (r["answer"] != "") & (F.length(r["answer"]) <= 3) & F.contains(r["text"], r["answer"]),
-    "form": lambda r: F.exists(aliases(r["answer"]), lambda a: F.contains(r["said"], a)),
+    "form": lambda r: F.exists(aliases(r["answer"], r["gold"]), lambda a: F.contains(r["said"], a)),
     "words": lambda r: (F.size(r["tokens"]) > 0) & F.forall(r["tokens"], lambda t: F.contains(r["said"], t)),
     "surname": _surname,
     "part of a title": lambda r: (F.size(r["tokens"]) >= 6) & F.exists(F.sequence(F.lit(1), F.greatest(F.size(r["tokens"]) - 2, F.lit(1))), lambda k: F.contains(r["said"], F.array_join(F.slice(r["tokens"], k, 3), " "))),
@@ -232,11 +260,21 @@ ARRIVES: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def arrives(rationale: Column, answer: Column, question: Column, evidence: Column, near: Column) -> Column:
-    """Whether a rationale arrives at an answer; ``evidence`` is the normalized text of all sources, ``near`` the question's words that nearly stand in the answer."""
-    gold, said = normalize_answer(answer), normalize_answer(rationale)
-    row = F.struct(
-        F.trim(answer).alias("answer"), gold.alias("gold"), said.alias("said"), rationale.alias("text"), normalize_answer(question).alias("asked"), evidence.alias("evidence"),
-        tokens(gold).alias("tokens"), name_tokens(answer).alias("name"), near.alias("near"),
-    )
-    return let(row, lambda r: _any([rule(r) for rule in ARRIVES.values()]))
+def arrives(rationale: Column, answer: Column, question: Column, evidence: Column, near: Column, gold: Column | None = None, said: Column | None = None) -> Column:
+    """Whether a rationale arrives at an answer; ``evidence`` is the normalized text of all sources, ``near`` the question's words that nearly stand in the answer.
+
+    ``gold`` and ``said`` are the normalized answer and rationale, if they are
+    at hand.  The normalized question and evidence are worked out only where a
+    rule comes to them, and the rest only where the answer isn't stated.
+    """
+    gold = normalize_answer(answer) if gold is None else gold
+    said = normalize_answer(rationale) if said is None else said
+    late = {"text": rationale, "asked": normalize_answer(question), "evidence": evidence, "near": near}
+
+    def otherwise(n: Column) -> Column:
+        own = {"answer": F.trim(answer), "tokens": tokens(n["gold"]), "name": name_tokens(answer)}
+        row = F.struct(n["gold"].alias("gold"), n["said"].alias("said"), *[c.alias(k) for k, c in own.items()])
+        rules = lambda r: _any([rule({k: r[k] for k in ("gold", "said", *own)} | late) for rule in ARRIVES.values()])
+        return F.when(stated(n["gold"], n["said"]), True).otherwise(let(row, rules))
+
+    return let(F.struct(gold.alias("gold"), said.alias("said")), otherwise)

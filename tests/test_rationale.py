@@ -1,7 +1,9 @@
 """Rules of rationale quality and of replayed episodes."""
 
 import json
+import re
 import time
+import unicodedata
 from difflib import SequenceMatcher
 
 import pytest
@@ -101,3 +103,24 @@ def test_phases_and_truncation(spark):
 def test_score_rationales_of_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, None, None, None), (2, '{"reasoning": "x"}', "x", "", ["", None])], "id long, raw string, answer string, question string, evidence array<string>")
     assert r.score_rationales(rows, "id", "raw", "answer", "question", "evidence").count() == 2
+
+
+@given(st.lists(st.sampled_from(["as an AI", "gold  label", "gold label", "I", "i must", "<think", "x<Think", "</answer", "my task is", "step by-step", "grading", "upgrading", "let's see", ".", "We need to answer"]), max_size=6), st.sampled_from(["", " ", "_"]))
+def test_talk_about_the_task_is_each_of_its_forms(pieces, blank):
+    text = blank.join(pieces)
+    assert bool(re.search("(?i)" + g.TALK, text)) == bool(re.search("(?i)" + "|".join(g.META), text))
+
+
+def test_each_character_is_folded_without_its_accents():
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))):
+        want = re.sub("[^a-z0-9]", "", "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower())
+        assert r.folded(c) == want and r.folded(c + "A\u00e9-9") == want + "ae9", c
+
+
+def test_repeated_names_and_many_names(spark):
+    names = lambda said, *sources: one(spark, v=g.novel_names(F.lit(said), F.array(*map(F.lit, sources)), F.lit(r.folded(" ".join(sources))))).v
+    assert names("Bogus Person met The Ada. Bogus Person left. An Awards of Ada.", "Ada won an award-winning show") == ["Bogus Person", "Bogus Person"]
+    assert names("no name at all", "x") == [] and names("", "") == []
+    word = lambda k: "N" + "".join(chr(97 + int(d)) for d in str(k)) + "xy"
+    many = [word(k) for k in range(3000)]
+    assert names(". ".join(many), " ".join(x.lower() for x in many[::2])) == many[1::2]

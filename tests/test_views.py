@@ -95,3 +95,12 @@ def test_long_batches_become_objects_in_pieces():
     assert [b.num_rows for b in out] == [PIECE, PIECE, 5]
     rows = pa.Table.from_batches(out).to_pylist()
     assert [(r["id"], r["near"], r["letters"]) for r in rows] == [(k, ["london"], f"a{k}") for k in range(n)]
+
+
+def test_texts_of_a_rationale_are_read_once(spark):
+    from tallow.functions.grounding import PROPER
+    from tallow.functions.text import RATIONALE_WORD
+
+    plan = _plan(plans.QUERIES["x28_x30_x31_rationale_quality"](spark, DATA))
+    assert plan.count(RATIONALE_WORD) == 3  # words of the sources, of the rationale and of a piece of evidence
+    assert plan.count(PROPER) == 1
