@@ -323,6 +323,22 @@ def test_row_digest_is_of_all_sorted_hashes(spark):
     assert readers.digest(df, F.col("x"), 1).first() == readers.digest(df.orderBy(F.desc("id")), F.col("x"), 1).first()
 
 
+def test_row_digest_of_null_texts_and_of_no_rows_is_that_of_the_statement(spark, tmp_path):
+    import duckdb
+
+    from tallow.plans import ORACLES, QUERIES
+
+    rows = [(1, "a"), (2, None), (None, "b"), (3, ""), (600, "c"), (600, "c")]
+    got = {}
+    for name, own in {"all": rows, "without nulls": [r for r in rows if None not in r], "changed": [*rows[:-1], (600, "d")], "null": [(2, None)], "none": []}.items():
+        spark.createDataFrame(own, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        duck = duckdb.connect()
+        duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{name}/documents.parquet/*.parquet'")
+        got[name] = QUERIES["s08_row_digest"](spark, f"{tmp_path}/{name}").first().digest
+        assert (got[name],) == duck.execute(ORACLES["s08_row_digest"]).fetchone(), name
+    assert got["all"] == got["without nulls"] != got["changed"] and got["null"] is None and got["none"] is None
+
+
 def test_stream_fold_equals_batch_fold(spark, tmp_path):
     rows = [(e, t, p, f"u{(e + t * p) % 3}") for e in range(4) for t in range(3) for p in range(3)]
     docs = spark.createDataFrame(rows, "episode long, turn long, position long, url string")
